@@ -2,19 +2,101 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from . import bpe, language, minhash, sharding, token_counts, urls
+from .common import checkpoint_dir
 
-from . import bpe
+#: Fixed by the contract of the URL query: host, path, verdict.
+LISTED = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Counting rules, by tokenizer version: runs of other than white space; runs of letters and digits, or single other signs.
+TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 24)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe}
-SQL: dict[str, str] = {}
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is its document: labels of low quality or toxicity make a page bad."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    labelled = pages.select("url", F.regexp_extract(urls.path_of(F.col("url")), r"/(\d{1,18})(?:\.html|/|$)", 1).try_cast("long").alias("doc_id")).join(labels, "doc_id").select("url", "bad")
+    return urls.judge(pages, labelled, LISTED)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents, the second committed twice: all are counted by words-1; those with
+    labels are counted anew by words-2; copies of a text go but for that with the least doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("body"), *(F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).alias(f"t{i}") for i, p in enumerate(TOKENIZERS.values())))
+    first, second = TOKENIZERS
+    path = f"{checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    counted.write.parquet(f"{path}/counted")
+    counted = spark.read.parquet(f"{path}/counted")
+    labelled = counted.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(True).alias("again"))
+    by = lambda rows, name, i: rows.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(f"t{i}").alias("tokens"))
+    rollup = f"{path}/rollup"
+    token_counts.commit(spark, rollup, "1", token_counts.inserts(by(counted, first, 0)))
+    revised = counted.join(labelled.select("doc_id").distinct(), "doc_id", "left_semi")
+    for _ in range(2):
+        token_counts.commit(spark, rollup, "2", token_counts.revisions(by(revised, first, 0), by(revised, second, 1)))
+    least = counted.groupBy("body").agg(F.min("doc_id").alias("least"))
+    copies = counted.join(least, counted["body"].eqNullSafe(least["body"])).where("doc_id > least").join(labelled.distinct(), "doc_id", "left")
+    held = copies.select("source", "lang", F.when(F.col("again"), F.lit(second)).otherwise(F.lit(first)).alias("tokenizer"), F.when(F.col("again"), F.col("t1")).otherwise(F.col("t0")).alias("tokens"))
+    token_counts.commit(spark, rollup, "3", token_counts.deletes(held))
+    return token_counts.totals(spark, rollup)
+
+
+QUERIES = {q.__name__: q for q in (op1_kk_sharding, op3_byte_bpe, op6_url_rules, op8_language, op9_circulant_minhash, op10_token_rollup)}
+
+SQL: dict[str, str] = {
+    "op9_circulant_minhash": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY 1),
+post AS (SELECT rep, n, unnest(s) AS g FROM classes),
+pairs AS (
+  SELECT a.rep AS a, b.rep AS b FROM post a JOIN post b ON a.g = b.g AND a.rep < b.rep
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT rep AS node, rep AS seen FROM classes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+part AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(p.component, s.doc_id) AS component_id, s.doc_id = coalesce(p.component, s.doc_id) AS kept
+FROM sets s LEFT JOIN classes c ON list_sort(s.s) = c.s LEFT JOIN part p ON p.node = c.rep
+""",
+    "op10_token_rollup": r"""
+WITH counted AS (
+  SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS t0,
+    coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]')), 0) AS t1,
+    min(doc_id) OVER (PARTITION BY text) AS first_id
+  FROM documents),
+kept AS (SELECT *, doc_id IN (SELECT doc_id FROM labels) AS again FROM counted WHERE doc_id = first_id)
+SELECT source, lang, CASE WHEN again THEN 'words-2' ELSE 'words-1' END AS tokenizer, CAST(count(*) AS BIGINT) AS docs,
+  CAST(sum(CASE WHEN again THEN t1 ELSE t0 END) AS BIGINT) AS tokens
+FROM kept GROUP BY 1, 2, 3
+""",
+}
