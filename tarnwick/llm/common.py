@@ -31,38 +31,70 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Links that one task joins by itself.
+FEW_LINKS = 20_000
+
+
+def grouped(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that it reaches by the pairs a-b."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        for end in (a, b, least[a], least[b]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def _joined(batches):
+    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if got:
+        ends = np.concatenate([np.concatenate(x) for x in zip(*got)])
+        nodes, at = np.unique(ends, return_inverse=True)
+        a, b = at.reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[grouped(len(nodes), a, b)])], ["node", "to"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links between long ids, by rounds of contraction.
 
-    Each round sends every node to the neighbour (or itself) with the least hash for that round, renames
-    the ends of the links and drops loops and repeats, so the links shrink by a constant factor a round and
-    no round gathers a component in one task. Links with a null end are ignored.
+    Each round sends every node to the one of most links among its neighbours and itself (of equal ones, by a
+    hash for that round), renames the ends of the links and drops loops and repeats. Stars are gone after one
+    round, and the links shrink by a constant factor a round otherwise; no round gathers a component in one
+    task. At most :data:`FEW_LINKS` links that are left are joined in one task. Links with a null end are ignored.
 
-    Returns ``(node, component)``, one row per node that has a link; ``component`` is the least node.
+    Returns ``(node, component)``, one row per node that has a link to another; ``component`` is the least node.
     """
-    links = cut(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
+    links = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     moves: list[DataFrame] = []
-    for turn in range(200):
-        if links.isEmpty():
+    while left := links.count():
+        if left <= FEW_LINKS:
+            moves.append(cut(links.repartition(1).mapInArrow(_joined, "node bigint, to bigint")))
             break
         both = links.union(links.select("b", "a")).toDF("node", "near")
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))
-        step = both.groupBy("node").agg(F.min(rank("near")).alias("m")).select("node", F.least(F.col("m"), rank("node"))["n"].alias("to"))
-        step = cut(step)
-        moves.append(step)
-        left = step.select(F.col("node").alias("a"), F.col("to").alias("a_to"))
-        right = step.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
-        moved = links.join(left, "a").join(right, "b").where("a_to <> b_to")
-        links = cut(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        degree = both.groupBy("node").agg(F.count("*").alias("n"))
+        rank = lambda n, c: F.struct(F.col(n), F.xxhash64(F.col(c), F.lit(len(moves))), F.col(c).alias("to"))  # noqa: E731, B023
+        best = both.join(degree.toDF("near", "n"), "near").groupBy("node").agg(F.max(rank("n", "near")).alias("best"))
+        moves.append(cut(best.join(degree, "node").select("node", F.greatest("best", rank("n", "node"))["to"].alias("to"))))
+        moved = links
+        for end in ("a", "b"):
+            moved = moved.join(moves[-1].toDF(end, f"{end}_to"), end)
+        links = cut(moved.where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
     if not moves:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return links.toDF("node", "component")
+    if len(moves) == 1 and left <= FEW_LINKS:
+        return moves[0].toDF("node", "component")
     roots = moves[-1]
     for step in reversed(moves[:-1]):
-        later = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        roots = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("to"))
-    roots = cut(roots)
+        later = roots.toDF("to", "root")
+        here = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("to"))
+        roots = here
     least = roots.groupBy("to").agg(F.min("node").alias("component"))
-    return roots.join(least, "to").select("node", "component")
+    return cut(roots.join(least, "to").select("node", "component"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -6,16 +6,18 @@ by k. Rows that agree on a whole band are candidates; each link is confirmed on
 
 Copies with equal sets stand as one class. In a bucket every class is first compared with the bucket's hub
 (the member with most company over all its buckets); what the confirmed links already hold together needs
-no further look, so only members of different components of a bucket are then compared with each other.
+no further look. All classes that met under one hub are then compared across components: those apart from
+the hub's against all, in tiles of bounded size that return links and never the pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut, lowered, mix, slices, span_hashes, spans, utf8
+from .common import components, cut, grouped, lowered, mix, slices, span_hashes, spans, utf8
 
 #: Rows in a band and bands: a pair at similarity 0.85 misses every band with a chance of 4e-7.
 ROWS, BANDS = 5, 25
@@ -23,6 +25,8 @@ ROWS, BANDS = 5, 25
 PLACES = 1 << 18
 #: Bytes of text that one step handles.
 STEP_BYTES = 1 << 21
+#: Classes, and shingles, of one side of a tile on average.
+TILE, TILE_SHINGLES = 512, 1 << 20
 _LOWER = lowered()
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
@@ -87,7 +91,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)), STEP_BYTES):
+            for a, b in slices(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)), STEP_BYTES):
                 hashes, offsets = shingles(texts.slice(a, b - a), size)
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
@@ -103,32 +107,86 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "k bigint, n bigint, h1 bigint, h2 bigint, buckets array<bigint>")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets have 100 * intersection >= ``percent`` * union. ``docs`` is ``(k, t)``; only the texts of the pairs' ends are shuffled and hashed."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``(k, s)``: the shingle set, as bytes, of each of ``docs(k, t)`` with a key in ``wanted(k)``; one row a key."""
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)), STEP_BYTES):
+            for a, b in slices(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)), STEP_BYTES):
                 hashes, offsets = shingles(texts.slice(a, b - a), size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([hashes[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary())], ["k", "s"])
 
+    return docs.join(wanted, "k", "left_semi").mapInArrow(run, "k bigint, s binary").dropDuplicates(["k"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose full sets have 100 * intersection >= ``percent`` * union."""
+
     def compare(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                both = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    wanted = docs.join(ends, "k", "left_semi").mapInArrow(sets, "k bigint, s binary").dropDuplicates(["k"])
-    first, second = wanted.toDF("b", "second"), wanted.toDF("a", "first")
-    full = pairs.join(second, "a").select("a", "b", "first").join(first, "b").select("a", "b", "first", "second")
+    full = pairs.join(sets.toDF("a", "first"), "a").join(sets.toDF("b", "second"), "b").select("a", "b", "first", "second")
     return full.mapInArrow(compare, "a bigint, b bigint")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of ``left`` with each of ``right``, by products of incidence matrices over the shingles that both sides hold."""
+    sizes = [len(x) for x in (*left, *right)]
+    flat = np.concatenate([*left, *right]) if sizes else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, at = np.unique(flat, return_inverse=True)
+    ours = row < len(left)
+    both = np.flatnonzero((np.bincount(at[ours], minlength=at.max(initial=-1) + 1) > 0) & (np.bincount(at[~ours], minlength=at.max(initial=-1) + 1) > 0))
+    column = np.full(at.max(initial=-1) + 1, -1)
+    column[both] = np.arange(len(both))
+    column = column[at]
+    out = np.zeros((len(left), len(right)), np.float64)
+    order = np.argsort(column, kind="stable")
+    cuts = np.searchsorted(column[order], np.arange(0, len(both) + wide, wide))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        cells = order[a:b]
+        held = np.zeros((len(sizes), wide), np.float32)
+        held[row[cells], column[cells] - k * wide] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between classes of different parts of ``members(hub, rep, n, part, hub_part)``, or others that join the same: each class apart from its hub against all of the hub's, tile by tile."""
+    away = F.col("part") != F.col("hub_part")
+    count = lambda c, s: F.ceil(F.greatest(c / TILE, s / TILE_SHINGLES)).cast("int")
+    grids = members.groupBy("hub").agg(count(F.count_if(away), F.sum(F.when(away, F.col("n")))).alias("across"), count(F.count("*"), F.sum("n")).alias("down"), F.count("*").alias("all"))
+    held = members.join(grids.where("across > 0 and all > 1"), "hub")
+    deal = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    ours = held.where(away).select("hub", "rep", "n", "part", F.lit(True).alias("ours"), deal("across").alias("i"), every("down").alias("j"))
+    theirs = held.select("hub", "rep", "n", "part", F.lit(False).alias("ours"), every("across").alias("i"), deal("down").alias("j"))
+    tiles = ours.union(theirs).join(sets.withColumnRenamed("k", "rep"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, rep, part, n = (table[c].to_numpy() for c in ("ours", "rep", "part", "n"))
+        x, y = np.flatnonzero(side), np.flatnonzero(~side)
+        full = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["s"]]
+        both = overlaps([full[k] for k in x], [full[k] for k in y])
+        hit = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (part[x][:, None] != part[y][None, :])
+        i, j = np.nonzero(hit)
+        nodes, at = np.unique(rep, return_inverse=True)
+        least = grouped(len(nodes), at[x[i]], at[y[j]])
+        own = np.flatnonzero(least != np.arange(len(nodes)))
+        return pa.table({"a": nodes[own], "b": nodes[least[own]]})
+
+    return tiles.groupBy("hub", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, n_shingles, component_id, kept)`` for every row of ``docs``.
 
@@ -147,21 +205,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, text: str
     live = cut(postings.join(shared, "bucket"))
     company = live.groupBy("rep").agg(F.sum("size").alias("company"))
     hubs = live.join(company, "rep").groupBy("bucket").agg(F.max_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), F.struct("company", -F.col("rep"))).alias("h")).select("bucket", "h.*")
-    starred = cut(live.join(hubs, "bucket"))
+    starred = cut(live.select("bucket", "rep", "n").join(hubs, "bucket"))
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    stars = cut(starred.where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    links = cut(confirm(given, stars, percent, size))
+    stars = starred.where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    sets = cut(shingle_sets(given, live.select(F.col("rep").alias("k")).distinct(), size))
+    links = cut(confirm(stars, sets, percent))
     held = components(links)
-    part = lambda c: held.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-    members = starred.join(part("rep"), "rep", "left").join(part("hub"), "hub", "left").select("bucket", "rep", "n", "hub", F.coalesce("rep_part", "rep").alias("part"), F.coalesce("hub_part", "hub").alias("hub_part"))
-    members = cut(members)
-    apart = members.where("part <> hub_part").select("bucket", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"))
-    others = members.where("rep <> hub").select("bucket", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("part").alias("b_part"))
-    rest = apart.join(others, "bucket").where((F.col("a_part") != F.col("b_part")) & fits(F.col("a_n"), F.col("b_n"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest)
-    more = confirm(given, rest, percent, size)
-    final = components(links.union(more)).select(F.col("node").alias("rep"), F.col("component"))
-    named = classes.select(*mark, "rep").join(final, "rep", "left").select(*mark, F.coalesce("component", "rep").alias("component_id"))
+    members = starred.where("rep <> hub").select("hub", "rep", "n").distinct().join(held.toDF("rep", "rep_part"), "rep", "left").join(held.toDF("hub", "hub_part"), "hub", "left")
+    members = cut(members.select("hub", "rep", "n", F.coalesce("rep_part", "rep").alias("part"), F.coalesce("hub_part", "hub").alias("hub_part")))
+    final = components(links.union(_across(members, sets, percent)))
+    named = classes.select(*mark, "rep").join(final.toDF("rep", "component"), "rep", "left").select(*mark, F.coalesce("component", "rep").alias("component_id"))
     whole = signed.select("k", *mark).join(named, mark, "left")
     component = F.when(F.col("k").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("k")).otherwise(F.col("component_id"))
     return whole.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
