@@ -232,11 +232,12 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id
     return encoded.select(F.col(key).alias("k"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, f"k {kind}, ids array<int>, decoded binary").toDF(key, "ids", "decoded")
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every text: the round trip in short."""
+def digests(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every text, the round trip in short; ``with_ids`` also ``ids``."""
     out = decode(encode(docs, vocabulary, pattern), vocabulary, pattern)
     return out.select(
         "doc_id",
+        *["ids"] * with_ids,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

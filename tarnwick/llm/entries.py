@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, minhash, sharding, token_counts, urls
+from . import bpe, decontamination, embedding_dedup, language, licenses, minhash, secret_scan, sharding, token_counts, urls
 from .common import checkpoint_dir
 
 #: Fixed by the contract of the URL query: host, path, verdict.
@@ -24,10 +24,24 @@ def op1_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, language, hundred and id; a directory's licence file is its first document with a statement."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 as string)"), F.col("doc_id").cast("string")).alias("path"))
+    return licenses.scan(docs, "path", F.col("k") == F.col("first"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number in a page's path is its document: labels of low quality or toxicity make a page bad."""
     pages = table(spark, sf_dir, "pages")
@@ -36,6 +50,15 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, labelled, LISTED)
 
 
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the conversations, for the dictionary coverage of secret candidates."""
+    return table(spark, sf_dir, "conversations").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)))).alias("word")).distinct()
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), dictionary(spark, sf_dir))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -67,9 +90,49 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(spark, rollup)
 
 
-QUERIES = {q.__name__: q for q in (op1_kk_sharding, op3_byte_bpe, op6_url_rules, op8_language, op9_circulant_minhash, op10_token_rollup)}
+QUERIES = {q.__name__: q for q in (op1_kk_sharding, op2_license_scan, op3_byte_bpe, op4_decontamination, op5_embedding_dedup, op6_url_rules, op7_secret_scan, op8_language, op9_circulant_minhash, op10_token_rollup)}
+
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
 
 SQL: dict[str, str] = {
+    "op2_license_scan": rf"""
+WITH template(template, licence, text) AS (VALUES {_TEMPLATES}),
+docs AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path FROM documents),
+split AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{licenses.ANCHOR}')),
+lines AS (SELECT line, count(*) AS times FROM split GROUP BY 1),
+words AS (SELECT line, times, word, count(*) AS tf FROM (SELECT line, times, unnest(regexp_extract_all(lower(line), '{licenses._TOKEN}')) AS word FROM lines) GROUP BY ALL),
+own AS (SELECT template, licence, word, count(*) AS tf FROM (SELECT template, licence, unnest(regexp_extract_all(lower(text), '{licenses._TOKEN}')) AS word FROM template) GROUP BY ALL),
+held AS (SELECT word, sum(times) AS n FROM words GROUP BY 1),
+total AS (SELECT coalesce(sum(times), 0) AS a FROM lines),
+lw AS (SELECT line, word, tf * (ln((1 + a) / (1 + n)) + 1) AS w FROM words JOIN held USING (word), total),
+tw AS (SELECT template, licence, word, tf * (ln((1 + a) / (1 + coalesce(n, 0))) + 1) AS v FROM own LEFT JOIN held USING (word), total),
+ll AS (SELECT line, sqrt(sum(w * w)) AS l FROM lw GROUP BY 1),
+tl AS (SELECT template, sqrt(sum(v * v)) AS l FROM tw GROUP BY 1),
+dots AS (SELECT line, template, licence, sum(w * v) AS dot FROM lw JOIN tw USING (word) GROUP BY ALL),
+scored AS (SELECT line, licence, round(dot / (ll.l * tl.l), 6) AS cosine FROM dots JOIN ll USING (line) JOIN tl USING (template)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1),
+stated AS (SELECT doc_id, licence, cosine FROM split JOIN best USING (line) WHERE cosine >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+paths AS (SELECT doc_id, path, regexp_extract(path, '(?s)^(.*)/', 1) AS dir FROM docs),
+files AS (SELECT dir, licence, cosine FROM paths JOIN stated USING (doc_id) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1),
+above AS (SELECT dir, n, array_to_string(string_split(dir, '/')[1:n], '/') AS holder FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS n FROM (SELECT DISTINCT dir FROM paths))),
+near AS (SELECT a.dir, a.holder, f.licence, f.cosine FROM above a JOIN files f ON f.dir = a.holder QUALIFY row_number() OVER (PARTITION BY a.dir ORDER BY n DESC) = 1)
+SELECT p.doc_id, p.path, coalesce(s.licence, n.licence) AS licence,
+  CASE WHEN s.licence IS NOT NULL THEN 'own' WHEN n.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN s.licence IS NOT NULL THEN s.cosine ELSE n.cosine END AS cosine, CASE WHEN s.licence IS NULL THEN n.holder END AS directory
+FROM paths p LEFT JOIN stated s USING (doc_id) LEFT JOIN near n USING (dir)
+""",
+    "op5_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+good AS (SELECT *, sqrt(list_inner_product(e, e)) AS l FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+part AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e JOIN part p ON p.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+""",
     "op9_circulant_minhash": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
