@@ -64,3 +64,8 @@ def any_match(name: str, patterns: list[str]) -> bool:
     import re
 
     return any(re.search(p, name, re.I) for p in patterns)
+
+
+def tidy(c: Column) -> Column:
+    """Four decimals; none from a million on, where they would be noise of the summing order."""
+    return F.when(F.abs(c) >= 1e6, F.round(c, 0)).otherwise(F.round(c, 4))

@@ -126,8 +126,7 @@ _SHORT = {"lags": (1, 2, 3, 7), "windows": (7,)}
 
 
 def _ml_features(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    out = ts_ops.rolling(ts_ops.lags(ts_ops.calendar(df, ts), keys, ts, ["y"], _SHORT["lags"]), keys, ts, "y", _SHORT["windows"])
-    return out
+    return ts_ops.rolling(ts_ops.lags(ts_ops.calendar(df, ts), keys, ts, ["y"], _SHORT["lags"]), keys, ts, "y", _SHORT["windows"])
 
 
 _ML_COLUMNS = ["y_lag_1", "y_lag_2", "y_lag_3", "y_lag_7", "roll_mean_7", "roll_std_7", "roll_min_7", "roll_max_7", "month", "day", "dayofweek", "dayofyear", "is_weekend"]
@@ -135,18 +134,20 @@ _ML_COLUMNS = ["y_lag_1", "y_lag_2", "y_lag_3", "y_lag_7", "roll_mean_7", "roll_
 
 def tree_forecast(df: DataFrame, keys: list[str], ts: str, y: str, ahead: int, model: str = "gbt", trees: int | None = None, seed: int = 42) -> DataFrame:
     """``(keys, step, forecast)``: one model over all series; each step's features come from what is known or forecast before it. Only the last rows of a series go through the steps."""
-    rows = df.where(F.col(y).isNotNull()).select(*keys, F.col(ts).alias(ts), F.col(y).cast("double").alias("y"))
-    train = _ml_features(rows, keys, ts).where("y_lag_7 is not null")
+    at = "time_"
+    rows = df.where(F.col(y).isNotNull()).select(*keys, F.col(ts).cast("timestamp").alias(at), F.col(y).cast("double").alias("y"))
+    train = _ml_features(rows, keys, at).where("y_lag_7 is not null")
     regressor = RandomForestRegressor(labelCol="y", numTrees=trees or 100, maxDepth=8, seed=seed) if model == "random_forest" else GBTRegressor(labelCol="y", maxIter=trees or 100, maxDepth=4, stepSize=0.05, seed=seed, maxBins=255 if model == "hist_gbt" else 32)
     fitted = Pipeline(stages=[VectorAssembler(inputCols=_ML_COLUMNS, outputCol="features", handleInvalid="keep"), regressor]).fit(train)
-    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts)))
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at)))
     tail = rows.withColumn("b_", back).where("b_ <= 8").drop("b_").withColumn("step", F.lit(0))
-    future = ts_ops.future_timestamps(rows, keys, ts, ahead)
+    future = ts_ops.future_timestamps(rows, keys, at, ahead)
     for k in range(1, ahead + 1):
-        new = future.where(F.col("step") == k).select(*keys, ts, F.lit(None).cast("double").alias("y"), "step")
-        now = _ml_features(tail.unionByName(new), keys, ts).where(F.col("step") == k)
-        guess = fitted.transform(now).select(*keys, ts, F.col("prediction").alias("y"), "step")
-        tail = tail.unionByName(guess).checkpoint() if tail.sparkSession.sparkContext.getCheckpointDir() else tail.unionByName(guess)
+        new = future.where(F.col("step") == k).select(*keys, at, F.lit(None).cast("double").alias("y"), "step")
+        now = _ml_features(tail.unionByName(new), keys, at).where(F.col("step") == k)
+        tail = tail.unionByName(fitted.transform(now).select(*keys, at, F.col("prediction").alias("y"), "step"))
+        if k % 5 == 0 and tail.sparkSession.conf.get("spark.checkpoint.dir", None):
+            tail = tail.checkpoint()
     return tail.where("step > 0").select(*keys, "step", F.col("y").alias("forecast"))
 
 

@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import any_match, normalize_nulls
@@ -240,15 +240,17 @@ def folds(df: DataFrame, key: str, k: int = 5, stratify: str | None = None) -> D
     return df.withColumn("fold", F.pmod(F.row_number().over(w), F.lit(k)).cast("int"))
 
 
-def cross_validate(df: DataFrame, estimator, classification: bool, k: int = 5, label: str = "label", parallelism: int = 2) -> DataFrame:
-    """``(metric, mean, std)`` over ``fold``; RMSE is positive."""
-    names = ["accuracy", "f1", "weightedPrecision", "weightedRecall"] if classification else ["rmse", "mae", "r2"]
-    make = MulticlassClassificationEvaluator if classification else RegressionEvaluator
-    out = []
-    for name in names:
-        cv = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=make(labelCol=label, metricName=name), numFolds=k, foldCol="fold", parallelism=parallelism, collectSubModels=False).fit(df)
-        out.append((name, float(cv.avgMetrics[0]), float(cv.stdMetrics[0])))
-    return df.sparkSession.createDataFrame(out, "metric string, mean double, std double")
+def cross_validate(df: DataFrame, estimator, classification: bool, k: int = 5, label: str = "label") -> DataFrame:
+    """``(metric, mean, std)`` over the folds of ``fold``: one fit a fold, all metrics from one aggregate; RMSE is positive."""
+    parts = []
+    for fold in range(k):
+        model = estimator.fit(df.where(F.col("fold") != fold))
+        pairs = model.transform(df.where(F.col("fold") == fold)).select(F.col(label).alias("label"), "prediction")
+        parts.append((evaluate_classification(pairs) if classification else evaluate_regression(pairs)).drop("rows"))
+    every = reduce(DataFrame.unionByName, parts)
+    names = every.columns
+    stats = every.agg(*[F.struct(F.lit(c).alias("metric"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std")).alias(c) for c in names])
+    return stats.select(F.inline(F.array(*names)))
 
 
 def tune(df: DataFrame, estimator, ranges: dict[str, list], evaluator, trials: int = 15, seed: int = 42, parallelism: int = 2):

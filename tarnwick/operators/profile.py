@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import DATES, FLOATS, ID_NAMES, TRUTHS, any_match, normalize_nulls, numeric_columns
+from ..functions.columns import DATES, FLOATS, ID_NAMES, TRUTHS, any_match, normalize_nulls, numeric_columns, tidy
 
 
 def _kind(t: T.DataType) -> str:
@@ -102,7 +102,7 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None, accuracy: i
         x = F.col(c).cast("double")
         parts.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"), uniques(x).alias("uniques"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), _quantiles(x, [0.25, 0.5, 0.75], accuracy).alias("q"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")).alias(c))
     rows = df.agg(*parts).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
-    r = lambda e, name: F.round(e, 4).alias(name)
+    r = lambda e, name: tidy(e).alias(name)
     q = F.col("q")
     return rows.select(
         "column", "count", "nulls", "uniques", *[r(F.col(c), c) for c in ("min", "max", "mean")], r(q[1], "median"), r(F.col("std"), "std"), r(F.col("variance"), "variance"), r(q[0], "q25"), r(q[2], "q75"), r(q[2] - q[0], "iqr"),

@@ -89,8 +89,12 @@ def seasonality(df: DataFrame, keys: list[str], ts: str, y: str, most: int = 30)
 
 
 def calendar(df: DataFrame, ts: str) -> DataFrame:
+    """Parts of the time as columns; a time column that has the name of one of them is a ValueError."""
     c = F.col(ts)
-    return df.withColumns({"year": F.year(c), "month": F.month(c), "day": F.day(c), "dayofweek": F.weekday(c), "dayofyear": F.dayofyear(c), "quarter": F.quarter(c), "is_weekend": (F.weekday(c) >= 5).cast("int"), "hour": F.hour(c), "minute": F.minute(c)})
+    parts = {"year": F.year(c), "month": F.month(c), "day": F.day(c), "dayofweek": F.weekday(c), "dayofyear": F.dayofyear(c), "quarter": F.quarter(c), "is_weekend": (F.weekday(c) >= 5).cast("int"), "hour": F.hour(c), "minute": F.minute(c)}
+    if ts in parts:
+        raise ValueError(f"the time column is named like its part {ts}")
+    return df.withColumns(parts)
 
 
 def lags(df: DataFrame, keys: list[str], ts: str, columns: list[str], ks: tuple[int, ...] = LAGS) -> DataFrame:

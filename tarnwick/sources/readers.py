@@ -148,8 +148,11 @@ def validate(spark: SparkSession, path: str, schema: str, kind: str = "csv") ->
     """``(file, rows_read, corrupt, is_valid)`` for each file: rows that parse under ``schema`` and those that don't."""
     reader = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE")
     df = reader.option("header", True).option("sep", sniff(_head(spark, path))[1]).csv(path) if kind == "csv" else reader.json(path)
-    by = df.select(F.col("_metadata.file_name").alias("file"), F.col("_corrupt").isNotNull().alias("bad"), *[c for c in df.columns if c != "_corrupt"][:1])
-    return by.groupBy("file").agg(F.count("*").alias("rows_read"), F.count_if("bad").alias("corrupt")).withColumn("is_valid", (F.col("rows_read") > 0) & (F.col("corrupt") == 0))
+    first = next(c for c in df.columns if c != "_corrupt")
+    # Spark refuses to read the corrupt column alone, so the first column goes into the condition
+    bad = F.col("_corrupt").isNotNull() & F.concat(F.col("_corrupt"), F.coalesce(F.col(first).cast("string"), F.lit(""))).isNotNull()
+    by = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows_read"), F.count_if(bad).alias("corrupt"))
+    return by.withColumn("is_valid", (F.col("rows_read") > 0) & (F.col("corrupt") == 0))
 
 
 def file_metadata(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
