@@ -56,7 +56,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of two or more letters, digits, ``_`` or ``-`` that are no stop words, in order."""
-    parts = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}_-]+"), lambda w: F.trim(F.lit("-"), w))
+    parts = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}_-]+"), lambda w: F.trim(w, F.lit("-")))
     return F.filter(parts, lambda w: w.rlike("^[a-z0-9_-]{2,}$") & ~w.isin(STOP_WORDS))
 
 

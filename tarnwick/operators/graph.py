@@ -79,7 +79,12 @@ def mentions(docs: DataFrame, nodes: DataFrame, key: str, text: str, most_words:
     long = F.size(F.split("gram", " ")) > most_words
     words = docs.select(F.col(key).alias("k"), F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("w"))
     sizes = [r["n"] for r in named.where(~long).select(F.size(F.split("gram", " ")).alias("n")).distinct().collect()]
-    grams = F.flatten(F.array(*[F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in sorted(sizes)])) if sizes else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+
+    def grams_of(n: int) -> Column:
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(none)
+
+    grams = F.flatten(F.array(*[grams_of(n) for n in sorted(sizes)])) if sizes else none
     found = words.select("k", F.explode(F.array_distinct(grams)).alias("gram")).join(named.where(~long), "gram").select("k", "id")
     rest = named.where(long)
     if not rest.isEmpty():

@@ -36,7 +36,7 @@ def markdown_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = docs.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("n", "line")).withColumn("head", F.regexp_extract("line", r"^#{1,3}\s+(.+)$", 1))
     at = F.sum((F.col("head") != "").cast("int")).over(Window.partitionBy(key).orderBy("n"))
     by = lines.withColumn("position", at.cast("int")).groupBy(key, "position").agg(F.max("head").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == "", F.struct("n", "line")))), lambda x: x["line"]), "\n").alias("body"))
-    return by.select(key, "position", F.when(F.col("head") == "", "Introduction").otherwise(F.trim("head")).alias("title"), F.lit(1).alias("page"), F.trim(F.lit(" \n"), "body").alias("text")).where("text <> ''")
+    return by.select(key, "position", F.when(F.col("head") == "", "Introduction").otherwise(F.trim("head")).alias("title"), F.lit(1).alias("page"), F.trim("body", F.lit(" \n")).alias("text")).where("text <> ''")
 
 
 class _Text(HTMLParser):

@@ -150,10 +150,10 @@ def _embed_sql(view: str, key: str, column: str, dim: int = 128) -> str:
 {view}_e AS (SELECT k, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY k)), 6) AS x FROM {view}_i)"""
 
 
-@query("embed_hash", f"WITH b AS (SELECT * FROM benchmark), {_embed_sql('b', 'item_id', 'text')} SELECT k AS item_id, CAST(i AS INTEGER) AS i, round(x, 4) AS x FROM b_e")
+@query("embed_hash", f"WITH b AS (SELECT * FROM benchmark), {_embed_sql('b', 'item_id', 'text')} SELECT k AS item_id, CAST(i AS INTEGER) AS i, x FROM b_e")
 def _(spark, d):
     rows = text.embed(table(spark, d, "benchmark"), "item_id", "text").select("item_id", F.posexplode("vector").alias("i", "x"))
-    return rows.where("x <> 0").select("item_id", "i", F.round(F.col("x").cast("double"), 4).alias("x"))
+    return rows.where("x <> 0").select("item_id", "i", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 _QUERY_VECTORS = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 20 = 0"
