@@ -66,6 +66,12 @@ def any_match(name: str, patterns: list[str]) -> bool:
     return any(re.search(p, name, re.I) for p in patterns)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r over the rows where both are there; NULL where one of them doesn't vary."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def tidy(c: Column) -> Column:
     """Four decimals; none from a million on, where they would be noise of the summing order."""
     return F.when(F.abs(c) >= 1e6, F.round(c, 0)).otherwise(F.round(c, 4))

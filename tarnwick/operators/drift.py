@@ -37,8 +37,8 @@ def psi(reference: DataFrame, current: DataFrame, columns: list[str], buckets: i
 
 def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     """The asymptotic two-sided p-value."""
-    root = F.sqrt(n * m / (n + m))
-    lam = (root + 0.12 + 0.11 / root) * d
+    root = F.sqrt(F.try_divide(n * m, n + m))
+    lam = (root + 0.12 + F.try_divide(F.lit(0.11), root)) * d
     total = sum((2 * (-1) ** (j - 1) * F.exp(-2 * j * j * lam * lam) for j in range(1, 51)), F.lit(0.0))
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
@@ -56,7 +56,7 @@ def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFram
     totals = sums.groupBy("column").agg(F.sum("px").alias("n"), F.sum("py").alias("m"))
     own = Window.partitionBy("column", "part").orderBy("value")
     run = ranged.withColumns({"x": F.sum("x").over(own), "y": F.sum("y").over(own)}).join(F.broadcast(before), ["column", "part"]).join(F.broadcast(totals), "column")
-    gap = F.abs((F.col("x") + F.col("bx")) / F.col("n") - (F.col("y") + F.col("by")) / F.col("m"))
+    gap = F.abs(F.try_divide(F.col("x") + F.col("bx"), F.col("n")) - F.try_divide(F.col("y") + F.col("by"), F.col("m")))
     out = run.groupBy("column").agg(F.max(gap).alias("d"), F.first("n").alias("n"), F.first("m").alias("m"))
     return out.select("column", F.round("d", 6).alias("ks"), F.round(ks_p_value(F.col("d"), F.col("n"), F.col("m")), 6).alias("p_value"))
 

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import normalize_nulls
+from ..functions.columns import correlation, normalize_nulls
 from .profile import histogram, long_numeric, top_values, value_counts
 from .quality import adjusted_skewness
 
@@ -26,10 +26,9 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
     df = normalize_nulls(df).select(*columns)
     if method == "spearman":
         df = average_ranks(df, columns)
-    # var_samp guards constant columns, whose correlation is 0 by definition here
-    parts = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for a, b in combinations(columns, 2)]
+    parts = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for a, b in combinations(columns, 2)]
     rows = df.agg(F.array(*parts).alias("m")).select(F.inline("m"))
-    return rows.select("column_a", "column_b", F.round(F.coalesce(F.when(~F.isnan("r"), F.col("r")), F.lit(0.0)), 3).alias("r"))
+    return rows.select("column_a", "column_b", F.round(F.coalesce("r", F.lit(0.0)), 3).alias("r"))
 
 
 def correlation_matrix(pairs: DataFrame, columns: list[str]) -> DataFrame:

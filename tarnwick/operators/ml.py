@@ -15,7 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import any_match, normalize_nulls
+from ..functions.columns import any_match, correlation, normalize_nulls
 
 #: Names of likely targets, and of columns that are none.
 TARGET_NAMES = ["^target$", "^label$", "^class$", "^outcome$", "churn", "default", "fraud", "converted", "price", "sales", "revenue", "profit", "cost", "demand", "salary", "status_flag"]
@@ -56,7 +56,7 @@ def problem_type(df: DataFrame, target: str) -> DataFrame:
     least = top.agg(F.min("n").alias("top_least"))
     k, rows = F.col("classes"), F.col("rows")
     kind = F.when(k == 2, "binary_classification").when((k <= 20) | F.lit(not number), "multiclass_classification").otherwise("regression")
-    pct = F.round(100 * F.when(k == 2, F.col("least")).otherwise(F.col("top_least")) / rows, 2)
+    pct = F.round(100 * F.try_divide(F.when(k == 2, F.col("least")).otherwise(F.col("top_least")), rows), 2)
     imbalanced = F.when(k == 2, pct <= 25).when(kind == "multiclass_classification", pct < 100 / (2 * F.least(k, F.lit(10)))).otherwise(F.lit(False))
     return whole.crossJoin(F.broadcast(least)).select(kind.alias("problem_type"), "classes", "rows", F.when(kind != "regression", pct).alias("minority_pct"), F.coalesce(imbalanced, F.lit(False)).alias("imbalanced"))
 
@@ -82,13 +82,13 @@ def leakage(df: DataFrame, target: str) -> DataFrame:
             named.append((c, "TARGET_DERIVED_FEATURE", "CRITICAL"))
         if any_match(c, LEAK_FUTURE):
             named.append((c, "FUTURE_INFORMATION", "HIGH"))
-        r = F.corr(F.col(c).cast("double"), code) if _is_number(f.dataType) else F.lit(None).cast("double")
+        r = correlation(F.col(c).cast("double"), code) if _is_number(f.dataType) else F.lit(None).cast("double")
         is_id = F.lit(any_match(c, LEAK_IDS))
         parts.append(F.struct(F.lit(c).alias("column"), (is_id & ((F.count_distinct(c) / F.greatest(F.count(c), F.lit(1)) > 0.85) | (F.count_distinct(c) > 500))).alias("is_id"), r.alias("r"), F.count(c).alias("n")))
     rows = coded.agg(F.array(*parts).alias("p")).select(F.inline("p"))
     by_name = spark.createDataFrame(named, "column string, risk string, severity string")
     ids = rows.where("is_id").select("column", F.lit("UNIQUE_IDENTIFIER").alias("risk"), F.lit("HIGH").alias("severity"))
-    near = rows.where("not isnan(r) and abs(r) >= 0.98 and n >= 10").select("column", F.lit("NEAR_PERFECT_CORRELATION").alias("risk"), F.lit("CRITICAL").alias("severity"))
+    near = rows.where("abs(r) >= 0.98 and n >= 10").select("column", F.lit("NEAR_PERFECT_CORRELATION").alias("risk"), F.lit("CRITICAL").alias("severity"))
     return reduce(DataFrame.union, [by_name, ids, near])
 
 
@@ -230,7 +230,7 @@ def davies_bouldin(df: DataFrame, columns: list[str], cluster_: str = "cluster")
     spread = rows.join(F.broadcast(centres), "c").groupBy("c").agg(F.avg(gap("", "m_")).alias("s"))
     own = centres.join(spread, "c")
     other = own.toDF("d", *[f"o_{x}" for x in columns], "t")
-    worst = own.join(F.broadcast(other), F.col("c") != F.col("d")).groupBy("c").agg(F.max((F.col("s") + F.col("t")) / gap("m_", "o_")).alias("r"))
+    worst = own.join(F.broadcast(other), F.col("c") != F.col("d")).groupBy("c").agg(F.max(F.try_divide(F.col("s") + F.col("t"), gap("m_", "o_"))).alias("r"))
     return worst.agg(F.count("*").alias("clusters"), F.round(F.avg("r"), 4).alias("davies_bouldin"))
 
 
@@ -302,7 +302,7 @@ def roc_curve(scored: DataFrame) -> DataFrame:
     by = scored.where("score is not null").groupBy("score").agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("n"))
     w = Window.orderBy(F.desc("score"))
     whole = by.agg(F.sum("p").alias("ap"), F.sum("n").alias("an"))
-    return by.select("score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp")).crossJoin(F.broadcast(whole)).select("score", (F.col("tp") / F.col("ap")).alias("tpr"), (F.col("fp") / F.col("an")).alias("fpr"))
+    return by.select("score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp")).crossJoin(F.broadcast(whole)).select("score", F.try_divide("tp", "ap").alias("tpr"), F.try_divide("fp", "an").alias("fpr"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     by = scored.where("score is not null").groupBy("score").agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("n"))
     below = F.sum("n").over(Window.orderBy("score")) - F.col("n")
     rows = by.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
-    return rows.agg(F.round(F.sum("wins") / (F.sum("p") * F.sum("n")), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    return rows.agg(F.round(F.try_divide(F.sum("wins"), F.sum("p") * F.sum("n")), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
 def evaluate_regression(pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
-from ..functions.columns import any_match, normalize_nulls
+from ..functions.columns import any_match, correlation, normalize_nulls
 
 #: Name parts of time columns.
 TIME_NAMES = ["date", "time", "timestamp", "created_at", "updated_at", "event_time", "transaction_date", "datetime", "day", "month", "year"]
@@ -68,8 +68,8 @@ def autocorrelations(df: DataFrame, keys: list[str], ts: str, y: str, lags: list
     """``(keys, lag, r)``: Pearson of y with its lag; NULL where undefined."""
     w = ordered(keys, ts)
     rows = normalize_nulls(df).select(*keys, F.col(y).alias("y"), *[F.lag(y, k).over(w).alias(f"l{k}") for k in lags])
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.corr("y", f"l{k}").alias("r")) for k in lags])
-    return rows.groupBy(*keys).agg(pairs.alias("p")).select(*keys, F.inline("p")).withColumn("r", F.round(F.when(~F.isnan("r"), F.col("r")), 4))
+    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), correlation(F.col("y").cast("double"), F.col(f"l{k}").cast("double")).alias("r")) for k in lags])
+    return rows.groupBy(*keys).agg(pairs.alias("p")).select(*keys, F.inline("p")).withColumn("r", F.round("r", 4))
 
 
 def trend(df: DataFrame, keys: list[str], ts: str, y: str) -> DataFrame:
