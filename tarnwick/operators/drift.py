@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.ranges import running_sums
 from .profile import long_numeric
 
 
@@ -44,19 +45,12 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
 
 
 def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, ks, p_value)``: counts by distinct value, running shares of both sides. Values are cut into ranges by hundredths of the reference so that running sums go range by range."""
+    """``(column, ks, p_value)``: counts by distinct value, running shares of both sides, range by range."""
     a, b = (long_numeric(d, columns).where("value is not null") for d in (reference, current))
     both = a.withColumns({"x": F.lit(1), "y": F.lit(0)}).union(b.withColumns({"x": F.lit(0), "y": F.lit(1)})).groupBy("column", "value").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    at = F.array(*[F.lit(i / 100) for i in range(1, 100)])
-    cuts = a.groupBy("column").agg(F.percentile_approx("value", at, F.lit(1000)).alias("cuts"))
-    ranged = both.join(F.broadcast(cuts), "column").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    sums = ranged.groupBy("column", "part").agg(F.sum("x").alias("px"), F.sum("y").alias("py"))
-    w = Window.partitionBy("column").orderBy("part")
-    before = sums.select("column", "part", (F.sum("px").over(w) - F.col("px")).alias("bx"), (F.sum("py").over(w) - F.col("py")).alias("by"))
-    totals = sums.groupBy("column").agg(F.sum("px").alias("n"), F.sum("py").alias("m"))
-    own = Window.partitionBy("column", "part").orderBy("value")
-    run = ranged.withColumns({"x": F.sum("x").over(own), "y": F.sum("y").over(own)}).join(F.broadcast(before), ["column", "part"]).join(F.broadcast(totals), "column")
-    gap = F.abs(F.try_divide(F.col("x") + F.col("bx"), F.col("n")) - F.try_divide(F.col("y") + F.col("by"), F.col("m")))
+    totals = both.groupBy("column").agg(F.sum("x").alias("n"), F.sum("y").alias("m"))
+    run = running_sums(both, ["column"], "value", ["x", "y"]).join(F.broadcast(totals), "column")
+    gap = F.abs(F.try_divide("x_upto", "n") - F.try_divide("y_upto", "m"))
     out = run.groupBy("column").agg(F.max(gap).alias("d"), F.first("n").alias("n"), F.first("m").alias("m"))
     return out.select("column", F.round("d", 6).alias("ks"), F.round(ks_p_value(F.col("d"), F.col("n"), F.col("m")), 6).alias("p_value"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import correlation, normalize_nulls
+from ..functions.ranges import running_sums
 from .profile import histogram, long_numeric, top_values, value_counts
 from .quality import adjusted_skewness
 
@@ -16,7 +17,7 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` with each column replaced by its average rank among non-NULLs, ties alike: counts by value, then running sums."""
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(c))).select(F.col(c).alias("v_"), (F.col("upto") - (F.col("n") - 1) / 2).alias("r_"))
+        upto = running_sums(counts, [], c, ["n"]).select(F.col(c).alias("v_"), (F.col("n_upto") - (F.col("n") - 1) / 2).alias("r_"))
         df = df.join(upto, df[c] == upto["v_"], "left").drop("v_", c).withColumnRenamed("r_", c)
     return df
 
@@ -65,14 +66,14 @@ def correlation_insights(pairs: DataFrame, k: int = 3) -> DataFrame:
 def concentration_insights(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, skewness, top_share, severity)`` of right-skewed, never negative columns: percent of the total in the largest 5 % of the values.
 
-    The cut is found on counts by value, so equal values shrink before the window.
+    The cut is found on counts by value, with sums that run range by range.
     """
     long = long_numeric(df, columns).where("value is not null")
     stats = long.groupBy("column").agg(F.count("*").alias("n"), adjusted_skewness(F.col("value")).alias("skewness"), F.min("value").alias("low"), F.sum("value").alias("total"))
     fit = stats.where("n >= 10 and skewness > 1.5 and low >= 0 and total > 0").withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * 0.05)))
     counts = long.join(F.broadcast(fit.select("column")), "column", "left_semi").groupBy("column", "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("column").orderBy(F.desc("value")))
-    held = counts.withColumn("upto", upto).join(F.broadcast(fit), "column").withColumn("use", F.greatest(F.lit(0), F.least("c", F.col("k") - F.col("upto") + F.col("c"))))
+    above = F.col("n") - F.col("c_upto")
+    held = running_sums(counts, ["column"], "value", ["c"]).join(F.broadcast(fit), "column").withColumn("use", F.greatest(F.lit(0), F.least("c", F.col("k") - above)))
     out = held.groupBy("column", "skewness", "total").agg(F.sum(F.col("use") * F.col("value")).alias("top"))
     share = F.round(100 * F.col("top") / F.col("total"), 1)
     return out.select("column", F.round("skewness", 3).alias("skewness"), share.alias("top_share"), F.when(share >= 30, "HIGH").otherwise("MEDIUM").alias("severity"))

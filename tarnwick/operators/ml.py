@@ -16,6 +16,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import any_match, correlation, normalize_nulls
+from ..functions.ranges import running_sums
 
 #: Names of likely targets, and of columns that are none.
 TARGET_NAMES = ["^target$", "^label$", "^class$", "^outcome$", "churn", "default", "fraud", "converted", "price", "sales", "revenue", "profit", "cost", "demand", "salary", "status_flag"]
@@ -300,16 +301,15 @@ def evaluate_classification(pairs: DataFrame) -> DataFrame:
 def roc_curve(scored: DataFrame) -> DataFrame:
     """``(score, tpr, fpr)`` of ``(label 0/1, score)``, a point for each distinct score, the highest first."""
     by = scored.where("score is not null").groupBy("score").agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("n"))
-    w = Window.orderBy(F.desc("score"))
     whole = by.agg(F.sum("p").alias("ap"), F.sum("n").alias("an"))
-    return by.select("score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp")).crossJoin(F.broadcast(whole)).select("score", F.try_divide("tp", "ap").alias("tpr"), F.try_divide("fp", "an").alias("fpr"))
+    run = running_sums(by, [], "score", ["p", "n"]).crossJoin(F.broadcast(whole))
+    return run.withColumns({"tp": F.col("ap") - F.col("p_upto") + F.col("p"), "fp": F.col("an") - F.col("n_upto") + F.col("n")}).select("score", F.try_divide("tp", "ap").alias("tpr"), F.try_divide("fp", "an").alias("fpr"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
     """``(auc, positives, negatives)``: the chance that a positive scores above a negative, ties by half, from counts by distinct score."""
     by = scored.where("score is not null").groupBy("score").agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("n"))
-    below = F.sum("n").over(Window.orderBy("score")) - F.col("n")
-    rows = by.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
+    rows = running_sums(by, [], "score", ["n"]).withColumn("wins", F.col("p") * (F.col("n_upto") - F.col("n") / 2))
     return rows.agg(F.round(F.try_divide(F.sum("wins"), F.sum("p") * F.sum("n")), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
