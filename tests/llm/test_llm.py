@@ -259,13 +259,14 @@ def test_url_rules_match_like_brute_force(spark):
         if m and int(m[1]) in labels:
             baskets.append((t, labels[int(m[1])]))
     df = spark.createDataFrame([(list(t), b) for t, b in baskets], "tokens array<string>, bad boolean")
-    mined = urls.mine(df, 0.05, 0.5).collect()
+    mined = urls.mine(df, 0.05, 0.5, 1).collect()
+    assert mined
     base = sum(b for _, b in baskets) / len(baskets)
     for r in mined:
         n = [b for t, b in baskets if set(r["antecedent"]) <= t]
         assert r["confidence"] == pytest.approx(sum(n) / len(n)) and r["confidence"] >= 0.5 and sum(n) / len(n) > base
     sets = spark.createDataFrame([(sorted(t),) for t in {t for _, t in tokens}], "tokens array<string>")
-    hit = {frozenset(r["tokens"]): r["n_rules"] for r in urls.match(sets, urls.mine(df, 0.05, 0.5)).collect()}
+    hit = {frozenset(r["tokens"]): r["n_rules"] for r in urls.match(sets, urls.mine(df, 0.05, 0.5, 1)).collect()}
     want = {t: sum(set(r["antecedent"]) <= t for r in mined) for _, t in tokens}
     assert hit == {t: n for t, n in want.items() if n}
 
