@@ -206,7 +206,18 @@ def _(spark, d):
     return retrieval.rank_fusion(_by_length(q, c), retrieval.bm25_search(q, c, 20))
 
 
-@query("hybrid_search")
+def _hybrid_sql(k: int) -> str:
+    """Both lists of 2 k and the ``k`` best of their fusion, as ``hybrid``."""
+    vector = lambda v: f"{v}_x AS (SELECT k, i, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM {v}_e), {v}_n AS (SELECT k, sqrt(sum(x * x)) AS l FROM {v}_x GROUP BY 1)"
+    return f"""{_BM25}, {_embed_sql('ch', 'chunk_id', 'text')}, {_embed_sql('qs', 'query_id', 'query')}, {vector('ch')}, {vector('qs')},
+dots AS (SELECT q.k AS query_id, c.k AS chunk_id, sum(q.x * c.x) AS dot FROM qs_x q JOIN ch_x c USING (i) GROUP BY 1, 2),
+sims AS (SELECT q.query_id, c.chunk_id, round(coalesce(dot / (qn.l * cn.l), 0), 6) AS score FROM qs q CROSS JOIN ch c LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN qs_n qn ON qn.k = q.query_id LEFT JOIN ch_n cn ON cn.k = c.chunk_id),
+de AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims),
+fu AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS dense_rank, b.rank AS bm25_rank, round(coalesce(0.5 / (60 + d.rank), 0) + coalesce(0.5 / (60 + b.rank), 0), 8) AS rrf FROM (SELECT * FROM de WHERE rank <= {2 * k}) d FULL JOIN (SELECT * FROM bm WHERE rank <= {2 * k}) b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id),
+hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fu) WHERE rank <= {k})"""
+
+
+@query("hybrid_search", f"WITH {_hybrid_sql(10)} SELECT query_id, chunk_id, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, rrf, CAST(rank AS INTEGER) AS rank FROM hybrid")
 def _(spark, d):
     return retrieval.hybrid_search(asked(spark, d), turns(spark, d)).select("query_id", "chunk_id", "dense_rank", "bm25_rank", "rrf", "rank")
 
@@ -217,6 +228,9 @@ rr AS (SELECT query_id, chunk_id, round(0.40 * score + 0.35 * CASE WHEN len(t) =
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM rr)""".replace("\\\\", "\\")
 
 
+_EVIDENCE = _hybrid_sql(15).replace(f"qs AS ({_ASKED})", "qs AS (SELECT item_id AS query_id, regexp_replace(trim(text), '[?!.]+$', '') AS query FROM benchmark)") + ", " + _RERANK[_RERANK.index("te AS (") :].replace("FROM ca)", "FROM (SELECT h.query_id, h.chunk_id, q.query, h.rrf AS score, c.text, c.section FROM hybrid h JOIN qs q USING (query_id) JOIN ch c USING (chunk_id)))")
+
+
 def _candidates(spark, d) -> DataFrame:
     q, c = asked(spark, d), turns(spark, d)
     return retrieval.bm25_search(q, c).join(q, "query_id").join(c, "chunk_id").select("query_id", "chunk_id", "query", "score", "text", "section")
@@ -227,7 +241,7 @@ def _(spark, d):
     return retrieval.rerank(_candidates(spark, d))
 
 
-@query("retrieve_evidence")
+@query("retrieve_evidence", f"WITH {_EVIDENCE} SELECT query_id, chunk_id, rerank_score, CAST(rank AS INTEGER) AS rank FROM reranked WHERE rank <= 5")
 def _(spark, d):
     return retrieval.retrieve_evidence(asked(spark, d), turns(spark, d))
 

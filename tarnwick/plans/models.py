@@ -323,6 +323,22 @@ def _(spark, d):
     return ml.predict_batch(PipelineModel.load(f"{path}/tree"), rows, "doc_id", ["low", "high"]).select("doc_id", "predicted_label", F.col("probabilities")["high"].alias("p_high"))
 
 
+@query("ml_save", "SELECT m.name AS model, count(*) AS rows, count(*) AS same FROM documents d JOIN labels l ON d.doc_id = l.doc_id, (VALUES ('decision_tree'), ('logistic')) m(name) GROUP BY 1")
+def _(spark, d):
+    """Two candidates saved and loaded again: rows scored, and rows with the same prediction as before."""
+    from functools import reduce
+
+    from pyspark.ml import Pipeline, PipelineModel
+
+    rows = learn(spark, d).withColumn("label", F.col("quality").cast("double"))
+    names = ["decision_tree", "logistic"]
+    models = {n: Pipeline(stages=[*ml.preprocessor(["n_chars", "spaces"], ["lang"]).getStages(), ml.classifier(n)]).fit(rows) for n in names}
+    path = scratch(spark, "models")
+    ml.save_models(models, path)
+    both = lambda n: models[n].transform(rows).select("doc_id", F.col("prediction").alias("before")).join(PipelineModel.load(f"{path}/{n}").transform(rows).select("doc_id", "prediction"), "doc_id")
+    return reduce(DataFrame.union, [both(n).agg(F.lit(n).alias("model"), F.count("*").alias("rows"), F.count_if(F.col("before") == F.col("prediction")).alias("same")) for n in names])
+
+
 @query("ml_card", f"WITH {_REG}, s AS (SELECT o_orderstatus AS model_id, round(avg(o_totalprice), 2) AS h FROM orders GROUP BY 1) SELECT version_id, name, algorithm, 'accuracy' AS metric, accuracy AS holdout, h AS cv_mean FROM reg JOIN s USING (model_id)")
 def _(spark, d):
     rows = versions(spark, d)
