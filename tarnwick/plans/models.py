@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import drift, ml, profile, registry
 from .base import MESSY, Section, derived, scratch, table
+from .profiling import _SCHEMA
 
 S = Section()
 query = S.query
@@ -150,7 +151,7 @@ def _(spark, d):
     return ml.leakage(derived(spark, d, _PRICE), "price")
 
 
-@query("ml_feature_types", """SELECT * FROM (VALUES ('status', 'categorical'), ('price', 'numerical'), ('channel', 'categorical'), ('priority', 'categorical'), ('customer_age', 'numerical'), ('placed', 'datetime'), ('order_id', 'dropped'), ('email', 'dropped')) v("column", role)""")
+@query("ml_feature_types", f"""WITH {_SCHEMA} SELECT "column", CASE inferred_type WHEN 'NUMERICAL' THEN 'numerical' WHEN 'DATETIME' THEN 'datetime' WHEN 'CATEGORICAL' THEN 'categorical' WHEN 'BOOLEAN' THEN 'categorical' WHEN 'TEXT' THEN 'categorical' ELSE 'dropped' END AS role FROM schema_report WHERE "column" <> 'repeat_buyer'""")
 def _(spark, d):
     return ml.feature_types(profile.detect_schema(derived(spark, d, MESSY)), "repeat_buyer")
 
