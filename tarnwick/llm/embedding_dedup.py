@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import components, cut, grouped
 
-#: Vectors of a tile on average.
-TILE = 1024
+#: Vectors of a tile on average, and rows of it that are multiplied at once.
+TILE, ROWS_AT_ONCE = 4096, 512
 #: Most pivots of a label; their angles are kept by tile.
 MOST_PIVOTS = 64
 #: Pairs recomputed at once.
@@ -44,18 +44,27 @@ def possible(a: tuple, b: tuple, threshold: float) -> np.ndarray:
 def links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> np.ndarray:
     """Pairs (row of x, row of y) with cosine >= ``threshold`` in double precision; of a tile with itself each once."""
     length_x, length_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    found = possible(quantise(x / length_x[:, None]), quantise(y / length_y[:, None]), threshold)
-    if same:
-        found = found[found[:, 0] < found[:, 1]]
-    keep = [np.zeros(0, bool)]
-    for at in range(0, len(found), AT_ONCE):
-        i, j = found[at : at + AT_ONCE].T
-        keep.append(np.einsum("ij,ij->i", x[i], y[j]) / (length_x[i] * length_y[j]) >= threshold)
-    return found[np.concatenate(keep)]
+    codes_x, codes_y = quantise(x / length_x[:, None]), quantise(y / length_y[:, None])
+    out = [np.zeros((0, 2), np.int64)]
+    for first in range(0, len(x), ROWS_AT_ONCE):
+        found = possible(tuple(c[first : first + ROWS_AT_ONCE] for c in codes_x), codes_y, threshold)
+        found[:, 0] += first
+        if same:
+            found = found[found[:, 0] < found[:, 1]]
+        for at in range(0, len(found), AT_ONCE):
+            part = found[at : at + AT_ONCE]
+            i, j = part.T
+            out.append(part[np.einsum("ij,ij->i", x[i], y[j]) / (length_x[i] * length_y[j]) >= threshold])
+    return np.concatenate(out)
+
+
+def _stored(vectors: DataFrame, vector: str) -> type:
+    return np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
 
 
 def _prepared(vectors: DataFrame, id: str, vector: str, label: str) -> DataFrame:
-    """``(k, label, dim, mark, v)``: ``v`` holds the components in double precision; dim, mark and v are null for a vector that links with nothing."""
+    """``(k, label, dim, mark, v)``: ``v`` holds the components as given, float or double; dim, mark and v are null for a vector that links with nothing."""
+    kind = _stored(vectors, vector)
 
     def run(batches):
         for batch in batches:
@@ -64,7 +73,7 @@ def _prepared(vectors: DataFrame, id: str, vector: str, label: str) -> DataFrame
                 v = np.array([np.nan if c is None else c for c in x], np.float64) if x else np.zeros(0)
                 with np.errstate(over="ignore"):
                     good = tag is not None and len(v) and np.isfinite(v).all() and v.any() and 0 < np.linalg.norm(v) < np.inf
-                raw = (v + 0.0).tobytes() if good else None
+                raw = (v + 0.0).astype(kind).tobytes() if good else None
                 dims.append(len(v) if good else None)
                 marks.append(hashlib.blake2b(raw, digest_size=16).digest() if good else None)
                 raws.append(raw)
@@ -83,11 +92,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id: str = "vec_
     null, empty or zero, or holds null or non-finite components, links with nothing, as do vectors of different
     lengths. Repeated ids count as one vector each row; a null id has no component. Other columns are left out.
     """
+    kind = _stored(vectors, vector)
     given = cut(_prepared(vectors, id, vector, label))
     group = ["label", "dim", "mark"]
     classes = given.where("mark is not null and k is not null").groupBy(*group).agg(F.min("k").alias("rep"), F.count("*").alias("times"), F.any_value("v").alias("v"))
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    per_label = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(1), F.expr(f"n div {8 * TILE}")))
+    per_label = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(1), F.expr(f"n div {2 * TILE}")))
     order = F.xxhash64("mark")
     level = F.pmod(order, F.lit(1 << 40)) / (1 << 40)
     # twice as many as wanted by a share of the hash, all of them if that is few
@@ -102,7 +112,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id: str = "vec_
                     cells.append(0)
                     angles.append([])
                     continue
-                x, p = np.frombuffer(raw.as_buffer(), np.float64), np.stack([np.frombuffer(h, np.float64) for h in held])
+                x, p = np.frombuffer(raw.as_buffer(), kind).astype(float), np.stack([np.frombuffer(h, kind).astype(float) for h in held])
                 angle = np.arccos(np.clip(p @ x / (np.linalg.norm(p, axis=1) * np.linalg.norm(x)), -1, 1))
                 cells.append(int(angle.argmin()))
                 angles.append(angle.tolist())
@@ -124,7 +134,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id: str = "vec_
         first = table["first"].to_numpy()
         same = table["a"][0] == table["b"][0]
         raw = b"".join(table["v"].to_pylist())
-        x = np.frombuffer(raw, np.float64).reshape(len(first), -1)
+        x = np.frombuffer(raw, kind).astype(np.float64).reshape(len(first), -1)
         rep, times = table["rep"].to_numpy(), table["times"].to_numpy()
         left, right = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
         found = links(x[left], x[right], threshold, same)
