@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mix, slices, span_hashes
 
 #: Bytes of text that one step handles; a longer text is a step of its own.
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 21
 #: Merged pre-tokens (of 64 bytes at most) that a Python worker remembers for a vocabulary before it starts anew.
-MEMO = 600_000
+MEMO = 400_000
 _memos: dict[int, dict[bytes, bytes]] = {}
 
 

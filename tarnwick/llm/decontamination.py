@@ -19,7 +19,7 @@ from .common import mix, slices, span_hashes, spans, utf8
 SEED, MATCH, MISMATCH, GAP = 3, 2, -1, -1
 #: Test items sent to the tasks at once, by their words.
 BLOCK_WORDS = 1_000_000
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 #: Cells of the alignments that are filled side by side.
 CELLS = 1 << 21
 _WORD = np.zeros(256, bool)

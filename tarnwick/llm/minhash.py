@@ -24,7 +24,7 @@ ROWS, BANDS = 5, 25
 #: Places on the circle.
 PLACES = 1 << 18
 #: Bytes of text that one step handles.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 #: Classes, and shingles, of one side of a tile on average.
 TILE, TILE_SHINGLES = 512, 1 << 20
 _LOWER = lowered()
