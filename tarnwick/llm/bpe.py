@@ -21,7 +21,7 @@ from .common import mix, slices, span_hashes
 #: Bytes of text that one step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
 #: Merged pre-tokens (of 64 bytes at most) that a Python worker remembers for a vocabulary before it starts anew.
-MEMO = 400_000
+MEMO = 150_000
 _memos: dict[int, dict[bytes, bytes]] = {}
 
 
@@ -195,8 +195,8 @@ class Encoder:
         return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(at.tobytes()), tokens.buffers()[2]]).cast(pa.binary())
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, ids array<int>)``: the ids of every whole text.
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id", and_decode: bool = False) -> DataFrame:
+    """``(key, ids array<int>)``: the ids of every whole text; ``and_decode`` also ``decoded``, as :func:`decode` makes it, in the same worker.
 
     ``vocabulary`` is the path of a rank file, read on the driver; ``pattern`` splits a text into pre-tokens,
     each of which is encoded by itself. Special tokens are ordinary text. A null or empty text has no ids. Rows
@@ -209,10 +209,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
             texts, keys = batch.column(1).fill_null(""), batch.column(0)
             for a, b in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), STEP_BYTES):
                 ids, offsets = coder.encode(texts.slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["k", "ids"])
+                ids = pa.array(ids, pa.int32())
+                out = [keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)]
+                yield pa.RecordBatch.from_arrays([*out, coder.decode(ids, offsets)] if and_decode else out, names)
 
+    names = ["k", "ids", "decoded"] if and_decode else ["k", "ids"]
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").toDF(key, "ids")
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, ids array<int>" + ", decoded binary" * and_decode).toDF(key, *names[1:])
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -234,7 +237,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every text, the round trip in short; ``with_ids`` also ``ids``."""
-    out = decode(encode(docs, vocabulary, pattern), vocabulary, pattern)
+    out = encode(docs, vocabulary, pattern, and_decode=True)
     return out.select(
         "doc_id",
         *["ids"] * with_ids,
