@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Each test item is seeded by the rarer half of its word n-grams, rarity being the number of training texts
-that hold one. Where a text holds a seed, the words around it are aligned with the item's; the score is the
-best local alignment's over that of a full match, so edited and paraphrased copies score in part. Items are
-a query set against all texts, in blocks of bounded size; texts are not shuffled.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment of words.
+
+Each test item is seeded by its rarer word pairs, rarity being the number of training texts that hold one; a
+pair may have one word between its two, in the item and in the text. Of any alignment that reaches the least
+score so many matched words are that close to the next one that a fixed count of seeds must stand near each
+other (see :class:`Items`); only there are words aligned with the item's, and no such alignment is lost. The
+score is the best local alignment's over that of a full match, so edited and paraphrased copies score in part.
+Items are a query set against all texts, in blocks of bounded size; texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mix, slices, span_hashes, spans, utf8
 
-#: Words of a seed, and points for a match, a mismatch and a gap.
-SEED, MATCH, MISMATCH, GAP = 3, 2, -1, -1
+#: Points for a match, a mismatch and a gap; the bounds of :class:`Items` hold for these.
+MATCH, MISMATCH, GAP = 2, -1, -1
 #: Test items sent to the tasks at once, by their words.
 BLOCK_WORDS = 1_000_000
 STEP_BYTES = 1 << 19
@@ -33,20 +35,20 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return span_hashes(data, starts, ends), first, starts, ends, offsets
 
 
-def grams(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the word n-grams of each text (the whole text, if it has fewer words), the place of each one's first word and its text."""
-    n = np.diff(first)
-    windows = np.maximum(n - size + 1, np.minimum(n, 1))
-    upto = np.concatenate([[0], np.cumsum(windows)])
-    row = np.repeat(np.arange(len(n)), windows)
-    at = first[:-1][row] - upto[:-1][row] + np.arange(upto[-1])
-    length = np.minimum(n, size)[row]
-    out = length.astype(np.uint64)
-    last = max(len(hashes) - 1, 0)
-    for k in range(size):
-        word = hashes[np.minimum(at + k, last)] if len(hashes) else hashes
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + np.where(k < length, word, np.uint64(k)))
-    return out, at, row
+def pairs(hashes: np.ndarray, first: np.ndarray, single: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word with the next of its text and with the one after that (and, if ``single``, of the word alone), the place of the word and its text."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    place = np.arange(len(hashes))
+    out, at = [], []
+    for k in (1, 2):
+        i = place[place + k < first[1:][row]]
+        out.append(mix(hashes[i] * np.uint64(0x9E3779B97F4A7C15) + hashes[i + k]))
+        at.append(i)
+    if single:
+        out.append(mix(hashes ^ np.uint64(0x243F6A8885A308D3)))
+        at.append(place)
+    at = np.concatenate(at)
+    return np.concatenate(out), at, row[at]
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,16 +80,34 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 
 
 class Items:
-    """A block of test items: their words and the places of their n-grams."""
+    """A block of test items: their words and the places of their pairs.
+
+    An alignment of m words with e mismatches and gaps has 2 m - e points. If that is 2 * ``least`` * n or more
+    for an item of n words, then m >= least * n, e <= 2 (m - least * n), and the text's part has at most
+    (3 - 2 * least) n words. Two or more errors stand between at most e / 2 neighbouring matches, so at least
+    least * n - 1 places of the item begin a pair (with at most one word skipped on either side) that the text
+    holds: ``bound``. Of short items, whose bound is under one pair, least * n single words are held.
+    """
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], least: float):
         self.ids = ids
         hashes, first, *_ = words(pa.array(texts, pa.string()))
         self.words = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-        gram, at, row = grams(hashes, first, SEED)
+        n = np.diff(first)
+        enough = np.maximum(np.ceil(least * n - 1e-9).astype(np.int64), 1)
+        alone = enough < 2
+        self.single = bool((alone & (n > 0)).any())
+        self.bound = np.where(alone, enough, enough - 1)
+        self.wide = np.floor((3 - 2 * least) * n + 1e-9).astype(np.int64)
+        gram, at, row = pairs(hashes, first, self.single)
+        if self.single:
+            own = np.arange(len(gram)) >= len(gram) - len(hashes)
+            keep = own == alone[row]
+            gram, at, row = gram[keep], at[keep], row[keep]
         order = np.lexsort((at, row, gram))
         self.gram, self.item, self.at = gram[order], row[order], (at - first[:-1][row])[order]
         self.seeds, self.group = np.unique(self.gram, return_inverse=True)
+        self.close = self.bound
         self._filter()
 
     def _filter(self):
@@ -98,15 +118,28 @@ class Items:
         self.table[self.seeds >> np.uint64(44)] = True
 
     def rare(self, texts_with: np.ndarray) -> "Items":
-        """The same items with the rarer half of each one's n-grams, by the number of texts that hold each."""
+        """The same items with the seeds of their rarer places, by the number of texts that hold each place's pairs.
+
+        Pairs that no text holds are dropped, and with k = ``close`` the ``bound`` - k commonest places that are
+        left: an alignment holds ``bound`` of these places, so k of the seeded ones. Items with fewer places are in no text.
+        """
         n = texts_with[self.group]
-        order = np.lexsort((self.at, n, self.item))
-        item = self.item[order]
-        size = np.bincount(item, minlength=len(self.ids))
-        rank = np.arange(len(item)) - (np.cumsum(size) - size)[item]
-        keep = np.sort(order[rank < (size[item] + 1) // 2])
+        held = np.flatnonzero(n)
+        size = np.array([len(w) for w in self.words], np.int64)
+        base = np.cumsum(size) - size
+        place = base[self.item[held]] + self.at[held]
+        total = np.bincount(place, n[held], int(size.sum())).astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        live = np.flatnonzero(total)
+        live = live[np.lexsort((live, total[live], owner[live]))]
+        have = np.bincount(owner[live], minlength=len(size))
+        rank = np.arange(len(live)) - (np.cumsum(have) - have)[owner[live]]
+        close = (self.bound + 1) // 2
+        seeded = np.zeros(len(total), bool)
+        seeded[live] = (rank < (have - (self.bound - close))[owner[live]]) & (have >= self.bound)[owner[live]]
+        keep = held[seeded[place]]
         out = object.__new__(Items)
-        out.ids, out.words = self.ids, self.words
+        out.ids, out.words, out.single, out.bound, out.wide, out.close = self.ids, self.words, self.single, self.bound, self.wide, close
         out.gram, out.item, out.at = self.gram[keep], self.item[keep], self.at[keep]
         out.seeds, out.group = np.unique(out.gram, return_inverse=True)
         out._filter()
@@ -136,7 +169,7 @@ def _counted(docs: DataFrame, items: Items) -> np.ndarray:
         total = np.zeros(len(items.seeds), np.int64)
         for _, texts in _steps(batches):
             hashes, first, *_ = words(texts)
-            gram, _, row = grams(hashes, first, SEED)
+            gram, _, row = pairs(hashes, first, items.single)
             at, seed = items.hits(gram)
             pair = np.unique(row[at] * np.int64(len(items.seeds) + 1) + seed)
             total += np.bincount(pair % (len(items.seeds) + 1), minlength=len(items.seeds))
@@ -150,41 +183,57 @@ def _counted(docs: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
+def _windows(items: Items, first: np.ndarray, at: np.ndarray, text: np.ndarray, seed: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """``(item, text, first word, end word)``: the parts of the texts around as many seeds of an item, close enough to each other, as an alignment must hold; parts that touch are one."""
+    times = items.count[seed]
+    entry = np.repeat(items.begin[seed] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    at, text, item = np.repeat(at, times), np.repeat(text, times), items.item[entry]
+    order = np.lexsort((at, item))  # words go up with texts
+    at, text, item = at[order], text[order], item[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (item[1:] != item[:-1])
+    at, text, item = at[new], text[new], item[new]
+    there = np.arange(len(at)) + items.close[item] - 1
+    far = np.minimum(there, max(len(at) - 1, 0))
+    wide = items.wide[item]
+    ok = np.flatnonzero((there < len(at)) & (item[far] == item) & (text[far] == text) & (at[far] - at <= wide))
+    item, text = item[ok], text[ok]
+    low, high = np.maximum(at[far[ok]] - wide[ok], first[text]), np.minimum(at[ok] + wide[ok] + 1, first[text + 1])
+    begin = np.ones(len(ok), bool)
+    begin[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (low[1:] > high[:-1])
+    begin = np.flatnonzero(begin)
+    end = np.append(begin[1:], len(ok)) - 1 if len(ok) else begin
+    return list(zip(item[begin].tolist(), text[begin].tolist(), low[begin].tolist(), high[end].tolist()))
+
+
 def _matched(docs: DataFrame, items: Items, least: float, kinds: tuple[str, str]) -> DataFrame:
     sizes = np.array([len(w) for w in items.words], np.int64)
 
     def run(batches):
         for keys, texts in _steps(batches):
             hashes, first, starts, ends, offsets = words(texts)
-            gram, at, row = grams(hashes, first, SEED)
+            gram, at, row = pairs(hashes, first, items.single)
             place, seed = items.hits(gram)
-            times = items.count[seed]
-            entry = np.repeat(items.begin[seed] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-            place = np.repeat(place, times)
-            item, text = items.item[entry], row[place]
-            begin = at[place] - items.at[entry]  # where the item's first word would be
-            order = np.lexsort((begin, item, text))
-            item, text, begin = item[order], text[order], begin[order]
-            margin = sizes[item] // 4 + 2
-            windows, anchor = [], None
-            for k, (i, t, s, m) in enumerate(zip(item.tolist(), text.tolist(), begin.tolist(), margin.tolist())):
-                if anchor is None or anchor[:2] != (i, t) or s > anchor[2] + m:
-                    anchor = (i, t, s)
-                    windows.append((i, t, max(int(first[t]), s - m), min(int(first[t + 1]), s + int(sizes[i]) + 2 * m)))
             out = []
-            for a, b in slices(np.array([sizes[w[0]] * (w[3] - w[2] + 1) for w in windows]), CELLS):
-                part = windows[a:b]
-                need = [items.words[w[0]] for w in part]
-                have = [hashes[w[2] : w[3]] for w in part]
-                points, end_a, end_b = align(need, have)
-                good = [k for k in range(len(part)) if points[k] >= least * MATCH * len(need[k])]
-                _, back_a, back_b = align([need[k][: end_a[k] + 1][::-1] for k in good], [have[k][: end_b[k] + 1][::-1] for k in good])
-                for g, k in enumerate(good):
-                    i, t, s, _ = part[k]
-                    last, start = s + int(end_b[k]), s + int(end_b[k]) - int(back_b[g])
-                    out.append((t, i, float(points[k]) / (MATCH * len(need[k])), start - int(first[t]), last - int(first[t]) + 1, int(starts[start] - offsets[t]), int(ends[last] - offsets[t])))
-            # windows that overlap may find one alignment twice
-            out = sorted(set(out))
+            windows = _windows(items, first, at[place], row[place], seed)
+            while windows:
+                windows.sort(key=lambda w: w[3] - w[2])
+                left = []
+                for a, b in slices(np.array([sizes[w[0]] * (w[3] - w[2] + 1) for w in windows]), CELLS):
+                    part = windows[a:b]
+                    need = [items.words[w[0]] for w in part]
+                    have = [hashes[w[2] : w[3]] for w in part]
+                    points, end_a, end_b = align(need, have)
+                    good = [k for k in range(len(part)) if points[k] >= least * MATCH * len(need[k]) - 1e-9]
+                    _, back_a, back_b = align([need[k][: end_a[k] + 1][::-1] for k in good], [have[k][: end_b[k] + 1][::-1] for k in good])
+                    for g, k in enumerate(good):
+                        i, t, s, e = part[k]
+                        last, start = s + int(end_b[k]), s + int(end_b[k]) - int(back_b[g])
+                        out.append((t, i, float(points[k]) / (MATCH * len(need[k])), start - int(first[t]), last - int(first[t]) + 1, int(starts[start] - offsets[t]), int(ends[last] - offsets[t])))
+                        # other copies beside this one
+                        left += [(i, t, x, y) for x, y in ((s, start), (last + 1, e)) if y - x >= least * len(need[k])]
+                windows = left
+            out.sort()
             if out:
                 t, i, score, w0, w1, b0, b1 = zip(*out)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(t)), pa.array([items.ids[x] for x in i]), pa.array(score), *(pa.array(x, pa.int64()) for x in (w0, w1, b0, b1))], ["k", "item", "score", "first_word", "end_word", "first_byte", "end_byte"])
@@ -196,7 +245,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, key: str
     """``(key, item, score, first_word, end_word, first_byte, end_byte)``: where a text of ``docs`` holds a copy of a test item, edited or in part, with a score of ``least`` or more (1: word for word).
 
     Bytes are those of the lower-cased text. A text may match an item in several places, and several items.
-    Null or wordless texts and items match nothing; repeated rows each match; other columns are left out. The
+    No such alignment is lost, so an item of one or two words matches every text that holds one of its words if
+    ``least`` is 0.5. Null or wordless texts and items match nothing; repeated rows each match; other columns are left out. The
     benchmark is read to the driver in blocks of about a million words, each of which goes over all texts.
     """
     given = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
@@ -208,7 +258,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, key: str
     held = 0
 
     def block():
-        items = Items(ids, texts)
+        items = Items(ids, texts, least)
         return _matched(given, items.rare(_counted(given, items)), least, kinds)
 
     for row in test.orderBy("item").toLocalIterator():

@@ -184,6 +184,43 @@ def test_edited_copies_score_in_part(spark):
     assert decontamination.matches(df.limit(0), bench).count() == 0 and decontamination.matches(df, bench.limit(0)).count() == 0
 
 
+def _best_alignment(item, text):
+    """Smith-Waterman by the book: the best score over that of a full match."""
+    above, best = [0] * (len(text) + 1), 0
+    for x in item:
+        row = [0]
+        for j, y in enumerate(text):
+            row.append(max(0, above[j] + (2 if x == y else -1), above[j + 1] - 1, row[j] - 1))
+        above, best = row, max(best, *row)
+    return best / (2 * len(item))
+
+
+@pytest.mark.parametrize("exact", [0, 3])
+def test_seeds_lose_no_alignment(spark, exact):
+    random.seed(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    fill = lambda n: random.choices(vocabulary, k=n)
+    item = random.sample(vocabulary, 60)
+    every = lambda k: [f"new{i}" if i % k == k - 1 else w for i, w in enumerate(item)]
+    parts = [every(3), every(4), every(5), item[29:], item[30:], item[:30], item[:29], item[15:46]]
+    parts += [[v for w in item for v in (w, "more")], [w for i, w in enumerate(item) if i % 3], every(4)[:30] + item[30:]]
+    for _ in range(60):  # random edits of all kinds
+        t = list(item)
+        for _ in range(random.randint(10, 45)):
+            k = random.randrange(len(t))
+            t[k : k + random.randint(0, 1)] = fill(random.randint(0, 2))
+        parts.append(t)
+    texts = [fill(70) + p + fill(50) for p in parts] + [fill(9) + item + fill(9)] * exact + [fill(3) + item + item + fill(4)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = decontamination.matches(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    got = defaultdict(float)
+    for r in rows:
+        got[r["doc_id"]] = max(got[r["doc_id"]], r["score"])
+    want = {i: s for i, t in enumerate(texts) if (s := _best_alignment(item, t)) >= 0.5}
+    assert dict(got) == want and {0, 1, 2, 3, 4, 5, 7, 8} <= set(want) and len(want) < len(texts)
+    assert sum(r["doc_id"] == len(texts) - 1 for r in rows) == 2
+
+
 # 5
 
 
