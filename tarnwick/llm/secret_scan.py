@@ -14,9 +14,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words before a value that is to be kept secret.
 _KEYWORD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
-_ASSIGNED = rf"(?i:\b{_KEYWORD})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
-#: An assigned value, the head of a private key, or a run of 12 or more letters, digits and joining signs.
-CANDIDATE = rf"{_ASSIGNED}[^\s\"',;]{{6,}}|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|[A-Za-z0-9+/_-]{{12,}}={{0,2}}"
+_RUN = r"A-Za-z0-9+/_-"
+#: The keyword may stand anywhere in the name: DB_PASSWORD, client_secret, secret_key. Words before no : or = fail at once.
+_ASSIGNED = rf"(?<![{_RUN}])(?=[{_RUN}]*+[\"']?\s{{0,3}}[:=])[{_RUN}]*(?i:{_KEYWORD})[A-Za-z0-9_-]*+[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
+#: The user before a password in a URL.
+_LOGIN = r"//[^\s/:@?#\"']*:(?=[^\s/?#\"']+@)"
+_HEAD = rf"(?:{_LOGIN}|{_ASSIGNED})"
+_HEAD_OF_MATCH = rf"(?:{_LOGIN.split('(?=')[0]}|{_ASSIGNED})"
+#: A URL's password, an assigned value, the head of a private key, or a run of 12 or more letters, digits and joining signs.
+CANDIDATE = rf"{_LOGIN}[^\s/?#\"']+(?=@)|{_ASSIGNED}[^\s\"',;]+|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|[{_RUN}]{{12,}}={{0,2}}"
+#: Secrets of fewer characters are replaced only behind their name or user, as they may be parts of other words.
+SHORT = 6
 #: Fixed formats of some issuers' keys, for weak labels.
 ISSUED = r"^(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)$"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -27,19 +35,19 @@ FEATURES = ["length", "transitions", "digits", "uppers", "vowels", "alternations
 def findings(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
     """``(key, path, token, assigned, before, after)``: the distinct candidates of every whole text.
 
-    Assigned values, private key heads, and runs that hold a digit. ``before`` and ``after`` are the up to 24
+    Assigned values and URLs' passwords of any length, private key heads, and runs with a letter or digit that are not one letter repeated. ``before`` and ``after`` are the up to 24
     and 12 characters next to its first occurrence. A null or empty text has none; a null path stays null.
     """
     t = F.col("t")
 
     def one(m: Column) -> Column:
-        token = F.regexp_replace(m, rf"^{_ASSIGNED}", "")
+        token = F.regexp_replace(m, rf"^{_HEAD_OF_MATCH}", "")
         at = F.locate(m, t) if isinstance(m, str) else F.instr(t, m)
         head = F.length(m) - F.length(token)
         first = F.greatest(at - 24, F.lit(1))
         return F.struct(token.alias("token"), (head > 0).alias("assigned"), F.concat(F.substring(t, first, at - first), F.substring(m, F.lit(1), head)).alias("before"), F.substring(t, at + F.length(m), F.lit(12)).alias("after"))
 
-    matches = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))), lambda m: m.rlike(r"[0-9]|^-----BEGIN ") | m.rlike(rf"^{_ASSIGNED}"))
+    matches = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))), lambda m: m.rlike("[A-Za-z0-9]") & ~m.rlike(r"^([A-Za-z])\1*$"))
     rows = docs.select(F.col(key).alias("k"), F.col(path).cast("string").alias("p"), F.col(text).cast("string").alias("t"))
     return rows.select("k", "p", F.explode(F.transform(matches, one)).alias("f")).select(F.col("k").alias(key), F.col("p").alias("path"), "f.*")
 
@@ -77,9 +85,9 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """``found`` with ``label``: 1.0 for an issuer's format or an assigned value of 16 or more hex digits, 0.0 for digits alone or a token of mostly words, else null."""
+    """``found`` with ``label``: 1.0 for an issuer's format or an assigned value of 16 or more hex digits, 0.0 for digits alone, a token of mostly words or unassigned letters written like words, else null."""
     secret = F.col("token").rlike(ISSUED) | (F.col("assigned") & F.col("token").rlike("^[0-9a-fA-F]{16,}$"))
-    plain = F.col("token").rlike("^[0-9-]+$") | (~F.col("assigned") & (F.col("coverage") > 0.5))
+    plain = F.col("token").rlike("^[0-9-]+$") | (~F.col("assigned") & ((F.col("coverage") > 0.5) | ~F.col("token").rlike("[0-9+=]|[a-z][A-Z]|[A-Z]{2}[a-z]|^-----BEGIN ")))
     return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0))
 
 
@@ -122,8 +130,12 @@ def scan(docs: DataFrame, dictionary: DataFrame, labelled: DataFrame | None = No
 
 
 def redact(docs: DataFrame, scanned: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every occurrence of its secrets replaced by ``mark``, the longest first; all columns and rows stay."""
+    """``docs`` with every occurrence of its secrets replaced by ``mark``, the longest first; all columns and rows stay. Secrets under :data:`SHORT` characters are replaced behind a keyword or in a URL only."""
     held = scanned.where("is_secret").groupBy(F.col(key).alias("k_")).agg(F.collect_set("token").alias("s_"))
     held = held.withColumn("s_", F.transform(F.array_sort(F.transform("s_", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"]))
-    new = F.when(F.col("s_").isNull(), F.col(text)).otherwise(F.aggregate("s_", F.col(text), lambda acc, x: F.replace(acc, x, F.lit(mark))))
+    literal = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    behind = lambda x: F.concat(F.lit(f"({_HEAD})"), literal(x), F.lit("(?=[\\s\"',;@]|$)"))
+    shown = "$1" + mark.replace("\\", "\\\\").replace("$", "\\$")
+    hide = lambda acc, x: F.when(F.length(x) < SHORT, F.regexp_replace(acc, behind(x), F.lit(shown))).otherwise(F.replace(acc, x, F.lit(mark)))
+    new = F.when(F.col("s_").isNull(), F.col(text)).otherwise(F.aggregate("s_", F.col(text), hide))
     return docs.join(held, docs[key] == held["k_"], "left").select(*[new.alias(c) if c == text else docs[c] for c in docs.columns])

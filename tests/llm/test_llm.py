@@ -326,6 +326,28 @@ def test_secrets(spark, odd):
     assert secret_scan.redact(odd, secret_scan.scan(odd, words)).count() == odd.count()
 
 
+def test_secrets_of_all_kinds_are_candidates(spark):
+    want = {
+        "DB_PASSWORD=hunter2!x": "hunter2!x",
+        "client_secret: s3cr3t!pw": "s3cr3t!pw",
+        "secret_key=ab12cd34ef": "ab12cd34ef",
+        "conf/AWS_SECRET_ACCESS_KEY = 'wJalr/bPx'": "wJalr/bPx",
+        "access_token=q": "q",
+        '"my-api-key-2": "zz9"': "zz9",
+        "see postgres://bob:p@ss.w@db.example/x": "p@ss.w",
+        "a long QwErTyUiOpAsDf here": "QwErTyUiOpAsDf",
+    }
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(want)], "doc_id long, text string, source string")
+    found = secret_scan.findings(df)
+    got = {(r["doc_id"], r["token"]): r["assigned"] for r in found.collect()}
+    for i, token in enumerate(want.values()):
+        assert got[i, token] == (token != "QwErTyUiOpAsDf")
+    text = "a quick pin=a and token=a, token: a\\Eb; http://bob:a@host/a then ab"
+    one = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    judged = secret_scan.findings(one).withColumn("is_secret", F.lit(True))
+    assert secret_scan.redact(one, judged).first()["text"] == "a quick pin=a and token=[SECRET], token: [SECRET]; http://bob:[SECRET]@host/a then ab"
+
+
 def test_forest_learns_given_labels(spark):
     random.seed(6)
     token = lambda abc, n: "".join(random.choice(abc) for _ in range(n))
