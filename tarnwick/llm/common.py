@@ -1,12 +1,10 @@
-"""What several operators of this subpackage share: cutting lineage, components, hashed words."""
+"""What several operators of this subpackage share: cutting lineage, joins on hot keys, components, hashed words."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _MASK = (1 << 64) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -16,11 +14,11 @@ _BYTE_VALUES = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh temporary one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. An error where that is unset: executors could not see a folder of the driver's own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -31,6 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(key: Column, text: Column) -> Column:
+    """A long for each different pair of key and text, null ones too, whatever stands on the other columns."""
+    return F.xxhash64(key.cast("string"), key.isNull(), text, text.isNull())
+
+
+def join_by_count(left: DataFrame, right: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each of ``keys`` and in ``times`` how many rows of ``left`` hold it.
+
+    Keys of more than a thousandth of all those rows (fewer than a thousand keys, then) are joined by a
+    broadcast, so no task gets all rows of a hot key; the others by a shuffle. ``right`` is read three times.
+    """
+    total = right.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
+    is_hot = F.col(times) * 1000 > total
+    hot = F.broadcast(right.where(is_hot))
+    rest = left.join(F.broadcast(right.where(is_hot).select(*keys)), keys, "left_anti").join(right.where(~is_hot), keys)
+    return left.join(hot, keys).unionByName(rest)
+
+
 #: Links that one task joins by itself.
 FEW_LINKS = 20_000
 
@@ -86,7 +102,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = cut(moved.where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
     if not moves:
         return links.toDF("node", "component")
-    if len(moves) == 1 and left <= FEW_LINKS:
+    if len(moves) == 1 and left:  # all were joined in one task, which names each part by its least node
         return moves[0].toDF("node", "component")
     roots = moves[-1]
     for step in reversed(moves[:-1]):

@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut, grouped
+from .common import components, cut, grouped, join_by_count
 
 #: Vectors of a tile on average, and rows of it that are multiplied at once.
 TILE, ROWS_AT_ONCE = 4096, 512
-#: Most pivots of a label; their angles are kept by tile.
-MOST_PIVOTS = 64
+#: Pivots of a label that are aimed at at most, and vectors that are held against them at once.
+MOST_PIVOTS, HELD = 64, 8192
+#: Tiles of a label that form a strip.
+STRIP = 64
 #: Pairs recomputed at once.
 AT_ONCE = 1 << 15
 
@@ -83,6 +85,51 @@ def _prepared(vectors: DataFrame, id: str, vector: str, label: str) -> DataFrame
     return given.mapInArrow(run, "k bigint, label string, dim int, mark binary, v binary")
 
 
+def _placed(classes: DataFrame, kind: type) -> DataFrame:
+    """``(label, dim, rep, times, v, cell, angles)``: each vector's angles to the pivots of its label, and the nearest one as its cell.
+
+    Pivots are vectors of the label itself by a share of their hash, one for every two tiles or more; a label of
+    few tiles has none and is one cell. They meet the vectors of their label in groups of bounded size.
+    """
+    sizes = cut(classes.groupBy("label", "dim").agg(F.count("*").alias("n")))
+    own = ["label", "dim", "rep", "times", "v"]
+    per_label = F.least(F.lit(MOST_PIVOTS), F.expr(f"n div {2 * TILE}"))
+    if sizes.where(per_label > 1).isEmpty():
+        return classes.select(*own, F.lit(0).alias("cell"), F.array().cast("array<double>").alias("angles"))
+    sized = join_by_count(classes, sizes, ["label", "dim"], "n").withColumn("pivots", per_label).withColumn("salts", F.ceil(F.col("n") / HELD).cast("int"))
+    few = sized.where("pivots <= 1").select(*own, F.lit(0).alias("cell"), F.array().cast("array<double>").alias("angles"))
+    many = sized.where("pivots > 1")
+    level = F.pmod(F.xxhash64("mark"), F.lit(1 << 40)) / (1 << 40)
+    # twice as many as wanted by a share of the hash
+    pivots = many.where(level < 2 * F.col("pivots") / F.col("n")).select("label", "dim", "mark", "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = many.select(*own, F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
+
+    def deal(rows: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(rows):
+            return pa.table({**{c: rows[c] for c in own}, "cell": pa.array([], pa.int32()), "angles": pa.array([], pa.list_(pa.float64()))})
+        held = held.sort_by("mark")
+        x, p = (np.frombuffer(b"".join(t["v"].to_pylist()), kind).astype(float).reshape(len(t), -1) for t in (rows, held))
+        angles = np.zeros((len(rows), 0))
+        if len(p):
+            angles = np.arccos(np.clip(x @ p.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(p, axis=1)), -1, 1))
+        cell = angles.argmin(1) if len(p) else np.zeros(len(rows), int)
+        offsets = np.arange(len(rows) + 1) * angles.shape[1]
+        return pa.table({**{c: rows[c] for c in own}, "cell": pa.array(cell, pa.int32()), "angles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(angles.ravel()))})
+
+    key = ["label", "dim", "salt"]
+    pivots = pivots.toDF(*[f"{c}_" if c in key else c for c in pivots.columns])
+    dealt = salted.groupBy(*key).cogroup(pivots.groupBy(*[f"{c}_" for c in key])).applyInArrow(deal, "label string, dim int, rep bigint, times bigint, v binary, cell int, angles array<double>")
+    return few.unionByName(dealt)
+
+
+def _limits(tile: pa.Table) -> pa.Table:
+    """The least and greatest angle to each pivot over one tile."""
+    angles = tile["angles"].combine_chunks()
+    m = angles.flatten().to_numpy().reshape(len(tile), -1)
+    low, high = (m.min(0), m.max(0)) if m.shape[1] else (m[0], m[0])
+    return pa.table({**{c: tile[c][:1] for c in ("label", "dim", "cell", "part")}, "low": pa.array([low.tolist()], pa.list_(pa.float64())), "high": pa.array([high.tolist()], pa.list_(pa.float64()))})
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row of ``vectors``.
 
@@ -90,45 +137,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id: str = "vec_
     (over 0). ``n_links`` counts the other vectors linked directly, equal ones too; ``component_id`` is the
     smallest id reachable by links, itself included; ``kept`` says that it is the row's own. A vector that is
     null, empty or zero, or holds null or non-finite components, links with nothing, as do vectors of different
-    lengths. Repeated ids count as one vector each row; a null id has no component. Other columns are left out.
+    lengths. Repeated ids count as one vector each row; a null id has no component and is not kept. Other columns are left out.
     """
     kind = _stored(vectors, vector)
     given = cut(_prepared(vectors, id, vector, label))
     group = ["label", "dim", "mark"]
-    classes = given.where("mark is not null and k is not null").groupBy(*group).agg(F.min("k").alias("rep"), F.count("*").alias("times"), F.any_value("v").alias("v"))
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    per_label = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(1), F.expr(f"n div {2 * TILE}")))
-    order = F.xxhash64("mark")
-    level = F.pmod(order, F.lit(1 << 40)) / (1 << 40)
-    # twice as many as wanted by a share of the hash, all of them if that is few
-    pivots = classes.join(sizes, ["label", "dim"]).where((per_label > 1) & (level < 2 * per_label / F.col("n"))).groupBy("label", "dim").agg(F.array_sort(F.collect_list("v")).alias("pivots"))
-    classes = classes.join(pivots, ["label", "dim"], "left")
-
-    def dealt(batches):
-        for batch in batches:
-            cells, angles = [], []
-            for raw, held in zip(batch.column(5), batch.column(6).to_pylist()):
-                if not held:
-                    cells.append(0)
-                    angles.append([])
-                    continue
-                x, p = np.frombuffer(raw.as_buffer(), kind).astype(float), np.stack([np.frombuffer(h, kind).astype(float) for h in held])
-                angle = np.arccos(np.clip(p @ x / (np.linalg.norm(p, axis=1) * np.linalg.norm(x)), -1, 1))
-                cells.append(int(angle.argmin()))
-                angles.append(angle.tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:6], pa.array(cells, pa.int32()), pa.array(angles, pa.list_(pa.float64()))], ["label", "dim", "rep", "times", "v", "cell", "angles"])
-
-    placed = cut(classes.select(*group, "rep", "times", "v", "pivots").mapInArrow(dealt, "label string, dim int, rep bigint, times bigint, v binary, cell int, angles array<double>"))
-    cells = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    tiled = placed.join(cells, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("tile", F.struct("cell", "part"))
-    limits = tiled.select("label", "dim", "tile", F.posexplode_outer("angles").alias("p", "angle")).groupBy("label", "dim", "tile", "p").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
-    tiles = cut(limits.groupBy("label", "dim", "tile").agg(F.array_sort(F.collect_list(F.struct("p", "low", "high"))).alias("limits")))
+    classes = cut(given.where("mark is not null and k is not null").groupBy(*group).agg(F.min("k").alias("least"), F.count("*").alias("times"), F.any_value("v").alias("v")).withColumn("rep", F.xxhash64(*group)))
+    placed = cut(_placed(classes, kind))
+    cells = cut(placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")))
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    tiled = join_by_count(placed, cells, ["label", "dim", "cell"], "n").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    tile = ["label", "dim", "cell", "part"]
+    limits = tiled.select(*tile, "angles").groupBy(*tile).applyInArrow(_limits, "label string, dim int, cell int, part int, low array<double>, high array<double>")
+    tiles = cut(limits.select("label", "dim", F.struct("cell", "part").alias("tile"), "low", "high"))
+    # every tile meets those of its label in strips, so that a label of many tiles is many keys
+    counted = cut(tiles.groupBy("label", "dim").agg(F.count("*").alias("n")))
+    of = join_by_count(tiles, counted, ["label", "dim"], "n").withColumn("strips", F.ceil(F.col("n") / STRIP).cast("int"))
+    ours = of.select("label", "dim", F.pmod(F.xxhash64("tile"), F.col("strips")).cast("int").alias("strip"), F.col("tile").alias("a"), "low", "high")
+    theirs = of.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"), F.col("tile").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     reach = float(np.arccos(threshold)) + 1e-6
-    other = tiles.select("label", "dim", F.col("tile").alias("tile_b"), F.col("limits").alias("limits_b"))
-    gap = lambda x, y: F.coalesce(F.greatest(y["low"] - x["high"], x["low"] - y["high"]) > reach, F.lit(False))
-    pairs = tiles.join(other, ["label", "dim"]).where((F.col("tile") <= F.col("tile_b")) & ~F.exists(F.zip_with("limits", "limits_b", gap), lambda x: x)).select("label", "dim", F.col("tile").alias("a"), F.col("tile_b").alias("b"))
+    gap = F.zip_with(F.zip_with("low_b", "high", lambda x, y: x - y), F.zip_with("low", "high_b", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
+    pairs = ours.join(theirs, ["label", "dim", "strip"]).where((F.col("a") <= F.col("b")) & ~F.exists(gap, lambda x: x > reach)).select("label", "dim", "a", "b")
     ends = pairs.select("label", "dim", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    rows = tiled.select("label", "dim", "tile", "rep", "times", "v").join(ends, ["label", "dim", "tile"]).select("label", "dim", "a", "b", (F.col("tile") == F.col("a")).alias("first"), "rep", "times", "v")
+    rows = tiled.select("label", "dim", F.struct("cell", "part").alias("tile"), "rep", "times", "v").join(ends, ["label", "dim", "tile"]).select("label", "dim", "a", "b", (F.col("tile") == F.col("a")).alias("first"), "rep", "times", "v")
 
     def compare(table: pa.Table) -> pa.Table:
         first = table["first"].to_numpy()
@@ -145,8 +176,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id: str = "vec_
 
     met = cut(rows.groupBy("label", "dim", "a", "b").applyInArrow(compare, "rep bigint, near bigint, to bigint"))
     counts = met.groupBy("rep").agg(F.sum("near").alias("near"))
-    held = components(met.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    named = placed.select("rep", "times").join(counts, "rep", "left").join(held.withColumnRenamed("node", "rep"), "rep", "left").select("rep", (F.coalesce("near", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    marks = given.where("mark is not null and k is not null").groupBy(*group).agg(F.min("k").alias("rep")).join(named, "rep")
-    out = given.select("k", *group).join(marks, group, "left")
-    return out.select(F.col("k").alias(id), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "k").alias("component_id")).withColumn("kept", F.col(id) == F.col("component_id"))
+    held = components(met.select(F.col("rep").alias("a"), F.col("to").alias("b"))).toDF("rep", "node")
+    heads = cut(held.join(classes.select("rep", "least"), "rep").groupBy("node").agg(F.min("least").alias("component"), F.count("*").alias("classes")))
+    linked = join_by_count(held, heads, ["node"], "classes").select("rep", "component")
+    named = classes.select(*group, "rep", "least", "times").join(counts, "rep", "left").join(linked, "rep", "left")
+    marks = cut(named.select(*group, "times", (F.coalesce("near", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "least").alias("component")))
+    known = join_by_count(given.where("mark is not null and k is not null").select("k", *group), marks, group, "times").select("k", "n_links", "component")
+    alone = given.where("mark is null or k is null").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component"))
+    return known.unionByName(alone).select(F.col("k").alias(id), "n_links", F.col("component").alias("component_id")).withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(False)))

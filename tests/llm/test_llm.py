@@ -264,6 +264,38 @@ def test_pivots_lose_no_link(spark, monkeypatch):
     assert [got[i]["n_links"] for i in range(900)] == near.tolist()
 
 
+def test_pivots_of_one_large_label(spark):
+    """Tiles as shipped: 40,000 vectors of one label have pivots; near pairs, and one vector that a third of the rows share."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(20_000, 24))
+    m = np.concatenate([m, m + rng.normal(0, 0.01, m.shape)]).astype(np.float32)
+    m[5:12_000] = m[5]
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicates(frame).toPandas().set_index("vec_id").sort_index()
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    links = np.concatenate([np.count_nonzero(u[a : a + 1000] @ u.T >= 0.98, axis=1) for a in range(0, len(u), 1000)]) - 1
+    assert got["n_links"].tolist() == links.tolist()
+    own = [*range(5), *([5] * 11_995), *range(12_000, 20_000), *range(5), *range(20_005, 32_000), *range(12_000, 20_000)]
+    own[20_005] = 5  # the near twin of the vector that is repeated
+    assert got["component_id"].tolist() == own and (got["kept"] == (got["component_id"] == got.index)).all()
+
+
+@pytest.mark.parametrize("pairs", [20_001])
+def test_many_disjoint_links(spark, pairs):
+    """Over 20,000 links that all go in one round of contraction: the least id of each pair still names it."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(pairs, 16))
+    ids = rng.permutation(2 * pairs)
+    rows = [(int(i), v, k % 12) for k, (i, v) in enumerate(zip(ids, np.concatenate([m, 2 * m]).tolist()))]
+    rows = [(i, v, k % pairs % 12) for k, (i, v, _) in enumerate(rows)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id")["component_id"]
+    assert all(got[ids[k]] == got[ids[k + pairs]] == min(ids[k], ids[k + pairs]) for k in range(pairs))
+    words = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(pairs)]
+    texts = spark.createDataFrame([(int(ids[k]), words[k % pairs] + " end" * (k // pairs)) for k in range(2 * pairs)], "doc_id long, text string")
+    got = minhash.near_duplicates(texts).toPandas().set_index("doc_id")["component_id"]
+    assert all(got[ids[k]] == got[ids[k + pairs]] == min(ids[k], ids[k + pairs]) for k in range(pairs))
+
+
 # 6
 
 
@@ -395,7 +427,7 @@ def test_language_counts_like_brute_force():
 # 9
 
 
-def _brute_groups(texts, percent=85, size=5):
+def _brute_groups(texts, percent=80, size=5):
     sets = {}
     for i, t in texts.items():
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -456,16 +488,62 @@ def test_near_copies_of_odd_rows(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_components(spark, monkeypatch):
+SHAPES = {
+    "stars": [(100 * i + 50, 100 * i + j) for i in range(20) for j in range(30)],
+    "pairs": [(2 * i + 1, 2 * i) for i in range(400)],
+    "cliques": [(10 * i + j, 10 * i + k) for i in range(30) for j in range(6) for k in range(j)],
+    "chain": [(i, i + 1) for i in range(300)],
+    "mixed": [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (None, 7)],
+}
+
+
+@pytest.mark.parametrize("few", [3, 20_000])
+@pytest.mark.parametrize("shape", SHAPES)
+def test_components(spark, monkeypatch, shape, few):
     from tarnwick.llm import common
 
-    monkeypatch.setattr(common, "FEW_LINKS", 3)
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (None, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+    monkeypatch.setattr(common, "FEW_LINKS", few)
+    links = defaultdict(set)
+    for a, b in SHAPES[shape]:
+        if a is not None and a != b:
+            links[a].add(b)
+            links[b].add(a)
+    want = {}
+    for i in sorted(links):
+        todo = [] if i in want else [i]
+        while todo:
+            node = todo.pop()
+            if node not in want:
+                want[node] = i
+                todo += links[node]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(SHAPES[shape], "a long, b long")).collect()}
+    assert got == want
+
+
+def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_keys_are_joined_whole(spark):
+    from tarnwick.llm.common import join_by_count
+
+    left = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(3000)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("times")).withColumn("w", F.col("k") + 1)
+    got = join_by_count(left, right, ["k"], "times")
+    assert got.count() == 3000 and got.where("w <> k + 1").count() == 0 and join_by_count(left.limit(0), right.limit(0), ["k"], "times").count() == 0
+
+
+def test_texts_under_one_key_and_without_key(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (1, two), (2, one), (3, two + " end"), (None, one), (None, "all by itself here now"), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, r string, k long")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, False), (4, 4, True), (4, 4, True), (5, 5, True)], key=str)
+    left = minhash.without_copies(df)
+    assert left.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, one), (1, two), (None, "all by itself here now"), (4, None), (5, "")], key=str)
+
+
 # 10
 
 
@@ -507,7 +585,7 @@ def test_pipeline(spark, docs):
     ids = {r["doc_id"] for r in known.collect()}
     wordless = {i for i, t in texts.items() if not any(c.isalpha() for c in t or "")}
     assert not ids & wordless and len(set(texts) - ids - wordless) <= 0.01 * len(texts) + 1
-    groups = _brute_groups({i: texts[i] for i in ids})
+    groups = _brute_groups({i: texts[i] for i in ids}, 80)
     kept = corpus_pipeline.drop_near_copies(spark, known, SF)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, g in groups.items() if g[2]} and kept.columns == docs.columns
     clean = corpus_pipeline.drop_contaminated(spark, kept, SF)
