@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, slices, span_hashes, spans, utf8
+from .common import cut, mix, slices, span_hashes, spans, utf8
 
 #: Points for a match, a mismatch and a gap; the bounds of :class:`Items` hold for these.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -206,34 +206,39 @@ def _windows(items: Items, first: np.ndarray, at: np.ndarray, text: np.ndarray,
     return list(zip(item[begin].tolist(), text[begin].tolist(), low[begin].tolist(), high[end].tolist()))
 
 
-def _matched(docs: DataFrame, items: Items, least: float, kinds: tuple[str, str]) -> DataFrame:
+def _found(items: Items, texts: pa.Array, least: float, places: bool = True):
+    """``(text, item, score, first word, end word, first byte, end byte)`` of every alignment of ``least`` or more in an Arrow array of texts; without ``places`` only text and item, once for a part of a text."""
     sizes = np.array([len(w) for w in items.words], np.int64)
+    hashes, first, starts, ends, offsets = words(texts)
+    gram, at, row = pairs(hashes, first, items.single)
+    place, seed = items.hits(gram)
+    windows = _windows(items, first, at[place], row[place], seed)
+    while windows:
+        windows.sort(key=lambda w: w[3] - w[2])
+        left = []
+        for a, b in slices(np.array([sizes[w[0]] * (w[3] - w[2] + 1) for w in windows]), CELLS):
+            part = windows[a:b]
+            need = [items.words[w[0]] for w in part]
+            have = [hashes[w[2] : w[3]] for w in part]
+            points, end_a, end_b = align(need, have)
+            good = [k for k in range(len(part)) if points[k] >= least * MATCH * len(need[k]) - 1e-9]
+            if not places:
+                yield from ((part[k][1], part[k][0]) for k in good)
+                continue
+            _, back_a, back_b = align([need[k][: end_a[k] + 1][::-1] for k in good], [have[k][: end_b[k] + 1][::-1] for k in good])
+            for g, k in enumerate(good):
+                i, t, s, e = part[k]
+                last, start = s + int(end_b[k]), s + int(end_b[k]) - int(back_b[g])
+                yield t, i, float(points[k]) / (MATCH * len(need[k])), start - int(first[t]), last - int(first[t]) + 1, int(starts[start] - offsets[t]), int(ends[last] - offsets[t])
+                # other copies beside this one
+                left += [(i, t, x, y) for x, y in ((s, start), (last + 1, e)) if y - x >= least * len(need[k])]
+        windows = left
+
 
+def _matched(docs: DataFrame, items: Items, least: float, kinds: tuple[str, str]) -> DataFrame:
     def run(batches):
         for keys, texts in _steps(batches):
-            hashes, first, starts, ends, offsets = words(texts)
-            gram, at, row = pairs(hashes, first, items.single)
-            place, seed = items.hits(gram)
-            out = []
-            windows = _windows(items, first, at[place], row[place], seed)
-            while windows:
-                windows.sort(key=lambda w: w[3] - w[2])
-                left = []
-                for a, b in slices(np.array([sizes[w[0]] * (w[3] - w[2] + 1) for w in windows]), CELLS):
-                    part = windows[a:b]
-                    need = [items.words[w[0]] for w in part]
-                    have = [hashes[w[2] : w[3]] for w in part]
-                    points, end_a, end_b = align(need, have)
-                    good = [k for k in range(len(part)) if points[k] >= least * MATCH * len(need[k]) - 1e-9]
-                    _, back_a, back_b = align([need[k][: end_a[k] + 1][::-1] for k in good], [have[k][: end_b[k] + 1][::-1] for k in good])
-                    for g, k in enumerate(good):
-                        i, t, s, e = part[k]
-                        last, start = s + int(end_b[k]), s + int(end_b[k]) - int(back_b[g])
-                        out.append((t, i, float(points[k]) / (MATCH * len(need[k])), start - int(first[t]), last - int(first[t]) + 1, int(starts[start] - offsets[t]), int(ends[last] - offsets[t])))
-                        # other copies beside this one
-                        left += [(i, t, x, y) for x, y in ((s, start), (last + 1, e)) if y - x >= least * len(need[k])]
-                windows = left
-            out.sort()
+            out = sorted(_found(items, texts, least))
             if out:
                 t, i, score, w0, w1, b0, b1 = zip(*out)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(t)), pa.array([items.ids[x] for x in i]), pa.array(score), *(pa.array(x, pa.int64()) for x in (w0, w1, b0, b1))], ["k", "item", "score", "first_word", "end_word", "first_byte", "end_byte"])
@@ -241,39 +246,61 @@ def _matched(docs: DataFrame, items: Items, least: float, kinds: tuple[str, str]
     return docs.mapInArrow(run, f"k {kinds[0]}, item {kinds[1]}, score double, first_word bigint, end_word bigint, first_byte bigint, end_byte bigint")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """``(key, item, score, first_word, end_word, first_byte, end_byte)``: where a text of ``docs`` holds a copy of a test item, edited or in part, with a score of ``least`` or more (1: word for word).
-
-    Bytes are those of the lower-cased text. A text may match an item in several places, and several items.
-    No such alignment is lost, so an item of one or two words matches every text that holds one of its words if
-    ``least`` is 0.5. Null or wordless texts and items match nothing; repeated rows each match; other columns are left out. The
-    benchmark is read to the driver in blocks of about a million words, each of which goes over all texts.
-    """
-    given = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    kinds = (docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
-    test = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("t")).where("t is not null")
-    out = given.sparkSession.createDataFrame([], f"k {kinds[0]}, item {kinds[1]}, score double, first_word bigint, end_word bigint, first_byte bigint, end_byte bigint")
+def _blocks(given: DataFrame, benchmark: DataFrame, least: float, item: str, text: str):
+    """The benchmark as :class:`Items` with seeds by their rarity in ``given(k, t)``, a block of about :data:`BLOCK_WORDS` words at a time."""
     ids: list = []
     texts: list[str] = []
     held = 0
-
-    def block():
-        items = Items(ids, texts, least)
-        return _matched(given, items.rare(_counted(given, items)), least, kinds)
-
+    test = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("t")).where("t is not null")
     for row in test.orderBy("item").toLocalIterator():
         ids.append(row["item"])
         texts.append(row["t"])
         held += row["t"].count(" ") + 1
         if held >= BLOCK_WORDS:
-            out = out.union(block())
+            items = Items(ids, texts, least)
+            yield items.rare(_counted(given, items))
             ids, texts, held = [], [], 0
     if ids:
-        out = out.union(block())
+        items = Items(ids, texts, least)
+        yield items.rare(_counted(given, items))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """``(key, item, score, first_word, end_word, first_byte, end_byte)``: where a text of ``docs`` holds a copy of a test item, edited or in part, with a score of ``least`` or more (1: word for word).
+
+    Bytes are those of the lower-cased text. A text may match an item in several places, and several items.
+    No such alignment is lost, so an item of one or two words matches every text that holds one of its words if
+    ``least`` is 0.5. Null or wordless texts and items match nothing; repeated rows each match, and so do rows
+    with a null key; texts of any length are aligned whole around their seeds; other columns are left out. The
+    benchmark is read to the driver in blocks of about a million words, each of which goes twice over all texts.
+    """
+    given = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    kinds = (docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
+    out = given.sparkSession.createDataFrame([], f"k {kinds[0]}, item {kinds[1]}, score double, first_word bigint, end_word bigint, first_byte bigint, end_byte bigint")
+    for items in _blocks(given, benchmark, least, item, text):
+        out = out.union(_matched(given, items, least, kinds))
     return out.toDF(key, item, "score", "first_word", "end_word", "first_byte", "end_byte")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that match no test item, with all their columns. Rows with a null key stay."""
-    hit = matches(docs, benchmark, least, key).select(F.col(key)).distinct()
-    return docs.join(hit, key, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, item: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that match no test item, with all their columns.
+
+    Each row is judged by its own text where it stands, so null and repeated keys make no difference and nothing
+    is shuffled. Null and wordless texts stay. Rows that a block of the benchmark has left go on to the next
+    through the shared folder.
+    """
+    given = docs.select(F.lit(None).cast("string").alias("k"), F.col(text).cast("string").alias("t"))
+    schema, at = docs.schema, docs.columns.index(text)
+    for number, items in enumerate(_blocks(given, benchmark, least, item, text)):
+
+        def run(batches, items=items):
+            for batch in batches:
+                texts = batch.column(at).cast(pa.string())
+                hit = np.zeros(len(batch), bool)
+                for a, b in slices(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)), STEP_BYTES):
+                    for t, _ in _found(items, texts.slice(a, b - a), least, places=False):
+                        hit[a + t] = True
+                yield batch.filter(pa.array(~hit)) if hit.any() else batch
+
+        docs = (cut(docs) if number else docs).mapInArrow(run, schema)
+    return docs

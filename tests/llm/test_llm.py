@@ -221,6 +221,45 @@ def test_seeds_lose_no_alignment(spark, exact):
     assert sum(r["doc_id"] == len(texts) - 1 for r in rows) == 2
 
 
+def test_copies_in_parts_are_found(spark):
+    """Three parts of an item with 24 other words between each two: 0.60 by plain Smith-Waterman."""
+    item = [f"w{i}" for i in range(60)]
+    other = lambda a: [f"x{a}y{i}" for i in range(24)]
+    text = [f"f{i}" for i in range(90)] + item[:20] + other(1) + item[20:40] + other(2) + item[40:] + [f"g{i}" for i in range(50)]
+    df = spark.createDataFrame([(1, " ".join(text)), (None, " ".join(text)), (None, "no copy"), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontamination.matches(df, bench).collect()
+    assert [r["score"] for r in got] == [_best_alignment(item, text)] * 2 and got[0]["score"] == pytest.approx(0.6)
+    assert [tuple(r) for r in decontamination.clean(df, bench).collect()] == [(None, "no copy"), (None, None)]
+
+
+def test_paraphrases_are_found(spark):
+    """Items of 15 to 60 words with a fifth of the words replaced, a twentieth left out and a twentieth put in: at least nine of ten are found, and no other text."""
+    random.seed(12)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    items = [random.sample(vocabulary, random.randint(15, 60)) for _ in range(150)]
+    texts = []
+    for words in items:
+        t = [random.choice(vocabulary) if random.random() < 0.2 else w for w in words if random.random() > 0.05]
+        t = [x for w in t for x in ((w, random.choice(vocabulary)) if random.random() < 0.05 else (w,))]
+        texts.append(random.choices(vocabulary, k=200) + t + random.choices(vocabulary, k=200))
+    texts += [random.choices(vocabulary, k=400) for _ in range(150)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(df, bench).collect()}
+    assert all(d == i for d, i in got)
+    assert len(got) >= 0.9 * len(items)
+
+
+def test_blocks_of_items_are_all_held_against_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 20)
+    items = [[f"i{k}w{j}" for j in range(15)] for k in range(5)]
+    df = spark.createDataFrame([(k, "so " * 9 + " ".join(t) + " it is" * 4000) for k, t in enumerate(items)] + [(9, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.matches(df, bench).collect()) == [(k, k) for k in range(5)]
+    assert [r["doc_id"] for r in decontamination.clean(df, bench).collect()] == [9]
+
+
 # 5
 
 
