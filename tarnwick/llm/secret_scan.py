@@ -2,7 +2,8 @@
 
 All on the main path are DataFrame functions and Spark ML. A candidate's features are its length, shares and
 transitions of character classes, dictionary coverage, its text's path and the words next to it; the forest
-is trained from labelled findings, on a hashed sample whose expected size is a parameter.
+is trained from labelled findings, on a hashed sample whose expected size is a parameter. Where nobody has
+labelled any, :func:`planted` makes some whose labels are known by how they were made, not by how they look.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import cut, row_key
+
 #: Words before a value that is to be kept secret.
 _KEYWORD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
 _RUN = r"A-Za-z0-9+/_-"
@@ -21,39 +24,45 @@ _ASSIGNED = rf"(?<![{_RUN}])(?=[{_RUN}]*+[\"']?\s{{0,3}}[:=])[{_RUN}]*(?i:{_KEYW
 _LOGIN = r"//[^\s/:@?#\"']*:(?=[^\s/?#\"']+@)"
 _HEAD = rf"(?:{_LOGIN}|{_ASSIGNED})"
 _HEAD_OF_MATCH = rf"(?:{_LOGIN.split('(?=')[0]}|{_ASSIGNED})"
-#: A URL's password, an assigned value, the head of a private key, or a run of 12 or more letters, digits and joining signs.
-CANDIDATE = rf"{_LOGIN}[^\s/?#\"']+(?=@)|{_ASSIGNED}[^\s\"',;]+|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|[{_RUN}]{{12,}}={{0,2}}"
+_KEY_END = r"(?:[A-Za-z0-9+/=\s:,.\\]*+(?:-(?!----END)[A-Za-z0-9+/=\s:,.\\]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?+"
+#: A URL's password, an assigned value, a private key (its head if it has no end), or a run of 12 or more letters, digits and joining signs.
+CANDIDATE = rf"{_LOGIN}[^\s/?#\"']+(?=@)|{_ASSIGNED}[^\s\"',;]+|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----{_KEY_END}|[{_RUN}]{{12,}}={{0,2}}"
 #: Secrets of fewer characters are replaced only behind their name or user, as they may be parts of other words.
 SHORT = 6
-#: Fixed formats of some issuers' keys, for weak labels.
-ISSUED = r"^(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)$"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _ALL = _LOWER.upper() + _LOWER + "0123456789"
-FEATURES = ["length", "transitions", "digits", "uppers", "vowels", "alternations", "distinct", "hex", "coverage", "assigned", "keyword_near", "quoted", "plain_path", "test_path"]
+FEATURES = ["length", "transitions", "digits", "uppers", "vowels", "alternations", "distinct", "hex", "coverage", "assigned_", "keyword_near", "quoted", "words_before", "words_after", "path_depth", "code_path", "test_path"]
+_CUT = "\u0001"
 
 
 def findings(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
-    """``(key, path, token, assigned, before, after)``: the distinct candidates of every whole text.
+    """``(row, key, path, token, assigned, before, after)``: the candidates of every whole text, each with the up to 24 characters before and 12 after it; equal ones of a text once.
 
-    Assigned values and URLs' passwords of any length, private key heads, and runs with a letter or digit that are not one letter repeated. ``before`` and ``after`` are the up to 24
-    and 12 characters next to its first occurrence. A null or empty text has none; a null path stays null.
+    Assigned values and URLs' passwords of any length, private keys, and runs with a letter or digit that are
+    not one letter repeated. ``row`` stands for the pair of key and text, null ones too. A null or empty text
+    has none; a null path stays null.
     """
-    t = F.col("t")
+    parts = F.col("parts")
+    # odd places hold candidates, even ones what stands between them
+    rows = docs.select(F.col(key).alias("k"), F.col(path).cast("string").alias("p"), F.col(text).cast("string").alias("t"))
+    rows = rows.select(row_key(F.col("k"), F.col("t")).alias("row"), "k", "p", F.split(F.regexp_replace(F.translate("t", _CUT, " "), CANDIDATE, f"{_CUT}$0{_CUT}"), _CUT).alias("parts"))
 
-    def one(m: Column) -> Column:
+    def one(i: Column) -> Column:
+        m = parts[2 * i + 1]
         token = F.regexp_replace(m, rf"^{_HEAD_OF_MATCH}", "")
-        at = F.locate(m, t) if isinstance(m, str) else F.instr(t, m)
         head = F.length(m) - F.length(token)
-        first = F.greatest(at - 24, F.lit(1))
-        return F.struct(token.alias("token"), (head > 0).alias("assigned"), F.concat(F.substring(t, first, at - first), F.substring(m, F.lit(1), head)).alias("before"), F.substring(t, at + F.length(m), F.lit(12)).alias("after"))
+        before = F.concat(F.when(i > 0, F.right(parts[F.greatest(2 * i - 1, F.lit(0))], F.lit(24))).otherwise(F.lit("")), F.right(parts[2 * i], F.lit(24)))
+        after = F.concat(F.left(parts[2 * i + 2], F.lit(12)), F.when(2 * i + 3 < F.size(parts), F.left(parts[F.least(2 * i + 3, F.size(parts) - 1)], F.lit(12))).otherwise(F.lit("")))
+        return F.struct(token.alias("token"), (head > 0).alias("assigned"), F.concat(F.right(before, F.lit(24)), F.substring(m, F.lit(1), head)).alias("before"), F.left(after, F.lit(12)).alias("after"))
 
-    matches = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))), lambda m: m.rlike("[A-Za-z0-9]") & ~m.rlike(r"^([A-Za-z])\1*$"))
-    rows = docs.select(F.col(key).alias("k"), F.col(path).cast("string").alias("p"), F.col(text).cast("string").alias("t"))
-    return rows.select("k", "p", F.explode(F.transform(matches, one)).alias("f")).select(F.col("k").alias(key), F.col("p").alias("path"), "f.*")
+    places = F.filter(F.sequence(F.lit(0), F.expr("size(parts) div 2 - 1")), lambda i: parts[2 * i + 1].rlike("[A-Za-z0-9]") & ~parts[2 * i + 1].rlike(r"^([A-Za-z])\1*$"))
+    # outer, since a filter on the array would be pushed below it and search the text again
+    found = rows.select("row", "k", "p", F.explode_outer(F.when(F.size(parts) > 1, F.array_distinct(F.transform(places, one)))).alias("f")).where("f is not null")
+    return found.select("row", F.col("k").alias(key), F.col("p").alias("path"), "f.*")
 
 
 def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``found`` with a column for each of :data:`FEATURES`. ``dictionary`` has ``(word)``; coverage is the share of a token's characters in runs of three or more letters that are words."""
+    """``found`` with a column for each of :data:`FEATURES`; it is read twice. ``dictionary`` has ``(word)``; coverage is the share of a token's characters in runs of three or more letters that are words."""
     token = F.col("token")
     runs = found.select("token").distinct().select("token", F.explode(F.regexp_extract_all(F.lower("token"), F.lit("([a-z]{3,})"), F.lit(1))).alias("word"))
     words = dictionary.select(F.lower("word").alias("word")).where("word is not null").distinct()
@@ -79,20 +88,52 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         flag(F.col("assigned")).alias("assigned_"),
         flag(F.col("before").rlike(rf"(?i){_KEYWORD}")).alias("keyword_near"),
         flag(F.col("before").rlike("[\"']$")).alias("quoted"),
-        flag(~F.col("path").rlike(r"[./]")).alias("plain_path"),
+        F.regexp_count("before", F.lit(r"\p{L}{2,}")).alias("words_before"),
+        F.regexp_count("after", F.lit(r"\p{L}{2,}")).alias("words_after"),
+        F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)).alias("path_depth"),
+        flag(F.col("path").rlike(r"(?i)\.(?:env|ya?ml|json|toml|ini|cfg|conf|properties|py|js|ts|java|go|rb|sh|tf)$")).alias("code_path"),
         flag(F.col("path").rlike("(?i)test|example|sample|fixture|mock")).alias("test_path"),
     )
 
 
-def weak_labels(found: DataFrame) -> DataFrame:
-    """``found`` with ``label``: 1.0 for an issuer's format or an assigned value of 16 or more hex digits, 0.0 for digits alone, a token of mostly words or unassigned letters written like words, else null."""
-    secret = F.col("token").rlike(ISSUED) | (F.col("assigned") & F.col("token").rlike("^[0-9a-fA-F]{16,}$"))
-    plain = F.col("token").rlike("^[0-9-]+$") | (~F.col("assigned") & ((F.col("coverage") > 0.5) | ~F.col("token").rlike("[0-9+=]|[a-z][A-Z]|[A-Z]{2}[a-z]|^-----BEGIN ")))
-    return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0))
+def planted(docs: DataFrame, sample: int = 8000, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
+    """``(key, text, path, value, label)``: about ``sample`` pieces of texts of ``docs``, chosen by a hash, each with one value put into it whose label is known. A text gives several if there are few, 64 at most.
+
+    Half the values are secrets (label 1.0): digits of a hash in hexadecimal, base64 or capitals, with and without
+    an issuer's beginning, or short with signs. The others (0.0) are words and pairs of words of the text itself,
+    numbers, dates, versions, paths, and what people write in place of a secret. Both stand in the same
+    surroundings, in prose and behind names, so that these do not tell them apart. Null texts are left out.
+    """
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(path).cast("string").alias("p"), F.col(text).cast("string").alias("t")).where("t is not null")
+    n = rows.count()
+    pick = lambda salt, m: F.pmod(F.xxhash64("k", "t", "i", F.lit(salt)), F.lit(m)).cast("int")
+    times = min(64, -(-sample // max(n, 1)))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(times)))).where(F.pmod(F.xxhash64("k", "t", "i", F.lit("sample")), F.lit(1 << 40)) / (1 << 40) < min(1.0, sample / max(n * times, 1)))
+    hexa = F.sha2(F.concat_ws(" ", "k", "i", "t"), 512)
+    b64 = F.base64(F.unhex("h"))
+    letters = F.regexp_replace(b64, "[+/=]", "")
+    capitals = F.translate(F.upper("h"), "01", "GH")
+    word = lambda i: F.coalesce(F.get("w", pick(i, 1 << 20) % F.greatest(F.size("w"), F.lit(1))), F.lit("value"))
+    number = F.conv(F.substring("h", 1, 13), 16, 10)
+    secrets = [F.substring("h", 1, 32), F.substring("h", 1, 40), F.substring("h", 1, 64), F.left(b64, F.lit(40)), F.left(letters, F.lit(24)), F.concat(F.lit("AKIA"), F.left(capitals, F.lit(16))), F.concat(F.lit("ghp_"), F.left(letters, F.lit(36))), F.concat(F.left(letters, F.lit(6)), F.lit("!"), F.substring(letters, 9, 4))]
+    plain = [word("a"), F.concat(word("a"), F.lit("-"), word("b")), F.concat(word("a"), F.lit("_"), word("b"), F.lit("_"), word("c")), F.concat(word("a"), F.initcap(word("b")), F.initcap(word("c"))), F.lpad(number, 16, "4"), F.concat(F.lit("20"), F.substring(number, 1, 2), F.lit("-0"), F.substring(number, 3, 1), F.lit("-1"), F.substring(number, 4, 1)), F.concat(F.lit("/usr/share/"), word("a"), F.lit("/"), word("b")), F.element_at(F.array(*map(F.lit, ("changeme", "your_token_here", "placeholder", "REPLACE_ME", "xxxxxxxxxxxx", "not-available", "undefined", "required"))), pick("p", 8) + 1)]
+    around = [("password=", ""), ("token = \"", "\""), ("api_key: ", ","), ("AWS_SECRET_ACCESS_KEY=", ""), ("see https://user:", "@host.example/"), ("", ""), ("(", ")"), ("id ", ".")]
+    choose = lambda values, salt: F.element_at(F.array(*values), pick(salt, len(values)) + 1)
+    at = 1 + pick("at", 1 << 30) % F.greatest(F.length("t") - 100, F.lit(1))
+    made = rows.select("k", "t", "i", "p", F.substring("t", at, F.lit(60)).alias("left"), F.substring("t", at + 60, F.lit(40)).alias("right"), hexa.alias("h"), F.regexp_extract_all(F.substring("t", at, F.lit(400)), F.lit(r"(\p{L}{3,})"), F.lit(1)).alias("w"))
+    made = made.select("k", "p", "left", "right", pick("label", 2).cast("double").alias("label"), F.when(pick("label", 2) == 1, choose(secrets, "kind")).otherwise(choose(plain, "kind")).alias("value"), choose([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in around], "around").alias("x"))
+    return made.select(F.col("k").alias(key), F.concat("left", F.lit(" "), "x.a", "value", "x.b", F.lit(" "), "right").alias("text"), F.col("p").alias("path"), "value", "label")
+
+
+def labelled(docs: DataFrame, dictionary: DataFrame, sample: int = 8000, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
+    """Findings with :data:`FEATURES` and ``label`` in the texts of :func:`planted`; those that are not the value put in have no label and are left out."""
+    made = cut(planted(docs, sample, text, path, key))
+    found = findings(made.withColumn("k_", F.struct("value", "label")), "text", "path", "k_")
+    return features(cut(found.select("path", "token", "assigned", "before", "after", "k_.value", "k_.label").where(F.col("token") == F.col("value"))), dictionary)
 
 
 def _vector() -> VectorAssembler:
-    return VectorAssembler(inputCols=[f"{c}_" if c == "assigned" else c for c in FEATURES], outputCol="features", handleInvalid="keep")
+    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
 
 
 def train(labelled: DataFrame, sample: int = 20_000, trees: int = 30, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel | float | None:
@@ -116,26 +157,29 @@ def judge(found: DataFrame, model: RandomForestClassificationModel | float | Non
     return scored.withColumn("is_secret", F.coalesce(F.col("score") >= least, F.lit(True)))
 
 
-def scan(docs: DataFrame, dictionary: DataFrame, labelled: DataFrame | None = None, text: str = "text", path: str = "source", key: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """``(key, path, token, assigned, before, after, score, is_secret)`` for the distinct candidates of every text.
+def scan(docs: DataFrame, dictionary: DataFrame, known: DataFrame | None = None, text: str = "text", path: str = "source", key: str = "doc_id", least: float = 0.5) -> DataFrame:
+    """``(row, key, path, token, assigned, before, after, score, is_secret)`` for the candidates of every text, as :func:`findings` gives them.
 
-    ``labelled`` holds findings with features and ``label``; without it :func:`weak_labels` of the scan's own are
-    used. Repeated rows give repeated findings; other columns are left out. No texts: no rows.
+    ``known`` holds findings with features and ``label``; without it those of :func:`labelled` are used. Texts
+    are searched once, whole and however long. Repeated rows give repeated findings; other columns are left
+    out. No texts: no rows.
     """
-    from .common import cut
-
-    found = cut(features(findings(docs, text, path, key), dictionary))
-    model = train(weak_labels(found) if labelled is None else labelled)
-    return judge(found, model, least).select(key, "path", "token", "assigned", "before", "after", "score", "is_secret")
+    found = features(cut(findings(docs, text, path, key)), dictionary)
+    model = train(labelled(docs, dictionary, text=text, path=path, key=key) if known is None else known)
+    return judge(found, model, least).select("row", key, "path", "token", "assigned", "before", "after", "score", "is_secret")
 
 
 def redact(docs: DataFrame, scanned: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every occurrence of its secrets replaced by ``mark``, the longest first; all columns and rows stay. Secrets under :data:`SHORT` characters are replaced behind a keyword or in a URL only."""
-    held = scanned.where("is_secret").groupBy(F.col(key).alias("k_")).agg(F.collect_set("token").alias("s_"))
+    """``docs`` with every occurrence of its secrets replaced by ``mark``, the longest first; all columns and rows stay. Secrets under :data:`SHORT` characters are replaced behind a keyword or in a URL only.
+
+    Findings belong to a row by its key and text together, so null and repeated keys are redacted too.
+    """
+    held = scanned.where("is_secret").groupBy(F.col("row").alias("k_")).agg(F.collect_set("token").alias("s_"))
     held = held.withColumn("s_", F.transform(F.array_sort(F.transform("s_", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"]))
     literal = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     behind = lambda x: F.concat(F.lit(f"({_HEAD})"), literal(x), F.lit("(?=[\\s\"',;@]|$)"))
     shown = "$1" + mark.replace("\\", "\\\\").replace("$", "\\$")
     hide = lambda acc, x: F.when(F.length(x) < SHORT, F.regexp_replace(acc, behind(x), F.lit(shown))).otherwise(F.replace(acc, x, F.lit(mark)))
+    rows = docs.withColumn("row__", row_key(F.col(key), F.col(text).cast("string")))
     new = F.when(F.col("s_").isNull(), F.col(text)).otherwise(F.aggregate("s_", F.col(text), hide))
-    return docs.join(held, docs[key] == held["k_"], "left").select(*[new.alias(c) if c == text else docs[c] for c in docs.columns])
+    return rows.join(held, rows["row__"] == held["k_"], "left").select(*[new.alias(c) if c == text else rows[c] for c in docs.columns])
