@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding by a rank file.
 
 Whole pre-tokens are looked up in a minimal perfect hash over the vocabulary; those that are not in it are
-merged by a heap over linked bytes. Everything runs per Arrow batch inside the tasks, in slices of bounded
-bytes; the vocabulary (a fixed file of some 50,000 tokens) is the only thing sent to the executors.
+merged by a heap over linked bytes. Each different pre-token goes through this once, as long as a worker
+remembers it. Everything runs per Arrow batch inside the tasks, in slices of bounded bytes; the vocabulary (a
+fixed file of some 50,000 tokens) is the only thing sent to the executors.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from array import array
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,22 @@ from .common import mix, slices, span_hashes
 
 #: Bytes of text that one step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
-#: Merged pre-tokens (of 64 bytes at most) that a Python worker remembers for a vocabulary before it starts anew.
-MEMO = 150_000
-_memos: dict[int, dict[bytes, bytes]] = {}
+#: Pre-tokens whose ids a Python worker remembers for a vocabulary before it starts anew.
+MEMO = 300_000
+_memos: dict[int, "Memo"] = {}
+
+
+class Memo:
+    """Pre-tokens by number, and the ids of all of them end to end."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.first, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
 
 
 class PerfectHash:
@@ -146,28 +160,18 @@ class Encoder:
         missing = np.flatnonzero(~known)
         if not len(missing):
             return ids, counts
-        memo = _memos.setdefault(self.mark, {})
-        if len(memo) + len(missing) > MEMO:
-            memo.clear()
-        merged = []
-        for piece in pieces.take(pa.array(missing)).to_pylist():
-            got = memo.get(piece)
-            if got is None:
-                got = array("i", heap_merge(piece, self.ranks)).tobytes()
-                if len(piece) <= 64:
-                    memo[piece] = got
-            merged.append(got)
-        own = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
+        merged = [heap_merge(piece, self.ranks) for piece in pieces.take(pa.array(missing)).to_pylist()]
+        own = np.fromiter(map(len, merged), np.int64, len(merged))
         counts[missing] = own
         out = np.empty(int(counts.sum()), np.int32)
         first = np.cumsum(counts) - counts
         out[first[known]] = ids[known]
-        flat = np.frombuffer(b"".join(merged), np.int32)
+        flat = np.fromiter(itertools.chain.from_iterable(merged), np.int32, int(own.sum()))
         out[np.repeat(first[missing] - (np.cumsum(own) - own), own) + np.arange(len(flat))] = flat
         return out, counts
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all the texts, end to end, and the offsets of each text's ids."""
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of all the texts, end to end, and where each text's begin and end."""
         if self.find is None:
             import regex
 
@@ -177,16 +181,35 @@ class Encoder:
         for text in texts:
             flat += self.find(text)
             upto.append(len(flat))
+        return flat, np.array(upto)
+
+    def _numbers(self, flat: list[str]) -> tuple["Memo", np.ndarray]:
+        """The number of each pre-token in this worker's memory, which now holds them all."""
+        memo = _memos.get(self.mark)
+        if memo is None or len(memo.number) > MEMO:
+            memo = _memos[self.mark] = Memo()
+        new = list(set(flat).difference(memo.number))
+        if new:
+            memo.add(new, *self._ids(pa.array(new, pa.large_string()).cast(pa.large_binary())))
+        return memo, np.fromiter(map(memo.number.__getitem__, flat), np.int64, len(flat))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the texts, end to end, and the offsets of each text's ids."""
+        flat, upto = self.split(texts)
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        coded = pa.array(flat, pa.string()).dictionary_encode()
-        ids, counts = self._ids(coded.dictionary.cast(pa.large_string()).cast(pa.large_binary()))
-        codes = coded.indices.to_numpy()
-        first = np.cumsum(counts) - counts
-        each = counts[codes]
+        memo, codes = self._numbers(flat)
+        each = memo.counts[codes]
         ends = np.cumsum(each)
-        out = ids[np.repeat(first[codes] - (ends - each), each) + np.arange(int(ends[-1]))]
-        return out, np.concatenate([[0], ends])[np.array(upto)]
+        out = memo.ids[np.repeat(memo.first[codes] - (ends - each), each) + np.arange(int(ends[-1]))]
+        return out, np.concatenate([[0], ends])[upto]
+
+    def count(self, flat: list[str], upto: np.ndarray) -> np.ndarray:
+        """How many ids each text has, of the pre-tokens that :meth:`split` gives."""
+        if not flat:
+            return np.zeros(len(upto) - 1, np.int64)
+        memo, codes = self._numbers(flat)
+        return np.diff(np.concatenate([[0], np.cumsum(memo.counts[codes])])[upto])
 
     def decode(self, ids: pa.Array, offsets: np.ndarray) -> pa.Array:
         """Bytes of each text: those of its tokens, end to end."""

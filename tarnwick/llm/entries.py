@@ -12,8 +12,8 @@ from .common import checkpoint_dir
 
 #: Fixed by the contract of the URL query: host, path, verdict.
 LISTED = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Counting rules, by tokenizer version: runs of other than white space; runs of letters and digits, or single other signs.
-TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]"}
+#: Tokenizer versions, oldest first: rank files of the public tokenizers.
+TOKENIZERS = ["byte_bpe_50k", "byte_bpe_multi_50k"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,25 +68,26 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents, the second committed twice: all are counted by words-1; those with
-    labels are counted anew by words-2; copies of a text go but for that with the least doc_id."""
-    docs = table(spark, sf_dir, "documents")
-    counted = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("body"), *(F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).alias(f"t{i}") for i, p in enumerate(TOKENIZERS.values())))
+    """Three batches over all documents, the second committed twice: all are counted by the first tokenizer; those
+    with labels are counted anew by the second; copies of a text go but for that with the least doc_id."""
     first, second = TOKENIZERS
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.sha2("text", 256).alias("body"))
     path = f"{checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
-    counted.write.parquet(f"{path}/counted")
+    vocabularies = {name: public_tokenizers.path(f"{name}.tiktoken") for name in TOKENIZERS}
+    token_counts.counted(docs, vocabularies, public_tokenizers.PATTERN).drop("text").write.parquet(f"{path}/counted")
     counted = spark.read.parquet(f"{path}/counted")
-    labelled = counted.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(True).alias("again"))
-    by = lambda rows, name, i: rows.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(f"t{i}").alias("tokens"))
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("again", F.lit(True))
+    by = lambda rows, name: rows.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(name).alias("tokens"))
     rollup = f"{path}/rollup"
-    token_counts.commit(spark, rollup, "1", token_counts.inserts(by(counted, first, 0)))
-    revised = counted.join(labelled.select("doc_id").distinct(), "doc_id", "left_semi")
+    token_counts.commit(spark, rollup, "1", token_counts.inserts(by(counted, first)))
+    revised = counted.join(labelled, "doc_id", "left_semi")
     for _ in range(2):
-        token_counts.commit(spark, rollup, "2", token_counts.revisions(by(revised, first, 0), by(revised, second, 1)))
+        token_counts.commit(spark, rollup, "2", token_counts.revisions(by(revised, first), by(revised, second)))
     least = counted.groupBy("body").agg(F.min("doc_id").alias("least"))
-    copies = counted.join(least, counted["body"].eqNullSafe(least["body"])).where("doc_id > least").join(labelled.distinct(), "doc_id", "left")
-    held = copies.select("source", "lang", F.when(F.col("again"), F.lit(second)).otherwise(F.lit(first)).alias("tokenizer"), F.when(F.col("again"), F.col("t1")).otherwise(F.col("t0")).alias("tokens"))
+    copies = counted.join(least, counted["body"].eqNullSafe(least["body"])).where("doc_id > least").join(labelled, "doc_id", "left")
+    held = copies.select("source", "lang", F.when(F.col("again"), F.lit(second)).otherwise(F.lit(first)).alias("tokenizer"), F.when(F.col("again"), F.col(second)).otherwise(F.col(first)).alias("tokens"))
     token_counts.commit(spark, rollup, "3", token_counts.deletes(held))
+    token_counts.compact(spark, rollup)
     return token_counts.totals(spark, rollup)
 
 
@@ -150,16 +151,5 @@ reach AS (SELECT rep AS node, rep AS seen FROM classes UNION SELECT r.node, l.b
 part AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(p.component, s.doc_id) AS component_id, s.doc_id = coalesce(p.component, s.doc_id) AS kept
 FROM sets s LEFT JOIN classes c ON list_sort(s.s) = c.s LEFT JOIN part p ON p.node = c.rep
-""",
-    "op10_token_rollup": r"""
-WITH counted AS (
-  SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS t0,
-    coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]')), 0) AS t1,
-    min(doc_id) OVER (PARTITION BY text) AS first_id
-  FROM documents),
-kept AS (SELECT *, doc_id IN (SELECT doc_id FROM labels) AS again FROM counted WHERE doc_id = first_id)
-SELECT source, lang, CASE WHEN again THEN 'words-2' ELSE 'words-1' END AS tokenizer, CAST(count(*) AS BIGINT) AS docs,
-  CAST(sum(CASE WHEN again THEN t1 ELSE t0 END) AS BIGINT) AS tokens
-FROM kept GROUP BY 1, 2, 3
 """,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -373,12 +374,55 @@ def test_url_rules_match_like_brute_force(spark):
     for r in mined:
         n = [b for t, b in baskets if set(r["antecedent"]) <= t]
         assert r["confidence"] == pytest.approx(sum(n) / len(n)) and r["confidence"] >= 0.5 and sum(n) / len(n) > base
+    rules = {frozenset(r["antecedent"]) for r in mined}
+    assert not any(a < b for a in rules for b in rules)
+    valid = set()  # rules of one and two tokens by counting
+    for t in {frozenset(c) for basket, b in baskets if b for k in (1, 2) for c in itertools.combinations(basket, k)}:
+        n = [b for basket, b in baskets if t <= basket]
+        if sum(n) / len(baskets) >= 0.05 and sum(n) / len(n) >= 0.5 and sum(n) / len(n) > base:
+            valid.add(t)
+    assert {t for t in valid if not any(u < t for u in valid)} == {t for t in rules if len(t) <= 2}
     sets = spark.createDataFrame([(sorted(t),) for t in {t for _, t in tokens}], "tokens array<string>")
     hit = {frozenset(r["tokens"]): r["n_rules"] for r in urls.match(sets, urls.mine(df, 0.05, 0.5, 1)).collect()}
     want = {t: sum(set(r["antecedent"]) <= t for r in mined) for _, t in tokens}
     assert hit == {t: n for t, n in want.items() if n}
 
 
+def test_long_templated_urls_end(spark):
+    """40 words that all bad rows share, and 40 of which each row lacks one: no explosion of itemsets."""
+    whole = [([f"path=t{i}" for i in range(40)], True)] * 12 + [([f"path=u{i}" for i in range(40) if i != k], True) for k in range(40)]
+    rest = [([f"path=t{i}" for i in range(k % 40)] + [f"path=u{i}" for i in range(40) if (i + k) % 3], False) for k in range(90)]
+    rules = urls.mine(spark.createDataFrame(whole + rest, "tokens array<string>, bad boolean"), 0.002, 0.5, 10).collect()
+    assert rules and len(rules) < 5000
+    for r in rules:
+        n = [b for t, b in whole + rest if set(r["antecedent"]) <= set(t)]
+        assert sum(n) >= 10 and r["confidence"] == pytest.approx(sum(n) / len(n)) and r["confidence"] >= 0.5
+
+
+def test_combinations_are_mined_and_held_out_urls_judged(spark):
+    """Bad are URLs with three tokens together, none of which says much by itself or with one other (and a few others by chance); a quarter is held out."""
+    random.seed(15)
+    rows = []
+    for i in range(4000):
+        parts = [random.choice(["a", "b", "c", "d"]), random.choice(["red", "blue", "green"]), random.choice(["buy", "read", "see"])]
+        bad = parts == ["a", "red", "buy"] or (parts[0] == "d" and random.random() < 0.02)
+        rows.append((i, f"http://h{random.randrange(40)}.test/{'/'.join(parts)}/{i}", bad))
+    frame = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = by_id(urls.judge(frame.where("page_id % 4 = 0"), frame.where("page_id % 4 <> 0"), []), "page_id")
+    said, real = ({i for i, r in got.items() if r["verdict"] == "block"}, {i for i, u, b in rows if i % 4 == 0 and "/a/red/buy/" in u})
+    assert len(said & real) >= 0.9 * len(real) and len(said & real) >= 0.9 * len(said) and len(real) > 20
+
+
+def test_long_lists_are_joined(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").union(spark.createDataFrame([(10**6, None), (10**6 + 1, "no url")], "page_id long, url string"))
+    none = spark.createDataFrame([], "url string, bad boolean")
+    want = sorted(map(tuple, urls.judge(pages, none, entries.LISTED).select("page_id", "host", "path", "rule", "verdict").collect()))
+    monkeypatch.setattr(urls, "MOST_LISTED", 3)
+    assert sorted(map(tuple, urls.judge(pages, none, entries.LISTED).select("page_id", "host", "path", "rule", "verdict").collect())) == want
+    long = entries.LISTED + [(f"h{i}.test", "/", "block") for i in range(5000)]
+    assert sorted(map(tuple, urls.judge(pages, none, long).select("page_id", "host", "path", "rule", "verdict").collect())) == want
+
+
 # 7
 
 
@@ -643,30 +687,86 @@ def test_texts_under_one_key_and_without_key(spark):
 # 10
 
 
+ROLLUP = "source string, lang string, tokenizer string, tokens long"
+
+
+def _totals(spark, path):
+    return sorted((tuple(r) for r in token_counts.totals(spark, path).collect()), key=str)
+
+
 def test_rollup_is_idempotent(spark, tmp_path):
-    schema = "source string, lang string, tokenizer string, tokens long"
-    a = spark.createDataFrame([("s", "en", "v1", 5), ("s", "en", "v1", 7), (None, None, "v1", None)], schema)
-    b = spark.createDataFrame([("s", "en", "v2", 6)], schema)
+    a = spark.createDataFrame([("s", "en", "v1", 5), ("s", "en", "v1", 7), (None, None, "v1", None)], ROLLUP).withColumns({"docs": F.lit("x"), "sign": F.lit(9), "batch": F.lit(1)})
+    b = spark.createDataFrame([("s", "en", "v2", 6)], ROLLUP)
     path = str(tmp_path / "rollup")
-    assert token_counts.totals(spark, path).count() == 0
+    assert _totals(spark, path) == []
     assert token_counts.commit(spark, path, "1", token_counts.inserts(a))
     for first in (True, False, False):
         assert token_counts.commit(spark, path, "2", token_counts.revisions(a.where("tokens = 5"), b)) is first
     assert token_counts.commit(spark, path, "3", token_counts.deletes(a.where("tokens = 7")))
-    got = sorted((tuple(r) for r in token_counts.totals(spark, path).collect()), key=str)
-    assert got == [("s", "en", "v2", 1, 6), (None, None, "v1", 1, 0)] or set(got) == {("s", "en", "v2", 1, 6), (None, None, "v1", 1, 0)}
-    token_counts.compact(spark, path, str(tmp_path / "compact"))
-    assert set(map(tuple, token_counts.totals(spark, str(tmp_path / "compact")).collect())) == set(got)
-
-
-def test_rollup_ignores_a_broken_off_batch(spark, tmp_path):
-    schema = "source string, lang string, tokenizer string, tokens long"
+    assert token_counts.commit(spark, path, "empty", token_counts.inserts(a.limit(0))) and not token_counts.commit(spark, path, "empty", token_counts.inserts(a))
+    want = sorted([("s", "en", "v2", 1, 6), (None, None, "v1", 1, 0)], key=str)
+    assert _totals(spark, path) == want
+    token_counts.compact(spark, path)  # the deltas go, what they were called stays
+    assert not list((tmp_path / "rollup").glob("batch=*"))
+    for name in ("1", "2", "3", "empty"):
+        assert not token_counts.commit(spark, path, name, token_counts.inserts(a))
+    assert _totals(spark, path) == want
+    assert token_counts.commit(spark, path, "4", token_counts.inserts(b))
+    assert _totals(spark, path) == sorted([("s", "en", "v2", 2, 12), (None, None, "v1", 1, 0)], key=str)
+
+
+@pytest.mark.parametrize("at", ["delta", "fold", "totals"])
+def test_rollup_goes_on_after_a_break(spark, tmp_path, monkeypatch, at):
+    """A writer that dies within a batch, before its totals, or within them: nothing is lost or counted twice."""
     path = tmp_path / "rollup"
-    token_counts.commit(spark, str(path), "1", token_counts.inserts(spark.createDataFrame([("s", "en", "v1", 5)], schema)))
-    (path / "batch=1" / "_SUCCESS").unlink()
-    assert token_counts.totals(spark, str(path)).count() == 0
-    assert token_counts.commit(spark, str(path), "1", token_counts.inserts(spark.createDataFrame([("s", "en", "v1", 9)], schema)))
-    assert token_counts.totals(spark, str(path)).first()["tokens"] == 9
+    rows = lambda n: token_counts.inserts(spark.createDataFrame([("s", "en", "v1", n)], ROLLUP))
+    assert token_counts.commit(spark, str(path), "1", rows(5))
+    with monkeypatch.context() as broken:
+        broken.setattr(token_counts, "_fold", lambda *_: None)
+        assert token_counts.commit(spark, str(path), "2", rows(9))
+    if at == "delta":
+        (path / "batch=2" / "_SUCCESS").unlink()
+    if at == "totals":
+        (path / "totals=00000002").mkdir()
+        (path / "totals=00000002" / "sums").mkdir()
+    assert _totals(spark, str(path)) == [("s", "en", "v1", *((1, 5) if at == "delta" else (2, 14)))]
+    assert token_counts.commit(spark, str(path), "2", rows(9)) is (at == "delta")
+    assert token_counts.commit(spark, str(path), "3", rows(1))
+    assert _totals(spark, str(path)) == [("s", "en", "v1", 3, 15)]
+    token_counts.compact(spark, str(path))
+    assert _totals(spark, str(path)) == [("s", "en", "v1", 3, 15)] and not token_counts.commit(spark, str(path), "2", rows(9))
+
+
+def test_rollup_query_like_brute_force(spark, docs):
+    """The query's totals against tiktoken over the documents that are left."""
+    import public_tokenizers as P
+    import tiktoken
+
+    coders = {n: tiktoken.Encoding(n, pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path(f"{n}.tiktoken")), special_tokens={}) for n in entries.TOKENIZERS}
+    first, second = entries.TOKENIZERS
+    again = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    want, seen = Counter(), set()
+    for r in docs.orderBy("doc_id").collect():
+        if r["text"] not in seen:
+            seen.add(r["text"])
+            name = second if r["doc_id"] in again else first
+            want[r["source"], r["lang"], name, "docs"] += 1
+            want[r["source"], r["lang"], name, "tokens"] += len(coders[name].encode_ordinary(r["text"] or ""))
+    got = {}
+    for r in entries.op10_token_rollup(spark, SF).collect():
+        got |= {(r["source"], r["lang"], r["tokenizer"], c): r[c] for c in ("docs", "tokens")}
+    assert got == dict(want)
+
+
+def test_token_counts_of_odd_rows(spark, odd):
+    ours, P = _tiktoken()
+    long = spark.createDataFrame([(50, "word " * 60_000), (51, "x" * 200_000)], "doc_id long, text string")
+    for df in (odd, long):
+        got = token_counts.counted(df, {"a": P.path("byte_bpe_50k.tiktoken"), "b": P.path("byte_bpe_50k.tiktoken")}, P.PATTERN).collect()
+        assert len(got) == df.count()
+        for r in got:
+            if len(r["text"] or "") < 200_000:
+                assert r["a"] == r["b"] == len(ours.encode_ordinary(r["text"] or ""))
 
 
 # the pipeline
