@@ -99,7 +99,8 @@ SQL: dict[str, str] = {
     "op2_license_scan": rf"""
 WITH template(template, licence, text) AS (VALUES {_TEMPLATES}),
 docs AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path FROM documents),
-split AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{licenses.ANCHOR}')),
+split AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs UNION ALL
+  SELECT doc_id, unnest(string_split_regex(text, '{licenses.BLANK}')) FROM docs UNION ALL SELECT doc_id, text FROM docs) WHERE regexp_matches(line, '{licenses.ANCHOR}')),
 lines AS (SELECT line, count(*) AS times FROM split GROUP BY 1),
 words AS (SELECT line, times, word, count(*) AS tf FROM (SELECT line, times, unnest(regexp_extract_all(lower(line), '{licenses._TOKEN}')) AS word FROM lines) GROUP BY ALL),
 own AS (SELECT template, licence, word, count(*) AS tf FROM (SELECT template, licence, unnest(regexp_extract_all(lower(text), '{licenses._TOKEN}')) AS word FROM template) GROUP BY ALL),

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -109,6 +110,30 @@ def test_licences_are_inherited(spark):
     assert licenses.scan(df.limit(0), "path", F.lit(True)).count() == 0
 
 
+def test_licence_files_and_wrapped_headers(spark):
+    full = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("MIT", "ISC", "Apache-2.0")}
+    wrap = lambda t, w, mark: "\n".join(f"{mark} {x}" for x in textwrap.wrap(t, w))
+    mit = "MIT License\n\nCopyright (c) 2019 Some Body\n\n" + "\n\n".join(textwrap.fill(t, 70) for n, t in licenses.TEMPLATES if n == "MIT" and t.startswith(("Permission", "The above")))
+    mit += "\n\n" + textwrap.fill('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.', 70)
+    apache = "\n\n".join(textwrap.fill(t, 60, initial_indent="   ", subsequent_indent="   ") for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 60)
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n" + "   1. Definitions.\n\n" + "terms of use " * 900 + "\n\n" + apache
+    gpl = wrap(next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("This program")), 60, "#") + "\n\nimport os\n" + "x = 1\n" * 500
+    bsd = "Copyright (c) 2020, Foo\n\n" + "\n\n".join(textwrap.fill(t, 70) for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and t.startswith("Neither"))
+    texts = [mit, apache, gpl, bsd, full["ISC"], "We talked of copyright and of other things " * 40, "plain", None, "", "All rights reserved.", "All rights reserved."]
+    rows = [(i, t, f"p{i}/f", 7, "k") for i, t in enumerate(texts)] + [(0, mit, "p0/f", 7, "k"), (None, mit, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string, unit long, word string")
+    out = licenses.scan(df, "path", F.lit(False))
+    got = [(r["doc_id"], r["licence"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(0, "MIT"), (0, "MIT"), (1, "Apache-2.0"), (2, "GPL-3.0"), (3, "BSD-3-Clause"), (4, "ISC"), (5, None), (6, None), (7, None), (8, None), (9, "Proprietary"), (10, "Proprietary"), (None, None)], key=str)
+
+
+def test_licences_of_odd_rows(spark, odd):
+    rows = licenses.scan(odd.withColumn("path", F.col("source")), "path", F.lit(True)).collect()
+    assert len(rows) == odd.count() and {r["origin"] for r in rows} == {"none"}
+    long = spark.createDataFrame([(1, "word " * 200_000 + "\nReleased under the MIT License.\n" + "more " * 200_000, "a/b")], "doc_id long, text string, path string")
+    assert licenses.scan(long, "path", F.lit(True)).first()["licence"] == "MIT"
+
+
 # 3
 
 
