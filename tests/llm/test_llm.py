@@ -575,6 +575,20 @@ def test_language(spark, docs, odd):
     assert none.where("lang_pred <> 'und' or accepted").count() == 0
 
 
+def test_rejection_is_calibrated(spark):
+    """Of rightly judged new texts about the stated share is rejected; of texts of no language nearly all are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.train(docs, rejected=0.02)
+    rows = language.predict(docs.where(language.held_out(F.col("doc_id"))), model, "text", "lang").where("lang_pred = lang").agg(F.avg(F.col("accepted").cast("double")).alias("a"), F.count("*").alias("n")).first()
+    assert rows["n"] > 2000 and 0.96 <= rows["a"] <= 0.992
+    random.seed(16)
+    noise = [(i, " ".join("".join(random.choices("bcdfghjklmnpqrstvwxz", k=random.randint(2, 9))) for _ in range(60))) for i in range(200)]
+    said = language.predict(spark.createDataFrame(noise, "doc_id long, text string"), model, "text", "doc_id")
+    assert said.where("accepted").count() <= 20
+    long = spark.createDataFrame([(1, "the and of with that " * 100_000)], "doc_id long, text string")
+    assert language.predict(long, model, "text", "doc_id").first()["lang_pred"] == "en"
+
+
 def test_language_counts_like_brute_force():
     import pyarrow as pa
 
