@@ -170,19 +170,6 @@ class Encoder:
         out[np.repeat(first[missing] - (np.cumsum(own) - own), own) + np.arange(len(flat))] = flat
         return out, counts
 
-    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The pre-tokens of all the texts, end to end, and where each text's begin and end."""
-        if self.find is None:
-            import regex
-
-            self.find = regex.compile(self.pattern).findall
-        flat: list[str] = []
-        upto = [0]
-        for text in texts:
-            flat += self.find(text)
-            upto.append(len(flat))
-        return flat, np.array(upto)
-
     def _numbers(self, flat: list[str]) -> tuple["Memo", np.ndarray]:
         """The number of each pre-token in this worker's memory, which now holds them all."""
         memo = _memos.get(self.mark)
@@ -195,21 +182,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts, end to end, and the offsets of each text's ids."""
-        flat, upto = self.split(texts)
+        if self.find is None:
+            import regex
+
+            self.find = regex.compile(self.pattern).findall
+        flat: list[str] = []
+        upto = [0]
+        for text in texts:
+            flat += self.find(text)
+            upto.append(len(flat))
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         memo, codes = self._numbers(flat)
         each = memo.counts[codes]
         ends = np.cumsum(each)
         out = memo.ids[np.repeat(memo.first[codes] - (ends - each), each) + np.arange(int(ends[-1]))]
-        return out, np.concatenate([[0], ends])[upto]
-
-    def count(self, flat: list[str], upto: np.ndarray) -> np.ndarray:
-        """How many ids each text has, of the pre-tokens that :meth:`split` gives."""
-        if not flat:
-            return np.zeros(len(upto) - 1, np.int64)
-        memo, codes = self._numbers(flat)
-        return np.diff(np.concatenate([[0], np.cumsum(memo.counts[codes])])[upto])
+        return out, np.concatenate([[0], ends])[np.array(upto)]
 
     def decode(self, ids: pa.Array, offsets: np.ndarray) -> pa.Array:
         """Bytes of each text: those of its tokens, end to end."""

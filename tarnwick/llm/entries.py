@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, decontamination, embedding_dedup, language, licenses, minhash, secret_scan, sharding, token_counts, urls
-from .common import checkpoint_dir
+from .common import checkpoint_dir, cut, join_by_count
 
 #: Fixed by the contract of the URL query: host, path, verdict.
 LISTED = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -71,20 +71,27 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents, the second committed twice: all are counted by the first tokenizer; those
     with labels are counted anew by the second; copies of a text go but for that with the least doc_id."""
     first, second = TOKENIZERS
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.sha2("text", 256).alias("body"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.coalesce(F.sha2("text", 256), F.lit("")).alias("body"))
     path = f"{checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     vocabularies = {name: public_tokenizers.path(f"{name}.tiktoken") for name in TOKENIZERS}
-    token_counts.counted(docs, vocabularies, public_tokenizers.PATTERN).drop("text").write.parquet(f"{path}/counted")
+    counts = token_counts.counted(docs, {first: vocabularies[first]}, public_tokenizers.PATTERN)
+    counts.drop("text").write.parquet(f"{path}/counted")
     counted = spark.read.parquet(f"{path}/counted")
-    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("again", F.lit(True))
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
     by = lambda rows, name: rows.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(name).alias("tokens"))
     rollup = f"{path}/rollup"
     token_counts.commit(spark, rollup, "1", token_counts.inserts(by(counted, first)))
-    revised = counted.join(labelled, "doc_id", "left_semi")
+    anew = token_counts.counted(docs.join(labelled, "doc_id", "left_semi"), {second: vocabularies[second]}, public_tokenizers.PATTERN)
+    anew.select("doc_id", "body", second).write.parquet(f"{path}/anew")
+    anew = spark.read.parquet(f"{path}/anew").dropDuplicates(["doc_id", "body"])
+    counted = counted.join(anew, ["doc_id", "body"], "left").withColumn("again", F.col(second).isNotNull())
+    counted.write.parquet(f"{path}/both")
+    counted = spark.read.parquet(f"{path}/both")
+    revised = counted.where("again")
     for _ in range(2):
         token_counts.commit(spark, rollup, "2", token_counts.revisions(by(revised, first), by(revised, second)))
-    least = counted.groupBy("body").agg(F.min("doc_id").alias("least"))
-    copies = counted.join(least, counted["body"].eqNullSafe(least["body"])).where("doc_id > least").join(labelled, "doc_id", "left")
+    least = cut(counted.groupBy("body").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
+    copies = join_by_count(counted, least, ["body"], "times").where("doc_id > least")
     held = copies.select("source", "lang", F.when(F.col("again"), F.lit(second)).otherwise(F.lit(first)).alias("tokenizer"), F.when(F.col("again"), F.col(second)).otherwise(F.col(first)).alias("tokens"))
     token_counts.commit(spark, rollup, "3", token_counts.deletes(held))
     token_counts.compact(spark, rollup)

@@ -12,9 +12,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import STEP_BYTES, Encoder, read_ranks
+from .bpe import STEP_BYTES, read_ranks
 from .common import slices
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -24,20 +25,20 @@ _SUMS = "source string, lang string, tokenizer string, docs bigint, tokens bigin
 def counted(docs: DataFrame, vocabularies: dict[str, str], pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with a column for each of ``vocabularies`` (name to path of a rank file): how many tokens the whole text has. A null or empty text has none; rows are kept as they are.
 
-    The text is split by ``pattern`` once for all of them. A column with the name of a vocabulary is replaced.
+    Tokens are those of the tiktoken library, without special tokens, in slices of bounded bytes. A column with the name of a vocabulary is replaced.
     """
-    coders = [Encoder(read_ranks(path), pattern) for path in vocabularies.values()]
+    ranks = [read_ranks(path) for path in vocabularies.values()]
     names = [c for c in docs.columns if c not in vocabularies]
     given = docs.select(*names, F.col(text).cast("string").alias("t__"))
 
     def run(batches):
+        coders = [tiktoken.Encoding(f"own{i}", pat_str=pattern, mergeable_ranks=r, special_tokens={}) for i, r in enumerate(ranks)]
         for batch in batches:
             texts = batch.column(len(names)).fill_null("")
-            counts = [np.zeros(len(batch), np.int64) for _ in coders]
+            counts = np.zeros((len(coders), len(batch)), np.int64)
             for a, b in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), STEP_BYTES):
-                pieces = coders[0].split(texts.slice(a, b - a).to_pylist())
-                for coder, n in zip(coders, counts):
-                    n[a:b] = coder.count(*pieces)
+                for i, text in enumerate(texts.slice(a, b - a).to_pylist(), a):
+                    counts[:, i] = [len(coder.encode_ordinary(text)) for coder in coders]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *map(pa.array, counts)], [*names, *vocabularies])
 
     schema = given.select(*names, *[F.lit(0).cast("long").alias(v) for v in vocabularies]).schema

@@ -835,6 +835,23 @@ def test_pipeline(spark, docs):
         assert list(r["ids"]) == ours.encode_ordinary(final[i])
 
 
+def test_pipeline_of_null_and_repeated_keys(spark):
+    """No secret, no copy of an item and no near copy leaves by a null or repeated doc_id."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    single = minhash.near_duplicates(docs, 50).groupBy("component_id").count().where("count = 1").select(F.col("component_id").alias("doc_id"))
+    alone = decontamination.clean(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("lang = 'en' and length(text) > 400").join(single, "doc_id")
+    plain = [r["text"] for r in alone.orderBy("doc_id").limit(3).collect()]
+    secret = "0123456789abcdef0123456789abcdef01234567"
+    made = [(None, plain[0] + f' token = "{secret}"'), (7, plain[1] + f" password={secret}"), (7, plain[2] + f" password={secret} end"), (None, plain[0][:300] + " " + item), (7, item + " " + plain[1][:200]), (None, plain[2] + " and more"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in made], DOC).union(docs.where(~F.col("text").isin(plain)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, SF).cache()
+    texts = [r["text"] for r in df.collect()]
+    assert not any(secret in t or item in t for t in texts)
+    assert sum("[SECRET]" in t and t.startswith(tuple(plain)) for t in texts) == 3 and sum(t.startswith(plain[2]) for t in texts) == 1
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, SF)
