@@ -21,20 +21,17 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays; of repeated rows of a doc_id one. Rows without a doc_id stay."""
-    copies = minhash.near_duplicates(docs, 85).where("not kept").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the least doc_id stays; of rows of the same doc_id and text one. Rows without a doc_id are judged by their texts and come last in a group."""
+    return minhash.without_copies(docs, 80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a copy of a benchmark item, edited or in part."""
+    """Drops the documents that hold a copy of a benchmark item, edited or in part, whatever their doc_id."""
     return decontamination.clean(docs, entries.table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts, and counts their characters anew; all documents stay."""
+    """Replaces secrets in the texts, and counts their characters anew; all documents stay, and all are judged by their own texts, whatever their doc_id."""
     out = secret_scan.redact(docs, secret_scan.scan(docs, entries.dictionary(spark, sf_dir)))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
