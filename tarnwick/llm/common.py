@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,10 +16,13 @@ _BYTE_VALUES = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. An error where that is unset: executors could not see a folder of the driver's own."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; on a cluster it is an error, since executors could not see a folder of the driver's own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
