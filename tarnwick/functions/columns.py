@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 FLOATS = (T.FloatType, T.DoubleType)
 #: Words that are no search terms.
-STOP_WORDS = ("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with").split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
+    "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+]
 #: Name patterns of identifier columns.
 ID_NAMES = [r"^id$", r"_id$", r"^id_", "customer_id", "user_id", "order_id", "transaction_id", "uuid", "guid", "email", "phone", "ssn", "passport", "account_number"]
 #: Texts that start like dates.

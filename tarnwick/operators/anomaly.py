@@ -14,6 +14,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.ranges import exact_quantiles
 from .timeseries import ordered
 
 #: Normal range and critical bound of sensors by name; voltage is critical below its bound.
@@ -25,7 +26,12 @@ def _clip(c: Column) -> Column:
 
 
 def _stats(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    return df.join(F.broadcast(df.groupBy(*keys).agg(*aggs)), keys)
+    return df.join(df.groupBy(*keys).agg(*aggs), keys)
+
+
+def _quantiles(df: DataFrame, keys: list[str], y: str, at: list[float], to: str) -> DataFrame:
+    """``df`` with the quantiles of ``y`` within its key as ``to``."""
+    return df.join(exact_quantiles(df, keys, y, at, few_keys=False).withColumnRenamed("q", to), keys, "left")
 
 
 def zscore(df: DataFrame, keys: list[str], y: str, threshold: float = 3.0) -> DataFrame:
@@ -37,16 +43,15 @@ def zscore(df: DataFrame, keys: list[str], y: str, threshold: float = 3.0) -> Da
 
 def modified_zscore(df: DataFrame, keys: list[str], y: str, threshold: float = 3.5) -> DataFrame:
     """Adds ``mad_z``, ``mad_score``, ``mad_flag`` by the median absolute deviation; one of 0 gives 0."""
-    half = F.lit(0.5)
-    rows = _stats(df, keys, F.percentile(y, half).alias("m_"))
-    rows = _stats(rows, keys, F.percentile(F.abs(F.col(y) - F.col("m_")), half).alias("d_"))
+    rows = _quantiles(df, keys, y, [0.5], "m_").withColumn("m_", F.col("m_")[0])
+    rows = _quantiles(rows.withColumn("off_", F.abs(F.col(y) - F.col("m_"))), keys, "off_", [0.5], "d_").withColumn("d_", F.col("d_")[0]).drop("off_")
     z = F.coalesce(F.when(F.col("d_") > 0, 0.6745 * (F.col(y) - F.col("m_")) / F.col("d_")), F.lit(0.0))
     return rows.withColumn("mad_z", F.round(z, 4)).withColumns({"mad_score": _clip(F.abs(z) / (2 * threshold)), "mad_flag": F.abs(z) > threshold}).drop("m_", "d_")
 
 
 def iqr(df: DataFrame, keys: list[str], y: str, factor: float = 1.5) -> DataFrame:
     """Adds ``iqr_score`` (distance from the fence over the quartile distance) and ``iqr_flag``."""
-    rows = _stats(df, keys, F.percentile(y, F.array(F.lit(0.25), F.lit(0.75))).alias("q_"))
+    rows = _quantiles(df, keys, y, [0.25, 0.75], "q_")
     a, b = F.col("q_")[0], F.col("q_")[1]
     low, high = a - factor * (b - a), b + factor * (b - a)
     far = F.greatest(low - F.col(y), F.col(y) - high, F.lit(0.0))
@@ -146,7 +151,8 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 1
         return pd.Series(2.0 ** -(total / max(len(forest), 1) / max(usual, 1e-9)))
 
     raw = df.withColumn("raw_", score(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])))
-    span = raw.agg(F.min("raw_").alias("a_"), F.max("raw_").alias("b_"), F.percentile("raw_", F.lit(1 - contamination)).alias("p_"))
+    top = exact_quantiles(raw, [], "raw_", [1 - contamination]).select(F.col("q")[0].alias("p_"))
+    span = raw.agg(F.min("raw_").alias("a_"), F.max("raw_").alias("b_")).crossJoin(F.broadcast(top))
     out = raw.crossJoin(F.broadcast(span))
     return out.withColumns({"isolation_score": _clip((F.col("raw_") - F.col("a_")) / F.when(F.col("b_") > F.col("a_"), F.col("b_") - F.col("a_")).otherwise(1.0)), "isolation_flag": F.col("raw_") > F.col("p_")}).drop("raw_", "a_", "b_", "p_")
 
@@ -180,8 +186,8 @@ def reconstruction(df: DataFrame, columns: list[str], percentile: float = 0.95)
     sq = [F.pow(u[i] - sum((p[j] * float(basis[i, j]) for j in range(k)), F.lit(0.0)), 2) for i in range(len(columns))]
     error = reduce(lambda a, b: a + b, sq) / len(columns)
     rows = model.transform(scaled).withColumn("e_", error)
-    cut = rows.agg(F.percentile("e_", F.lit(percentile)).alias("c_"), F.max("e_").alias("t_"))
-    out = rows.crossJoin(F.broadcast(cut))
+    bound = rows.agg(F.max("e_").alias("t_")).crossJoin(F.broadcast(exact_quantiles(rows, [], "e_", [percentile]).select(F.col("q")[0].alias("c_"))))
+    out = rows.crossJoin(F.broadcast(bound))
     return out.withColumns({"reconstruction_score": _clip(F.col("e_") / F.when(F.col("t_") > 0, F.col("t_")).otherwise(1.0)), "reconstruction_flag": F.col("e_") > F.col("c_")}).drop("v_", "u_", "p_", "e_", "c_", "t_", *[f"{c}_x" for c in columns])
 
 

@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.ranges import exact_quantiles
+from .profile import long_numeric
+
+
+def _quantile_row(df: DataFrame, columns: list[str], at: list[float]) -> DataFrame:
+    """One row with an array of quantiles for each of ``columns``, NULL for a column without values."""
+    q = exact_quantiles(long_numeric(df, columns), ["column"], "value", at)
+    return q.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in columns])
+
 
 def fill_order_gaps(df: DataFrame, column: str, keys: list[str], order: list[str], default: float = 0.0) -> DataFrame:
     """Fill NULLs along ``order`` within ``keys``: from the next value, else the last one, else ``default``."""
@@ -17,8 +26,10 @@ def impute(df: DataFrame, columns: list[str], how: str = "median", constant: obj
     """Fill NULLs by the exact median, the mode (the least of equal ones) or a constant."""
     if how == "constant":
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(constant)) for c in columns})
-    value = (lambda c: F.percentile(c, F.lit(0.5))) if how == "median" else (lambda c: F.mode(c, True))
-    stats = df.agg(*[value(c).alias(f"{c}_fill_") for c in columns])
+    if how == "median":
+        stats = _quantile_row(df, columns, [0.5]).select(*[F.col(c)[0].alias(f"{c}_fill_") for c in columns])
+    else:
+        stats = df.agg(*[F.mode(c, True).alias(f"{c}_fill_") for c in columns])
     out = df.crossJoin(F.broadcast(stats))
     return out.select(*[F.coalesce(F.col(c), F.col(f"{c}_fill_")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -35,7 +46,7 @@ def deduplicate(df: DataFrame) -> DataFrame:
 
 def fences(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """One row: ``<column>_low`` and ``<column>_high``, the quartiles less and plus ``factor`` times their distance."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
+    q = _quantile_row(df, columns, [0.25, 0.75])
     wide = lambda c: (F.col(c)[1] - F.col(c)[0]) * factor
     return q.select(*[x for c in columns for x in ((F.col(c)[0] - wide(c)).alias(f"{c}_low"), (F.col(c)[1] + wide(c)).alias(f"{c}_high"))])
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ranges import running_sums
+from ..functions.lineage import cut
+from ..functions.ranges import exact_quantiles, running_sums
 from .profile import long_numeric
 
 
@@ -18,8 +19,7 @@ def shared_columns(reference: DataFrame, current: DataFrame) -> list[str]:
 def psi(reference: DataFrame, current: DataFrame, columns: list[str], buckets: int = 10) -> DataFrame:
     """``(column, psi)``: reference quantile bins (unique edges; fewer than 2 give 0); current values beyond the reference's range fill no bin but count in the total; empty bins count as 1e-8."""
     a, b = (long_numeric(d, columns).where("value is not null") for d in (reference, current))
-    at = F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])
-    edges = a.groupBy("column").agg(F.array_distinct(F.percentile("value", at)).alias("edges"))
+    edges = cut(exact_quantiles(a, ["column"], "value", [i / buckets for i in range(buckets + 1)]).select("column", F.array_distinct("q").alias("edges")))
     bin_ = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.size("edges") - 1)
     inside = (F.col("value") >= F.col("edges")[0]) & (F.col("value") <= F.element_at("edges", -1))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import correlation, normalize_nulls
+from ..functions.columns import normalize_nulls
 from ..functions.ranges import running_sums
 from .profile import histogram, long_numeric, top_values, value_counts
 from .quality import adjusted_skewness
@@ -23,19 +24,43 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """``(column_a, column_b, r)`` for every two columns over the rows where both are there, three decimals; undefined is 0."""
-    df = normalize_nulls(df).select(*columns)
+    """``(column_a, column_b, r)`` for every two columns over the rows where both are there, three decimals; undefined is 0.
+
+    Each task multiplies its rows' centred values with each other as matrices, and only the sums of a pair go
+    on: no aggregate a pair. Means are taken off first, so that the sums keep their digits.
+    """
+    df = normalize_nulls(df).select(*[F.col(c).cast("double").alias(c) for c in columns])
     if method == "spearman":
         df = average_ranks(df, columns)
-    parts = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for a, b in combinations(columns, 2)]
-    rows = df.agg(F.array(*parts).alias("m")).select(F.inline("m"))
-    return rows.select("column_a", "column_b", F.round(F.coalesce("r", F.lit(0.0)), 3).alias("r"))
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centre = np.array([means[c] or 0.0 for c in columns])
+
+    def products(batches):
+        total = np.zeros((6, len(columns), len(columns)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(float) - centre
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            m = there.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        i, j = np.triu_indices(len(columns), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(t[i, j]) for t in total)], ["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+
+    sums = df.mapInArrow(products, "i int, j int, n double, a double, b double, aa double, bb double, ab double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    part = lambda s, x, y: F.col(s) / n - F.col(x) / n * F.col(y) / n
+    # what the digits cannot tell from 0 is no spread
+    spread = lambda s, x: F.when(part(s, x, x) > 1e-14 * F.greatest(F.col(s) / n, F.lit(1e-280)), part(s, x, x))
+    r = F.try_divide(part("ab", "a", "b"), F.sqrt(spread("aa", "a")) * F.sqrt(spread("bb", "b")))
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), F.col(c) + 1)
+    return sums.select(name("i").alias("column_a"), name("j").alias("column_b"), F.round(F.coalesce(r, F.lit(0.0)), 3).alias("r"))
 
 
 def correlation_matrix(pairs: DataFrame, columns: list[str]) -> DataFrame:
     """All ordered pairs, the diagonal too."""
     same = pairs.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "column_a string, column_b string, r double")
-    return pairs.unionByName(pairs.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r")).unionByName(same)
+    both = F.array(F.struct("column_a", "column_b", "r"), F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r"))
+    return pairs.select(F.inline(both)).unionByName(same)
 
 
 def strong_pairs(pairs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -103,7 +128,7 @@ def match_claims(claims: DataFrame, metrics: DataFrame) -> DataFrame:
     """``claims(batch, claim_id, name, claimed)`` with ``actual`` of ``metrics(metric, value)``: the same name, else one that is alike in lower case or holds the other (the first by name)."""
     exact = metrics.select(F.col("metric").alias("name"), F.col("value").alias("exact")).dropDuplicates(["name"])
     low = metrics.select(F.lower("metric").alias("low"), F.col("metric"), F.col("value")).alias("m")
-    loose = claims.alias("c").join(F.broadcast(low), (F.lower("c.name") == F.col("m.low")) | F.lower("c.name").contains(F.col("m.low")) | F.col("m.low").contains(F.lower("c.name")))
+    loose = claims.alias("c").join(low, (F.lower("c.name") == F.col("m.low")) | F.lower("c.name").contains(F.col("m.low")) | F.col("m.low").contains(F.lower("c.name")))
     best = loose.groupBy("batch", "claim_id").agg(F.min_by("value", F.struct((F.lower("name") != F.col("low")).alias("off"), "metric")).alias("loose"))
     return claims.join(exact, "name", "left").join(best, ["batch", "claim_id"], "left").select("batch", "claim_id", "name", "claimed", F.coalesce("exact", "loose").alias("actual"))
 

@@ -6,23 +6,15 @@ weight, properties map, project_id. Ids are strings. Loops cut their lineage by
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def _empty() -> Column:
-    return F.from_json(F.lit("{}"), "map<string,string>")
+from ..functions.lineage import cut as _cut
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        path = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
+def _empty() -> Column:
+    return F.from_json(F.lit("{}"), "map<string,string>")
 
 
 def _node(df: DataFrame, id_: Column, name: Column, kind: str, **properties: Column) -> DataFrame:
@@ -209,18 +201,20 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         return ids.withColumn("rank", F.lit(None).cast("double"))
     links = edges_within(edges, ids).groupBy("source_id", "target_id").agg(F.sum("weight").alias("w")).where("w > 0")
     out = links.groupBy("source_id").agg(F.sum("w").alias("all"))
-    links = _cut(links.join(out, "source_id").select(F.col("source_id").alias("id"), F.col("target_id").alias("to"), (F.col("w") / F.col("all")).alias("share")))
+    # links lie by their source once and for all; a round moves only what each task sums up for a target
+    parts = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    links = _cut(links.join(out, "source_id").select(F.col("source_id").alias("id"), F.col("target_id").alias("to"), (F.col("w") / F.col("all")).alias("share"))).repartition(parts, "id").persist()
     sinks = ids.join(links.select("id").distinct(), "id", "left_anti").withColumn("sink", F.lit(True))
     ranks = _cut(ids.join(sinks, "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("moved")))
+    loose = ranks.where("sink").count() / n
     for k in range(rounds):
-        given = links.join(ranks, "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        new = damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + (1 - damping) / n
-        ranks = ranks.join(given, "id", "left").crossJoin(F.broadcast(loose)).select("id", "sink", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
-        if k % 5 == 4 or k == rounds - 1:
-            ranks = _cut(ranks)
-            if ranks.agg(F.sum("moved").alias("s")).first()["s"] < n * tolerance:
-                break
+        given = links.join(ranks.repartition(parts, "id"), "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        new = damping * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n)) + (1 - damping) / n
+        ranks = _cut(ranks.join(given, "id", "left").select("id", "sink", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        moved, loose = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()
+        if moved < n * tolerance:
+            break
+    links.unpersist()
     return ranks.select("id", "rank")
 
 

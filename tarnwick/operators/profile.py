@@ -1,14 +1,14 @@
 """Semantic schema and column profiles as long tables: a row for each column, bin or value.
 
 ``value_counts`` is the one shuffle that serves unique counts, top values, constants and types together.
-Exact quantiles keep a value-to-count map a column; ``accuracy`` switches to the approximate sketch for wide
-continuous tables.
+Quantiles and unique counts are exact and distributed; ``accuracy`` switches to sketches in one pass.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.ranges import exact_quantiles
 from ..functions.columns import DATES, FLOATS, ID_NAMES, TRUTHS, any_match, normalize_nulls, numeric_columns, tidy
 
 
@@ -88,20 +88,20 @@ def schema_summary(schema: DataFrame) -> DataFrame:
     return schema.groupBy("inferred_type").agg(F.count("*").alias("columns"))
 
 
-def _quantiles(c: Column, at: list[float], accuracy: int | None) -> Column:
-    return F.percentile_approx(c, at, accuracy) if accuracy else F.percentile(c, F.array(*[F.lit(x) for x in at]))
-
-
 def profile_numeric(df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """``(column, count, nulls, uniques, min, max, mean, median, std, variance, q25, q75, iqr, skewness, kurtosis)``; sample deviation, population skewness (over 2 rows) and excess kurtosis (over 3), four decimals."""
     df = normalize_nulls(df)
     columns = columns or numeric_columns(df)
-    uniques = F.approx_count_distinct if accuracy else F.count_distinct
     parts = []
     for c in columns:
         x = F.col(c).cast("double")
-        parts.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"), uniques(x).alias("uniques"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), _quantiles(x, [0.25, 0.5, 0.75], accuracy).alias("q"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")).alias(c))
+        sketch = [F.approx_count_distinct(x).alias("uniques"), F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias("q")] if accuracy else []
+        parts.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"), *sketch).alias(c))
     rows = df.agg(*parts).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
+    if not accuracy:
+        long = long_numeric(df, columns).where("value is not null")
+        uniques = long.distinct().groupBy("column").agg(F.count("*").alias("uniques"))
+        rows = rows.join(F.broadcast(uniques), "column", "left").join(F.broadcast(exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])), "column", "left").withColumn("uniques", F.coalesce("uniques", F.lit(0)))
     r = lambda e, name: tidy(e).alias(name)
     q = F.col("q")
     return rows.select(

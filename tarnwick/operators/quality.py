@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import normalize_nulls
-from .profile import value_counts
+from ..functions.ranges import exact_quantiles
+from .profile import long_numeric, value_counts
 
 #: Weights of the score's parts and how hard each kind of fault counts.
 WEIGHTS = {"completeness": 0.35, "uniqueness": 0.25, "validity": 0.20, "consistency": 0.10, "outlier_score": 0.10}
@@ -40,13 +41,11 @@ def constants(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def outliers(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """``(column, outliers, pct, low, high)`` of the columns that have some: outside 1.5 quartile distances, from 4 values on."""
     df = normalize_nulls(df)
-    at = F.array(F.lit(0.25), F.lit(0.75))
-    q = df.agg(*[(F.percentile_approx(c, [0.25, 0.75], accuracy) if accuracy else F.percentile(c, at)).alias(c) for c in columns])
-    low = {c: F.col(f"q.{c}")[0] - 1.5 * (F.col(f"q.{c}")[1] - F.col(f"q.{c}")[0]) for c in columns}
-    high = {c: F.col(f"q.{c}")[1] + 1.5 * (F.col(f"q.{c}")[1] - F.col(f"q.{c}")[0]) for c in columns}
-    joined = df.select(*columns).alias("d").crossJoin(F.broadcast(q).alias("q"))
-    parts = [F.struct(F.lit(c).alias("column"), F.count_if((F.col(f"d.{c}") < low[c]) | (F.col(f"d.{c}") > high[c])).alias("outliers"), F.count(F.col(f"d.{c}")).alias("filled"), F.count("*").alias("rows"), F.max(low[c]).alias("low"), F.max(high[c]).alias("high")).alias(c) for c in columns]
-    rows = joined.agg(*parts).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
+    long = long_numeric(df, columns)
+    q = long.groupBy("column").agg(F.percentile_approx("value", [0.25, 0.75], accuracy).alias("q")) if accuracy else exact_quantiles(long, ["column"], "value", [0.25, 0.75])
+    wide = 1.5 * (F.col("q")[1] - F.col("q")[0])
+    fences = q.select("column", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
+    rows = long.join(F.broadcast(fences), "column").groupBy("column", "low", "high").agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outliers"), F.count("value").alias("filled"), F.count("*").alias("rows"))
     return rows.where("outliers > 0 and filled >= 4").select("column", "outliers", F.round(100 * F.col("outliers") / F.col("rows"), 2).alias("pct"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
 
 

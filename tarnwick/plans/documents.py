@@ -187,25 +187,6 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", retrieval.rewrite(F.col("text")).alias("query"))
 
 
-# two given rankings: by length and by BM25
-_LISTS = f"{_BM25}, de AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(length(query) - length(text)), chunk_id) AS rank FROM qs, ch WHERE text IS NOT NULL), fu AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS dense_rank, b.rank AS bm25_rank, round(coalesce(0.5 / (60 + d.rank), 0) + coalesce(0.5 / (60 + b.rank), 0), 8) AS rrf FROM (SELECT * FROM de WHERE rank <= 20) d FULL JOIN (SELECT * FROM bm WHERE rank <= 20) b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fu)"
-
-
-def _by_length(queries: DataFrame, chunks_: DataFrame) -> DataFrame:
-    """The 20 chunks of each query whose length is nearest to its own: a stated query set against all rows."""
-    from pyspark.sql import Window
-
-    rows = chunks_.where("text is not null").select("chunk_id", F.length("text").alias("n")).join(F.broadcast(queries.select("query_id", F.length("query").alias("m"))))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("m") - F.col("n")), "chunk_id"))
-    return rows.withColumn("rank", rank).where("rank <= 20").select("query_id", "chunk_id", "rank")
-
-
-@query("rank_fusion_join", f"WITH {_LISTS} SELECT query_id, chunk_id, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, rrf, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank <= 10")
-def _(spark, d):
-    q, c = asked(spark, d), turns(spark, d)
-    return retrieval.rank_fusion(_by_length(q, c), retrieval.bm25_search(q, c, 20))
-
-
 def _hybrid_sql(k: int) -> str:
     """Both lists of 2 k and the ``k`` best of their fusion, as ``hybrid``."""
     vector = lambda v: f"{v}_x AS (SELECT k, i, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM {v}_e), {v}_n AS (SELECT k, sqrt(sum(x * x)) AS l FROM {v}_x GROUP BY 1)"
@@ -217,6 +198,13 @@ fu AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id,
 hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fu) WHERE rank <= {k})"""
 
 
+@query("rank_fusion_join", f"WITH {_hybrid_sql(10)} SELECT query_id, chunk_id, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, rrf, CAST(rank AS INTEGER) AS rank FROM hybrid")
+def _(spark, d):
+    q, c = asked(spark, d), turns(spark, d)
+    dense = retrieval.vector_search(text.embed(q, "query_id", "query"), text.embed(c, "chunk_id", "text"), 20)
+    return retrieval.rank_fusion(dense, retrieval.bm25_search(q, c, 20)).where("rank <= 10").select("query_id", "chunk_id", "dense_rank", "bm25_rank", "rrf", "rank")
+
+
 @query("hybrid_search", f"WITH {_hybrid_sql(10)} SELECT query_id, chunk_id, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, rrf, CAST(rank AS INTEGER) AS rank FROM hybrid")
 def _(spark, d):
     return retrieval.hybrid_search(asked(spark, d), turns(spark, d)).select("query_id", "chunk_id", "dense_rank", "bm25_rank", "rrf", "rank")

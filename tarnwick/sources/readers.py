@@ -15,9 +15,22 @@ _DELIMITERS = ",;\t|"
 
 
 def _head(spark: SparkSession, path: str, size: int = 8192) -> bytes:
-    """The first bytes of the first file, cut on an executor."""
-    row = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, size).alias("head")).first()
-    return bytes(row["head"]) if row else b""
+    """The first bytes of the first file by path, read through Hadoop's file system; no more than them is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(at) or []
+    names = []
+    for entry in found:
+        listed = files.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        names += [(x.getPath().toString(), x.getPath(), x.getLen()) for x in listed if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    if not names:
+        return b""
+    _, first, length = min(names, key=lambda x: x[0])
+    stream = files.open(first)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(size, length)))) if length else b""
+    finally:
+        stream.close()
 
 
 def sniff(head: bytes) -> tuple[str, str]:

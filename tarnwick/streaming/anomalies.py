@@ -71,11 +71,13 @@ class _Scanner(StatefulProcessor):
         buffer = [x[0] for x in self.held.get()] if self.held.exists() else []
         found, buffer = scan_values(pdf["value"].tolist(), buffer, self.window, self.threshold, self.factor)
         self.held.put([(v,) for v in buffer])
-        out = pdf.loc[[i for i, _, _ in found], ["series", "column", "ts", "event_id", "value"]].copy()
+        kept = pdf.loc[[i for i, _, _ in found], ["series", "column", "ts", "event_id", "value"]]
+        # texts as plain objects: where Spark puts the frames of several groups together, others come in chunks
+        out = kept.astype({"series": object, "column": object})
         out["z"] = [z for _, z, _ in found]
-        out["anomaly_type"] = [t for _, _, t in found]
+        out["anomaly_type"] = pd.Series([t for _, _, t in found], index=out.index, dtype=object)
         size = out["z"].abs()
-        out["severity"] = np.select([size >= 4, size >= 3, size >= 2.5], ["critical", "high", "medium"], "low")
+        out["severity"] = np.select([size >= 4, size >= 3, size >= 2.5], ["critical", "high", "medium"], "low").astype(object)
         yield out
 
     def close(self) -> None:

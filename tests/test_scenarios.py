@@ -324,3 +324,34 @@ def test_verdicts(spark):
     metrics = spark.createDataFrame([("accuracy", 0.91)], "metric string, value double")
     found = {r["claim_id"]: r["status"] for r in explore.audit_claims(explore.match_claims(claims, metrics)).collect()}
     assert found == {"1": "SUPPORTED", "2": "REJECTED", "3": "REJECTED"}
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    import numpy as np
+    from tarnwick.functions.ranges import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=30_000), "b": rng.integers(0, 4, 5000).astype(float), "c": np.array([3.0]), "d": np.array([1.0, 2.0, 10.0]), "e": np.repeat(7.0, 400), "f": np.concatenate([np.zeros(20_000), [5.0, 6.0]])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], "v", at).collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(np.quantile(v, at).tolist(), rel=1e-12, abs=1e-12)
+    whole = exact_quantiles(df, [], "v", [0.5]).first()["q"]
+    assert whole == pytest.approx([float(np.median(np.concatenate(list(groups.values()))))])
+    assert exact_quantiles(df.limit(0), ["k"], "v", at).count() == 0
+
+
+def test_correlations_of_gaps_and_constants(spark):
+    from tarnwick.operators import explore
+
+    rows = [(float(i), float(-2 * i + 1e9), 5.0, float(i * i) if i % 3 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "x double, y double, flat double, z double")
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in explore.correlations(df, df.columns).collect()}
+    pairs = [(float(i), float(i * i)) for i in range(50) if i % 3]
+    import numpy as np
+
+    want = round(float(np.corrcoef(*zip(*pairs))[0, 1]), 3)
+    assert got["x", "y"] == -1.0 and got["x", "z"] == want and got["x", "flat"] == got["flat", "z"] == 0.0 and len(got) == 6
