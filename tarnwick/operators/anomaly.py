@@ -10,10 +10,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
 from ..functions.ranges import exact_quantiles
 from .timeseries import ordered
 
@@ -106,12 +108,12 @@ def _grow(x: np.ndarray, random: np.random.Generator, depth: int, most: int, nod
         nodes.append((-1, 0.0, -1, -1, depth + extra))
         return len(nodes) - 1
     c = int(random.choice(spread))
-    cut = float(random.uniform(x[:, c].min(), x[:, c].max()))
+    edge = float(random.uniform(x[:, c].min(), x[:, c].max()))
     at = len(nodes)
     nodes.append(None)
-    low = x[:, c] < cut
+    low = x[:, c] < edge
     left, right = _grow(x[low], random, depth + 1, most, nodes), _grow(x[~low], random, depth + 1, most, nodes)
-    nodes[at] = (c, cut, left, right, 0.0)
+    nodes[at] = (c, edge, left, right, 0.0)
     return at
 
 
@@ -141,12 +143,12 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 1
     def score(x: pd.Series) -> pd.Series:
         m = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(columns)))
         total = np.zeros(len(m))
-        for c, cut, left, right, depth in forest:
+        for c, edge, left, right, depth in forest:
             at = np.zeros(len(m), np.int64)
             while (go := c[at] >= 0).any():
                 i = np.flatnonzero(go)
                 k = at[i]
-                at[i] = np.where(m[i, c[k]] < cut[k], left[k], right[k])
+                at[i] = np.where(m[i, c[k]] < edge[k], left[k], right[k])
             total += depth[at]
         return pd.Series(2.0 ** -(total / max(len(forest), 1) / max(usual, 1e-9)))
 
@@ -157,20 +159,93 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 1
     return out.withColumns({"isolation_score": _clip((F.col("raw_") - F.col("a_")) / F.when(F.col("b_") > F.col("a_"), F.col("b_") - F.col("a_")).otherwise(1.0)), "isolation_flag": F.col("raw_") > F.col("p_")}).drop("raw_", "a_", "b_", "p_")
 
 
-def local_outlier_factor(df: DataFrame, key: str, columns: list[str], block: str, k: int = 15, contamination: float = 0.05) -> DataFrame:
-    """``(key, block, lof, lof_score, lof_flag)``: neighbours are those of the same ``block`` (a bucket or series that keeps the pairs bounded); standardised columns, ties by key."""
+#: Rows of a tile of points on average, and tiles of a strip when boxes are compared.
+TILE, STRIP = 1024, 64
+
+
+def _least_k(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, step: int = 256):
+    """For each point (i, x) its ``k`` nearest of the points (j, y) but itself, ties by j: places in i, places in j, distances to nine decimals."""
+    order = np.argsort(j, kind="stable")
+    j, y = j[order], y[order]
+    for a in range(0, len(x), step):
+        d = np.round(np.sqrt(((x[a : a + step, None, :] - y[None, :, :]) ** 2).sum(2)), 9)
+        d[i[a : a + step, None] == j[None, :]] = np.inf
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        far = np.take_along_axis(d, best, 1)
+        row, col = np.nonzero(np.isfinite(far))
+        yield row + a, order[best[row, col]], far[row, col]
+
+
+def nearest(points: DataFrame, dims: int, k: int) -> DataFrame:
+    """``(i, j, d)``: the ``k`` nearest others of each of ``points(i, x)``, ties by ``j``, over all points; ``i`` is a unique long, ``x`` has ``dims`` numbers.
+
+    Points are dealt to tiles of bounded size, side by side in the first two dimensions. The nearest in its own
+    tile bound how far a point has to look; it then meets only the tiles whose boxes reach into that distance.
+    """
+    points = cut(points)
+    n = points.count()
+    slabs = max(1, int(np.ceil(np.sqrt(n / TILE))))
+    at = F.array(*[F.lit(q / slabs) for q in range(1, slabs)]) if slabs > 1 else None
+    place = lambda c, x: F.size(F.filter(c, lambda e: e < x))
+    rows = points.withColumn("s", F.lit(0)).withColumn("p", F.lit(0))
+    if slabs > 1:
+        first = points.agg(F.percentile_approx(F.col("x")[0], at, F.lit(1000)).alias("c"))
+        rows = points.crossJoin(F.broadcast(first)).withColumn("s", place("c", F.col("x")[0])).drop("c").withColumn("p", F.lit(0))
+        if dims > 1:
+            second = rows.groupBy("s").agg(F.percentile_approx(F.col("x")[1], at, F.lit(1000)).alias("c"))
+            rows = rows.join(F.broadcast(second), "s").withColumn("p", place("c", F.col("x")[1])).drop("c")
+    sizes = rows.groupBy("s", "p").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / (4 * TILE)).cast("int")
+    rows = cut(rows.join(sizes, ["s", "p"]).withColumn("t", F.concat_ws("_", "s", "p", F.pmod(F.xxhash64("i"), parts))).select("i", "x", "t"))
+
+    def own(tile: pa.Table) -> pa.Table:
+        i, x = tile["i"].to_numpy(), np.stack(tile["x"].to_pylist())
+        reach, count = np.full(len(i), np.inf), np.zeros(len(i), np.int64)
+        for row, _, d in _least_k(i, x, i, x, k):
+            np.add.at(count, row, 1)
+            top = np.zeros(len(i))
+            np.maximum.at(top, row, d)
+            full = np.unique(row)
+            reach[full] = np.where(count[full] >= k, top[full], np.inf)
+        return pa.table({"i": tile["i"], "x": tile["x"].cast(pa.list_(pa.float64())), "t": tile["t"], "reach": reach})
+
+    reached = cut(rows.groupBy("t").applyInArrow(own, "i bigint, x array<double>, t string, reach double"))
+    low = F.array(*[F.min(F.col("x")[c]) for c in range(dims)])
+    high = F.array(*[F.max(F.col("x")[c]) for c in range(dims)])
+    boxes = cut(reached.groupBy("t").agg(low.alias("low"), high.alias("high"), F.max("reach").alias("reach")))
+    strips = max(1, -(-boxes.count() // STRIP))
+    total = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
+    ours = boxes.select(F.pmod(F.xxhash64("t"), F.lit(strips)).cast("int").alias("strip"), F.col("t").alias("a"), "low", "high", "reach")
+    theirs = boxes.select(F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip"), F.col("t").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    apart = total(F.zip_with(F.zip_with("low_b", "high", lambda x, y: x - y), F.zip_with("low", "high_b", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))))
+    pairs = cut(ours.join(theirs, "strip").where(apart <= F.col("reach") + 1e-8).select("a", "b", "low_b", "high_b"))
+    off = total(F.zip_with(F.zip_with("low_b", "x", lambda x, y: x - y), F.zip_with("x", "high_b", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))))
+    left = reached.join(pairs.withColumnRenamed("a", "t"), "t").where(off <= F.col("reach") + 1e-8).select(F.col("t").alias("a"), "b", "i", "x", F.lit(True).alias("asks"))
+    right = reached.join(pairs.select("a", F.col("b").alias("t")), "t").select("a", F.col("t").alias("b"), "i", "x", F.lit(False).alias("asks"))
+
+    def meet(both: pa.Table) -> pa.Table:
+        asks, i, x = both["asks"].to_numpy(), both["i"].to_numpy(), np.stack(both["x"].to_pylist())
+        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found = list(_least_k(i[mine], x[mine], i[others], x[others], k)) if len(mine) and len(others) else []
+        row, col, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"i": i[mine[row]], "j": i[others[col]], "d": d})
+
+    met = left.union(right).groupBy("a", "b").applyInArrow(meet, "i bigint, j bigint, d double")
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k).drop("r")
+
+
+def local_outlier_factor(df: DataFrame, key: str, columns: list[str], k: int = 15, contamination: float = 0.05) -> DataFrame:
+    """``(key, lof, lof_score, lof_flag)`` of every row: neighbours among all rows; standardised columns, ties by key. ``key`` is a unique whole number; NULLs count as the mean."""
     stats = df.agg(*[s for c in columns for s in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))])
-    scaled = df.crossJoin(F.broadcast(stats)).select(F.col(key).alias("i"), F.col(block).alias("g"), F.array(*[(F.col(c) - F.col(f"{c}_m")) / F.when(F.col(f"{c}_s") > 0, F.col(f"{c}_s")).otherwise(1.0) for c in columns]).alias("x"))
-    other = scaled.select(F.col("i").alias("j"), "g", F.col("x").alias("y"))
-    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    near = scaled.join(other, "g").where("i <> j").select("g", "i", "j", F.round(gap, 9).alias("d"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k).drop("r")
+    scaled = df.crossJoin(F.broadcast(stats)).select(F.col(key).cast("long").alias("i"), F.array(*[F.coalesce((F.col(c) - F.col(f"{c}_m")) / F.when(F.col(f"{c}_s") > 0, F.col(f"{c}_s")).otherwise(1.0), F.lit(0.0)) for c in columns]).alias("x"))
+    near = cut(nearest(scaled.where("i is not null"), len(columns), k))
     reach = near.groupBy("i").agg(F.max("d").alias("kd"))
-    dense = near.join(reach.toDF("j", "kd"), "j").groupBy("i", "g").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
-    lof = near.join(dense.select(F.col("i").alias("j"), F.col("lrd").alias("other")), "j").groupBy("i").agg(F.avg("other").alias("o")).join(dense, "i").select("i", "g", (F.col("o") / F.col("lrd")).alias("lof"))
-    top = lof.agg(F.percentile("lof", F.lit(1 - contamination)).alias("p"), F.max(F.greatest(F.lit(0.0), F.col("lof") - 1)).alias("b"))
+    dense = cut(near.join(reach.toDF("j", "kd"), "j").groupBy("i").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd")))
+    lof = cut(near.join(dense.select(F.col("i").alias("j"), F.col("lrd").alias("other")), "j").groupBy("i").agg(F.avg("other").alias("o")).join(dense, "i").select("i", (F.col("o") / F.col("lrd")).alias("lof")))
+    bound = exact_quantiles(lof, [], "lof", [1 - contamination]).select(F.col("q")[0].alias("p"))
+    top = lof.agg(F.max(F.greatest(F.lit(0.0), F.col("lof") - 1)).alias("b")).crossJoin(F.broadcast(bound))
     out = lof.crossJoin(F.broadcast(top))
-    return out.select(F.col("i").alias(key), F.col("g").alias(block), F.round("lof", 4).alias("lof"), _clip((F.col("lof") - 1) / F.when(F.col("b") > 0, F.col("b")).otherwise(1.0)).alias("lof_score"), (F.col("lof") > F.col("p")).alias("lof_flag"))
+    return out.select(F.col("i").alias(key), F.round("lof", 4).alias("lof"), _clip((F.col("lof") - 1) / F.when(F.col("b") > 0, F.col("b")).otherwise(1.0)).alias("lof_score"), (F.col("lof") > F.col("p")).alias("lof_flag"))
 
 
 def reconstruction(df: DataFrame, columns: list[str], percentile: float = 0.95) -> DataFrame:

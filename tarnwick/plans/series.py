@@ -259,13 +259,13 @@ def _(spark, d):
 
 
 @query("anomaly_lof", """WITH s AS (SELECT avg(p_size) AS a, stddev_pop(p_size) AS sa, avg(p_retailprice) AS b, stddev_pop(p_retailprice) AS sb FROM part),
-x AS (SELECT p_partkey AS i, p_brand AS g, (p_size - a) / sa AS u, (p_retailprice - b) / sb AS w FROM part, s),
-n AS (SELECT p.i, p.g, q.i AS j, round(sqrt((p.u - q.u) * (p.u - q.u) + (p.w - q.w) * (p.w - q.w)), 9) AS dist FROM x p JOIN x q ON p.g = q.g AND p.i <> q.i QUALIFY row_number() OVER (PARTITION BY p.i ORDER BY dist, q.i) <= 15),
-k AS (SELECT i, max(dist) AS kd FROM n GROUP BY 1), l AS (SELECT n.i, n.g, 1 / (avg(greatest(dist, kd)) + 1e-10) AS lrd FROM n JOIN k ON k.i = n.j GROUP BY 1, 2),
-o AS (SELECT n.i, avg(l.lrd) AS o FROM n JOIN l ON l.i = n.j GROUP BY 1), f AS (SELECT l.i, l.g, o / lrd AS lof FROM o JOIN l USING (i)), t AS (SELECT quantile_cont(lof, 0.95) AS p, max(greatest(0, lof - 1)) AS b FROM f)
-SELECT i AS p_partkey, g AS p_brand, round(lof, 4) AS lof, round(least(1.0, greatest(0.0, (lof - 1) / b)), 4) AS lof_score, lof > p AS lof_flag FROM f, t""")
+x AS (SELECT p_partkey AS i, (p_size - a) / sa AS u, (p_retailprice - b) / sb AS w FROM part, s),
+n AS (SELECT p.i, q.i AS j, round(sqrt((p.u - q.u) * (p.u - q.u) + (p.w - q.w) * (p.w - q.w)), 9) AS dist FROM x p JOIN x q ON p.i <> q.i QUALIFY row_number() OVER (PARTITION BY p.i ORDER BY dist, q.i) <= 15),
+k AS (SELECT i, max(dist) AS kd FROM n GROUP BY 1), l AS (SELECT n.i, 1 / (avg(greatest(dist, kd)) + 1e-10) AS lrd FROM n JOIN k ON k.i = n.j GROUP BY 1),
+o AS (SELECT n.i, avg(l.lrd) AS o FROM n JOIN l ON l.i = n.j GROUP BY 1), f AS (SELECT l.i, o / lrd AS lof FROM o JOIN l USING (i)), t AS (SELECT quantile_cont(lof, 0.95) AS p, max(greatest(0, lof - 1)) AS b FROM f)
+SELECT i AS p_partkey, round(lof, 4) AS lof, round(least(1.0, greatest(0.0, (lof - 1) / b)), 4) AS lof_score, lof > p AS lof_flag FROM f, t""")
 def _(spark, d):
-    return anomaly.local_outlier_factor(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"], "p_brand")
+    return anomaly.local_outlier_factor(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"])
 
 
 @query("anomaly_reconstruction")

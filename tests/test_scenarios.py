@@ -355,3 +355,27 @@ def test_correlations_of_gaps_and_constants(spark):
 
     want = round(float(np.corrcoef(*zip(*pairs))[0, 1]), 3)
     assert got["x", "y"] == -1.0 and got["x", "z"] == want and got["x", "flat"] == got["flat", "z"] == 0.0 and len(got) == 6
+
+
+def test_nearest_points_over_many_tiles(spark, monkeypatch):
+    """Many tiles, a dense point that a third of the rows share, far points, ties by number: as by brute force."""
+    import numpy as np
+    from tarnwick.operators import anomaly
+
+    monkeypatch.setattr(anomaly, "TILE", 16)
+    monkeypatch.setattr(anomaly, "STRIP", 4)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(600, 2)), 1)
+    x[:200] = x[0]
+    x[590:] = rng.normal(0, 60, size=(10, 2))
+    ids = rng.permutation(10_000)[:600]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "i long, x array<double>")
+    got = {}
+    for r in anomaly.nearest(df, 2, 7).collect():
+        got.setdefault(r["i"], set()).add((r["j"], r["d"]))
+    for n, i in enumerate(ids):
+        d = np.round(np.sqrt(((x - x[n]) ** 2).sum(1)), 9)
+        want = sorted((d[m], ids[m]) for m in range(600) if m != n)[:7]
+        assert got[i] == {(int(j), float(w)) for w, j in want}
+    few = anomaly.local_outlier_factor(spark.createDataFrame([(1, 1.0, None), (2, 1.1, 2.0), (3, 9.0, 2.0)], "id long, a double, b double"), "id", ["a", "b"], 2)
+    assert few.count() == 3
