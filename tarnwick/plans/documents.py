@@ -137,6 +137,15 @@ def _(spark, d):
     return postings.join(frequencies, "token").groupBy("token", "df").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
 
 
+#: The same searches over whole documents.
+_DOCUMENTS = "SELECT CAST(doc_id AS STRING) AS chunk_id, text, source AS section, doc_id AS page, concat('doc', CAST(doc_id AS STRING)) AS filename FROM documents WHERE doc_id IS NOT NULL"
+
+
+@query("bm25_search_documents", f"WITH {_BM25.replace(_TURNS, _DOCUMENTS)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 10")
+def _(spark, d):
+    return retrieval.bm25_search(asked(spark, d), derived(spark, d, _DOCUMENTS))
+
+
 @query("bm25_search", f"WITH {_BM25} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 10")
 def _(spark, d):
     return retrieval.bm25_search(asked(spark, d), turns(spark, d))
@@ -198,6 +207,11 @@ fu AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id,
 hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fu) WHERE rank <= {k})"""
 
 
+@query("hybrid_search_documents", f"WITH {_hybrid_sql(10).replace(_TURNS, _DOCUMENTS)} SELECT query_id, chunk_id, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, rrf, CAST(rank AS INTEGER) AS rank FROM hybrid")
+def _(spark, d):
+    return retrieval.hybrid_search(asked(spark, d), derived(spark, d, _DOCUMENTS)).select("query_id", "chunk_id", "dense_rank", "bm25_rank", "rrf", "rank")
+
+
 @query("rank_fusion_join", f"WITH {_hybrid_sql(10)} SELECT query_id, chunk_id, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, rrf, CAST(rank AS INTEGER) AS rank FROM hybrid")
 def _(spark, d):
     q, c = asked(spark, d), turns(spark, d)

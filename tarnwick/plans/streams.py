@@ -96,7 +96,7 @@ def _(spark, d):
 @query("stream_index")
 def _(spark, d):
     path = scratch(spark, "stream")
-    table(spark, d, "benchmark").write.parquet(f"{path}/in")
+    table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{path}/in")
     stream = anomalies.parquet_stream(spark, spark.read.parquet(f"{path}/in").schema, f"{path}/in")
-    anomalies.stream_index(stream, f"{path}/index", f"{path}/checkpoint", "item_id", "text").awaitTermination()
+    anomalies.stream_index(stream, f"{path}/index", f"{path}/checkpoint", "doc_id", "text").awaitTermination()
     return spark.read.option("basePath", f"{path}/index").parquet(f"{path}/index/batch=*/postings").groupBy("token").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))

@@ -6,6 +6,7 @@ import datetime
 import math
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from tarnwick.functions import columns as C
@@ -379,3 +380,72 @@ def test_nearest_points_over_many_tiles(spark, monkeypatch):
         assert got[i] == {(int(j), float(w)) for w, j in want}
     few = anomaly.local_outlier_factor(spark.createDataFrame([(1, 1.0, None), (2, 1.1, 2.0), (3, 9.0, 2.0)], "id long, a double, b double"), "id", ["a", "b"], 2)
     assert few.count() == 3
+
+
+def test_arima_follows_an_autoregression(spark):
+    """One step ahead of an AR(1) series lies near what its coefficient says, and the forecasts go on to the mean's side."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    y = [0.0]
+    for _ in range(400):
+        y.append(0.8 * y[-1] + rng.normal(0, 0.1))
+    y = [v + 20 for v in y]
+    out = rows(forecast.solved(series(spark, y), ["series"], "day", "y", 5, "arima").select("step", "forecast"), "step")
+    assert abs(out[0][1] - (20 + 0.8 * (y[-1] - 20))) < 0.15 and all(abs(v - 20) < 2 for _, v in out)
+
+
+def test_sarima_knows_the_season(spark):
+    values = [100 + 20 * (i % 7 == 5) + 0.1 * i for i in range(84)]
+    out = rows(forecast.solved(series(spark, values[:77]), ["series"], "day", "y", 7, "sarima").select("step", "forecast"), "step")
+    assert max(out, key=lambda x: x[1])[0] == [i % 7 for i in range(77, 84)].index(5) + 1
+
+
+def test_direct_forecast_goes_on_along_a_line(spark):
+    values = [5 + 2.0 * i for i in range(60)]
+    out = rows(forecast.direct_forecast(series(spark, values), ["series"], "day", "y", 4).select("step", "forecast"), "step")
+    assert [v for _, v in out] == pytest.approx([5 + 2.0 * i for i in range(60, 64)], abs=0.5)
+
+
+def test_tuning_takes_the_best_draw_and_folds_are_averaged(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from tarnwick.operators import ml
+
+    df = spark.createDataFrame([(i, float(i % 13), float(i % 7), 3.0 * (i % 13) - (i % 7) + 1) for i in range(300)], "id int, a double, b double, label double")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    model, table = ml.tune(df, LinearRegression(solver="normal"), {"regParam": [0.0, 1.0, 10.0, 100.0]}, RegressionEvaluator(metricName="rmse"), trials=15)
+    assert table.orderBy("score").first()["params"] == {"regParam": "0.0"} and model.coefficients.toArray().tolist() == pytest.approx([3.0, -1.0], abs=1e-6)
+    folded = ml.folds(df, "id", 3)
+    got = {r["metric"]: r["mean"] for r in ml.cross_validate(folded, LinearRegression(regParam=1.0, solver="normal"), False, 3).collect()}
+    errors = []
+    for k in range(3):
+        fitted = LinearRegression(regParam=1.0, solver="normal").fit(folded.where(f"fold <> {k}"))
+        errors.append(RegressionEvaluator(metricName="rmse").evaluate(fitted.transform(folded.where(f"fold = {k}"))))
+    assert got["rmse"] == pytest.approx(sum(errors) / 3, abs=1e-4)
+
+
+def test_chunks_like_brute_force(spark):
+    """Chunks of the given documents: whole sentences in order, as long as they fit, with the last words of a full chunk before the next."""
+    import re
+
+    from tarnwick.operators import text
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {}
+    for r in text.chunks(text.text_sections(docs, "doc_id", "text"), "doc_id", 60, 10).orderBy("chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    for r in docs.collect():
+        want = []
+        for part in re.split(r"\n+", r["text"] or ""):
+            want += [s.split() for s in re.split(r"(?<=[.?!])\s+", part.strip()) if s]
+        chunks, now = [], []
+        for words in want:
+            if now and len(now) + len(words) > 60:
+                chunks.append(now)
+                now = now[len(now) - 10 :] if len(now) > 10 else []
+            now = now + words
+        chunks += [now] if now else []
+        assert [c.split() for c in got.get(r["doc_id"], [])] == chunks
