@@ -74,19 +74,15 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.coalesce(F.sha2("text", 256), F.lit("")).alias("body"))
     path = f"{checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     vocabularies = {name: public_tokenizers.path(f"{name}.tiktoken") for name in TOKENIZERS}
-    counts = token_counts.counted(docs, {first: vocabularies[first]}, public_tokenizers.PATTERN)
-    counts.drop("text").write.parquet(f"{path}/counted")
-    counted = spark.read.parquet(f"{path}/counted")
-    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    # both versions in one scan: a join of the texts with the labels would move all texts
+    token_counts.counted(docs, vocabularies, public_tokenizers.PATTERN).drop("text").write.parquet(f"{path}/counted")
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("labelled", F.lit(True))
+    counted = spark.read.parquet(f"{path}/counted").join(labelled, "doc_id", "left").withColumn("again", F.coalesce("labelled", F.lit(False))).drop("labelled")
+    counted.write.parquet(f"{path}/marked")
+    counted = spark.read.parquet(f"{path}/marked")
     by = lambda rows, name: rows.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(name).alias("tokens"))
     rollup = f"{path}/rollup"
     token_counts.commit(spark, rollup, "1", token_counts.inserts(by(counted, first)))
-    anew = token_counts.counted(docs.join(labelled, "doc_id", "left_semi"), {second: vocabularies[second]}, public_tokenizers.PATTERN)
-    anew.select("doc_id", "body", second).write.parquet(f"{path}/anew")
-    anew = spark.read.parquet(f"{path}/anew").dropDuplicates(["doc_id", "body"])
-    counted = counted.join(anew, ["doc_id", "body"], "left").withColumn("again", F.col(second).isNotNull())
-    counted.write.parquet(f"{path}/both")
-    counted = spark.read.parquet(f"{path}/both")
     revised = counted.where("again")
     for _ in range(2):
         token_counts.commit(spark, rollup, "2", token_counts.revisions(by(revised, first), by(revised, second)))
