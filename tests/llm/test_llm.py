@@ -89,6 +89,33 @@ def test_shards(spark, docs):
     assert len(sums) == 24 and max(r["w"] for r in sums) - min(r["w"] for r in sums) <= 2
 
 
+def test_spread_of_the_query(spark):
+    """The bytes of the query's own shards over the documents of sf0.1 differ by less than one in ten thousand."""
+    sums = [r["b"] for r in entries.op1_kk_sharding(spark, "/root/testdata/sf0.1").groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sums) == 24 and max(sums) - min(sums) < 1e-4 * sum(sums) / 24
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """Texts of 200,000 words and more through the operators that read them whole; extra columns with names that these use."""
+    ours, P = _tiktoken()
+    text = " ".join(f"w{i % 99_991}x{i % 7}" for i in range(200_000))
+    item = [f"item{i}" for i in range(30)]
+    rows = [(1, text, "en"), (2, text + " " + " ".join(item), "en"), (3, "y" * 1_000_000, None), (4, "password=hunter2hunter2 " + "z " * 300_000, "en"), (4, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("k", "t", "r", "n", "row", "source", "item", "size", "hub", "rep", "ids", "score", "path", "token")})
+    assert sorted(r["size"] for r in sharding.shard(df, 2).collect()) == sorted(len(t or "") + 8 for _, t, _ in rows)
+    near = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    words = text.split()
+    assert near[1, len({tuple(words[k : k + 5]) for k in range(len(words) - 4)})] == 1 and {d: c for (d, _), c in near.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    assert [(r["doc_id"], r["score"]) for r in decontamination.matches(df, bench).collect()] == [(2, 1.0)]
+    assert decontamination.clean(df, bench).count() == 4 and minhash.without_copies(df).columns == df.columns
+    for r in bpe.digests(df.where("doc_id in (1, 4)"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect():
+        whole = next(t for d, t, _ in rows if d == r["doc_id"] and (t is None) == (r["n_tokens"] == 0))
+        assert r["decoded_sha256"] == hashlib.sha256((whole or "").encode()).hexdigest()
+    assert [r["token"] for r in secret_scan.findings(df).where("doc_id = 4").collect()] == ["hunter2hunter2"]
+    assert language.identify(df).count() == 5
+
+
 def test_shards_of_odd_rows(spark, odd):
     rows = sharding.shard(odd, 3).collect()
     assert len(rows) == odd.count()
@@ -317,6 +344,14 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_odd_rows(spark):
+    names = ["k", "rep", "n", "dim", "mark", "v", "cell", "part", "tile", "times", "near", "a", "b"]
+    rows = [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (1, [2.0, -1.0], 0), (2, [2.0, 4.1], 0), (None, [1.0, 2.0], 0), (3, [1e308, 1e308], 0), (4, [5e-324, 0.0], 0), (5, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in names})
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (None, 0, None, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)], key=str)
+
+
 def test_pivots_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 16)
     random.seed(5)
@@ -413,6 +448,16 @@ def test_url_rules_match_like_brute_force(spark):
     assert hit == {t: n for t, n in want.items() if n}
 
 
+def test_urls_of_odd_rows(spark):
+    long = "http://a.example.net/en/" + "x" * 500_000 + "/" + "/".join(f"p{i}" for i in range(300)) + "?" + "&".join(f"q{i}=1" for i in range(300))
+    names = ["host", "path", "tokens", "rule", "verdict", "k", "n_rules", "confidence"]
+    pages = spark.createDataFrame([(1, long), (1, long), (None, "http://org/fr/x"), (2, ""), (3, None), (4, "://"), (5, "http:///p"), (6, "http://ünï.org/fr/")], "page_id long, url string").withColumns({c: F.lit(0) for c in names})
+    labelled = pages.select("url", F.lit(None).cast("boolean").alias("bad")).union(pages.select("url", F.lit(True)).where("url is null"))
+    got = sorted(((r["page_id"], len(r["path"]), r["rule"], r["verdict"]) for r in urls.judge(pages, labelled, entries.LISTED).collect()), key=str)
+    path = len(long.split("example.net")[1].split("?")[0])
+    assert got == sorted([(1, path, "example.net/en/", "allow"), (1, path, "example.net/en/", "allow"), (None, 5, "org/fr/", "allow"), (2, 0, None, "allow"), (3, 0, None, "allow"), (4, 0, None, "allow"), (5, 2, None, "allow"), (6, 4, "org/fr/", "allow")], key=str)
+
+
 def test_long_templated_urls_end(spark):
     """40 words that all bad rows share, and 40 of which each row lacks one: no explosion of itemsets."""
     whole = [([f"path=t{i}" for i in range(40)], True)] * 12 + [([f"path=u{i}" for i in range(40) if i != k], True) for k in range(40)]
