@@ -65,18 +65,20 @@ def match_units(units: DataFrame, templates: list[tuple[str, str]] | None = None
     """
     spark: SparkSession = units.sparkSession
     given = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates or TEMPLATES)], "template int, licence string, text string")
-    units = cut(units.select(F.sha2("unit", 256).alias("u"), "unit", "times"))  # before the words, each of which would hash its unit anew
-    words = cut(units.select("u", "times", F.explode(_terms(F.col("unit"))).alias("word")).groupBy("u", "times", "word").agg(F.count("*").alias("tf")))
+    units = cut(units.select(F.monotonically_increasing_id().alias("u"), "unit", "times"))  # words go by a number of their unit
+    words = cut(units.select("u", "times", F.explode(_terms(F.col("unit"))).alias("word")).groupBy("u", "times", "word").agg(F.count("*").cast("int").alias("tf")))
     total = units.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     own = given.select("template", "licence", F.explode(_terms(F.col("text"))).alias("word")).groupBy("template", "licence", "word").agg(F.count("*").alias("tf"))
     held = cut(words.groupBy("word").agg(F.sum("times").alias("n"), F.count("*").alias("rows")))
     weight = F.log((1 + F.lit(total)) / (1 + F.coalesce("n", F.lit(0)))) + 1
     templated = cut(own.join(held, "word", "left").select("template", "licence", "word", (F.col("tf") * weight).alias("v")))
-    weighted = cut(join_by_count(words, held, ["word"], "rows").select("u", "word", (F.col("tf") * weight).alias("w")))
+    weighted = join_by_count(words.select("u", "word", "tf"), held, ["word"], "rows").select("u", "word", (F.col("tf") * weight).alias("w"))
     length = weighted.groupBy("u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("unit_length"))
     template_length = templated.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("template_length"))
     # a fixed list of templates, so its few thousand words are a table of known size
-    dots = weighted.join(F.broadcast(templated), "word").groupBy("u", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    own_words = words.join(F.broadcast(templated.select("word").distinct()), "word", "left_semi").select("u", "word", "tf")
+    shared = own_words.join(F.broadcast(held.join(F.broadcast(templated.select("word").distinct()), "word", "left_semi")), "word").select("u", "word", (F.col("tf") * weight).alias("w"))
+    dots = shared.join(F.broadcast(templated), "word").groupBy("u", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     scored = dots.join(length, "u").join(F.broadcast(template_length), "template").select("u", "licence", F.round(F.col("dot") / (F.col("unit_length") * F.col("template_length")), 6).alias("cosine"))
     best = scored.groupBy("u").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
     return units.join(best, "u").select("unit", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), "times")
