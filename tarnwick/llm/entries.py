@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, embedding_dedup, language, licenses, minhash, secret_scan, sharding, token_counts, urls
+from . import alignment, bpe, decontamination, embedding_dedup, language, licenses, lines, minhash, periods, secret_scan, sharding, token_counts, urls
 from .common import checkpoint_dir, cut, join_by_count
 
 #: Fixed by the contract of the URL query: host, path, verdict.
@@ -94,7 +96,33 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(spark, rollup)
 
 
-QUERIES = {q.__name__: q for q in (op1_kk_sharding, op2_license_scan, op3_byte_bpe, op4_decontamination, op5_embedding_dedup, op6_url_rules, op7_secret_scan, op8_language, op9_circulant_minhash, op10_token_rollup)}
+def looped(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Fixed by the contract of the query of periodic runs: in some documents the words from one on repeat those that follow it, over and over."""
+    if doc_id is None:
+        return None
+    tens, ones = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if ones:
+        return None
+    a = tens % n
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % (1 + (n - a) // (3 + tens % 8))
+    return places
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.periodic_runs(table(spark, sf_dir, "documents"), order=looped))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = alignment.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return alignment.end_links(table(spark, sf_dir, "documents"), a, alignment.Tokenizer(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {q.__name__: q for q in (op1_kk_sharding, op2_license_scan, op3_byte_bpe, op4_decontamination, op5_embedding_dedup, op6_url_rules, op7_secret_scan, op8_language, op9_circulant_minhash, op10_token_rollup, op11_periodic_runs, op12_token_alignment, op13_line_dedup)}
 
 _TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
 
@@ -155,5 +183,33 @@ reach AS (SELECT rep AS node, rep AS seen FROM classes UNION SELECT r.node, l.b
 part AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(p.component, s.doc_id) AS component_id, s.doc_id = coalesce(p.component, s.doc_id) AS kept
 FROM sets s LEFT JOIN classes c ON list_sort(s.s) = c.s LEFT JOIN part p ON p.node = c.rep
+""",
+    "op11_periodic_runs": r"""
+WITH given AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+hashed AS (SELECT *, len(w) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::UBIGINT)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)::BIGINT END AS h FROM given),
+spot AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM hashed),
+loop AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM spot),
+texts AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM loop),
+fives AS (SELECT r, i, array_to_string(w[i + 1:i + 5], ' ') AS five FROM (SELECT r, w, unnest(range(n - 4)) AS i FROM texts WHERE n >= 6)),
+-- stretches of words that stay equal to those q words on: four periods and six words have five equal ones at least
+equal AS (SELECT x.r, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.r, y.i - x.i ORDER BY x.i) AS island FROM fives x JOIN fives y ON x.r = y.r AND x.five = y.five AND x.i < y.i),
+stretch AS (SELECT r, q, min(i) AS start, max(i) - min(i) + 5 + q AS length FROM equal GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS q FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+told AS (SELECT r, count(*) AS n_runs, arg_max(struct_pack(s := start, l := length, q := q), length * 1000000000 - start) AS top, string_agg(concat(start, ',', length, ',', q, chr(10)), '' ORDER BY start, q) AS listed FROM runs GROUP BY r),
+lost AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS words FROM (SELECT r, unnest(range(n)) AS i, unnest(w) AS word FROM texts) ANTI JOIN lost USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.q AS period, 1000 * top.l // top.q AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM texts LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+""",
+    "op13_line_dedup": r"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT r, doc_id, unnest(range(len(ls))) AS place, unnest(ls) AS line FROM rows),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+found AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT keyed.*, coalesce(doc_id < last, false) AS gone FROM keyed LEFT JOIN found USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id
 """,
 }
