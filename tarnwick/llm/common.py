@@ -34,6 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many ``_`` behind it as no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(key: Column, text: Column) -> Column:
     """A long for each different pair of key and text, null ones too, whatever stands on the other columns."""
     return F.xxhash64(key.cast("string"), key.isNull(), text, text.isNull())

@@ -10,6 +10,8 @@ Items are a query set against all texts, in blocks of bounded size; texts are no
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -178,8 +180,8 @@ def _counted(docs: DataFrame, items: Items) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["seed", "n"])
 
     out = np.zeros(len(items.seeds), np.int64)
-    for r in docs.mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-        out[r["seed"]] = r["n"]
+    found = docs.mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    out[found["seed"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -255,7 +257,8 @@ def _blocks(given: DataFrame, benchmark: DataFrame, least: float, item: str, tex
     for row in test.orderBy("item").toLocalIterator():
         ids.append(row["item"])
         texts.append(row["t"])
-        held += row["t"].count(" ") + 1
+        # a word and the white space behind it have two characters at least; items of long words close a block by their size
+        held += max(len(re.findall(r"[^\x20\x09-\x0D]+", row["t"])), len(row["t"]) // 16, 1)
         if held >= BLOCK_WORDS:
             items = Items(ids, texts, least)
             yield items.rare(_counted(given, items))
@@ -265,12 +268,12 @@ def _blocks(given: DataFrame, benchmark: DataFrame, least: float, item: str, tex
         yield items.rare(_counted(given, items))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """``(key, item, score, first_word, end_word, first_byte, end_byte)``: where a text of ``docs`` holds a copy of a test item, edited or in part, with a score of ``least`` or more (1: word for word).
 
     Bytes are those of the lower-cased text. A text may match an item in several places, and several items.
     No such alignment is lost, so an item of one or two words matches every text that holds one of its words if
-    ``least`` is 0.5. Null or wordless texts and items match nothing; repeated rows each match, and so do rows
+    ``least`` is 0.5 or less. Null or wordless texts and items match nothing; repeated rows each match, and so do rows
     with a null key; texts of any length are aligned whole around their seeds; other columns are left out. The
     benchmark is read to the driver in blocks of about a million words, each of which goes twice over all texts.
     """
@@ -282,7 +285,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, key: str
     return out.toDF(key, item, "score", "first_word", "end_word", "first_byte", "end_byte")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, item: str = "item_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, item: str = "item_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that match no test item, with all their columns.
 
     Each row is judged by its own text where it stands, so null and repeated keys make no difference and nothing

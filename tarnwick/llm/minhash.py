@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut, grouped, join_by_count, lowered, mix, row_key, slices, span_hashes, spans, utf8
+from .common import components, cut, free_name, grouped, join_by_count, lowered, mix, row_key, slices, span_hashes, spans, utf8
 
 #: Rows in a band, and the chance with which a pair just at the bound may miss every band.
 ROWS, MISSED = 5, 5e-7
@@ -245,10 +245,10 @@ def without_copies(docs: DataFrame, percent: int = 80, size: int = 5, text: str
     Of rows with the same key and text one stays, also if the text is null or blank; texts without words are
     otherwise no copies. Different texts under one key are judged each by itself.
     """
-    t = F.col(text).cast("string")
-    docs_r = docs.withColumn("r__", row_key(F.col(key), t))
-    rows, groups = _grouped(docs_r.select(F.col("r__").alias("r"), F.col(key).cast("long").alias("k"), t.alias("t")), percent, size)
-    keep = groups.select(F.col("head.r").alias("r__")).distinct().union(rows.where("n = 0").select("r").distinct())
+    t, mark = F.col(text).cast("string"), free_name(docs, "r")
+    docs_r = docs.withColumn(mark, row_key(F.col(key), t))
+    rows, groups = _grouped(docs_r.select(F.col(mark).alias("r"), F.col(key).cast("long").alias("k"), t.alias("t")), percent, size)
+    keep = groups.select(F.col("head.r").alias(mark)).distinct().union(rows.where("n = 0").select("r").distinct())
     if not rows.groupBy("r").count().where("count > 1").isEmpty():
-        docs_r = docs_r.dropDuplicates(["r__"])
-    return docs_r.join(keep, "r__", "left_semi").select(*docs.columns)
+        docs_r = docs_r.dropDuplicates([mark])
+    return docs_r.join(keep, mark, "left_semi").select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, row_key
+from .common import cut, free_name, row_key
 
 #: Words before a value that is to be kept secret.
 _KEYWORD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
@@ -174,12 +174,13 @@ def redact(docs: DataFrame, scanned: DataFrame, text: str = "text", key: str = "
 
     Findings belong to a row by its key and text together, so null and repeated keys are redacted too.
     """
-    held = scanned.where("is_secret").groupBy(F.col("row").alias("k_")).agg(F.collect_set("token").alias("s_"))
-    held = held.withColumn("s_", F.transform(F.array_sort(F.transform("s_", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"]))
+    mine, secrets = free_name(docs, "row"), free_name(docs, "secrets")
+    held = scanned.where("is_secret").groupBy(F.col("row").alias(mine)).agg(F.collect_set("token").alias(secrets))
+    held = held.withColumn(secrets, F.transform(F.array_sort(F.transform(secrets, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"]))
     literal = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     behind = lambda x: F.concat(F.lit(f"({_HEAD})"), literal(x), F.lit("(?=[\\s\"',;@]|$)"))
     shown = "$1" + mark.replace("\\", "\\\\").replace("$", "\\$")
     hide = lambda acc, x: F.when(F.length(x) < SHORT, F.regexp_replace(acc, behind(x), F.lit(shown))).otherwise(F.replace(acc, x, F.lit(mark)))
-    rows = docs.withColumn("row__", row_key(F.col(key), F.col(text).cast("string")))
-    new = F.when(F.col("s_").isNull(), F.col(text)).otherwise(F.aggregate("s_", F.col(text), hide))
-    return rows.join(held, rows["row__"] == held["k_"], "left").select(*[new.alias(c) if c == text else rows[c] for c in docs.columns])
+    rows = docs.withColumn(mine, row_key(F.col(key), F.col(text).cast("string"))).join(held, mine, "left")
+    new = F.when(F.col(secrets).isNull(), F.col(text)).otherwise(F.aggregate(secrets, F.col(text), hide))
+    return rows.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

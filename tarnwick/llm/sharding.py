@@ -3,7 +3,8 @@
 Differencing keeps a heap of partial partitions, each a way to split some of the groups over all shards, and
 joins the two with the largest spread, the heaviest part of one with the lightest of the other. Here blocks
 of groups are differenced side by side in tasks of bounded size; the partial partition that is left of each
-block is an item of the next level, until one block holds them all. Only sums travel between levels.
+block is an item of the next level, until one block holds them all, with the heaviest groups and enough light
+ones to level them. Only sums travel between levels.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut
+from .common import cut, join_by_count
 
 
 def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,28 +63,50 @@ def _level(items: DataFrame, kind: str, n_shards: int) -> DataFrame:
         out = [[int(x[-1])] for x in to] if single else to.tolist()
         return pd.DataFrame({"block": rows["block"].iloc[0], "item": [*rows["item"], None], "to": [*out, left.tolist()]})
 
-    return items.groupBy("block").applyInPandas(run, f"block bigint, item {kind}, to array<bigint>")
+    return items.groupBy("block").applyInPandas(run, f"block string, item {kind}, to array<bigint>")
 
 
 def balance(groups: DataFrame, n_shards: int, block_items: int = 4096) -> DataFrame:
     """``(item, shard)`` for ``groups`` of ``(item binary, weight long)``, ``item`` unique and not null.
 
-    Groups heavier than a shard's share / 64 (at most 64 * ``n_shards``, and one more a shard) are one block, so
-    the heaviest are weighed against each other first. Fewer groups than shards: the other shards stay empty.
+    Blocks come out level to a few bytes, so they cannot fill the gaps that heavy groups leave. Groups heavier than a shard's
+    share / 64 (at most 64 * ``n_shards``, and one more a shard) are therefore items of the last block, and beside them
+    stand light groups with some twice the heaviest group's bytes for each shard (all, if there are not as many), summed
+    to at most ``block_items`` by a hash. Where a block holds twice the heaviest group for each shard, blocks take all groups.
+    Where there are at most ``block_items`` groups each is an item of one block. Fewer groups than shards: the other
+    shards stay empty.
     """
-    groups = cut(groups)
-    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    blocks = max(1, -(-n // block_items))
-    block = F.when(F.col("weight") > total / (n_shards * 64), F.lit(-1)).otherwise(F.pmod(F.xxhash64("item"), F.lit(blocks))).cast("long")
-    level = cut(_level(groups.select(block.alias("block"), "item", F.array("weight").alias("sums")), "binary", n_shards))
-    placed = level.where("item is not null").select("item", "block", F.col("to")[0].alias("slot"))
+    groups = cut(groups.select("item", "weight"))
+    n, total, most = groups.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0))).first()
+    level_by_themselves = 2 * n_shards * most * n <= total * block_items
+    heavy = F.lit(True) if n <= block_items else F.lit(False) if level_by_themselves else F.col("weight") > total / (n_shards * 64)
+    light = groups.where(~heavy).agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    share = 0.0 if level_by_themselves else min(1.0, max(2 * n_shards * most / light, 2 * block_items / n)) if light else 1.0
+    spread = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "item"), F.lit(m)).cast("string")
+    block = F.concat(F.lit("block "), spread(0, max(1, -(-int(n * (1 - share)) // block_items))))
+    filler = F.pmod(F.xxhash64(F.lit(1), "item"), F.lit(1 << 20)) < share * (1 << 20)
+    # sums from large to a thousandth of that, so that small ones level what larger ones leave
+    even = F.pmod(F.xxhash64(F.lit(2), "item"), F.lit(1 << 40)) / (1 << 40)
+    summed = F.concat(F.lit("sum "), F.floor(F.log1p(even * 999) / float(np.log(1000)) * block_items).cast("string"))
+    part = F.when(heavy, F.concat(F.lit("group "), F.hex("item"))).when(filler, summed).otherwise(block)
+    parts = cut(groups.select("item", "weight", part.alias("part")))
+    in_block = F.startswith("part", F.lit("block "))
+    level = cut(_level(parts.where(in_block).select(F.col("part").alias("block"), "item", F.array("weight").alias("sums")), "binary", n_shards))
+    placed = level.where("item is not null").select("item", F.col("block").alias("part"), F.col("to")[0].alias("slot"))
+    placed = placed.unionByName(parts.where(~in_block).select("item", "part", F.lit(n_shards - 1).cast("long").alias("slot")))
+    alone = parts.where(~in_block).groupBy("part").agg(F.sum("weight").alias("weight"))
+    alone = alone.select(F.col("part").alias("item"), F.concat(F.array_repeat(F.lit(0).cast("long"), n_shards - 1), F.array("weight")).alias("sums"))
+    rounds = 0
     while True:
         tops = level.where("item is null").select(F.col("block").alias("item"), F.col("to").alias("sums"))
-        blocks = -(-tops.count() // block_items)
-        level = cut(_level(tops.select(F.pmod(F.xxhash64("item"), F.lit(max(1, blocks))).cast("long").alias("block"), "item", "sums"), "bigint", n_shards))
-        moves = level.where("item is not null").select(F.col("item").alias("block"), F.col("block").alias("above"), "to")
-        placed = placed.join(moves, "block").select("item", F.col("above").alias("block"), F.expr("to[slot]").alias("slot"))
-        if blocks <= 1:
+        blocks, rounds = -(-tops.count() // block_items), rounds + 1
+        last = blocks <= 1
+        items = tops.unionByName(alone) if last else tops
+        level = cut(_level(items.select(F.concat(F.lit(f"level {rounds}, "), F.pmod(F.xxhash64("item"), F.lit(max(1, blocks))).cast("string")).alias("block"), "item", "sums"), "string", n_shards))
+        moves = level.where("item is not null").select(F.col("item").alias("part"), F.col("block").alias("above"), "to")
+        # parts of the last block wait for it
+        placed = placed.join(moves, "part", "left").select("item", F.coalesce("above", "part").alias("part"), F.coalesce(F.expr("to[slot]"), "slot").alias("slot"))
+        if last:
             return placed.select("item", F.col("slot").cast("int").alias("shard"))
 
 
@@ -104,8 +127,8 @@ def shard(docs: DataFrame, n_shards: int = 24, text: str = "text", key: str = "d
             F.coalesce(F.unhex(F.sha2(t, 256)), F.lit(b"")).alias("item"),
         )
     )
-    groups = rows.groupBy("item").agg(F.sum("size").alias("weight"))
-    placed = rows.join(balance(groups, n_shards), "item").drop("item")
+    groups = cut(rows.groupBy("item").agg(F.sum("size").alias("weight"), F.count("*").alias("times")))
+    placed = join_by_count(rows, cut(balance(groups, n_shards).join(groups.select("item", "times"), "item")), ["item"], "times").drop("item", "times")
     spread = max(1, rows.count() // (n_shards * slots_at_once))
     placed = cut(placed.withColumn("bucket", F.pmod(F.xxhash64("k", "crc"), F.lit(spread))))
     own = Window.partitionBy("shard", "bucket")

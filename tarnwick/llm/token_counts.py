@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import STEP_BYTES, read_ranks
-from .common import slices
+from .common import free_name, slices
 
 KEYS = ["source", "lang", "tokenizer"]
 _SUMS = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
@@ -29,7 +29,7 @@ def counted(docs: DataFrame, vocabularies: dict[str, str], pattern: str, text: s
     """
     ranks = [read_ranks(path) for path in vocabularies.values()]
     names = [c for c in docs.columns if c not in vocabularies]
-    given = docs.select(*names, F.col(text).cast("string").alias("t__"))
+    given = docs.select(*names, F.col(text).cast("string").alias(free_name(docs, "t")))
 
     def run(batches):
         coders = [tiktoken.Encoding(f"own{i}", pat_str=pattern, mergeable_ranks=r, special_tokens={}) for i, r in enumerate(ranks)]

@@ -95,6 +95,37 @@ def test_spread_of_the_query(spark):
     assert len(sums) == 24 and max(sums) - min(sums) < 1e-4 * sum(sums) / 24
 
 
+@pytest.mark.parametrize("heavy, n", [(40, 20_000), (0, 20_000), (1, 20_000), (3000, 9000), (3, 10)])
+def test_heavy_groups_are_levelled(spark, heavy, n):
+    """Heavy groups over many blocks of light ones; groups of all sizes; fewer groups than shards."""
+    weight = F.when(F.col("id") < heavy, 1_000_000 + F.pmod(F.xxhash64("id"), F.lit(900_000))).otherwise(F.pmod(F.xxhash64("id"), F.lit(9000)) + 8)
+    groups = spark.range(n).select(F.col("id").cast("string").cast("binary").alias("item"), weight.cast("long").alias("weight"))
+    sums = sharding.balance(groups, 24).join(groups, "item").groupBy("shard").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in sums) == n
+    if n > 24:
+        total = sum(r["w"] for r in sums)
+        assert len(sums) == 24 and max(r["w"] for r in sums) - min(r["w"] for r in sums) <= max(2, total / 24 * 1e-4)
+
+
+def test_stages_keep_columns_with_any_name(spark, docs):
+    """Columns with names that stages use come out of each stage with their own values."""
+    names = ["score", "accepted", "lang_pred", "r__", "row__", "k_", "s_", "t__", "row", "r", "k", "t", "n", "head", "is_secret", "token", "hit", "c0"]
+    given = docs.where("doc_id < 60").withColumns({c: F.concat(F.lit(f"{c} "), "doc_id") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, SF)
+        assert out.columns == given.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in names)
+    given = given.withColumn("byte_bpe_50k", F.lit("x"))
+    out = token_counts.counted(given, {"byte_bpe_50k": _tiktoken()[1].path("byte_bpe_50k.tiktoken")}, _tiktoken()[1].PATTERN)
+    assert all(r["t__"] == f"t__ {r['doc_id']}" and isinstance(r["byte_bpe_50k"], int) for r in out.collect())
+
+
+def test_a_text_with_a_third_of_all_rows(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("copied")).otherwise(F.concat(F.lit("own "), F.col("id"))).alias("text"))
+    _check_shards(sharding.shard(rows, 5).collect(), {r["doc_id"]: r["text"] for r in rows.collect()}, 5)
+
+
 def test_very_long_texts_and_clashing_columns(spark):
     """Texts of 200,000 words and more through the operators that read them whole; extra columns with names that these use."""
     ours, P = _tiktoken()
