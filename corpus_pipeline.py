@@ -17,7 +17,7 @@ from tarnwick.llm.common import checkpoint_dir
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language ID rejects: null texts, texts without letters and scores under the calibrated bound."""
-    return language.predict(docs, language.train(docs), "text", *docs.columns).where("accepted").select(*docs.columns)
+    return language.known(docs, language.train(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
