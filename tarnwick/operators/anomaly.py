@@ -15,9 +15,9 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.halo import STRETCH, Halo
 from ..functions.lineage import cut
 from ..functions.ranges import exact_quantiles
-from .timeseries import ordered
 
 #: Normal range and critical bound of sensors by name; voltage is critical below its bound.
 SENSORS = {"temperature": (50.0, 80.0, 95.0), "voltage": (210.0, 245.0, 190.0), "vibration": (0.0, 0.08, 0.12), "pressure": (25.0, 35.0, 42.0), "current": (8.0, 16.0, 20.0)}
@@ -43,58 +43,56 @@ def zscore(df: DataFrame, keys: list[str], y: str, threshold: float = 3.0) -> Da
     return rows.withColumn("z", F.round(z, 4)).withColumns({"zscore_score": _clip(F.abs(z) / (2 * threshold)), "zscore_flag": F.abs(z) > threshold}).drop("m_", "s_")
 
 
-def modified_zscore(df: DataFrame, keys: list[str], y: str, threshold: float = 3.5) -> DataFrame:
-    """Adds ``mad_z``, ``mad_score``, ``mad_flag`` by the median absolute deviation; one of 0 gives 0."""
-    rows = _quantiles(df, keys, y, [0.5], "m_").withColumn("m_", F.col("m_")[0])
+def modified_zscore(df: DataFrame, keys: list[str], y: str, threshold: float = 3.5, quartiles: str | None = None) -> DataFrame:
+    """Adds ``mad_z``, ``mad_score``, ``mad_flag`` by the median absolute deviation; one of 0 gives 0. ``quartiles`` may name a column that holds the three of ``y``."""
+    rows = df.withColumn("m_", F.col(quartiles)[1]) if quartiles else _quantiles(df, keys, y, [0.5], "m_").withColumn("m_", F.col("m_")[0])
     rows = _quantiles(rows.withColumn("off_", F.abs(F.col(y) - F.col("m_"))), keys, "off_", [0.5], "d_").withColumn("d_", F.col("d_")[0]).drop("off_")
     z = F.coalesce(F.when(F.col("d_") > 0, 0.6745 * (F.col(y) - F.col("m_")) / F.col("d_")), F.lit(0.0))
     return rows.withColumn("mad_z", F.round(z, 4)).withColumns({"mad_score": _clip(F.abs(z) / (2 * threshold)), "mad_flag": F.abs(z) > threshold}).drop("m_", "d_")
 
 
-def iqr(df: DataFrame, keys: list[str], y: str, factor: float = 1.5) -> DataFrame:
-    """Adds ``iqr_score`` (distance from the fence over the quartile distance) and ``iqr_flag``."""
-    rows = _quantiles(df, keys, y, [0.25, 0.75], "q_")
-    a, b = F.col("q_")[0], F.col("q_")[1]
+def iqr(df: DataFrame, keys: list[str], y: str, factor: float = 1.5, quartiles: str | None = None) -> DataFrame:
+    """Adds ``iqr_score`` (distance from the fence over the quartile distance) and ``iqr_flag``. ``quartiles`` may name a column that holds the three of ``y``."""
+    rows = df.withColumn("q_", F.col(quartiles)) if quartiles else _quantiles(df, keys, y, [0.25, 0.5, 0.75], "q_")
+    a, b = F.col("q_")[0], F.col("q_")[2]
     low, high = a - factor * (b - a), b + factor * (b - a)
     far = F.greatest(low - F.col(y), F.col(y) - high, F.lit(0.0))
     return rows.withColumns({"iqr_score": _clip(far / (b - a + 1e-6)), "iqr_flag": F.coalesce(far > 0, F.lit(False))}).drop("q_")
 
 
-def rolling_zscore(df: DataFrame, keys: list[str], ts: str, y: str, window: int = 14, threshold: float = 2.8) -> DataFrame:
-    """Adds ``rolling_score``, ``rolling_flag``: against the ``window`` rows up to the row itself, from 3 on; earlier rows take the first statistics there are."""
-    w = ordered(keys, ts).rowsBetween(1 - window, 0)
-    rows = df.withColumns({"n_": F.count(y).over(w), "m_": F.avg(y).over(w), "s_": F.stddev_samp(y).over(w)})
-    full = F.col("n_") >= 3
-    rows = rows.withColumns({"m_": F.when(full, F.col("m_")), "s_": F.when(full, F.col("s_"))})
-    after = ordered(keys, ts).rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"m_": F.first("m_", True).over(after), "s_": F.first("s_", True).over(after)})
+def rolling_zscore(df: DataFrame, keys: list[str], ts: str, y: str, window: int = 14, threshold: float = 2.8, stretch: int = STRETCH) -> DataFrame:
+    """Adds ``rolling_score``, ``rolling_flag``: against the ``window`` rows up to the row itself, from 3 values on; rows with fewer take the next statistics there are. No task holds more than ``stretch`` rows of a series."""
+    halo = Halo(df, keys, [ts], window - 1, 0, stretch)
+    w = halo.window(1 - window, 0)
+    full = F.count(y).over(w) >= 3
+    rows = halo.rows.withColumns({"m_": F.when(full, F.avg(y).over(w)), "s_": F.when(full, F.stddev_samp(y).over(w))})
+    rows = halo.next_known(rows, ["m_", "s_"])
     z = F.coalesce(F.abs(F.col(y) - F.col("m_")) / F.when(F.col("s_") > 0, F.col("s_")).otherwise(1e-6), F.lit(0.0))
-    return rows.withColumns({"rolling_score": _clip(z / (2 * threshold)), "rolling_flag": z > threshold}).drop("n_", "m_", "s_")
+    return halo.own(rows, _clip(z / (2 * threshold)).alias("rolling_score"), (z > threshold).alias("rolling_flag"))
 
 
-def residuals(df: DataFrame, keys: list[str], ts: str, y: str, expected: str | None = None, window: int = 14, threshold: float = 3.0) -> DataFrame:
-    """Adds ``expected``, ``residual``, ``residual_score``, ``residual_flag``: expected is a column, or the median of the 7 rows before to the 6 after (3 at least)."""
-    if expected:
-        rows = df.withColumn("expected", F.col(expected))
-    else:
-        w = ordered(keys, ts).rowsBetween(-(window // 2), window - window // 2 - 1)
-        rows = df.withColumn("expected", F.when(F.count(y).over(w) >= 3, F.percentile(y, F.lit(0.5)).over(w)).otherwise(F.col(y)))
-    rows = rows.withColumn("residual", F.col(y) - F.col("expected"))
-    t = ordered(keys, ts).rowsBetween(1 - window, 0)
-    sd = F.when(F.count("residual").over(t) >= 3, F.stddev_samp("residual").over(t))
-    z = F.coalesce(F.abs("residual") / F.when(sd > 1e-6, sd), F.lit(0.0))
-    rows = rows.withColumn("z_", z)
-    return rows.withColumns({"residual_score": _clip(F.col("z_") / (2 * threshold)), "residual_flag": F.col("z_") > threshold, "expected": F.round("expected", 4), "residual": F.round("residual", 4)}).drop("z_")
+def residuals(df: DataFrame, keys: list[str], ts: str, y: str, expected: str | None = None, window: int = 14, threshold: float = 3.0, stretch: int = STRETCH) -> DataFrame:
+    """Adds ``expected``, ``residual``, ``residual_score``, ``residual_flag``: expected is a column, or the median of the 7 rows before to the 6 after (3 at least). No task holds more than ``stretch`` rows of a series."""
+    back, ahead = window // 2, window - window // 2 - 1
+    halo = Halo(df, keys, [ts], window - 1 + (0 if expected else back), 0 if expected else ahead, stretch)
+    w = halo.window(-back, ahead)
+    usual = F.col(expected) if expected else F.when(F.count(y).over(w) >= 3, F.percentile(y, F.lit(0.5)).over(w)).otherwise(F.col(y))
+    rows = halo.rows.withColumn("e_", usual).withColumn("r_", F.col(y) - F.col("e_"))
+    t = halo.window(1 - window, 0)
+    sd = F.when(F.count("r_").over(t) >= 3, F.stddev_samp("r_").over(t))
+    rows = rows.withColumn("z_", F.coalesce(F.abs("r_") / F.when(sd > 1e-6, sd), F.lit(0.0)))
+    out = halo.own(rows, "e_", "r_", "z_")
+    return out.withColumns({"expected": F.round("e_", 4), "residual": F.round("r_", 4), "residual_score": _clip(F.col("z_") / (2 * threshold)), "residual_flag": F.col("z_") > threshold}).drop("e_", "r_", "z_")
 
 
-def change_points(df: DataFrame, keys: list[str], ts: str, y: str, w: int = 7, least: float = 2.5) -> DataFrame:
+def change_points(df: DataFrame, keys: list[str], ts: str, y: str, w: int = 7, least: float = 2.5, stretch: int = STRETCH) -> DataFrame:
     """``(keys, ts, t, magnitude, pct_change, direction, confidence)``: where the means of ``w`` rows before and from the row on differ by a t of ``least`` or more, the highest within w // 2 rows."""
-    o = ordered(keys, ts)
-    before, after = o.rowsBetween(-w, -1), o.rowsBetween(0, w - 1)
-    rows = df.select(*keys, ts, F.count(y).over(before).alias("nb"), F.count(y).over(after).alias("na"), F.avg(y).over(before).alias("mb"), F.avg(y).over(after).alias("ma"), F.var_samp(y).over(before).alias("vb"), F.var_samp(y).over(after).alias("va"))
+    halo = Halo(df.select(*keys, ts, y), keys, [ts], w + w // 2, w - 1 + w // 2, stretch)
+    before, after = halo.window(-w, -1), halo.window(0, w - 1)
+    rows = halo.rows.withColumns({"nb": F.count(y).over(before), "na": F.count(y).over(after), "mb": F.avg(y).over(before), "ma": F.avg(y).over(after), "vb": F.var_samp(y).over(before), "va": F.var_samp(y).over(after)})
     t = F.abs(F.col("ma") - F.col("mb")) / F.sqrt(F.col("vb") / w + F.col("va") / w + 1e-8)
     rows = rows.withColumn("t", F.when((F.col("nb") == w) & (F.col("na") == w), t))
-    rows = rows.withColumn("top", F.max("t").over(o.rowsBetween(-(w // 2), w // 2))).where((F.col("t") >= least) & (F.col("t") == F.col("top")))
+    rows = rows.withColumn("top", F.max("t").over(halo.window(-(w // 2), w // 2))).where("own_").where((F.col("t") >= least) & (F.col("t") == F.col("top")))
     d = F.col("ma") - F.col("mb")
     return rows.select(*keys, ts, F.round("t", 4).alias("t"), F.round(F.abs(d), 4).alias("magnitude"), F.round(100 * d / (F.abs("mb") + 1e-6), 2).alias("pct_change"), F.when(d > 0, "UP").otherwise("DOWN").alias("direction"), F.round(F.least(F.lit(1.0), F.col("t") / 5), 4).alias("confidence"))
 
@@ -285,7 +283,8 @@ def severity(score: Column, z: Column, breach: Column) -> Column:
 
 def consensus(df: DataFrame, keys: list[str], ts: str, y: str, metric: str | None = None, extra: list[str] | None = None) -> DataFrame:
     """Every point with ``expected``, ``score`` (the highest of its votes), ``methods``, ``is_anomaly``, ``severity``: votes of residual, MAD, IQR, limits (with a metric's name) and any ``<name>_flag`` of ``extra`` detectors already there."""
-    rows = iqr(modified_zscore(residuals(zscore(df, keys, y), keys, ts, y), keys, y), keys, y)
+    rows = _quantiles(cut(residuals(zscore(df, keys, y), keys, ts, y)), keys, y, [0.25, 0.5, 0.75], "quartiles_")
+    rows = iqr(modified_zscore(rows, keys, y, quartiles="quartiles_"), keys, y, quartiles="quartiles_")
     rows = limits(rows, metric, y) if metric else rows.withColumns({"limit_score": F.lit(0.0), "limit_flag": F.lit(False), "breach": F.lit(False)})
     votes = ["residual", "mad", "iqr", "limit", *(extra or [])]
     names = F.array_compact(F.array(*[F.when(F.col(f"{v}_flag"), F.lit(v)) for v in votes]))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.columns import numeric_columns
-from ..operators.timeseries import ordered
+from ..functions.halo import STRETCH, Halo
 
 OUTPUT = "series string, column string, ts timestamp, event_id long, value double, z double, anomaly_type string, severity string"
 
@@ -27,11 +27,12 @@ def severity(z: Column) -> Column:
     return F.when(z >= 4, "critical").when(z >= 3, "high").when(z >= 2.5, "medium").otherwise("low")
 
 
-def batch_anomalies(rows: DataFrame, window: int = 50, threshold: float = 2.8, factor: float = 2.5) -> DataFrame:
-    """Anomalies of ``(series, column, ts, event_id, value)`` against the up to ``window`` values before each: z by the population deviation (1e-8 or less counts as 1), quartile fences (a distance of 1e-8 or less counts as 1); from max(10, window // 5) values on."""
-    w = ordered(["series", "column"], "ts", "event_id").rowsBetween(-window, -1)
+def batch_anomalies(rows: DataFrame, window: int = 50, threshold: float = 2.8, factor: float = 2.5, stretch: int = STRETCH) -> DataFrame:
+    """Anomalies of ``(series, column, ts, event_id, value)`` against the up to ``window`` values before each: z by the population deviation (1e-8 or less counts as 1), quartile fences (a distance of 1e-8 or less counts as 1); from max(10, window // 5) values on. No task holds more than ``stretch`` rows of a series."""
+    halo = Halo(rows, ["series", "column"], ["ts", "event_id"], window, 0, stretch)
+    w = halo.window(-window, -1)
     q = lambda p: F.percentile("value", F.lit(p)).over(w)
-    held = rows.withColumns({"n": F.count("value").over(w), "m": F.avg("value").over(w), "s": F.stddev_pop("value").over(w), "a": q(0.25), "b": q(0.75)}).where(F.col("n") >= max(10, window // 5))
+    held = halo.rows.withColumns({"n": F.count("value").over(w), "m": F.avg("value").over(w), "s": F.stddev_pop("value").over(w), "a": q(0.25), "b": q(0.75)}).where("own_").where(F.col("n") >= max(10, window // 5))
     z = (F.col("value") - F.col("m")) / F.when(F.col("s") > 1e-8, F.col("s")).otherwise(1.0)
     wide = factor * F.when(F.col("b") - F.col("a") > 1e-8, F.col("b") - F.col("a")).otherwise(1.0)
     is_z, is_q = F.abs("z") >= threshold, (F.col("value") < F.col("a") - wide) | (F.col("value") > F.col("b") + wide)
