@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import normalize_nulls
 from ..functions.ranges import running_sums
+from ..functions.substrings import containing
 from .profile import histogram, long_numeric, top_values, value_counts
 from .quality import adjusted_skewness
 
@@ -127,9 +128,12 @@ def verify_insights(claims: DataFrame, pairs: DataFrame, scored: DataFrame) -> D
 def match_claims(claims: DataFrame, metrics: DataFrame) -> DataFrame:
     """``claims(batch, claim_id, name, claimed)`` with ``actual`` of ``metrics(metric, value)``: the same name, else one that is alike in lower case or holds the other (the first by name)."""
     exact = metrics.select(F.col("metric").alias("name"), F.col("value").alias("exact")).dropDuplicates(["name"])
-    low = metrics.select(F.lower("metric").alias("low"), F.col("metric"), F.col("value")).alias("m")
-    loose = claims.alias("c").join(low, (F.lower("c.name") == F.col("m.low")) | F.lower("c.name").contains(F.col("m.low")) | F.col("m.low").contains(F.lower("c.name")))
-    best = loose.groupBy("batch", "claim_id").agg(F.min_by("value", F.struct((F.lower("name") != F.col("low")).alias("off"), "metric")).alias("loose"))
+    low = metrics.select(F.lower("metric").alias("low"), "metric", "value")
+    named = claims.select("batch", "claim_id", F.lower("name").alias("own"))
+    a, b = low.select("low").distinct().withColumn("text", F.col("low")), named.select("own").distinct().withColumn("text", F.col("own"))
+    alike = containing(a, "low", "text", b, "own").select("own", "low").union(containing(b, "own", "text", a, "low").select("own", "low")).distinct()
+    loose = named.join(alike, "own").join(low, "low")
+    best = loose.groupBy("batch", "claim_id").agg(F.min_by("value", F.struct((F.col("own") != F.col("low")).alias("off"), "metric")).alias("loose"))
     return claims.join(exact, "name", "left").join(best, ["batch", "claim_id"], "left").select("batch", "claim_id", "name", "claimed", F.coalesce("exact", "loose").alias("actual"))
 
 

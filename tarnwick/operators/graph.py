@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import cut as _cut
+from ..functions.substrings import containing
 
 
 def _empty() -> Column:
@@ -65,7 +66,7 @@ def from_reports(anomalies: DataFrame, forecasts: DataFrame, dataset: str) -> tu
 
 
 def mentions(docs: DataFrame, nodes: DataFrame, key: str, text: str, most_words: int = 4) -> DataFrame:
-    """``(key, id)``: nodes whose name, of 3 letters or more and up to ``most_words`` words, stands in the text as whole words; word n-grams of both sides meet in an equi-join. Names of more words are left to a plain search of the texts."""
+    """``(key, id)``: nodes whose name, of 3 letters or more and up to ``most_words`` words, stands in the text as whole words; word n-grams of both sides meet in an equi-join. Names of more words are met by their first ``most_words`` and then looked for in those texts."""
     normal = lambda c: F.array_join(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), " ")
     named = nodes.where(F.length("name") >= 3).select("id", normal(F.col("name")).alias("gram")).where("gram <> ''")
     long = F.size(F.split("gram", " ")) > most_words
@@ -80,8 +81,11 @@ def mentions(docs: DataFrame, nodes: DataFrame, key: str, text: str, most_words:
     found = words.select("k", F.explode(F.array_distinct(grams)).alias("gram")).join(named.where(~long), "gram").select("k", "id")
     rest = named.where(long)
     if not rest.isEmpty():
-        whole = words.select("k", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("body"))
-        found = found.union(whole.join(rest, F.contains(F.col("body"), F.concat(F.lit(" "), F.col("gram"), F.lit(" ")))).select("k", "id"))
+        # longer names are met by their first words, and then looked for in the text
+        first = F.array_join(F.slice(F.split("gram", " "), 1, most_words), " ")
+        seeded = words.select("k", "w", F.explode(F.array_distinct(grams_of(most_words))).alias("seed")).join(rest.withColumn("seed", first), "seed")
+        body = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+        found = found.union(seeded.where(F.contains(body, F.concat(F.lit(" "), F.col("gram"), F.lit(" ")))).select("k", "id"))
     return found.distinct().withColumnRenamed("k", key)
 
 
@@ -158,7 +162,8 @@ def search_nodes(nodes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     body = nodes.select("id", F.lower("name").alias("name"), F.lower("id").alias("low"), F.lower(F.to_json("properties")).alias("props"))
     c = F.contains
     points = F.when(F.col("name") == F.col("word"), 5.0).when(c("name", "word"), 2.5).when(c("low", "word"), 1.5).when(c("props", "word"), 1.0)
-    hit = body.join(asked, c(F.concat("name", F.lit(" "), "low", F.lit(" "), "props"), F.col("word"))).withColumn("points", points).where("points is not null")
+    whole = body.select("id", F.concat("name", F.lit(" "), "low", F.lit(" "), "props").alias("whole"))
+    hit = containing(whole, "id", "whole", asked, "word").join(body, "id").join(asked, "word").withColumn("points", points).where("points is not null")
     scored = hit.groupBy("query_id", "id").agg(F.sum("points").alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 

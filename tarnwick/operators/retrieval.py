@@ -1,17 +1,12 @@
-"""Retrieval for many queries at once: BM25 over postings, exact vector search in blocks, fusion, reranking, citations."""
+"""Retrieval for many queries at once: BM25 over postings, exact vector search by cells, fusion, reranking, citations."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import tokens
-from . import text as text_ops
-
-K1, B = 1.5, 0.75
+from ..functions.lineage import cut
+from . import lexical_index, text as text_ops, vector_index
 
 
 def bm25_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -22,58 +17,12 @@ def bm25_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") ->
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, key: str = "chunk_id", text: str = "text", query_key: str = "query_id", query: str = "query") -> DataFrame:
-    """``(query_key, key, score, rank)``: the ``k`` best chunks of each query with a score over 0, ties by key. Repeated query words count again."""
+    """``(query_key, key, score, rank)``: the ``k`` best chunks of each query with a score over 0, ties by key. Repeated query words count again. Blocks of chunks that cannot reach the k-th are not read."""
     postings, lengths, frequencies = bm25_index(chunks, key, text)
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    wanted = queries.select(F.col(query_key), F.explode(tokens(F.col(query))).alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("times"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    hits = postings.join(wanted.select("token").distinct(), "token", "left_semi").join(lengths, key).join(frequencies, "token").crossJoin(F.broadcast(whole))
-    scored = hits.join(wanted, "token").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-#: Query vectors that go to the tasks at once.
-QUERY_BLOCK = 4096
-
-
-def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "vector", query_key: str = "query_id", query_vector: str = "vector") -> DataFrame:
-    """``(query_key, key, score, rank)``: exact cosine of a query set against all rows, in blocks of :data:`QUERY_BLOCK` queries; each batch keeps its ``k`` best a query, ties by key. Vectors shorter than 1e-6 score 0."""
-    q_kind, c_kind = queries.schema[query_key].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
-    rows = corpus.select(F.col(key).alias("c"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    parts = []
-    ids: list = []
-    vectors: list = []
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.where(length < 1e-6, 0.0, m / np.maximum(length, 1e-6))
-
-    def block(names: list, m: np.ndarray) -> DataFrame:
-        q = unit(m)
-
-        def run(batches):
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                pdf = pdf.sort_values("c", kind="stable", ignore_index=True)
-                s = np.round(q @ unit(np.stack(pdf["v"].to_numpy())).T, 6)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"q": np.repeat(np.array(names, object), best.shape[1]), "c": pdf["c"].to_numpy()[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-
-        return rows.mapInPandas(run, f"q {q_kind}, c {c_kind}, score double")
-
-    for r in queries.select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null").toLocalIterator():
-        ids.append(r["q"])
-        vectors.append(r["v"])
-        if len(ids) == QUERY_BLOCK:
-            parts.append(block(ids, np.array(vectors)))
-            ids, vectors = [], []
-    if ids or not parts:
-        parts.append(block(ids, np.array(vectors).reshape(len(ids), -1)) if ids else queries.sparkSession.createDataFrame([], f"q {q_kind}, c {c_kind}, score double"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
-    return reduce(DataFrame.union, parts).withColumn("rank", rank).where(F.col("rank") <= k).toDF(query_key, key, "score", "rank")
+    return lexical_index.search(queries, postings, lengths, frequencies, k, key, query_key, query)
+
+
+vector_search = vector_index.search
 
 
 def rank_fusion(dense: DataFrame, sparse: DataFrame, k: int = 10, weight: float = 0.5, key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
@@ -87,7 +36,7 @@ def rank_fusion(dense: DataFrame, sparse: DataFrame, k: int = 10, weight: float
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, key: str = "chunk_id", query_key: str = "query_id", query: str = "query") -> DataFrame:
     """The twice ``k`` best of both searches, fused."""
-    embedded = text_ops.embed(chunks, key, "text")
+    embedded = cut(text_ops.embed(chunks, key, "text"))
     asked = text_ops.embed(queries, query_key, query)
     return rank_fusion(vector_search(asked, embedded, 2 * k, key, query_key=query_key), bm25_search(queries, chunks, 2 * k, key, query_key=query_key, query=query), k, key=key, query_key=query_key)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import folders
 from ..sources import sinks
 from ..streaming import anomalies
 from .base import Section, derived, scratch, table
@@ -35,15 +36,10 @@ FILE_ROWS = 1_000_000
 
 
 def _written(events: DataFrame, path: str) -> None:
-    """``events`` as files of a bounded size, one for each range of time, in that order: four at least."""
+    """``events`` as files of a bounded size in the order of time, four at least, by one sorted write; the file source takes them by their times of change, which are set in that order."""
     files = max(4, -(-events.count() // FILE_ROWS))
-    cuts = events.agg(F.percentile_approx(F.unix_micros("ts"), F.array(*[F.lit(i / files) for i in range(1, files)]), F.lit(100 * files)).alias("c")).first()["c"] or []
-    part = sum(((F.unix_micros("ts") > c).cast("int") for c in cuts), F.lit(0))
-    parted = f"{path}-by-time"
-    events.withColumn("part", F.coalesce(part, F.lit(0))).write.partitionBy("part").parquet(parted)
-    for i in range(files):
-        rows = events.sparkSession.read.parquet(parted).where(F.col("part") == i).drop("part")
-        rows.coalesce(1).write.mode("append").parquet(path)
+    events.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
+    folders.in_order(events.sparkSession, path)
 
 
 def _streamed(spark, d) -> DataFrame:
