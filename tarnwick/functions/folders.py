@@ -33,3 +33,9 @@ def in_order(spark: SparkSession, path: str) -> None:
     last = max((x.getModificationTime() for x in found), default=0)
     for i, x in enumerate(found):
         files.setTimes(x.getPath(), last - 1000 * (len(found) - 1 - i), -1)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files beneath a folder."""
+    files, at = _at(spark, path)
+    return files.getContentSummary(at).getLength()

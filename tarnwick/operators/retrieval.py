@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import tokens
 from ..functions.lineage import cut
-from . import lexical_index, text as text_ops, vector_index
+from . import lexical_index, text as text_ops, text_index, vector_index
 
 
 def bm25_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -80,11 +80,9 @@ def answers(queries: DataFrame, cited: DataFrame) -> DataFrame:
     return queries.select("query_id").join(by, "query_id", "left").select("query_id", F.coalesce("answer", F.lit("")).alias("answer"), F.col("answer").isNotNull().alias("grounded"), F.coalesce("citations", F.lit(0)).alias("citations"))
 
 
-def index_documents(docs: DataFrame, path: str, key: str, text: str, mode: str = "append") -> None:
-    """Write chunks, postings and vectors of ``docs`` under ``path``: sections, chunks, tokens and embeddings in one go."""
-    chunks = text_ops.chunks(text_ops.text_sections(docs, key, text), key)
-    chunks.write.mode(mode).parquet(f"{path}/chunks")
-    stored = docs.sparkSession.read.parquet(f"{path}/chunks")
-    new = stored if mode == "overwrite" else stored.join(docs.select(key).distinct(), key, "left_semi")
-    text_ops.term_counts(new, "chunk_id", "text").write.mode(mode).parquet(f"{path}/postings")
-    text_ops.embed(new, "chunk_id", "text").write.mode(mode).parquet(f"{path}/vectors")
+def index_documents(docs: DataFrame, path: str, key: str, text: str, batch: str = "1", deleted: DataFrame | None = None) -> text_index.TextIndex:
+    """Take ``docs`` into the index under ``path``, as the batch of that name: sections, chunks, tokens and embeddings in one go. Documents replace those of the same key; ``deleted(key)`` are forgotten; a batch that counts already changes nothing."""
+    index = text_index.TextIndex(docs.sparkSession, path, key, docs.schema[key].dataType.simpleString())
+    index.commit(batch, docs, deleted, text)
+    index.tidy()
+    return index

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import tokens
 
@@ -132,16 +133,32 @@ def pack(sentences: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
+def pieces(text: str | None, size: int, overlap: int) -> list[str]:
+    """The chunks of one section: its lines cut into sentences, packed."""
+    sentences = [s for p in re.split(r"\n+", text or "") for s in re.split(r"(?<=[.?!])\s+", p.strip()) if s]
+    return pack(sentences, size, overlap)
+
+
+class DocChunks:
+    """``doc_chunks(text, size, overlap)`` in SQL: ``(chunk_index, text, token_count)`` of a section."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        for i, chunk in enumerate(pieces(text, size, overlap)):
+            yield i, chunk, len(chunk.split())
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``doc_chunks`` known to SQL as a table function, for lateral joins; rows travel in Arrow batches."""
+    spark.udtf.register("doc_chunks", F.udtf(DocChunks, returnType="chunk_index int, text string, token_count int", useArrow=True))
+
+
 def chunks(sections: DataFrame, key: str, size: int = 400, overlap: int = 50) -> DataFrame:
     """``(chunk_id, key, section, page, chunk_index, text, token_count)`` of ``(key, position, title, page, text)``; indexes run on over the sections of a document. Packing goes section by section in Arrow batches; only counts are summed over sections."""
-    import re
-
     def run(batches):
         for pdf in batches:
             rows = []
             for k, position, title, page, text in zip(pdf["k"], pdf["position"], pdf["title"], pdf["page"], pdf["text"]):
-                sentences = [s for p in re.split(r"\n+", text or "") for s in re.split(r"(?<=[.?!])\s+", p.strip()) if s]
-                rows += [(k, position, title, page, i, c, len(c.split())) for i, c in enumerate(pack(sentences, size, overlap))]
+                rows += [(k, position, title, page, i, c, len(c.split())) for i, c in enumerate(pieces(text, size, overlap))]
             yield pd.DataFrame(rows, columns=["k", "position", "section", "page", "i", "text", "token_count"])
 
     kind = sections.schema[key].dataType.simpleString()

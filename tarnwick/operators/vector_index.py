@@ -93,7 +93,8 @@ class Cells:
                 np.put_along_axis(first, order, held < k, 1)
                 wanted = ~first & (bound + ROOM >= pdf["least"].to_numpy(float)[:, None]) if rest else first
                 row, cell = np.nonzero(wanted & np.isfinite(bound))
-                yield pd.DataFrame({"q": pdf["q"].to_numpy()[row], "v": list(v[row]), "cell": np.where(cell == len(self.count) - 1, -1, cell)})
+                if len(row):
+                    yield pd.DataFrame({"q": pdf["q"].to_numpy()[row], "v": list(v[row]), "cell": np.where(cell == len(self.count) - 1, -1, cell)})
 
         return queries.mapInPandas(choose, f"q {kind}, v array<double>, cell int")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import STOP_WORDS, cosine, tokens
 from ..operators import retrieval, text
+from ..operators.text_index import TextIndex, whole_texts
 from .base import Section, derived, scratch, table
 
 S = Section()
@@ -268,6 +269,44 @@ def _(spark, d):
 
 @query("index_documents")
 def _(spark, d):
-    path = scratch(spark, "index")
-    retrieval.index_documents(talks(spark, d), path, "conv_id", "text", "overwrite")
-    return spark.read.parquet(f"{path}/postings").groupBy("token").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
+    index = retrieval.index_documents(table(spark, d, "documents"), scratch(spark, "index"), "doc_id", "text")
+    return index.postings().groupBy("token").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf")).join(index.frequencies(), "token")
+
+
+#: Documents after three batches: all; every tenth replaced by its text and source; every seventh deleted.
+_KEPT = "SELECT CAST(doc_id AS STRING) AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN concat(text, ' ', source) ELSE text END AS text, source AS section, doc_id AS page, '' AS filename FROM documents WHERE doc_id % 7 <> 0"
+
+
+def maintained(spark, d) -> TextIndex:
+    """The whole documents in an index of three batches, the second of which comes twice; then merged."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    index = TextIndex(spark, scratch(spark, "index"), chunker=whole_texts, vectors=False)
+    index.commit("all", docs)
+    for _ in range(2):
+        index.commit("changed", docs.where("doc_id % 10 = 0").select("doc_id", F.concat("text", F.lit(" "), "source").alias("text")))
+    index.commit("deleted", deleted=docs.where("doc_id % 7 = 0"))
+    index.merge(index.segments()[1:])
+    return index
+
+
+@query("index_search", f"WITH {_BM25.replace(_TURNS, _KEPT)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 10")
+def _(spark, d):
+    return maintained(spark, d).search(asked(spark, d))
+
+
+@query("index_frequencies", f"WITH {_INDEX.replace(_TURNS, _KEPT)} SELECT token, df FROM df")
+def _(spark, d):
+    return maintained(spark, d).frequencies()
+
+
+@query("doc_chunks_lateral")
+def _(spark, d):
+    """The chunks of ``doc_chunks`` by SQL that calls the table function for each section."""
+    text.register(spark)
+    sections = text.text_sections(table(spark, d, "documents"), "doc_id", "text")
+    return spark.sql(
+        """SELECT concat(doc_id, '_chk_', at) AS chunk_id, doc_id, section, page, at AS chunk_index, token_count, sha2(text, 256) AS sha
+        FROM (SELECT s.doc_id, s.title AS section, CAST(s.page AS INT) AS page, c.text, c.token_count, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY s.position, c.chunk_index) - 1 AS INT) AS at
+          FROM {sections} s, LATERAL doc_chunks(s.text, 400, 50) c)""",
+        sections=sections,
+    )

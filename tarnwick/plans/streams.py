@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import folders
+from ..operators.text_index import TextIndex
 from ..sources import sinks
 from ..streaming import anomalies
 from .base import Section, derived, scratch, table
@@ -91,8 +92,12 @@ def _(spark, d):
 
 @query("stream_index")
 def _(spark, d):
+    """The documents in four files, and a fifth with a tenth of them anew: the index holds each once."""
     path = scratch(spark, "stream")
-    table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{path}/in")
-    stream = anomalies.parquet_stream(spark, spark.read.parquet(f"{path}/in").schema, f"{path}/in")
+    docs = table(spark, d, "documents").select("doc_id", "text").where("doc_id is not null")
+    docs.repartition(4, "doc_id").write.parquet(f"{path}/in")
+    docs.where("doc_id % 10 = 0").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = anomalies.parquet_stream(spark, spark.read.parquet(f"{path}/in").schema, f"{path}/in", 2)
     anomalies.stream_index(stream, f"{path}/index", f"{path}/checkpoint", "doc_id", "text").awaitTermination()
-    return spark.read.option("basePath", f"{path}/index").parquet(f"{path}/index/batch=*/postings").groupBy("token").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
+    index = TextIndex(spark, f"{path}/index")
+    return index.postings().groupBy("token").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf")).join(index.frequencies(), "token")

@@ -110,10 +110,10 @@ def numeric_stream(df: DataFrame, ts: str, most: int = 8) -> DataFrame:
 
 
 def stream_index(stream: DataFrame, path: str, checkpoint: str, key: str, text: str, **trigger):
-    """Index documents as they arrive: each micro-batch is chunked, counted and embedded into the tables under ``path``."""
+    """Index documents as they arrive: each micro-batch is a batch of the index under ``path``, so a document that comes again replaces what it was and a micro-batch that runs again changes nothing."""
     from ..operators.retrieval import index_documents
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        index_documents(batch, f"{path}/batch={batch_id}", key, text, "overwrite")
+        index_documents(batch, path, key, text, f"stream {batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
