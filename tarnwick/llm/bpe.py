@@ -21,8 +21,8 @@ from .common import mix, slices, span_hashes
 
 #: Bytes of text that one step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
-#: Pre-tokens whose ids a Python worker remembers for a vocabulary before it starts anew.
-MEMO = 300_000
+#: Pre-tokens, and characters of them, whose ids a Python worker remembers for a vocabulary before it starts anew.
+MEMO, MEMO_CHARACTERS = 300_000, 1 << 24
 _memos: dict[int, "Memo"] = {}
 
 
@@ -31,9 +31,11 @@ class Memo:
 
     def __init__(self):
         self.number: dict[str, int] = {}
+        self.characters = 0
         self.ids, self.first, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.characters += sum(map(len, pieces))
         self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
         self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
@@ -173,7 +175,7 @@ class Encoder:
     def _numbers(self, flat: list[str]) -> tuple["Memo", np.ndarray]:
         """The number of each pre-token in this worker's memory, which now holds them all."""
         memo = _memos.get(self.mark)
-        if memo is None or len(memo.number) > MEMO:
+        if memo is None or len(memo.number) > MEMO or memo.characters > MEMO_CHARACTERS:
             memo = _memos[self.mark] = Memo()
         new = list(set(flat).difference(memo.number))
         if new:

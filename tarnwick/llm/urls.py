@@ -8,6 +8,7 @@ the least rules are kept; that is also what bounds the mining (see :func:`mine`)
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,14 +44,26 @@ def tokens_of(url: Column) -> Column:
     return F.when(url.isNull(), F.array().cast("array<string>")).otherwise(F.filter(all_of, lambda x: ~x.endswith("=")))
 
 
-def _rates(sets: DataFrame, all_rows: int, all_bad: int, min_support: float, min_confidence: float) -> DataFrame:
-    """``(antecedent, n, bad)`` with confidence, lift and support, and whether it is a rule."""
+def _rates(sets: DataFrame, all_rows: int, all_bad: int, min_support: float, min_confidence: float, chance: float | None = None, tokens: int = 1) -> DataFrame:
+    """``(antecedent, n, bad)`` with confidence, lift and support, and whether it is a rule.
+
+    With ``chance``, the bad rows of a rule must be so many that with labels dealt out at random no set of tokens would
+    have as many, but for that chance. By Chernoff's bound n times the divergence of its confidence from the share of all
+    rows must reach the logarithm of the sets of its size over ``chance`` / 2 to the power of its size; there are as
+    many as ways to choose from ``tokens``, the number of those that enough rows hold.
+    """
     confidence = F.col("bad") / F.col("n")
-    lift = confidence / (all_bad / max(all_rows, 1) or 1.0)
-    return sets.select("antecedent", "n", "bad", confidence.alias("confidence"), lift.alias("lift"), (F.col("bad") / max(all_rows, 1)).alias("support")).withColumn("is_rule", (F.col("support") >= min_support) & (F.col("confidence") >= min_confidence) & (F.col("lift") > 1))
+    usual = all_bad / max(all_rows, 1)
+    lift = confidence / (usual or 1.0)
+    is_rule = (F.col("support") >= min_support) & (F.col("confidence") >= min_confidence) & (F.col("lift") > 1)
+    if chance is not None and 0 < usual < 1:
+        c, size = F.col("confidence"), F.size("antecedent")
+        apart = c * F.log(c / usual) + F.when(c < 1, (1 - c) * F.log((1 - c) / (1 - usual))).otherwise(0.0)
+        is_rule &= F.coalesce(F.col("n") * apart, F.lit(0.0)) >= size * float(np.log(2 * max(tokens, 1))) - F.log(F.factorial(F.least(size, F.lit(20)))) - float(np.log(chance))
+    return sets.select("antecedent", "n", "bad", confidence.alias("confidence"), lift.alias("lift"), (F.col("bad") / max(all_rows, 1)).alias("support")).withColumn("is_rule", is_rule)
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 10) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 1, chance: float | None = None) -> DataFrame:
     """``(antecedent array<string>, confidence, lift, support)`` from ``(tokens array<string>, bad boolean)``: the least rules.
 
     A rule's tokens and the bad label stand together in the share ``min_support`` of the rows and in ``min_count``
@@ -61,13 +74,19 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     rules by themselves, with tokens of the same rows as one item. So a URL gives at most 2 to the power of
     :data:`WIDEST` itemsets, where FP-growth over whole URLs would not end on long templated ones. Rows with a
     null label don't count. No rows: no rules.
+
+    ``chance`` bounds the chance of finding any rule where labels tell nothing. It also tells how many bad rows a set
+    of tokens needs to be looked at, whatever the table's size.
     """
     rows = cut(labelled.where("bad is not null").select("tokens", F.col("bad").cast("int").alias("bad")))
     total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    if chance is not None and 0 < bad < total:
+        min_count = max(min_count, int(np.ceil(np.log(2 / chance) / np.log(total / bad))))
     least = max(min_support, min_count / max(total, 1))
-    rates = lambda sets: _rates(sets, total, bad, least, min_confidence)
     tally = [F.count("*").alias("n"), F.sum("bad").alias("bad")]
-    counted = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(*tally)
+    counted = cut(rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(*tally))
+    held_by_enough = counted.where(F.col("n") >= min_count).count()
+    rates = lambda sets: _rates(sets, total, bad, least, min_confidence, chance, held_by_enough)
     frequent = F.col("bad") >= min_count if min_count > 1 else F.col("bad") >= 1
     ones = cut(rates(counted.where(frequent & (F.col("bad") / max(total, 1) >= least)).select(F.array("token").alias("antecedent"), "n", "bad")))
     rules = ones.where("is_rule")
@@ -146,15 +165,15 @@ def listed_by_join(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFr
     return rows.join(best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.v").alias("verdict")), ["host", "path"], "left")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], min_support: float = 0.002, min_confidence: float = 0.5, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], min_support: float = 0.002, min_confidence: float = 0.5, key: str = "page_id", url: str = "url", chance: float = 0.05) -> DataFrame:
     """``(key, host, path, rule, verdict, n_rules, confidence)`` for every row of ``pages``.
 
     ``labelled`` has ``(url, bad boolean)``. ``verdict`` is the listed rule's, else ``block`` if a mined rule
-    matches (``n_rules`` of them, the best with ``confidence``), else ``allow``. A null URL, or one without
+    matches (``n_rules`` of them, the best with ``confidence``; see :func:`mine`), else ``allow``. A null URL, or one without
     ``://``, has empty host and path. Repeated rows are each judged; URLs of any length are read whole; other
     columns are left out.
     """
-    mined = mine(labelled.select(tokens_of(F.col("url").cast("string")).alias("tokens"), F.col("bad").cast("boolean").alias("bad")), min_support, min_confidence)
+    mined = mine(labelled.select(tokens_of(F.col("url").cast("string")).alias("tokens"), F.col("bad").cast("boolean").alias("bad")), min_support, min_confidence, chance=chance)
     at = F.col(url).cast("string")
     rows = pages.select(F.col(key).alias("k"), host_of(at).alias("host"), path_of(at).alias("path"), tokens_of(at).alias("tokens"))
     if len(rules) > MOST_LISTED:

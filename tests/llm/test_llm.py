@@ -107,6 +107,26 @@ def test_heavy_groups_are_levelled(spark, heavy, n):
         assert len(sums) == 24 and max(r["w"] for r in sums) - min(r["w"] for r in sums) <= max(2, total / 24 * 1e-4)
 
 
+def test_memory_of_long_pre_tokens_is_bounded(monkeypatch):
+    """A worker that has remembered more characters than it may starts anew, with the same ids."""
+    ours, _ = _tiktoken()
+    coder = bpe.Encoder(bpe.read_ranks(_tiktoken()[1].path("byte_bpe_50k.tiktoken")), _tiktoken()[1].PATTERN)
+    monkeypatch.setattr(bpe, "MEMO_CHARACTERS", 1000)
+    for k in range(5):
+        text = "".join(chr(97 + (i * i + k) % 26) for i in range(3000))
+        ids, _ = coder.encode([text])
+        assert ids.tolist() == ours.encode_ordinary(text) and bpe._memos[coder.mark].characters <= 4000
+
+
+def test_labels_dealt_at_random_give_no_rule(spark):
+    """Six tables whose labels tell nothing have no rule; one token that does is found at each of three sizes."""
+    rng = random.Random(8)
+    make = lambda n, told: [([f"t{k}" for k in rng.sample(range(40), 6)] + ["x"] * x, (rng.random() < 0.9) if told and x else rng.random() < 0.25) for x in (int(rng.random() < 0.2) for _ in range(n))]
+    mined = lambda rows: [r["antecedent"] for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), chance=0.05).collect()]
+    assert sum(len(mined(make(300, False))) for _ in range(6)) == 0
+    assert all(["x"] in mined(make(n, True)) for n in (150, 600, 2400))
+
+
 def test_stages_keep_columns_with_any_name(spark, docs):
     """Columns with names that stages use come out of each stage with their own values."""
     names = ["score", "accepted", "lang_pred", "r__", "row__", "k_", "s_", "t__", "row", "r", "k", "t", "n", "head", "is_secret", "token", "hit", "c0"]
