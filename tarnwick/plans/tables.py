@@ -35,6 +35,22 @@ def _(spark, d):
     return readers.read_csv(spark, path, schema="s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
 
 
+_HALVES = "SELECT c_custkey, concat('caf\u00e9 ', c_name, ' \u20ac') AS label, c_acctbal FROM customer"
+
+
+@query("scan_csv_mixed", _HALVES)
+def _(spark, d):
+    """Customers in three dialects of one folder: commas in UTF-8, semicolons in Windows-1252 with the columns the other way round, tabs in Latin-1 bytes of the same texts without the euro."""
+    path = scratch(spark, "csv")
+    rows = derived(spark, d, _HALVES)
+    rows.where("c_custkey % 3 = 0").write.option("header", True).csv(f"{path}/a")
+    odd = rows.where("c_custkey % 3 = 1").select("c_acctbal", F.translate("label", "\u20ac", "\x80").alias("label"), "c_custkey")
+    odd.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(f"{path}/b")
+    rows.where("c_custkey % 3 = 2").withColumn("label", F.translate("label", "\u20ac", "")).write.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1").option("ignoreTrailingWhiteSpace", False).csv(f"{path}/c")
+    read = readers.read_csv(spark, f"{path}/*", schema="c_custkey bigint, label string, c_acctbal double")
+    return read.withColumn("label", F.when(F.col("c_custkey") % 3 == 2, F.concat("label", F.lit("\u20ac"))).otherwise(F.col("label")))
+
+
 @query("scan_json", """SELECT e.event_id, e.event_type AS "info.kind", e.value AS "info.value" FROM events e""")
 def _(spark, d):
     path = scratch(spark, "json")
@@ -71,9 +87,9 @@ def _(spark, d):
     return each.agg(F.sum("rows_read").alias("rows_read"), F.sum("corrupt").alias("corrupt"), F.min("is_valid").alias("is_valid"))
 
 
-@query("file_metadata", "SELECT 'parquet' AS format, CAST(11 AS BIGINT) AS column_count, count(*) AS row_count FROM lineitem")
+@query("file_metadata", "SELECT 'parquet' AS format, CAST(11 AS BIGINT) AS column_count, count(*) AS row_count, (SELECT string_agg(column_name, ',') FROM (DESCRIBE SELECT * FROM lineitem)) AS columns FROM lineitem")
 def _(spark, d):
-    return readers.file_metadata(spark, f"{d}/lineitem.parquet").select("format", "column_count", "row_count")
+    return readers.file_metadata(spark, f"{d}/lineitem.parquet").select("format", "column_count", "row_count", F.array_join("columns", ",").alias("columns"))
 
 
 @query("dataset_fingerprint", """SELECT count(*) AS rows, CAST(sum(CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), '~'), coalesce(CAST(o_custkey AS VARCHAR), '~'), coalesce(o_orderstatus, '~'), coalesce(o_orderpriority, '~'))), 1, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint FROM orders""")
