@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import any_match, correlation, normalize_nulls
 from ..functions.ranges import running_sums
+from . import density
 
 #: Names of likely targets, and of columns that are none.
 TARGET_NAMES = ["^target$", "^label$", "^class$", "^outcome$", "churn", "default", "fraud", "converted", "price", "sales", "revenue", "profit", "cost", "demand", "salary", "status_flag"]
@@ -200,23 +201,8 @@ def cluster(df: DataFrame, name: str = "kmeans", k: int = 3, features: str = "fe
 
 
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, least: int = 5) -> DataFrame:
-    """``(key, cluster)``: density clusters by an equi-join over grid cells of width ``eps`` in the first two columns; a cluster goes by its least core key, noise is -1; a border point joins its least neighbour core's."""
-    from .graph import components
-
-    x = F.array(*[F.col(c).cast("double") for c in columns])
-    cells = df.select(F.col(key).cast("string").alias("i"), x.alias("x"), *[F.floor(F.col(c) / eps).alias(f"c{d}") for d, c in enumerate(columns[:2])])
-    near = [f"c{d}" for d in range(len(columns[:2]))]
-    spread = cells.select(F.col("i").alias("j"), F.col("x").alias("y"), *near)
-    for c in near:
-        spread = spread.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    gap = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    pairs = cells.join(spread, near).where(gap <= eps * eps).select("i", "j")
-    core = pairs.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("i")
-    edges = pairs.join(core, "i", "left_semi").join(core.withColumnRenamed("i", "j"), "j", "left_semi").select(F.col("i").alias("source_id"), F.col("j").alias("target_id"))
-    held = components(core.withColumnRenamed("i", "id"), edges)
-    border = pairs.join(held.withColumnRenamed("id", "j"), "j").groupBy("i").agg(F.min_by("component", "j").alias("near"))
-    own = held.withColumnRenamed("id", "i")
-    return cells.select("i").join(own, "i", "left").join(border, "i", "left").select(F.col("i").alias(key), F.coalesce("component", "near", F.lit("-1")).alias("cluster"))
+    """``(key, cluster)``: density clusters; a cluster goes by its least core key, noise is -1; a border point joins its least neighbour core's. Keys are compared as texts; rows with a null or endless coordinate are noise. For few columns: cells are found by two of them."""
+    return density.clusters(df, key, columns, eps, least)
 
 
 def silhouette(df: DataFrame, features: str = "features") -> float:
@@ -236,9 +222,15 @@ def davies_bouldin(df: DataFrame, columns: list[str], cluster_: str = "cluster")
 
 
 def folds(df: DataFrame, key: str, k: int = 5, stratify: str | None = None) -> DataFrame:
-    """``fold``, 0 to k - 1, by the md5 rank within each class."""
-    w = Window.partitionBy(*([stratify] if stratify else [F.substring(F.md5(F.col(key).cast("string")), 1, 2)])).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w), F.lit(k)).cast("int"))
+    """``fold``, 0 to k - 1, by the md5 rank within each class, counted in 4096 buckets of the hash and carried from bucket to bucket: no task holds a class, and the folds of a class differ by one row at most."""
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    of = [F.coalesce(F.col(stratify).cast("string"), F.lit("")) if stratify else F.lit("")]
+    rows = df.withColumns({"fold_class_": of[0], "fold_bucket_": F.substring(digest, 1, 3)})
+    counts = rows.groupBy("fold_class_", "fold_bucket_").agg(F.count("*").alias("fold_n_"))
+    carried = counts.select("fold_class_", "fold_bucket_", (F.sum("fold_n_").over(Window.partitionBy("fold_class_").orderBy("fold_bucket_")) - F.col("fold_n_")).alias("fold_before_"))
+    rank = F.row_number().over(Window.partitionBy("fold_class_", "fold_bucket_").orderBy(digest, key))
+    ranked = rows.withColumn("fold_rank_", rank).join(carried, ["fold_class_", "fold_bucket_"])
+    return ranked.withColumn("fold", F.pmod(F.col("fold_rank_") + F.col("fold_before_"), F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
 def cross_validate(df: DataFrame, estimator, classification: bool, k: int = 5, label: str = "label") -> DataFrame:

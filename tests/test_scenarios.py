@@ -449,3 +449,84 @@ def test_chunks_like_brute_force(spark):
             now = now + words
         chunks += [now] if now else []
         assert [c.split() for c in got.get(r["doc_id"], [])] == chunks
+
+
+def test_folder_of_mixed_dialects(spark, tmp_path):
+    """Four files of three encodings, three delimiters and two orders of columns are one table."""
+    texts = {"a.csv": ("id,name,n\n1,Zoë,5\n2,Łukasz,6\n", "utf-8"), "b.csv": ("name;id;n\nprice €5;3;7\n", "cp1252"), "c.csv": ("id\tname\tn\n4\tfrançais\t8\n5\tx\tmany\n", "latin-1"), "d [1].csv": ("\nid,name,n,more\n6,plain,9,z\n", "utf-8-sig")}
+    for name, (body, encoding) in texts.items():
+        (tmp_path / name).write_bytes(body.encode(encoding))
+    (tmp_path / "e.csv").write_bytes(b"")
+    found = readers.dialects(spark, str(tmp_path))
+    assert sorted((x.encoding, x.delimiter) for x in found) == [("ISO-8859-1", "\t"), ("UTF-8", ","), ("UTF-8", ","), ("windows-1252", ";")]
+    got = {int(r["id"]): (r["name"], r["n"], r["more"]) for r in readers.read_csv(spark, str(tmp_path)).collect()}
+    assert got == {1: ("Zoë", "5", None), 2: ("Łukasz", "6", None), 3: ("price €5", "7", None), 4: ("français", "8", None), 5: ("x", "many", None), 6: ("plain", "9", "z")}
+    typed = readers.read_csv(spark, str(tmp_path), schema="name string, id int")
+    assert typed.columns == ["name", "id"] and {(r["id"], r["name"]) for r in typed.collect()} == {(k, v[0]) for k, v in got.items()}
+    about = readers.file_metadata(spark, str(tmp_path), "csv").first()
+    assert about["columns"] == ["id", "name", "n", "more"] and about["row_count"] == 6 and about["files"] == 4
+    assert about["delimiters"] == ["\t", ",", ";"] and about["encodings"] == ["ISO-8859-1", "UTF-8", "windows-1252"]
+    judged = {r["file"]: (r["rows_read"], r["corrupt"]) for r in readers.validate(spark, str(tmp_path), "id int, name string, n int").collect()}
+    assert judged["a.csv"] == (2, 0) and judged["b.csv"] == (1, 0) and judged["c.csv"] == (2, 1)
+
+
+def test_json_takes_the_first_list_of_the_whole_file(spark, tmp_path):
+    """The first list of records is the table, though its key stands far behind the head of the file."""
+    import json
+
+    body = {"note": "x" * 20000, "rows": [{"v": 1}, {"v": 2}], "also": [{"w": 3}]}
+    (tmp_path / "one.json").write_text(json.dumps(body))
+    assert [r["v"] for r in readers.read_json(spark, str(tmp_path / "one.json")).collect()] == [1, 2]
+
+
+def _clusters_by_pairs(points, eps, least):
+    """Density clusters by all pairs: key -> least core key of its cluster, or -1."""
+    near = {i: [j for j, q in points.items() if sum((a - b) * (a - b) for a, b in zip(p, q)) <= eps * eps] for i, p in points.items()}
+    core = {i for i in points if len(near[i]) >= least}
+    label = {}
+    for i in sorted(core):
+        if i not in label:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if j not in label:
+                    label[j] = i
+                    todo += [k for k in near[j] if k in core and k not in label]
+    return {i: label[i] if i in core else label[min((j for j in near[i] if j in core), default=i)] if any(j in core for j in near[i]) else "-1" for i in points}
+
+
+@pytest.mark.parametrize("width,few", [(1, 4096), (2, 4096), (2, 4), (3, 4)])
+def test_dbscan_like_all_pairs(spark, monkeypatch, width, few):
+    """Clusters by cells equal those by all pairs, also where boxes are halved many times; copies, gaps and odd values included."""
+    import random
+
+    from tarnwick.operators import density
+
+    monkeypatch.setattr(density, "FEW", few)
+    draw = random.Random(width * 10 + few)
+    points = {f"k{n}": tuple(draw.gauss(c, 0.35) for _ in range(width)) for n, c in enumerate([draw.choice([0, 1.5, 4]) for _ in range(140)])}
+    points |= {f"u{n}": tuple(draw.uniform(-3, 8) for _ in range(width)) for n in range(40)}
+    points |= {f"c{n}": tuple([1.0] * width) for n in range(60)}  # copies: a quarter of all rows in one cell
+    names = [f"x{d}" for d in range(width)]
+    data = [(k, *v) for k, v in points.items()] + [("null", *[None] * width), ("nan", *[math.nan] * width), ("far", *[math.inf] * width)]
+    df = spark.createDataFrame(data, "id string, " + ", ".join(f"{n} double" for n in names))
+    got = {r["id"]: r["cluster"] for r in ml.dbscan(df, "id", names, 0.3, 5).collect()}
+    assert got == _clusters_by_pairs(points, 0.3, 5) | {"null": "-1", "nan": "-1", "far": "-1"}
+    assert ml.dbscan(df.limit(0), "id", names).count() == 0
+
+
+def test_dense_cells_give_no_pairs(spark):
+    """20,000 points in two cells just apart: far fewer pairs are compared than they have."""
+    df = spark.range(20000).select(F.col("id").cast("string").alias("id"), (F.rand(1) * 0.1 + F.when(F.col("id") % 2 == 0, 0.0).otherwise(0.65)).alias("a"), (F.rand(2) * 0.1).alias("b"))
+    assert {(r["cluster"], r["count"]) for r in ml.dbscan(df, "id", ["a", "b"], 0.5, 5).groupBy("cluster").count().collect()} == {("0", 10000), ("1", 10000)}
+
+
+def test_folds_are_even(spark):
+    """Folds of each class differ by one row at most, keep all columns and rows, and don't depend on partitions."""
+    df = spark.range(1003).select("id", F.when(F.col("id") % 10 < 9, "a").otherwise("b").alias("kind"))
+    cut = ml.folds(df, "id", 4, "kind")
+    sizes = {}
+    for r in cut.groupBy("kind", "fold").count().collect():
+        sizes.setdefault(r["kind"], []).append(r["count"])
+    assert cut.columns == ["id", "kind", "fold"] and all(len(s) == 4 and max(s) - min(s) <= 1 for s in sizes.values()) and sum(map(sum, sizes.values())) == 1003
+    assert rows(cut, "id") == rows(ml.folds(df.repartition(7), "id", 4, "kind"), "id")
