@@ -142,16 +142,37 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return seen
 
 
+def _steps_left(step: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """``(target, next, left)``: nodes from which a target can be reached, and in how many steps at least; up to ``most`` of them."""
+    seen = edge = targets.select("target", F.col("target").alias("next"), F.lit(0).alias("left"))
+    for left in range(1, most + 1):
+        back = edge.join(step, "next").select("target", F.col("at").alias("next")).distinct()
+        edge = _cut(back.join(seen.select("target", "next"), ["target", "next"], "left_anti").withColumn("left", F.lit(left)))
+        seen = seen.union(edge)
+    return _cut(seen)
+
+
 def paths(edges: DataFrame, pairs: DataFrame, most: int = 3, k: int = 5) -> DataFrame:
-    """``(source, target, path, score, rank)``: the ``k`` first directed simple paths of up to ``most`` edges for ``pairs(source, target)``, by length, then ids; score 1 / nodes."""
-    step = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next")).distinct()
+    """``(source, target, path, score, rank)``: the ``k`` first directed simple paths of up to ``most`` edges for ``pairs(source, target)``, by length, then ids; score 1 / nodes.
+
+    The search is two-sided: steps left to each target are found backwards, node by node, and walks from the sources only go on
+    to nodes from which their target is near enough. A pair with ``k`` paths goes no further, as longer ones rank behind.
+    A pair of a node with itself, or with a null, has no path.
+    """
+    pairs = pairs.select("source", "target").where("source <> target").distinct()
+    step = _cut(edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next")).where("at is not null and next is not null and at <> next").distinct())
+    near = _steps_left(step, pairs.select("target").distinct(), most - 1)
     walk = pairs.select("source", "target", F.array("source").alias("path"), F.col("source").alias("at"))
-    found = []
-    for _ in range(most):
-        walk = walk.join(step, "at").where(~F.array_contains("path", F.col("next"))).select("source", "target", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"))
-        found.append(walk.where("at = target"))
-        walk = walk.where("at <> target")
-    every = reduce(DataFrame.union, found).select("source", "target", "path", F.round(1 / F.size("path"), 4).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("source", "target").orderBy("path"))
+    found = None
+    for taken in range(1, most + 1):
+        on = walk.join(step, "at").where(~F.array_contains("path", F.col("next"))).join(near.where(F.col("left") <= most - taken), ["target", "next"])
+        walk = _cut(on.select("source", "target", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")))
+        ends = walk.where("at = target").withColumn("nth", rank).where(F.col("nth") <= k).select("source", "target", "path")
+        found = _cut(ends if found is None else found.union(ends))
+        full = found.groupBy("source", "target").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        walk = walk.where("at <> target").join(full, ["source", "target"], "left_anti")
+    every = found.select("source", "target", "path", F.round(1 / F.size("path"), 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.size("path"), "path"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 

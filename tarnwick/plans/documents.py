@@ -142,6 +142,12 @@ def _(spark, d):
 _DOCUMENTS = "SELECT CAST(doc_id AS STRING) AS chunk_id, text, source AS section, doc_id AS page, concat('doc', CAST(doc_id AS STRING)) AS filename FROM documents WHERE doc_id IS NOT NULL"
 
 
+@query("bm25_index_documents", f"WITH {_INDEX.replace(_TURNS, _DOCUMENTS)} SELECT po.token, df, count(*) AS chunks, CAST(sum(tf) AS BIGINT) AS tf FROM po JOIN df USING (token) GROUP BY 1, 2")
+def _(spark, d):
+    postings, _, frequencies = retrieval.bm25_index(derived(spark, d, _DOCUMENTS))
+    return postings.join(frequencies, "token").groupBy("token", "df").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
+
+
 @query("bm25_search_documents", f"WITH {_BM25.replace(_TURNS, _DOCUMENTS)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 10")
 def _(spark, d):
     return retrieval.bm25_search(asked(spark, d), derived(spark, d, _DOCUMENTS))
@@ -166,6 +172,12 @@ def _(spark, d):
     return rows.where("x <> 0").select("item_id", "i", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+@query("embed_hash_documents", f"WITH b AS (SELECT * FROM documents WHERE doc_id IS NOT NULL), {_embed_sql('b', 'doc_id', 'text')} SELECT k AS doc_id, CAST(i AS INTEGER) AS i, x FROM b_e")
+def _(spark, d):
+    rows = text.embed(table(spark, d, "documents").where("doc_id is not null"), "doc_id", "text").select("doc_id", F.posexplode("vector").alias("i", "x"))
+    return rows.where("x <> 0").select("doc_id", "i", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
 _QUERY_VECTORS = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 20 = 0"
 
 
@@ -234,8 +246,12 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_
 _EVIDENCE = _hybrid_sql(15).replace(f"qs AS ({_ASKED})", "qs AS (SELECT item_id AS query_id, regexp_replace(trim(text), '[?!.]+$', '') AS query FROM benchmark)") + ", " + _RERANK[_RERANK.index("te AS (") :].replace("FROM ca)", "FROM (SELECT h.query_id, h.chunk_id, q.query, h.rrf AS score, c.text, c.section FROM hybrid h JOIN qs q USING (query_id) JOIN ch c USING (chunk_id)))")
 
 
-def _candidates(spark, d) -> DataFrame:
-    q, c = asked(spark, d), turns(spark, d)
+def whole_documents(spark, d) -> DataFrame:
+    return derived(spark, d, _DOCUMENTS)
+
+
+def _candidates(spark, d, chunks=turns) -> DataFrame:
+    q, c = asked(spark, d), chunks(spark, d)
     return retrieval.bm25_search(q, c).join(q, "query_id").join(c, "chunk_id").select("query_id", "chunk_id", "query", "score", "text", "section")
 
 
@@ -244,16 +260,26 @@ def _(spark, d):
     return retrieval.rerank(_candidates(spark, d))
 
 
+@query("rerank_documents", f"WITH {_RERANK.replace(_TURNS, _DOCUMENTS)} SELECT query_id, chunk_id, rerank_score, CAST(rank AS INTEGER) AS rank FROM reranked WHERE rank <= 5")
+def _(spark, d):
+    return retrieval.rerank(_candidates(spark, d, whole_documents))
+
+
+@query("retrieve_evidence_documents", f"WITH {_EVIDENCE.replace(_TURNS, _DOCUMENTS)} SELECT query_id, chunk_id, rerank_score, CAST(rank AS INTEGER) AS rank FROM reranked WHERE rank <= 5")
+def _(spark, d):
+    return retrieval.retrieve_evidence(asked(spark, d), whole_documents(spark, d))
+
+
 @query("retrieve_evidence", f"WITH {_EVIDENCE} SELECT query_id, chunk_id, rerank_score, CAST(rank AS INTEGER) AS rank FROM reranked WHERE rank <= 5")
 def _(spark, d):
     return retrieval.retrieve_evidence(asked(spark, d), turns(spark, d))
 
 
-_CITED = f"""WITH {_RERANK}, ci AS (SELECT query_id, chunk_id, concat('Document: ', filename, ', Page ', page, ', Section: ', section) AS citation, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS snippet, round(rerank_score, 4) AS confidence FROM reranked JOIN ch USING (chunk_id) WHERE rank <= 4)"""
+_CITED = f"""WITH {_RERANK}, ci AS (SELECT query_id, chunk_id, concat('Document: ', filename, ', Page ', page, ', Section: ', section) AS citation, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS snippet, CAST(round(CAST(rerank_score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS confidence FROM reranked JOIN ch USING (chunk_id) WHERE rank <= 4)"""
 
 
-def _cited(spark, d) -> DataFrame:
-    found = retrieval.rerank(_candidates(spark, d), 4).join(turns(spark, d), "chunk_id").withColumn("score", F.col("rerank_score"))
+def _cited(spark, d, chunks=turns) -> DataFrame:
+    found = retrieval.rerank(_candidates(spark, d, chunks), 4).join(chunks(spark, d), "chunk_id").withColumn("score", F.col("rerank_score"))
     return retrieval.citations(found)
 
 
@@ -262,6 +288,11 @@ def _(spark, d):
     return _cited(spark, d)
 
 
+@query("citations_documents", f"{_CITED.replace(_TURNS, _DOCUMENTS)} SELECT * FROM ci")
+def _(spark, d):
+    return _cited(spark, d, whole_documents)
+
+
 @query("answers", f"{_CITED}, a AS (SELECT query_id, string_agg(snippet, chr(10) ORDER BY confidence DESC, chunk_id) AS answer, count(*) AS citations FROM ci GROUP BY 1) SELECT qs.query_id, coalesce(answer, '') AS answer, answer IS NOT NULL AS grounded, coalesce(citations, 0) AS citations FROM qs LEFT JOIN a USING (query_id)")
 def _(spark, d):
     return retrieval.answers(asked(spark, d), _cited(spark, d))

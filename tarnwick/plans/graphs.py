@@ -91,15 +91,19 @@ def _(spark, d):
     return graph.distributions(nodes(spark, d), edges(spark, d))
 
 
-_RANKS = ", ".join(f"r{k} AS (SELECT n.id, 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(x), 0) FROM r{k - 1} WHERE id NOT IN (SELECT id FROM li)) / (SELECT count(*) FROM ids)) + 0.15 / (SELECT count(*) FROM ids) AS x FROM ids n LEFT JOIN (SELECT t AS id, sum(r.x * li.s) AS got FROM li JOIN r{k - 1} r ON r.id = li.id GROUP BY 1) g ON g.id = n.id)" for k in range(1, 6))
+#: As many rounds as SQL counts; the query ends before the last of them, where the change is under a millionth a node.
+_ROUNDS = 60
+_RANKS = ", ".join(f"r{k} AS MATERIALIZED (SELECT n.id, 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(x), 0) FROM r{k - 1} WHERE id NOT IN (SELECT id FROM li)) / (SELECT count(*) FROM ids)) + 0.15 / (SELECT count(*) FROM ids) AS x FROM ids n LEFT JOIN (SELECT t AS id, sum(r.x * li.s) AS got FROM li JOIN r{k - 1} r ON r.id = li.id GROUP BY 1) g ON g.id = n.id)" for k in range(1, _ROUNDS + 1))
+_MOVED = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.x - b.x)) AS moved FROM r{k} a JOIN r{k - 1} b USING (id)" for k in range(1, _ROUNDS + 1))
+_EVERY = " UNION ALL ".join(f"SELECT {k} AS k, id, x FROM r{k}" for k in range(1, _ROUNDS + 1))
 
 
-@query("graph_pagerank", f"""WITH tr AS ({_TRADE.replace('AS STRING', 'AS VARCHAR')}), ids AS (SELECT DISTINCT source_id AS id FROM tr UNION SELECT DISTINCT target_id FROM tr), li AS (SELECT source_id AS id, target_id AS t, weight / sum(weight) OVER (PARTITION BY source_id) AS s FROM tr),
-r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM ids) AS x FROM ids), {_RANKS} SELECT id, round(x, 9) AS rank FROM r5""")
+@query("graph_pagerank", f"""WITH tr AS MATERIALIZED ({_TRADE.replace('AS STRING', 'AS VARCHAR')}), ids AS MATERIALIZED (SELECT DISTINCT source_id AS id FROM tr UNION SELECT DISTINCT target_id FROM tr), li AS MATERIALIZED (SELECT source_id AS id, target_id AS t, weight / sum(weight) OVER (PARTITION BY source_id) AS s FROM tr),
+r0 AS MATERIALIZED (SELECT id, 1.0 / (SELECT count(*) FROM ids) AS x FROM ids), {_RANKS}, mo AS MATERIALIZED ({_MOVED}) SELECT id, round(x, 9) AS rank FROM ({_EVERY}) WHERE k = (SELECT min(k) FROM mo WHERE moved < 1e-6 * (SELECT count(*) FROM ids))""")
 def _(spark, d):
     trade = derived(spark, d, _TRADE)
     ids = trade.select(F.col("source_id").alias("id")).union(trade.select("target_id")).distinct()
-    return graph.pagerank(ids, trade, rounds=5, tolerance=0.0).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(ids, trade).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query("graph_facts", f"WITH {_G} SELECT e.id, concat('''', a.name, ''' ', relation, ' ''', b.name, '''.') AS fact FROM edges e JOIN nodes a ON a.id = e.source_id JOIN nodes b ON b.id = e.target_id")

@@ -530,3 +530,30 @@ def test_folds_are_even(spark):
         sizes.setdefault(r["kind"], []).append(r["count"])
     assert cut.columns == ["id", "kind", "fold"] and all(len(s) == 4 and max(s) - min(s) <= 1 for s in sizes.values()) and sum(map(sum, sizes.values())) == 1003
     assert rows(cut, "id") == rows(ml.folds(df.repartition(7), "id", 4, "kind"), "id")
+
+
+def test_paths_like_every_walk(spark):
+    """The best paths of many pairs equal those of all walks, in a random graph with loops and parallel edges."""
+    import random
+
+    draw = random.Random(5)
+    links = {(f"n{draw.randrange(14)}", f"n{draw.randrange(14)}") for _ in range(60)}
+    asked = [(f"n{a}", f"n{b}") for a in range(0, 14, 2) for b in range(1, 14, 3)] + [("n0", "n0"), ("n1", "none"), ("n1", None)]
+    want = {}
+    for source, target in asked:
+        walks, ends = [[source]], []
+        for _ in range(3):
+            walks = [w + [b] for w in walks for a, b in links if a == w[-1] and b not in w and w[-1] != target]
+            ends += [w for w in walks if w[-1] == target]
+        want |= {(source, target, n): p for n, p in enumerate(sorted(ends, key=lambda p: (len(p), p))[:4], 1)}
+    df = spark.createDataFrame([*links, ("n3", None), *list(links)[:5]], "source_id string, target_id string")
+    found = graph.paths(df, spark.createDataFrame(asked, "source string, target string"), 3, 4)
+    assert {(r["source"], r["target"], r["rank"]): r["path"] for r in found.collect()} == want
+
+
+def test_paths_past_a_hub(spark):
+    """Of a hub's 100,000 edges only those on the way to a target are walked."""
+    out = spark.range(100000).select(F.lit("hub").alias("source_id"), F.concat(F.lit("leaf"), F.col("id").cast("string")).alias("target_id"))
+    more = spark.createDataFrame([("s", "hub"), ("leaf7", "t"), ("leaf8", "u"), ("u", "t")], "source_id string, target_id string")
+    found = graph.paths(out.union(more), spark.createDataFrame([("s", "t"), ("hub", "t"), ("t", "s")], "source string, target string"))
+    assert rows(found.select("source", "path", "rank"), "source", "rank") == [("hub", ["hub", "leaf7", "t"], 1), ("hub", ["hub", "leaf8", "u", "t"], 2), ("s", ["s", "hub", "leaf7", "t"], 1)]
