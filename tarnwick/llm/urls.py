@@ -1,9 +1,9 @@
 """URL filters by association rules, with an exact list of host and path rules above them.
 
-Spark's FP-growth mines combinations of URL tokens together with the label; rules whose consequent is the
-bad label and that pass the support and confidence bounds block a URL that holds all their tokens. Rules are
-found by an inverted index on their rarest token. A rule that holds another rule blocks nothing more, so only
-the least rules are kept; that is also what bounds the mining (see :func:`mine`).
+Spark's FP-growth mines combinations of URL tokens among the bad rows; those that pass the support, confidence
+and chance bounds are rules and block a URL that holds all their tokens. Rules are found by an inverted index
+on their rarest token. A rule that holds another rule blocks nothing more, so only the least rules are kept. A
+rule has at most three tokens (a parameter); all such rules are found, however long the URLs (see :func:`mine`).
 """
 
 from __future__ import annotations
@@ -14,12 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 
-#: The item that stands for a bad label among the tokens of a labelled URL.
-BAD = "label=bad"
 #: Exact rules up to which each is a branch of one expression; more are joined by host.
 MOST_LISTED = 1000
-#: Tokens of a URL that longer rules are mined from.
-WIDEST = 10
+#: Tokens of a block; a basket for FP-growth is as many blocks as a rule has tokens at most.
+BLOCK = 2
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -63,62 +61,89 @@ def _rates(sets: DataFrame, all_rows: int, all_bad: int, min_support: float, min
     return sets.select("antecedent", "n", "bad", confidence.alias("confidence"), lift.alias("lift"), (F.col("bad") / max(all_rows, 1)).alias("support")).withColumn("is_rule", is_rule)
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 1, chance: float | None = None) -> DataFrame:
-    """``(antecedent array<string>, confidence, lift, support)`` from ``(tokens array<string>, bad boolean)``: the least rules.
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 1, chance: float | None = None, longest: int = 3) -> DataFrame:
+    """``(antecedent array<string>, confidence, lift, support)`` from ``(tokens array<string>, bad boolean)``: the least rules of up to ``longest`` tokens, all of them.
 
     A rule's tokens and the bad label stand together in the share ``min_support`` of the rows and in ``min_count``
     rows, and of the rows with its tokens the share ``min_confidence`` is bad, more than of all rows. A rule that
-    holds all tokens of another is left out. Rules of one and two tokens are complete, however long the URLs:
-    they are counted over whole baskets, in one row a token or pair. Longer ones come from FP-growth over what is
-    left of each URL, its :data:`WIDEST` tokens of the highest share of bad rows at most, without those that are
-    rules by themselves, with tokens of the same rows as one item. So a URL gives at most 2 to the power of
-    :data:`WIDEST` itemsets, where FP-growth over whole URLs would not end on long templated ones. Rows with a
-    null label don't count. No rows: no rules.
+    holds all tokens of another is left out. Single tokens are counted. Combinations of those that are no rules by
+    themselves come from FP-growth over the bad rows (see :func:`_baskets`), and are then counted over whole
+    rows, good ones too. Tokens of the same rows are one item, so templates do not multiply: a pair is listed with
+    each of them, a longer rule asks for all of them. Rows with a null label don't count. No rows: no rules.
 
     ``chance`` bounds the chance of finding any rule where labels tell nothing. It also tells how many bad rows a set
     of tokens needs to be looked at, whatever the table's size.
     """
     rows = cut(labelled.where("bad is not null").select("tokens", F.col("bad").cast("int").alias("bad")))
     total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    if chance is not None and 0 < bad < total:
-        min_count = max(min_count, int(np.ceil(np.log(2 / chance) / np.log(total / bad))))
+    told = np.log(total / bad) if chance is not None and 0 < bad < total else None  # what one bad row tells at most
+    if told:
+        min_count = max(min_count, int(np.ceil(np.log(2 / chance) / told)))
     least = max(min_support, min_count / max(total, 1))
     tally = [F.count("*").alias("n"), F.sum("bad").alias("bad")]
     counted = cut(rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(*tally))
     held_by_enough = counted.where(F.col("n") >= min_count).count()
     rates = lambda sets: _rates(sets, total, bad, least, min_confidence, chance, held_by_enough)
-    frequent = F.col("bad") >= min_count if min_count > 1 else F.col("bad") >= 1
-    ones = cut(rates(counted.where(frequent & (F.col("bad") / max(total, 1) >= least)).select(F.array("token").alias("antecedent"), "n", "bad")))
-    rules = ones.where("is_rule")
-    # what stays of each URL: frequent tokens that are no rules by themselves
-    open_ = ones.where("not is_rule").select(F.col("antecedent")[0].alias("token"), "confidence")
+    ones = cut(rates(counted.where((F.col("bad") >= max(min_count, 1)) & (F.col("bad") / max(total, 1) >= least)).select(F.array("token").alias("antecedent"), "n", "bad")))
+    need = max(1, int(np.ceil(least * total - 1e-6)))
+    if told:  # two tokens must tell more than one
+        need = max(need, int(np.ceil((2 * np.log(2 * max(held_by_enough, 1)) - np.log(2) - np.log(chance)) / told - 1e-6)))
+    open_ = ones.where(~F.col("is_rule") & (F.col("bad") >= need)).select(F.col("antecedent")[0].alias("token"))
     numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     held = cut(numbered.select("row", "bad", F.explode("tokens").alias("token")).join(open_, "token"))
-    two = lambda x: F.transform(F.filter("u", lambda y: y > x), lambda y: F.array(x, y))
-    pairs = held.groupBy("row").agg(F.first("bad").alias("bad"), F.array_sort(F.collect_list("token")).alias("u")).select("bad", F.explode(F.flatten(F.transform("u", two))).alias("antecedent")).groupBy("antecedent").agg(*tally)
-    pairs = cut(rates(pairs.where(frequent & (F.col("bad") / max(total, 1) >= least))))
-    rules = rules.unionByName(pairs.where("is_rule"))
-    # tokens of the same rows are one item
     same = held.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("i"))
     same = same.groupBy("n", "h", "i").agg(F.array_sort(F.collect_list("token")).alias("group")).select(F.col("group")[0].alias("token"), "group")
     lead = cut(same)
-    items = held.join(lead.select("token"), "token", "left_semi").groupBy("row").agg(F.first("bad").alias("bad"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "token"))), 1, WIDEST).alias("t"))
-    items = items.select(F.concat(F.transform("t", lambda x: x["token"]), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    if not pairs.isEmpty():
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, least), minConfidence=min_confidence).fit(cut(items))
-        longer = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") > 2)).select(F.monotonically_increasing_id().alias("id"), "antecedent")
-        longer = cut(longer)
-        whole = longer.select("id", F.explode("antecedent").alias("token")).join(lead, "token").groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("group"))).alias("antecedent"))
-        exact = _support(whole, held, tally)
-        rules = rules.unionByName(rates(exact).where("is_rule"))
-    return _least(cut(rules.select("antecedent", "confidence", "lift", "support")))
-
-
-def _support(sets: DataFrame, held: DataFrame, tally: list) -> DataFrame:
-    """``(antecedent, n, bad)``: the rows of ``held(row, bad, token)`` with all tokens of each of ``sets(id, antecedent)``."""
-    wanted = sets.select("id", "antecedent", F.explode("antecedent").alias("token"))
-    full = wanted.join(held, "token").groupBy("id", "row").agg(F.first("antecedent").alias("antecedent"), F.first("bad").alias("bad"), F.count("*").alias("k")).where(F.col("k") == F.size("antecedent"))
-    return full.groupBy("id").agg(F.first("antecedent").alias("antecedent"), *tally).drop("id")
+    items = cut(held.join(lead.select("token"), "token", "left_semi").groupBy("row").agg(F.first("bad").alias("bad"), F.array_sort(F.collect_list("token")).alias("u")))
+    baskets, need = _baskets(items.where("bad = 1").select("u"), need, longest)
+    baskets = cut(baskets)
+    n_baskets = baskets.count()
+    rules = ones.where("is_rule")
+    if n_baskets:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / n_baskets)).fit(baskets)
+        found = cut(model.freqItemsets.where(F.size("items").between(2, longest)).select(F.array_sort("items").alias("antecedent")))
+        exact = _least(cut(rates(_support(found, items.groupBy("u").agg(*tally))).where("is_rule")))
+        whole = exact.withColumn("lead", F.explode("antecedent")).join(lead.withColumnRenamed("token", "lead"), "lead").groupBy("antecedent").agg(F.collect_list("group").alias("g"))
+        each = F.flatten(F.transform(F.col("g")[0], lambda x: F.transform(F.col("g")[1], lambda y: F.array(x, y))))
+        spelt = F.when(F.size("g") == 2, each).otherwise(F.array(F.flatten("g")))
+        rules = rules.unionByName(exact.join(whole, "antecedent").withColumn("antecedent", F.explode(spelt)).withColumn("antecedent", F.array_sort("antecedent")).select(*rules.columns))
+    return cut(rules.select("antecedent", "confidence", "lift", "support"))
+
+
+def _baskets(rows: DataFrame, need: int, longest: int) -> tuple[DataFrame, int]:
+    """Baskets ``(items)`` of few tokens that stand for the ``rows(u)``, and in how many of them a set must stand.
+
+    Each set of up to ``longest`` tokens that ``need`` rows hold stands in as many baskets as the second result says. A
+    row's tokens are cut into blocks of :data:`BLOCK`, and each choice of ``longest`` blocks is a basket, so a set of a
+    row's tokens is in one of its baskets at least, and FP-growth lists 2 to the power of a small number of sets a basket
+    where it would not end on whole rows of 40 tokens. As a set is in ``need`` rows, it is in half of these at least
+    whatever the other half are: the widest rows, up to ``need`` / 2 of them, need no baskets, so a few rows of
+    thousands of tokens cost nothing here.
+    """
+    one = BLOCK * longest
+    apart = 0
+    widths = rows.where(F.size("u") > one).groupBy(F.size("u").alias("w")).count().orderBy(F.desc("w")).collect()  # one row a width
+    widest = max([one, *(r["w"] for r in widths)])
+    for r in widths:
+        if apart + r["count"] > need // 2:
+            break
+        apart += r["count"]
+        widest = r["w"] - 1
+    few = rows.where(F.size("u") <= one).select(F.col("u").alias("items"))
+    many = rows.where((F.size("u") > one) & (F.size("u") <= widest)).select("u", F.ceil(F.size("u") / BLOCK).cast("int").alias("blocks"), F.array().cast("array<int>").alias("at"))
+    for left in reversed(range(longest)):
+        after = F.coalesce(F.try_element_at("at", F.lit(-1)), F.lit(0)) + 1
+        many = many.withColumn("next", F.explode(F.sequence(after, F.col("blocks") - left))).withColumn("at", F.concat("at", F.array("next"))).drop("next")
+    many = many.select(F.flatten(F.transform("at", lambda i: F.slice("u", (i - 1) * BLOCK + 1, BLOCK))).alias("items"))
+    return few.unionByName(many), need - apart
+
+
+def _support(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(antecedent, n, bad)``: the sums of ``sets(u, n, bad)`` with all tokens of each of ``found(antecedent)``, which stand in an index under the token that the fewest sets hold."""
+    counts = sets.select(F.explode("u").alias("token")).groupBy("token").agg(F.count("*").alias("k"))
+    index = found.select("antecedent", F.explode("antecedent").alias("token")).join(counts, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("k", "token")).alias("token"))
+    full = sets.withColumn("token", F.explode("u")).join(index, "token").where(F.size(F.array_except("antecedent", "u")) == 0)
+    return full.groupBy("antecedent").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
 def _least(rules: DataFrame) -> DataFrame:
@@ -165,7 +190,7 @@ def listed_by_join(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFr
     return rows.join(best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.v").alias("verdict")), ["host", "path"], "left")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], min_support: float = 0.002, min_confidence: float = 0.5, key: str = "page_id", url: str = "url", chance: float = 0.05) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], min_support: float = 0.002, min_confidence: float = 0.5, key: str = "page_id", url: str = "url", chance: float = 0.05, longest: int = 3) -> DataFrame:
     """``(key, host, path, rule, verdict, n_rules, confidence)`` for every row of ``pages``.
 
     ``labelled`` has ``(url, bad boolean)``. ``verdict`` is the listed rule's, else ``block`` if a mined rule
@@ -173,7 +198,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str
     ``://``, has empty host and path. Repeated rows are each judged; URLs of any length are read whole; other
     columns are left out.
     """
-    mined = mine(labelled.select(tokens_of(F.col("url").cast("string")).alias("tokens"), F.col("bad").cast("boolean").alias("bad")), min_support, min_confidence, chance=chance)
+    mined = mine(labelled.select(tokens_of(F.col("url").cast("string")).alias("tokens"), F.col("bad").cast("boolean").alias("bad")), min_support, min_confidence, chance=chance, longest=longest)
     at = F.col(url).cast("string")
     rows = pages.select(F.col(key).alias("k"), host_of(at).alias("host"), path_of(at).alias("path"), tokens_of(at).alias("tokens"))
     if len(rules) > MOST_LISTED:

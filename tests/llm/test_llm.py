@@ -520,6 +520,44 @@ def test_long_templated_urls_end(spark):
         assert sum(n) >= 10 and r["confidence"] == pytest.approx(sum(n) / len(n)) and r["confidence"] >= 0.5
 
 
+def _least_rules(rows, longest, need, confidence, widest=100):
+    """All least sets of up to ``longest`` tokens that are rules, by trying each of the bad rows of up to ``widest`` tokens."""
+    base, rules = sum(b for _, b in rows) / len(rows), []
+    bad = [t for t, b in rows if b and len(t) <= widest]
+    for k in range(1, longest + 1):
+        for c in sorted({c for t in bad for c in itertools.combinations(sorted(t), k)}):
+            if not any(r <= set(c) for r in rules):
+                n = [b for t, b in rows if set(c) <= t]
+                if sum(n) >= need and sum(n) / len(n) >= confidence and sum(n) / len(n) > base:
+                    rules.append(set(c))
+    return {frozenset(r) for r in rules}
+
+
+@pytest.mark.parametrize("longest", [2, 3, 4])
+def test_rules_of_wide_urls_equal_brute_force(spark, longest):
+    """URLs of 9 to 15 of 18 tokens, more than a basket holds: the least rules are those that trying each set gives."""
+    rng = random.Random(31)
+    rows = []
+    for _ in range(160):
+        t = frozenset(f"t{k:02}" for k in rng.sample(range(18), rng.randint(9, 15)))
+        rows.append((t, rng.random() < (0.8 if {"t01", "t04", "t07", "t11"} <= t else 0.25)))
+    frame = spark.createDataFrame([(sorted(t), b) for t, b in rows], "tokens array<string>, bad boolean")
+    got = urls.mine(frame, 0.0, 0.6, 12, longest=longest).collect()
+    want = _least_rules(rows, longest, 12, 0.6)
+    assert len(got) == len(want) and {frozenset(r["antecedent"]) for r in got} == want and (longest < 3 or want)
+
+
+def test_urls_of_ten_thousand_tokens_end(spark):
+    """Two bad URLs hold 10,000 tokens, 300 of which other rows hold too, a few in each: same rules as by trying each set."""
+    rng = random.Random(32)
+    few = [f"t{k:03}" for k in range(300)]
+    rows = [(frozenset(rng.sample(few, 5)) | ({"x", "y"} if k % 3 == 0 else {"x"} if k % 3 == 1 else {"y"}), k % 3 == 0 or k % 30 == 1) for k in range(900)]
+    wide = [(frozenset(few) | {f"w{k}" for k in range(9700)} | {"x"}, True)] * 2
+    frame = spark.createDataFrame([(sorted(t), b) for t, b in rows + wide], "tokens array<string>, bad boolean")
+    got = {frozenset(r["antecedent"]) for r in urls.mine(frame, 0.0, 0.6, 12).collect()}
+    assert frozenset(["x", "y"]) in got and got == _least_rules(rows + wide, 3, 12, 0.6)
+
+
 def test_combinations_are_mined_and_held_out_urls_judged(spark):
     """Bad are URLs with three tokens together, none of which says much by itself or with one other (and a few others by chance); a quarter is held out."""
     random.seed(15)
