@@ -6,6 +6,7 @@ back, never windows without a key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -281,14 +282,52 @@ def severity(score: Column, z: Column, breach: Column) -> Column:
     return F.when(breach | (score >= 0.85) | (z >= 4), "CRITICAL").when((score >= 0.65) | (z >= 3), "HIGH").when((score >= 0.45) | (z >= 2), "MEDIUM").otherwise("LOW")
 
 
-def consensus(df: DataFrame, keys: list[str], ts: str, y: str, metric: str | None = None, extra: list[str] | None = None) -> DataFrame:
-    """Every point with ``expected``, ``score`` (the highest of its votes), ``methods``, ``is_anomaly``, ``severity``: votes of residual, MAD, IQR, limits (with a metric's name) and any ``<name>_flag`` of ``extra`` detectors already there."""
-    rows = _quantiles(cut(residuals(zscore(df, keys, y), keys, ts, y)), keys, y, [0.25, 0.5, 0.75], "quartiles_")
+Detector = Callable[[DataFrame, list[str], str, str], DataFrame]
+
+#: Detectors by name: ``(df, keys, ts, y)`` -> ``df`` with ``<name>_score`` and ``<name>_flag``.
+DETECTORS: dict[str, Detector] = {
+    "zscore": lambda df, keys, ts, y: zscore(df, keys, y),
+    "mad": lambda df, keys, ts, y: modified_zscore(df, keys, y),
+    "iqr": lambda df, keys, ts, y: iqr(df, keys, y),
+    "rolling": rolling_zscore,
+    "residual": residuals,
+}
+
+
+def add_detector(name: str, detector: Detector) -> None:
+    """Makes ``detector`` known as ``name`` to :func:`detect` and :func:`consensus`. The same one may be added again; a name that another has is refused."""
+    if not name.isidentifier() or DETECTORS.get(name, detector) is not detector:
+        raise ValueError(f"{name!r} is no new name of a detector")
+    DETECTORS[name] = detector
+
+
+def _added(df: DataFrame, keys: list[str], ts: str, y: str, names: list[str]) -> DataFrame:
+    for name in names:
+        df = DETECTORS[name](df, keys, ts, y)
+        if missing := {f"{name}_score", f"{name}_flag"} - set(df.columns):
+            raise ValueError(f"detector {name!r} gives no {sorted(missing)}")
+    return df
+
+
+def _votes(names: list[str]) -> tuple[Column, Column]:
+    """The detectors whose flag is set, and the highest of their scores; a null flag is no vote."""
+    voted = F.array_compact(F.array(*[F.when(F.col(f"{v}_flag"), F.lit(v)) for v in names]))
+    return voted, F.greatest(*[F.when(F.col(f"{v}_flag"), F.col(f"{v}_score")).otherwise(0.0) for v in names], F.lit(0.0))
+
+
+def detect(df: DataFrame, keys: list[str], ts: str, y: str, names: list[str]) -> DataFrame:
+    """Every point with ``methods`` (those of ``names`` that flag it, joined by commas), ``votes`` (how many) and ``score`` (the highest of theirs, else 0), by detectors of :data:`DETECTORS`."""
+    voted, score = _votes(names)
+    return _added(df, keys, ts, y, names).select(*df.columns, F.concat_ws(",", voted).alias("methods"), F.size(voted).alias("votes"), score.alias("score"))
+
+
+def consensus(df: DataFrame, keys: list[str], ts: str, y: str, metric: str | None = None, extra: list[str] | None = None, detectors: list[str] | None = None) -> DataFrame:
+    """Every point with ``expected``, ``score`` (the highest of its votes), ``methods``, ``is_anomaly``, ``severity``: votes of residual, MAD, IQR, limits (with a metric's name), any ``<name>_flag`` of ``extra`` detectors already there, and ``detectors`` of :data:`DETECTORS`, which are run here."""
+    rows = zscore(_added(df, keys, ts, y, detectors or []), keys, y)
+    rows = _quantiles(cut(residuals(rows, keys, ts, y)), keys, y, [0.25, 0.5, 0.75], "quartiles_")
     rows = iqr(modified_zscore(rows, keys, y, quartiles="quartiles_"), keys, y, quartiles="quartiles_")
     rows = limits(rows, metric, y) if metric else rows.withColumns({"limit_score": F.lit(0.0), "limit_flag": F.lit(False), "breach": F.lit(False)})
-    votes = ["residual", "mad", "iqr", "limit", *(extra or [])]
-    names = F.array_compact(F.array(*[F.when(F.col(f"{v}_flag"), F.lit(v)) for v in votes]))
-    score = F.greatest(*[F.when(F.col(f"{v}_flag"), F.col(f"{v}_score")).otherwise(0.0) for v in votes], F.lit(0.0))
+    names, score = _votes(["residual", "mad", "iqr", "limit", *(extra or []), *(detectors or [])])
     out = rows.withColumns({"methods": F.concat_ws(",", names), "is_anomaly": F.size(names) > 0, "score": score})
     return out.select(*df.columns, "expected", "score", "methods", "is_anomaly", F.when(F.col("is_anomaly"), severity(F.col("score"), F.col("z"), F.col("breach"))).otherwise("NORMAL").alias("severity"))
 

@@ -201,6 +201,13 @@ METHODS = {
 } | {name: (lambda df, keys, ts, y, ahead, name=name: solved(df, keys, ts, y, ahead, name)) for name in SOLVERS}
 
 
+def add_method(name: str, method) -> None:
+    """Makes ``method``, ``(df, keys, ts, y, ahead)`` -> ``(keys, step from 1, forecast)``, known as ``name`` to tournaments and requeries. The same one may be added again; a name that another has is refused."""
+    if not name.isidentifier() or METHODS.get(name, method) is not method:
+        raise ValueError(f"{name!r} is no new name of a method")
+    METHODS[name] = method
+
+
 def _split(df: DataFrame, keys: list[str], ts: str, y: str, ahead: int) -> tuple[DataFrame, DataFrame]:
     split = ts_ops.holdout(df, keys, ts, ahead)
     truth = split.where("part = 'validation'").withColumn("step", F.row_number().over(ts_ops.ordered(keys, ts))).select(*keys, "step", F.col(ts), F.col(y).alias("actual"))

@@ -186,6 +186,23 @@ def _(spark, d):
     return forecast.tournament(daily(spark, d), K, T, Y, 7, ["naive", "seasonal_naive", "moving_average"])
 
 
+def drift_line(df: DataFrame, keys: list[str], ts: str, y: str, ahead: int) -> DataFrame:
+    """A method that a user might add: the line through the first and the last point, carried on."""
+    ends = df.groupBy(*keys).agg(F.min_by(y, ts).alias("a"), F.max_by(y, ts).alias("b"), F.count("*").alias("n"))
+    step = F.explode(F.sequence(F.lit(1), F.lit(ahead)))
+    return ends.select("*", step.alias("step")).select(*keys, "step", (F.col("b") + F.col("step") * (F.col("b") - F.col("a")) / F.greatest(F.col("n") - 1, F.lit(1))).alias("forecast"))
+
+
+@query("forecast_tournament_added", f"""WITH {_FIT}, {_NAIVE}, ends AS (SELECT series, arg_min(y, day) AS a, arg_max(y, day) AS b, count(*) AS n FROM train GROUP BY 1),
+p AS (SELECT series, step, actual, f, 'naive' AS method FROM truth JOIN naive USING (series) UNION ALL SELECT series, step, actual, b + step * (b - a) / greatest(n - 1, 1), 'drift_line' FROM truth JOIN ends USING (series)),
+sc AS (SELECT series, avg(abs(g)) AS scale FROM (SELECT series, y - lag(y) OVER (PARTITION BY series ORDER BY day) AS g FROM train) GROUP BY 1),
+m AS (SELECT series, method, avg(abs(actual - f)) AS e, round(sqrt(avg((actual - f) ** 2)), 4) AS rmse FROM p GROUP BY 1, 2)
+SELECT series, method, round(e, 4) AS mae, rmse, round(e / scale, 4) AS mase, CAST(row_number() OVER (PARTITION BY series ORDER BY round(e, 4), method) AS INTEGER) AS rank FROM m JOIN sc USING (series)""")
+def _(spark, d):
+    forecast.add_method("drift_line", drift_line)
+    return forecast.tournament(daily(spark, d), K, T, Y, 7, ["naive", "drift_line"])
+
+
 @query("forecast_history", f"WITH {_D}, {_BACK} SELECT series, day, y FROM r WHERE back <= 30")
 def _(spark, d):
     return forecast.history(daily(spark, d), K, T, Y)
@@ -318,3 +335,21 @@ def _(spark, d):
 @query("anomaly_summary", f"{_CONSENSUS}, s AS (SELECT series, count(*) AS points, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM consensus GROUP BY 1) SELECT *, round(100 * anomalies / points, 2) AS pct FROM s")
 def _(spark, d):
     return anomaly.summary(consensus(spark, d), K)
+
+
+def far_above(df: DataFrame, keys: list[str], ts: str, y: str) -> DataFrame:
+    """A detector that a user might add: values over three times the mean of their series; the score is the mean's share that is missing to the value."""
+    rows = df.join(df.groupBy(*keys).agg(F.avg(y).alias("mean_")), keys)
+    over = (F.col("mean_") > 0) & (F.col(y) > 3 * F.col("mean_"))
+    return rows.withColumns({"far_above_flag": over, "far_above_score": F.when(over, F.round(1 - F.col("mean_") / F.col(y), 4)).otherwise(0.0)}).drop("mean_")
+
+
+@query("anomaly_detectors", f"""WITH {_V}, s AS (SELECT series, avg(y) AS m, stddev_samp(y) AS sd, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM v GROUP BY 1),
+z AS (SELECT event_id, y, m, coalesce(CASE WHEN sd > 0 THEN abs(y - m) / sd END, 0) AS z, greatest(a - 1.5 * (b - a) - y, y - (b + 1.5 * (b - a)), 0) AS far, b - a AS wide FROM v JOIN s USING (series)),
+c AS (SELECT event_id, concat_ws(',', CASE WHEN z > 3 THEN 'zscore' END, CASE WHEN far > 0 THEN 'iqr' END, CASE WHEN m > 0 AND y > 3 * m THEN 'far_above' END) AS methods, CAST((z > 3)::INT + (far > 0)::INT + (m > 0 AND y > 3 * m)::INT AS INTEGER) AS votes,
+ greatest(CASE WHEN z > 3 THEN {_CLIP.format('z / 6.0')} ELSE 0 END, CASE WHEN far > 0 THEN {_CLIP.format('far / (wide + 1e-6)')} ELSE 0 END, CASE WHEN m > 0 AND y > 3 * m THEN round(1 - m / y, 4) ELSE 0 END) AS score FROM z)
+SELECT event_id, methods, votes, CAST(score AS DOUBLE) AS score FROM c WHERE votes > 0""")
+def _(spark, d):
+    anomaly.add_detector("far_above", far_above)
+    rows = anomaly.detect(events(spark, d), K, "ts", Y, ["zscore", "iqr", "far_above"])
+    return rows.where("votes > 0").select("event_id", "methods", "votes", "score")
