@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
 from . import timeseries as ts_ops
 
 
@@ -146,8 +147,8 @@ def tree_forecast(df: DataFrame, keys: list[str], ts: str, y: str, ahead: int, m
         new = future.where(F.col("step") == k).select(*keys, at, F.lit(None).cast("double").alias("y"), "step")
         now = _ml_features(tail.unionByName(new), keys, at).where(F.col("step") == k)
         tail = tail.unionByName(fitted.transform(now).select(*keys, at, F.col("prediction").alias("y"), "step"))
-        if k % 5 == 0 and tail.sparkSession.conf.get("spark.checkpoint.dir", None):
-            tail = tail.checkpoint()
+        if k % 5 == 0:
+            tail = cut(tail)
     return tail.where("step > 0").select(*keys, "step", F.col("y").alias("forecast"))
 
 
