@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.halo import Halo
 from ..functions.ranges import exact_quantiles
 from .profile import long_numeric
 
@@ -15,11 +16,12 @@ def _quantile_row(df: DataFrame, columns: list[str], at: list[float]) -> DataFra
 
 
 def fill_order_gaps(df: DataFrame, column: str, keys: list[str], order: list[str], default: float = 0.0) -> DataFrame:
-    """Fill NULLs along ``order`` within ``keys``: from the next value, else the last one, else ``default``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    after = F.first(column, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    before = F.last(column, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(column, F.coalesce(after, before, F.lit(default)))
+    """Fill NULLs along ``order`` within ``keys``: from the next value, else the last one, else ``default``. No task holds a series."""
+    halo = Halo(df, keys, order, 0, 0)
+    # where no value follows, the last one before a row is the last of its keys
+    last = halo.rows.groupBy(*[F.col(k).alias(f"l{i}_") for i, k in enumerate(keys)]).agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col("place_"))).alias("last_"))
+    filled = halo.next_known(halo.rows, [column]).join(last, [F.col(k).eqNullSafe(F.col(f"l{i}_")) for i, k in enumerate(keys)], "left")
+    return filled.withColumn(column, F.coalesce(column, "last_", F.lit(default))).select(*df.columns)
 
 
 def impute(df: DataFrame, columns: list[str], how: str = "median", constant: object = None) -> DataFrame:

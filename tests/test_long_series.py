@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -78,3 +79,16 @@ def test_no_rows(spark, points):
 def test_no_plan_reads_a_series_to_its_end(spark, points):
     plan = anomaly.rolling_zscore(points, ["series"], "at", "y")._jdf.queryExecution().toString()
     assert "unboundedfollowing" not in plan.lower().replace(" ", "")
+
+
+def test_gaps_of_a_long_series(spark):
+    from tarnwick.operators import cleaning
+
+    n = 200_000
+    df = spark.range(n).select(F.lit("s").alias("k"), F.col("id").alias("i"), F.when(F.col("id").isin(5, n - 100), F.col("id").cast("double")).alias("v"))
+    began = time.perf_counter()
+    got = cleaning.fill_order_gaps(df, "v", ["k"], ["i"]).groupBy("v").agg(F.min("i").alias("a"), F.max("i").alias("b")).collect()
+    assert sorted(map(tuple, got)) == [(5.0, 0, 5), (float(n - 100), 6, n - 1)]
+    assert time.perf_counter() - began < 60  # windows that start anew at each row take minutes
+    nulls = spark.createDataFrame([(None, 1, None), (None, 2, 4.0), (None, 3, None), ("e", 1, None)], "k string, i int, v double")
+    assert sorted(map(tuple, cleaning.fill_order_gaps(nulls, "v", ["k"], ["i"]).collect()), key=str) == [("e", 1, 0.0), (None, 1, 4.0), (None, 2, 4.0), (None, 3, 4.0)]
