@@ -211,3 +211,29 @@ def test_files_of_a_replay_go_in_the_order_of_time(spark, tmp_path):
     assert len(files) >= 4 and len({m for m, _ in files}) == len(files)
     ends = [spark.read.parquet(str(tmp_path / "in" / name)).agg(F.min("ts"), F.max("ts")).first() for _, name in files]
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:])) and Counter(n for _, n in files).most_common(1)[0][1] == 1
+
+
+def test_hashed_embeddings_by_hand(spark):
+    import hashlib
+    import math
+    import re
+
+    from tarnwick.operators import text
+
+    docs = [(1, "Ab abc, ABC! x_1"), (2, None), (3, "?"), (4, "word " * 45_000 + "q" * 300), (5, "one two"), (5, "two three"), (6, "solo")]
+    out = text.embed(spark.createDataFrame(docs, "id int, t string").repartition(3), "id", "t", 100)
+    # features of all texts as rows, each shuffled twice, made the work grow far beyond the texts
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for key, body in docs:
+        w = re.findall("[a-z0-9_]+", (body or "").lower())
+        made = [(x, 10) for x in w] + [(x[i : i + 3], 3) for x in w for i in range(len(x) - 2)] + [(f"{a}_{b}", 8) for a, b in zip(w, w[1:])]
+        for f, v in made:
+            at = want.setdefault(key, [0] * 100)
+            at[int(hashlib.md5(f.encode()).hexdigest(), 16) % 100] += v
+        want.setdefault(key, [0] * 100)
+    got = {r["id"]: r["vector"] for r in out.collect()}
+    assert got.keys() == want.keys()
+    for key, v in want.items():
+        length = math.sqrt(sum(x * x for x in v)) or 1
+        assert max(abs(x / length - y) for x, y in zip(v, got[key])) < 1e-6
