@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,34 +29,42 @@ def severity(z: Column) -> Column:
 
 
 def batch_anomalies(rows: DataFrame, window: int = 50, threshold: float = 2.8, factor: float = 2.5, stretch: int = STRETCH) -> DataFrame:
-    """Anomalies of ``(series, column, ts, event_id, value)`` against the up to ``window`` values before each: z by the population deviation (1e-8 or less counts as 1), quartile fences (a distance of 1e-8 or less counts as 1); from max(10, window // 5) values on. No task holds more than ``stretch`` rows of a series."""
+    """Anomalies of ``(series, column, ts, event_id, value)`` against the up to ``window`` values before each: z by the population deviation (1e-8 or less counts as 1), quartile fences (a distance of 1e-8 or less counts as 1); from max(10, window // 5) values on. z meets ``threshold`` by nine digits, so that the order of sums decides nothing. No task holds more than ``stretch`` rows of a series."""
     halo = Halo(rows, ["series", "column"], ["ts", "event_id"], window, 0, stretch)
     w = halo.window(-window, -1)
     q = lambda p: F.percentile("value", F.lit(p)).over(w)
     held = halo.rows.withColumns({"n": F.count("value").over(w), "m": F.avg("value").over(w), "s": F.stddev_pop("value").over(w), "a": q(0.25), "b": q(0.75)}).where("own_").where(F.col("n") >= max(10, window // 5))
     z = (F.col("value") - F.col("m")) / F.when(F.col("s") > 1e-8, F.col("s")).otherwise(1.0)
     wide = factor * F.when(F.col("b") - F.col("a") > 1e-8, F.col("b") - F.col("a")).otherwise(1.0)
-    is_z, is_q = F.abs("z") >= threshold, (F.col("value") < F.col("a") - wide) | (F.col("value") > F.col("b") + wide)
+    is_z, is_q = F.abs(F.round("z", 9)) >= threshold, (F.col("value") < F.col("a") - wide) | (F.col("value") > F.col("b") + wide)
     out = held.withColumn("z", z).withColumn("anomaly_type", F.when(is_z & is_q, "combined").when(is_z, "z_score").when(is_q, "iqr")).where("anomaly_type is not null")
     return out.select("series", "column", "ts", "event_id", "value", F.round("z", 4).alias("z"), "anomaly_type", severity(F.col("z")).alias("severity"))
 
 
+#: Values scored at once, each against its own window.
+SCORED = 10_000
+
+
 def scan_values(values: list[float], buffer: list[float], window: int, threshold: float, factor: float) -> tuple[list[tuple[int, float, str]], list[float]]:
     """Anomalies (place, z, type) of new values in order against the buffer before each, and the buffer after them."""
     found = []
-    least = max(10, window // 5)
-    for i, v in enumerate(values):
-        if len(buffer) >= least:
-            held = np.array(buffer)
-            s = held.std()
-            z = (v - held.mean()) / (s if s > 1e-8 else 1.0)
-            a, b = np.percentile(held, [25, 75])
-            wide = factor * (b - a if b - a > 1e-8 else 1.0)
-            by_z, by_q = abs(z) >= threshold, v < a - wide or v > b + wide
-            if by_z or by_q:
-                found.append((i, round(float(z), 4), "combined" if by_z and by_q else "z_score" if by_z else "iqr"))
-        buffer = (buffer + [v])[-window:]
-    return found, buffer
+    series = np.concatenate([np.asarray(buffer, float), np.asarray(values, float)])
+    first = len(buffer)
+    # windows that are still filling have one length each, full ones the same: each length is scored at once
+    at = max(first, max(10, window // 5))
+    while at < len(series):
+        size = min(at, window)
+        end = min(at + SCORED, len(series)) if size == window else at + 1
+        held = sliding_window_view(series[at - size : end - 1], size)
+        v, s = series[at:end], held.std(1)
+        z = (v - held.mean(1)) / np.where(s > 1e-8, s, 1.0)
+        a, b = np.percentile(held, [25, 75], axis=1)
+        wide = factor * np.where(b - a > 1e-8, b - a, 1.0)
+        by_z, by_q = np.abs(np.round(z, 9)) >= threshold, (v < a - wide) | (v > b + wide)
+        kinds = np.select([by_z & by_q, by_z], ["combined", "z_score"], "iqr")
+        found += [(int(at - first + i), round(float(z[i]), 4), str(kinds[i])) for i in np.flatnonzero(by_z | by_q)]
+        at = end
+    return found, series[-window:].tolist()
 
 
 class _Scanner(StatefulProcessor):
@@ -85,9 +94,9 @@ class _Scanner(StatefulProcessor):
         pass
 
 
-def stream_anomalies(stream: DataFrame, window: int = 50, threshold: float = 2.8, factor: float = 2.5, late: str = "10 minutes") -> DataFrame:
-    """The same rule over a stream of :func:`records`: repeated events within the watermark ``late`` are dropped, state is ``window`` numbers a series and column. Needs the RocksDB state store."""
-    once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["series", "column", "event_id"])
+def stream_anomalies(stream: DataFrame, window: int = 50, threshold: float = 2.8, factor: float = 2.5, late: str | None = "10 minutes") -> DataFrame:
+    """The same rule over a stream of :func:`records`: repeated events within the watermark ``late`` are dropped, state is ``window`` numbers a series and column. With ``late`` None every row counts, as in :func:`batch_anomalies`, for sources that bring none twice. Needs the RocksDB state store."""
+    once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["series", "column", "event_id"]) if late else stream
     return once.groupBy("series", "column").transformWithStateInPandas(_Scanner(window, threshold, factor), OUTPUT, "Append", "None")
 
 

@@ -292,6 +292,28 @@ def test_stream_over_several_batches_equals_batch(spark, tmp_path):
     assert rows(spark.read.schema(streaming.OUTPUT).parquet(str(tmp_path / "out")).select("event_id", "anomaly_type"), "event_id") == want and want
 
 
+
+def test_stream_query_counts_every_row(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    from conftest import SF, compare
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.unionAll(events).coalesce(1).write.parquet(str(tmp_path / "twice"))
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    part = next((tmp_path / "twice").glob("part-*.parquet"))
+    (tmp_path / "events.parquet").symlink_to(part)
+    compare(entry.queries()["stream_severity"](spark, str(tmp_path)), entry.oracle_sql()["stream_severity"], str(tmp_path))
+
+
+def test_stream_rule_at_the_threshold():
+    """A distance of exactly the threshold counts, whatever the sum of equal values loses."""
+    for v in (3.41, 29.27, 91.62, 151.03):
+        for sign in (-1, 1):
+            found, _ = streaming.scan_values([v] * 50 + [round(v + sign * 2.8, 2)], [], 50, 2.8, 2.5)
+            assert [k for _, _, k in found] == ["combined"]
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name;age\nAnn;30\nBob;25\nCle;41\n")
     assert rows(readers.read_auto(spark, str(tmp_path / "a.csv")), "name") == [("Ann", 30), ("Bob", 25), ("Cle", 41)]
