@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.lineage import cut
 
 #: Most pivots, vectors of a tile, and queries that meet a tile at once.
 PIVOTS, TILE, BLOCK = 256, 4096, 2048
+#: Queries whose cells are chosen at once, and scores that a task holds at once.
+ASKED, PRODUCTS = 512, 1 << 20
 #: Scores have six digits; a bound this much lower cannot hide a tie.
 ROOM = 1.1e-6
 
@@ -30,6 +34,10 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 class Cells:
     """``rows(c, v, cell, tile)``: the vectors of ``corpus(c, v)`` as unit vectors in their cells; -1 is the cell of those of length 0. ``low`` and ``high`` bound the angles to a cell's pivot, ``count`` is its size, ``tiles`` what it is split into."""
 
@@ -77,46 +85,65 @@ class Cells:
         out[:, self.count == 0] = -np.inf
         return out
 
-    def visits(self, queries: DataFrame, k: int, rest: bool) -> DataFrame:
-        """``(q, v, cell)`` of ``queries(q, v, least)``: each with the best cells that hold ``k`` vectors together, or with ``rest`` those others whose bound reaches ``least``."""
+    def choices(self, queries: DataFrame, k: int, rest: bool) -> DataFrame:
+        """``(q, v, cells)`` of ``queries(q, v, least)``: each with the best cells that hold ``k`` vectors together, or with ``rest`` those others whose bound reaches ``least``. A query is one row, however many its cells."""
         kind = queries.schema["q"].dataType.simpleString()
 
         def choose(batches):
             for pdf in batches:
-                if pdf.empty:
-                    continue
-                v = unit(_stack(pdf["v"]))
-                bound = self.bounds(v)
-                order = np.argsort(-bound, axis=1, kind="stable")
-                held = np.cumsum(self.count[order], axis=1) - self.count[order]
-                first = np.zeros(bound.shape, bool)
-                np.put_along_axis(first, order, held < k, 1)
-                wanted = ~first & (bound + ROOM >= pdf["least"].to_numpy(float)[:, None]) if rest else first
-                row, cell = np.nonzero(wanted & np.isfinite(bound))
-                if len(row):
-                    yield pd.DataFrame({"q": pdf["q"].to_numpy()[row], "v": list(v[row]), "cell": np.where(cell == len(self.count) - 1, -1, cell)})
-
-        return queries.mapInPandas(choose, f"q {kind}, v array<double>, cell int")
+                for a in range(0, len(pdf), ASKED):
+                    part = pdf.iloc[a : a + ASKED]
+                    v = unit(_stack(part["v"]))
+                    bound = self.bounds(v)
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    held = np.cumsum(self.count[order], axis=1) - self.count[order]
+                    first = np.zeros(bound.shape, bool)
+                    np.put_along_axis(first, order, held < k, 1)
+                    wanted = ~first & (bound + ROOM >= part["least"].to_numpy(float)[:, None]) if rest else first
+                    cells = np.where(np.arange(bound.shape[1]) == len(self.count) - 1, -1, np.arange(bound.shape[1]))
+                    yield pd.DataFrame({"q": part["q"].to_numpy(), "v": list(v), "cells": [cells[w] for w in wanted & np.isfinite(bound)]})
+
+        return queries.mapInPandas(choose, f"q {kind}, v array<double>, cells array<int>")
+
+    def visits(self, queries: DataFrame, k: int, rest: bool) -> DataFrame:
+        """``(q, v, cell)`` of :meth:`choices`, chosen once; vectors are repeated only as they are read."""
+        return cut(self.choices(queries, k, rest)).select("q", "v", F.explode("cells").alias("cell"))
 
     def meet(self, visits: DataFrame, k: int) -> DataFrame:
         """``(q, c, score)``: of every tile of the cells visited its ``k`` best for each query."""
-        visits = cut(visits)
         q_kind, c_kind = visits.schema["q"].dataType.simpleString(), self.rows.schema["c"].dataType.simpleString()
         tiles = F.get(F.array(*[F.lit(int(t)) for t in self.tiles]), F.when(F.col("cell") < 0, len(self.tiles) - 1).otherwise(F.col("cell")))
         asked = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row a cell at most
         left = visits.join(F.broadcast(asked), "cell").select("q", "v", "cell", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"))
         right = self.rows.join(F.broadcast(asked), "cell").select("c", "v", "cell", "tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
-        def best(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            if asks.empty or rows.empty:
-                return pd.DataFrame({"q": [], "c": [], "score": []})
-            rows = rows.sort_values("c", kind="stable", ignore_index=True)
-            s = np.round(_stack(asks["v"]) @ _stack(rows["v"]).T, 6)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            return pd.DataFrame({"q": np.repeat(asks["q"].to_numpy(), top.shape[1]), "c": rows["c"].to_numpy()[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
+        def best(asks: pa.Table, rows: pa.Table) -> pa.Table:
+            rows = rows.take(pc.sort_indices(rows, sort_keys=[("c", "ascending")]))
+            places = np.zeros((2, 0), np.int64)
+            scores = np.zeros(0)
+            if asks.num_rows and rows.num_rows:
+                places, scores = best_of(_matrix(asks["v"]), _matrix(rows["v"]), k)
+            return pa.table({"q": asks["q"].take(pa.array(places[0])), "c": rows["c"].take(pa.array(places[1])), "score": scores})
 
         by = ["cell", "tile", "block"]
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, f"q {q_kind}, c {c_kind}, score double")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, f"q {q_kind}, c {c_kind}, score double")
+
+
+def best_of(asks: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of ``asks``, of ``rows``) and scores to six digits of the ``k`` best ``rows`` for each of ``asks``, ties by place; at most ``PRODUCTS`` scores are held at once."""
+    places, scores = [], []
+    step = max(1, PRODUCTS // len(rows))
+    for a in range(0, len(asks), step):
+        s = np.round(asks[a : a + step] @ rows.T, 6)
+        floor = np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k, None] if k < len(rows) else -np.inf
+        i, j = np.nonzero(s >= floor)
+        order = np.lexsort((j, -s[i, j], i))
+        i, j = i[order], j[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[nth < k], j[nth < k]
+        places.append(np.stack([i + a, j]))
+        scores.append(s[i, j])
+    return np.concatenate(places, axis=1), np.concatenate(scores)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

@@ -122,6 +122,34 @@ def test_cells_are_skipped(spark):
     assert sum(r["count"] * int(cells.count[r["cell"]]) for r in visits) < 0.2 * 40 * 2000
 
 
+def test_queries_are_not_repeated_for_their_cells_in_python(spark):
+    rng = np.random.default_rng(6)
+    corpus = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(900)], "c long, v array<double>")
+    queries = spark.createDataFrame([(i, rng.normal(size=8).tolist(), -2.0) for i in range(50)], "q long, v array<double>, least double")
+    cells = vector_index.Cells(corpus)
+    rows = cells.choices(queries, 10, True).collect()
+    assert len(rows) == 50 and sum(len(r["cells"]) for r in rows) > 50 * 20
+    assert sorted((r["q"], c) for r in rows for c in r["cells"]) == sorted((r["q"], r["cell"]) for r in cells.visits(queries, 10, True).collect())
+
+
+@pytest.mark.parametrize("k", [3, 500, 900])
+def test_scores_of_a_tile_are_held_in_part(monkeypatch, k):
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    asks, rows = rng.integers(-2, 3, (400, 4)).astype(float), rng.integers(-2, 3, (800, 4)).astype(float)  # many ties
+    s = asks @ rows.T
+    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    places, scores = vector_index.best_of(asks, rows, k)
+    assert places[0].tolist() == np.repeat(np.arange(400), min(k, 800)).tolist() and places[1].tolist() == top.ravel().tolist()
+    assert scores.tolist() == np.take_along_axis(s, top, 1).ravel().tolist()
+    monkeypatch.setattr(vector_index, "PRODUCTS", 1 << 14)
+    tracemalloc.start()
+    vector_index.best_of(asks, rows, 3)
+    assert tracemalloc.get_traced_memory()[1] < 400 * 800 * 8 / 2
+    tracemalloc.stop()
+
+
 def test_nothing_goes_through_the_driver_row_by_row():
     import inspect
 
