@@ -723,6 +723,21 @@ def test_rejection_is_calibrated(spark):
     assert language.predict(long, model, "text", "doc_id").first()["lang_pred"] == "en"
 
 
+@pytest.mark.parametrize("block", [2000, 100])
+def test_all_rows_are_learned_from(spark, monkeypatch, block):
+    """Each language has 30 vocabularies of its own letters' order; a sample of four rows knows next to none of them."""
+    monkeypatch.setattr(language, "BLOCK_ROWS", block)
+    random.seed(18)
+    words = {(lang, v): ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for lang in ("x", "y") for v in range(30)}
+    rows = [(i, " ".join(random.choices(words[lang, i % 30], k=20)), lang) for i in range(1200) for lang in ["xy"[i // 30 % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, sample=4)
+    got = by_id(language.predict(docs.where(language.held_out(F.col("doc_id"))), model, "text", "doc_id"))
+    assert len(got) > 200 and sum(got[i]["lang_pred"] == lang for i, _, lang in rows if i in got) >= 0.95 * len(got)
+    again = language.train(docs.repartition(3, "text"), sample=4)
+    assert again.temperature == model.temperature and abs(again.least - model.least) < 1e-12 and abs(again.vectors - model.vectors).max() < 1e-12
+
+
 def test_language_counts_like_brute_force():
     import pyarrow as pa
 
