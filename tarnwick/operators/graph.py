@@ -269,9 +269,10 @@ def facts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def question(nodes: DataFrame, edges: DataFrame, queries: DataFrame, hops: int = 2, seeds: int = 4) -> DataFrame:
     """``(query_id, kind, content)``: entities found for each question, facts of the edges among what they reach, and paths between them."""
-    found = search_nodes(nodes, queries, seeds)
+    found = _cut(search_nodes(nodes, queries, seeds))  # a few rows a question, read six times
     reach = k_hop(edges, found.select(F.col("id").alias("seed")).distinct(), hops)
     area = found.select("query_id", F.col("id").alias("seed")).join(reach, "seed").select("query_id", "id").distinct()
+    area = _cut(area)
     ends = edges.join(area.select("query_id", F.col("id").alias("source_id")), "source_id")
     inner = ends.join(area.select("query_id", F.col("id").alias("target_id")), ["query_id", "target_id"], "left_semi")
     told = inner.select("query_id", "id").join(facts(edges, nodes), "id").select("query_id", F.lit("fact").alias("kind"), F.col("fact").alias("content"))

@@ -265,3 +265,34 @@ def test_hashed_embeddings_by_hand(spark):
     for key, v in want.items():
         length = math.sqrt(sum(x * x for x in v)) or 1
         assert max(abs(x / length - y) for x, y in zip(v, got[key])) < 1e-6
+
+
+def counted(spark, df, column):
+    """``df`` that counts how often a row's ``column`` is computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def look(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(column, look.asNondeterministic()(column)), seen
+
+
+def test_grams_are_cut_up_once_and_by_all_tasks(spark):
+    from tarnwick.functions import substrings
+
+    names, seen = counted(spark, spark.createDataFrame([(i, f"name of {i}") for i in range(100)], "k long, t string").coalesce(1), "t")
+    words = spark.createDataFrame([("name",), ("f 9",), ("zzz",)], "w string")
+    got = substrings.containing(names, "k", "t", words, "w").collect()
+    assert sorted((r["k"], r["w"]) for r in got) == sorted((i, w) for i in range(100) for w in ("name", "f 9") if w in f"name of {i}")
+    assert seen.value <= 200  # the grams, and the look at the texts that were met
+
+
+def test_a_question_searches_once(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"word{i}", "T", {"a": "b"}) for i in range(40)], "id string, name string, node_type string, properties map<string,string>")
+    edges = spark.createDataFrame([(f"e{i}", f"n{i}", f"n{i + 1}", "R", 1.0, {"a": "b"}) for i in range(39)], "id string, source_id string, target_id string, relation string, weight double, properties map<string,string>")
+    queries, seen = counted(spark, spark.createDataFrame([(1, "word3 word20")], "query_id long, query string"), "query")
+    got = graph.question(nodes, edges, queries, 1, 2).collect()
+    assert {r["content"] for r in got if r["kind"] == "entity"} == {"n20", "n3"} and any(r["kind"] == "fact" for r in got)
+    assert seen.value <= 3
