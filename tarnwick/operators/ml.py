@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -63,6 +66,29 @@ def problem_type(df: DataFrame, target: str) -> DataFrame:
     return whole.crossJoin(F.broadcast(least)).select(kind.alias("problem_type"), "classes", "rows", F.when(kind != "regression", pct).alias("minority_pct"), F.coalesce(imbalanced, F.lit(False)).alias("imbalanced"))
 
 
+def _few_values(df: DataFrame, columns: list[str], most: int = 500) -> dict[str, int]:
+    """How many different values each of ``columns`` has, or ``most`` + 1 where there are more. A task sends on no more than that many hashes of a column, so no column's values are shuffled whole."""
+
+    def first(batches):
+        seen: dict[str, set] = {c: set() for c in columns}
+        for batch in batches:
+            for i, c in enumerate(columns):
+                if len(seen[c]) <= most:
+                    new = set(pc.unique(batch.column(i)).to_pylist()) - {None} - seen[c]
+                    new = set(itertools.islice(new, most + 1 - len(seen[c])))
+                    seen[c] |= new
+                    if new:
+                        yield pa.RecordBatch.from_arrays([pa.array([c] * len(new)), pa.array(list(new), pa.int64())], ["column", "h"])
+            if all(len(s) > most for s in seen.values()):
+                return
+
+    if not columns:
+        return {}
+    hashes = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))).alias(c) for c in columns])
+    found = hashes.mapInArrow(first, "column string, h bigint").groupBy("column").agg(F.least(F.count_distinct("h"), F.lit(most + 1)).alias("n")).collect()
+    return {c: 0 for c in columns} | {r["column"]: r["n"] for r in found}
+
+
 def leakage(df: DataFrame, target: str) -> DataFrame:
     """``(column, risk, severity)``: a name derived from the target, an identifier (ratio over 0.85 or more than 500 values), a name of the future, |r| of 0.98 or more with the target (a text target by the rank of its value)."""
     df = normalize_nulls(df)
@@ -75,6 +101,7 @@ def leakage(df: DataFrame, target: str) -> DataFrame:
         coded = df.join(F.broadcast(ranks), target, "left")
         code = F.col("code_").cast("double")
     named, parts = [], []
+    values = _few_values(df, [f.name for f in df.schema if f.name != target and any_match(f.name, LEAK_IDS)])
     for f in df.schema:
         c = f.name
         if c == target:
@@ -85,8 +112,8 @@ def leakage(df: DataFrame, target: str) -> DataFrame:
         if any_match(c, LEAK_FUTURE):
             named.append((c, "FUTURE_INFORMATION", "HIGH"))
         r = correlation(F.col(c).cast("double"), code) if _is_number(f.dataType) else F.lit(None).cast("double")
-        is_id = F.lit(any_match(c, LEAK_IDS))
-        parts.append(F.struct(F.lit(c).alias("column"), (is_id & ((F.count_distinct(c) / F.greatest(F.count(c), F.lit(1)) > 0.85) | (F.count_distinct(c) > 500))).alias("is_id"), r.alias("r"), F.count(c).alias("n")))
+        is_id = (F.lit(values[c]) / F.greatest(F.count(c), F.lit(1)) > 0.85) | F.lit(values[c] > 500) if c in values else F.lit(False)
+        parts.append(F.struct(F.lit(c).alias("column"), is_id.alias("is_id"), r.alias("r"), F.count(c).alias("n")))
     rows = coded.agg(F.array(*parts).alias("p")).select(F.inline("p"))
     by_name = spark.createDataFrame(named, "column string, risk string, severity string")
     ids = rows.where("is_id").select("column", F.lit("UNIQUE_IDENTIFIER").alias("risk"), F.lit("HIGH").alias("severity"))

@@ -182,6 +182,16 @@ def test_leakage(spark):
     assert not [c for c, _ in found if c == "fine"]
 
 
+def test_leakage_shuffles_no_column_of_values(spark):
+    """500 values of an identifier are few if they come often, 501 are many; those of other columns aren't counted."""
+    n = 2000
+    df = spark.range(n, numPartitions=3).select(F.col("id").alias("user_id"), (F.col("id") % 500).alias("team_id"), (F.col("id") % 501).alias("shop_id"), F.when(F.col("id") < 7, F.col("id")).alias("rare_id"), (F.col("id") % 2).alias("y"), F.rand(3).alias("fine"))
+    found = {r["column"] for r in ml.leakage(df, "y").where("risk = 'UNIQUE_IDENTIFIER'").collect()}
+    assert found == {"user_id", "shop_id", "rare_id"}
+    plan = ml.leakage(df, "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "distinct" not in plan.lower()
+
+
 def test_targets_rank_churn_first(spark):
     df = spark.createDataFrame([(f"c{i}", 20 + i % 50, 10.5 * i, i % 2) for i in range(100)], "customer_id string, age int, monthly_spend double, churn int")
     assert ml.targets(df).orderBy(F.desc("confidence")).first()["column"] == "churn"
