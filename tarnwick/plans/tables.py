@@ -69,12 +69,20 @@ def _workbook(pdf: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
+#: Rows of a workbook on average.
+WORKBOOK = 20_000
+
+
 @query("scan_excel", "SELECT concat('segment/', c_mktsegment) AS path, c_custkey, c_name, c_acctbal FROM customer")
 def _(spark, d):
     def pack(key, pdf):
         return pd.DataFrame({"path": [f"segment/{key[0]}"], "content": [_workbook(pdf[["c_custkey", "c_name", "c_acctbal"]])]})
 
-    books = table(spark, d, "customer").groupBy("c_mktsegment").applyInPandas(pack, "path string, content binary")
+    # a segment is as many workbooks of one path as it takes to hold about WORKBOOK rows each
+    customers = table(spark, d, "customer")
+    sizes = customers.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.ceil(F.count("*") / WORKBOOK).alias("books"))
+    dealt = customers.join(F.broadcast(sizes), F.col("c_mktsegment").eqNullSafe(F.col("segment"))).withColumn("book", F.pmod(F.xxhash64("c_custkey"), "books")).select("c_mktsegment", "book", "c_custkey", "c_name", "c_acctbal")
+    books = dealt.groupBy("c_mktsegment", "book").applyInPandas(pack, "path string, content binary")
     cells = readers.parse_workbooks(books)
     return cells.select("path", F.col("cells")["c_custkey"].cast("long").alias("c_custkey"), F.col("cells")["c_name"].alias("c_name"), F.col("cells")["c_acctbal"].cast("double").alias("c_acctbal"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 from functools import reduce
@@ -167,11 +168,29 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def _sheet_rows(content: bytes, sheet: str | None) -> list[list[str | None]]:
-    """Cell texts of one sheet (the first by default) of an .xlsx."""
+def _elements(stream, tag: str):
+    """Each ``tag`` of an XML stream as it ends; what was read is forgotten."""
+    events = ElementTree.iterparse(stream, events=("start", "end"))
+    open_: list = []
+    for event, e in events:
+        if event == "start":
+            open_.append(e)
+            continue
+        open_.pop()
+        if e.tag == tag:
+            yield e
+            for parent in open_[-1:]:
+                parent.remove(e)
+
+
+def _sheet_rows(content: bytes, sheet: str | None):
+    """Cell texts of one sheet (the first by default) of an .xlsx, row by row."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
-        shared = [" ".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            with z.open("xl/sharedStrings.xml") as stream:
+                shared = [" ".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in _elements(stream, f"{_MAIN}si")]
         target = None
         if sheet is not None:
             links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
@@ -179,35 +198,41 @@ def _sheet_rows(content: bytes, sheet: str | None) -> list[list[str | None]]:
                 if s.get("name") == sheet:
                     target = "xl/" + links[s.get(f"{_REL}id")].lstrip("/").removeprefix("xl/")
             if target is None:
-                return []
+                return
         target = target or min(n for n in names if n.startswith("xl/worksheets/sheet"))
-        rows = []
-        for r in ElementTree.fromstring(z.read(target)).iter(f"{_MAIN}row"):
-            cells: dict[int, str | None] = {}
-            for c in r.iter(f"{_MAIN}c"):
-                letters = re.match("[A-Z]+", c.get("r") or "")
-                at = len(cells)
-                if letters:
-                    at = 0
-                    for x in letters[0]:
-                        at = at * 26 + ord(x) - 64
-                    at -= 1
-                value = c.find(f"{_MAIN}v")
-                text = value.text if value is not None else "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) or None
-                cells[at] = shared[int(text)] if c.get("t") == "s" and text is not None else text
-            rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-        return rows
+        with z.open(target) as stream:
+            for r in _elements(stream, f"{_MAIN}row"):
+                cells: dict[int, str | None] = {}
+                for c in r.iter(f"{_MAIN}c"):
+                    letters = re.match("[A-Z]+", c.get("r") or "")
+                    at = len(cells)
+                    if letters:
+                        at = 0
+                        for x in letters[0]:
+                            at = at * 26 + ord(x) - 64
+                        at -= 1
+                    value = c.find(f"{_MAIN}v")
+                    text = value.text if value is not None else "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) or None
+                    cells[at] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+                yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+
+
+#: Rows of a workbook that a task sends on at once.
+SHEET_ROWS = 1000
 
 
 def parse_workbooks(files: DataFrame, sheet: str | None = None) -> DataFrame:
-    """``(path, row, cells map<string,string>)`` of workbooks ``(path, content)``; the first row names the cells. One task a workbook."""
+    """``(path, row, cells map<string,string>)`` of workbooks ``(path, content)``; the first row names the cells. One task a workbook, of which it holds the file, its shared strings and some rows."""
 
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 rows = _sheet_rows(bytes(content), sheet)
-                for i, r in enumerate(rows[1:]):
-                    yield pd.DataFrame({"path": [path], "row": [i], "cells": [{str(n): v for n, v in zip(rows[0], r) if n is not None}]})
+                names = next(rows, [])
+                start = 0
+                while part := list(itertools.islice(rows, SHEET_ROWS)):
+                    yield pd.DataFrame({"path": path, "row": range(start, start + len(part)), "cells": [{str(n): v for n, v in zip(names, r) if n is not None} for r in part]})
+                    start += len(part)
 
     return files.select("path", "content").mapInPandas(run, "path string, row bigint, cells map<string,string>")
 

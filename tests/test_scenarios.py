@@ -589,3 +589,26 @@ def test_paths_past_a_hub(spark):
     more = spark.createDataFrame([("s", "hub"), ("leaf7", "t"), ("leaf8", "u"), ("u", "t")], "source_id string, target_id string")
     found = graph.paths(out.union(more), spark.createDataFrame([("s", "t"), ("hub", "t"), ("t", "s")], "source string, target string"))
     assert rows(found.select("source", "path", "rank"), "source", "rank") == [("hub", ["hub", "leaf7", "t"], 1), ("hub", ["hub", "leaf8", "u", "t"], 2), ("s", ["s", "hub", "leaf7", "t"], 1)]
+
+
+def test_workbooks_are_read_row_by_row(spark):
+    """A workbook of 50,000 rows takes no more memory than some of them and its file."""
+    import io
+    import tracemalloc
+    import zipfile
+
+    from tarnwick.sources import readers
+
+    def book(n):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c t="inlineStr"><is><t>a</t></is></c></row>{"".join(f"<row><c><v>{i}</v></c></row>" for i in range(n))}</sheetData></worksheet>')
+        return out.getvalue()
+
+    content = book(50_000)
+    tracemalloc.start()
+    assert sum(1 for _ in readers._sheet_rows(content, None)) == 50_001
+    assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    tracemalloc.stop()
+    got = readers.parse_workbooks(spark.createDataFrame([("p", book(2500)), ("q", book(0))], "path string, content binary")).collect()
+    assert sorted((r["path"], r["row"], r["cells"]["a"]) for r in got) == [("p", i, str(i)) for i in range(2500)]
