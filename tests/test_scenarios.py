@@ -612,3 +612,19 @@ def test_workbooks_are_read_row_by_row(spark):
     tracemalloc.stop()
     got = readers.parse_workbooks(spark.createDataFrame([("p", book(2500)), ("q", book(0))], "path string, content binary")).collect()
     assert sorted((r["path"], r["row"], r["cells"]["a"]) for r in got) == [("p", i, str(i)) for i in range(2500)]
+
+
+def test_pages_are_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def look(x):
+        seen.add(1)
+        return x
+
+    html = ["<p>one</p><p>two</p>", "", None, "<p> </p>", "<div>a</div><div></div><div>b</div>", "<p>&#9;&nbsp;x</p>"] * 30
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    got = text.html_sections(pages.withColumn("html", look.asNondeterministic()("html")), "page_id", "html").collect()
+    assert seen.value == len(html)
+    plain = spark.createDataFrame([(i, text.html_text(h)) for i, h in enumerate(html)], "page_id long, text string")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, text.text_sections(plain, "page_id", "text").collect()))
