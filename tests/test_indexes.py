@@ -11,6 +11,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from tarnwick.functions import folders
+from tarnwick.functions.lineage import cut
 from tarnwick.functions.substrings import containing
 from tarnwick.operators import explore, graph, lexical_index, retrieval, text, text_index, vector_index
 from tarnwick.plans import catalog
@@ -77,6 +78,37 @@ def test_blocks_that_cannot_win_are_not_read(spark):
     hits.unpersist()
 
 
+def test_blocks_are_added_up_where_they_lie(spark, monkeypatch):
+    """Equal to the sums over all postings: ties at the k-th place, few queries at once, and no rows but the best of a block leave it."""
+    monkeypatch.setattr(lexical_index, "ASKED", 3)
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choices(["red", "green", "blue", "black", "white", "grey"], k=rng.choice([3, 3, 9])))
+    chunks = spark.createDataFrame([(f"c{i}", line()) for i in range(300)], "chunk_id string, text string")
+    queries = spark.createDataFrame([(i, line()) for i in range(7)], "query_id long, query string")
+    postings, lengths, frequencies = retrieval.bm25_index(chunks)
+    asked = cut(lexical_index.wanted(queries))
+    hits = cut(lexical_index.impacts(postings, lengths, frequencies, block=16))
+    every = cut(lexical_index.bounds(hits, asked))
+    plain = cut(lexical_index.scores(hits, asked, every))
+    few = cut(lexical_index.leaders(hits, asked, every, 3))
+    assert rows(lexical_index.best(few, 3)) == rows(lexical_index.best(plain, 3))
+    assert few.count() < plain.count() / 2
+
+
+def test_tokens_are_counted_where_a_text_lies(spark):
+    """Only the counts of keys that come again are shuffled, and only words that are asked for."""
+    texts = [(1, "a b-c b-c -b-c- the x"), (2, None), (3, ""), (None, "two two"), (4, "\u00e9t\u00e9 ok2 OK2")]
+    unique = spark.createDataFrame(texts, "k long, text string")
+    want = [(1, "b-c", 3), (4, "ok2", 2), (None, "two", 2)]
+    counted = text.term_counts(unique, "k", "text")
+    assert rows(counted) == sorted(want, key=repr)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    again = text.term_counts(unique.unionAll(spark.createDataFrame([(4, "ok2 more"), (None, "two")], unique.schema)), "k", "text")
+    assert rows(again) == sorted([(1, "b-c", 3), (4, "ok2", 3), (4, "more", 1), (None, "two", 3)], key=repr)
+    of = text.term_counts_of(unique, "k", "text", spark.createDataFrame([("ok2",), ("b-c",), ("none",)], "token string"))
+    assert rows(of) == [(1, "b-c", 3), (4, "ok2", 2)]
+
+
 def test_search_without_rows(spark):
     chunks = spark.createDataFrame([("a", "some words"), ("b", None)], "chunk_id string, text string")
     queries = spark.createDataFrame([(1, "words words"), (2, None), (3, "other")], "query_id long, query string")
