@@ -328,3 +328,9 @@ def test_a_question_searches_once(spark):
     got = graph.question(nodes, edges, queries, 1, 2).collect()
     assert {r["content"] for r in got if r["kind"] == "entity"} == {"n20", "n3"} and any(r["kind"] == "fact" for r in got)
     assert seen.value <= 3
+
+
+def test_few_rows_leave_a_large_side_unshuffled(spark):
+    """Candidates go to the documents, so that no texts are shuffled for them."""
+    plan = QUERIES["rerank_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "text" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning(chunk_id" in x)
