@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.halo import STRETCH, Halo
@@ -151,7 +150,7 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 1
             total += depth[at]
         return pd.Series(2.0 ** -(total / max(len(forest), 1) / max(usual, 1e-9)))
 
-    raw = df.withColumn("raw_", score(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])))
+    raw = cut(df.withColumn("raw_", score(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]))))  # scored once for bounds and rows
     top = exact_quantiles(raw, [], "raw_", [1 - contamination]).select(F.col("q")[0].alias("p_"))
     span = raw.agg(F.min("raw_").alias("a_"), F.max("raw_").alias("b_")).crossJoin(F.broadcast(top))
     out = raw.crossJoin(F.broadcast(span))
@@ -249,20 +248,22 @@ def local_outlier_factor(df: DataFrame, key: str, columns: list[str], k: int = 1
 
 def reconstruction(df: DataFrame, columns: list[str], percentile: float = 0.95) -> DataFrame:
     """Adds ``reconstruction_score``, ``reconstruction_flag``: the error of the standardised row's projection on the first principal components, flagged above the ``percentile``. NULLs count as the mean."""
-    means = df.agg(*[F.avg(c).alias(f"{c}_m") for c in columns])
+    means = cut(df.agg(*[F.avg(c).alias(f"{c}_m") for c in columns]))
     filled = df.crossJoin(F.broadcast(means)).withColumns({f"{c}_x": F.coalesce(F.col(c).cast("double"), F.col(f"{c}_m"), F.lit(0.0)) for c in columns}).drop(*[f"{c}_m" for c in columns])
     vectors = VectorAssembler(inputCols=[f"{c}_x" for c in columns], outputCol="v_").transform(filled)
-    scaled = StandardScaler(withMean=True, inputCol="v_", outputCol="u_").fit(vectors).transform(vectors)
+    scaler = StandardScaler(withMean=True, inputCol="v_", outputCol="u_").fit(vectors)
     k = max(1, min(4, len(columns) // 2))
-    model = PCA(k=k, inputCol="u_", outputCol="p_").fit(scaled)
-    basis = model.pc.toArray()
-    u, p = vector_to_array("u_"), vector_to_array("p_")
-    sq = [F.pow(u[i] - sum((p[j] * float(basis[i, j]) for j in range(k)), F.lit(0.0)), 2) for i in range(len(columns))]
+    model = PCA(k=k, inputCol="u_", outputCol="p_").fit(scaler.transform(vectors))
+    basis, mean, std = model.pc.toArray(), scaler.mean.toArray(), scaler.std.toArray()
+    # rows are projected by plain columns, as they are read more than once
+    u = {f"u{i}_": (F.col(f"{c}_x") - float(mean[i])) / float(std[i]) if std[i] > 0 else F.lit(0.0) for i, c in enumerate(columns)}
+    p = {f"p{j}_": sum((F.col(f"u{i}_") * float(basis[i, j]) for i in range(len(columns))), F.lit(0.0)) for j in range(k)}
+    sq = [F.pow(F.col(f"u{i}_") - sum((F.col(f"p{j}_") * float(basis[i, j]) for j in range(k)), F.lit(0.0)), 2) for i in range(len(columns))]
     error = reduce(lambda a, b: a + b, sq) / len(columns)
-    rows = model.transform(scaled).withColumn("e_", error)
+    rows = filled.withColumns(u).withColumns(p).withColumn("e_", error).drop(*u, *p)
     bound = rows.agg(F.max("e_").alias("t_")).crossJoin(F.broadcast(exact_quantiles(rows, [], "e_", [percentile]).select(F.col("q")[0].alias("c_"))))
     out = rows.crossJoin(F.broadcast(bound))
-    return out.withColumns({"reconstruction_score": _clip(F.col("e_") / F.when(F.col("t_") > 0, F.col("t_")).otherwise(1.0)), "reconstruction_flag": F.col("e_") > F.col("c_")}).drop("v_", "u_", "p_", "e_", "c_", "t_", *[f"{c}_x" for c in columns])
+    return out.withColumns({"reconstruction_score": _clip(F.col("e_") / F.when(F.col("t_") > 0, F.col("t_")).otherwise(1.0)), "reconstruction_flag": F.col("e_") > F.col("c_")}).drop("e_", "c_", "t_", *[f"{c}_x" for c in columns])
 
 
 def limits(df: DataFrame, metric: str, y: str, sensors: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:

@@ -271,7 +271,7 @@ def _(spark, d):
 
 @query("anomaly_isolation_forest")
 def _(spark, d):
-    rows = anomaly.isolation_forest(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"])
+    rows = anomaly.isolation_forest(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", ["p_size", "p_retailprice"])
     return rows.select("p_partkey", "isolation_score", "isolation_flag")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import math
 
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -628,3 +629,19 @@ def test_pages_are_parsed_once(spark):
     assert seen.value == len(html)
     plain = spark.createDataFrame([(i, text.html_text(h)) for i, h in enumerate(html)], "page_id long, text string")
     assert sorted(map(tuple, got)) == sorted(map(tuple, text.text_sections(plain, "page_id", "text").collect()))
+
+
+def test_detectors_score_rows_once(spark):
+    """The forest's scores are read back, not computed again; errors of the projection are plain columns and those of numpy."""
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3)) + 5
+    df = spark.createDataFrame([(i, *map(float, r), 1.0) for i, r in enumerate(data)], "id int, a double, b double, c double, flat double")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan(anomaly.isolation_forest(df, "id", ["a", "b"], trees=3))
+    out = anomaly.reconstruction(df, ["a", "b", "c", "flat"])
+    assert "UDF(" not in plan(out) and out.columns == [*df.columns, "reconstruction_score", "reconstruction_flag"]
+    u = np.c_[(data - data.mean(0)) / data.std(0, ddof=1), np.zeros(60)]
+    basis = np.linalg.svd(u - u.mean(0))[2][:2].T
+    error = ((u - u @ basis @ basis.T) ** 2).mean(1)
+    got = np.array([r[0] for r in out.orderBy("id").select("reconstruction_score").collect()])
+    assert np.allclose(got, error / error.max(), atol=1e-4)
