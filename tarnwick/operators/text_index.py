@@ -1,7 +1,7 @@
 """A text index that grows, replaces, forgets and merges: segments with tombstones, and document frequencies by signed deltas.
 
-A batch of new, changed and deleted documents is one segment: chunks, postings, lengths and vectors of what came, the
-keys it replaces or removes, and how much each token's document frequency changes by all this. A row counts while no
+A batch of new, changed and deleted documents is one segment: chunks, words (a row a chunk: its length, and its tokens with
+their counts) and vectors of what came, the keys of earlier segments that it replaces or removes, and how much each token's document frequency changes by all this. A row counts while no
 later segment names its key. Segments of like size are merged into one that stands for all their batches. A segment
 counts once its list of batches is written, so what breaks off is done anew and a replayed batch changes nothing. One writer
 at a time.
@@ -15,8 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import folders
-from ..functions.columns import tokens
-from ..functions.lineage import cut
+from ..functions.lineage import few
 from . import lexical_index, text as text_ops, vector_index
 
 
@@ -30,6 +29,10 @@ def by_sections(docs: DataFrame, key: str) -> DataFrame:
     return text_ops.chunks(text_ops.text_sections(docs, key, "text"), key).select(key, "chunk_id", "text")
 
 
+#: Most keys, of a batch or of all tombstones, that are sent to all tasks.
+KEYS = 1_000_000
+
+
 class TextIndex:
     """The index under ``path``, a folder that all executors share; keys are of ``kind``. ``vectors`` false leaves embeddings out."""
 
@@ -52,18 +55,24 @@ class TextIndex:
 
     def _schemas(self) -> dict[str, str]:
         own = f"{self.key} {self.kind}, chunk_id string"
-        return {"chunks": f"{own}, text string", "postings": f"{own}, token string, tf bigint", "lengths": f"{own}, length bigint", "vectors": f"{own}, vector array<float>", "gone": f"{self.key} {self.kind}", "change": "token string, df bigint", "batches": "batch string"}
+        return {"given": f"{self.key} {self.kind}, text string", "chunks": f"{own}, text string", "words": f"{own}, length bigint, terms array<struct<token: string, tf: bigint>>", "vectors": f"{own}, vector array<float>", "gone": f"{self.key} {self.kind}", "change": "token string, df bigint", "batches": "batch string"}
 
     def batches(self) -> set[str]:
         """Names of the batches that count."""
         return {r["batch"] for r in self._read("batches", self.segments()).collect()}
 
-    def _live(self, name: str, segments: list[tuple[int, int]] | None = None, upto: list[tuple[int, int]] | None = None) -> DataFrame:
-        """Rows of ``name`` in ``segments`` whose key no later one of ``upto`` names."""
+    def _live(self, name: str, segments: list[tuple[int, int]] | None = None, upto: list[tuple[int, int]] | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Rows of ``name`` in ``segments`` whose key no later one of ``upto`` names; only those of ``keys(key)`` if given."""
         segments = self.segments() if segments is None else segments
-        last = self._read("gone", upto or segments).groupBy(self.key).agg(F.max("seq").alias("last"))
-        rows = self._read(name, segments).join(last, self.key, "left")
-        return rows.where(F.col("last").isNull() | (F.col("seq") >= F.col("last"))).drop("last", "seq")
+        rows = self._read(name, segments)
+        if keys is not None:
+            rows = rows.join(few(keys, KEYS), self.key, "left_semi")
+        later = [s for s in upto or segments if s[1] > segments[0][1]] if segments else []
+        if not later:
+            return rows.drop("seq")
+        last = self._read("gone", later).groupBy(self.key).agg(F.max("seq").alias("last"))
+        last = few(last.withColumnRenamed(self.key, "key_"), KEYS)
+        return rows.join(last, (F.col(self.key) == F.col("key_")) & (F.col("seq") < F.col("last")), "left_anti").drop("seq")
 
     def _write(self, df: DataFrame, segment: tuple[int, int], name: str) -> None:
         df.write.mode("overwrite").parquet(f"{self._folder(segment)}/{name}")
@@ -81,29 +90,37 @@ class TextIndex:
         here = (number, number)
         none = self.spark.createDataFrame([], f"{key} {self.kind}, text string")
         given = none if docs is None else docs.select(F.col(key).cast(self.kind).alias(key), F.col(text).cast("string").alias("text")).where(F.col(key).isNotNull())
-        dropped = (none.select(key) if deleted is None else deleted.select(F.col(key).cast(self.kind).alias(key)).where(F.col(key).isNotNull())).distinct()
-        given = cut(given.groupBy(key).agg(F.max("text").alias("text")).join(dropped, key, "left_anti"))
-        self._write(given.select(key).unionAll(dropped), here, "gone")
+        self._write(given, here, "given")
+        given = self._read("given", [here]).drop("seq")
+        again = few(given.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), KEYS)
+        if not again.isEmpty():  # no other texts are shuffled
+            given = given.join(again, key, "left_anti").unionAll(given.join(again, key, "left_semi").groupBy(key).agg(F.max("text").alias("text")))
+        gone = given.select(key)
+        if deleted is not None:
+            dropped = few(deleted.select(F.col(key).cast(self.kind).alias(key)).where(F.col(key).isNotNull()).distinct(), KEYS)
+            given = given.join(dropped, key, "left_anti")
+            gone = given.select(key).unionAll(dropped)
+        self._write(gone if segments else none.select(key), here, "gone")  # a first segment stands in no other's place
         self._write(self.chunker(given, key).select(key, "chunk_id", "text"), here, "chunks")
         chunks = self._read("chunks", [here]).drop("seq")
-        self._write(chunks.select(key, "chunk_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy(key, "chunk_id", "token").agg(F.count("*").alias("tf")), here, "postings")
-        self._write(chunks.select(key, "chunk_id", F.size(tokens(F.coalesce("text", F.lit("")))).cast("long").alias("length")), here, "lengths")
+        self._write(text_ops.term_rows(chunks, [key, "chunk_id"], "text"), here, "words")
         if self.vectors:
             own = text_ops.embed(chunks, "chunk_id", "text").join(chunks.select(key, "chunk_id"), "chunk_id")
             self._write(own.select(key, "chunk_id", "vector"), here, "vectors")
-        new = self._read("postings", [here]).select("token", F.lit(1).cast("long").alias("df"))
+        of = lambda rows, df: rows.select(F.explode("terms.token").alias("token"), F.lit(df).cast("long").alias("df"))
+        new = of(self._read("words", [here]), 1)
         if segments:
-            before = self._live("postings", segments).join(self._read("gone", [here]).select(key), key, "left_semi")
-            new = new.unionAll(before.select("token", F.lit(-1).cast("long").alias("df")))
+            new = new.unionAll(of(self._live("words", segments, keys=self._read("gone", [here]).select(key)), -1))
         self._write(new.groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0"), here, "change")
         self._write(self.spark.createDataFrame([(batch,)], "batch string"), here, "batches")
+        folders.remove(self.spark, f"{self._folder(here)}/given")
         return True
 
     def merge(self, segments: list[tuple[int, int]]) -> None:
         """One segment in place of neighbouring ones. Keys that only older segments could hold are forgotten where there are none older."""
         here, everything = (segments[0][0], segments[-1][1]), self.segments()
         later = [s for s in everything if s[0] >= here[0]]
-        for name in ("chunks", "postings", "lengths", *["vectors"] * self.vectors):
+        for name in ("chunks", "words", *["vectors"] * self.vectors):
             self._write(self._live(name, segments, later), here, name)
         gone = self._read("gone", segments).select(self.key).distinct()
         self._write(gone if everything[0] != segments[0] else gone.limit(0), here, "gone")
@@ -130,10 +147,10 @@ class TextIndex:
         return self._live("chunks")
 
     def postings(self) -> DataFrame:
-        return self._live("postings")
+        return self._live("words").select(self.key, "chunk_id", F.inline("terms"))
 
     def lengths(self) -> DataFrame:
-        return self._live("lengths")
+        return self._live("words").select(self.key, "chunk_id", "length")
 
     def embeddings(self) -> DataFrame:
         return self._live("vectors")
@@ -144,7 +161,9 @@ class TextIndex:
 
     def search(self, queries: DataFrame, k: int = 10, query_key: str = "query_id", query: str = "query") -> DataFrame:
         """``(query_key, chunk_id, score, rank)`` by BM25 over the chunks that count."""
-        return lexical_index.search(queries, self.postings().drop(self.key), self.lengths().drop(self.key), self.frequencies(), k, "chunk_id", query_key, query)
+        words = self._live("words")
+        postings = words.select("chunk_id", "length", F.inline("terms"))
+        return lexical_index.search(queries, postings, words.select("chunk_id", "length"), self.frequencies(), k, "chunk_id", query_key, query)
 
     def nearest(self, queries: DataFrame, k: int = 10, query_key: str = "query_id", query: str = "query") -> DataFrame:
         """``(query_key, chunk_id, score, rank)`` by cosine of hashed embeddings."""

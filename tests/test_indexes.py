@@ -241,6 +241,20 @@ def test_index_of_odd_rows(spark, tmp_path):
     assert rows(index.frequencies()) == [("aa", 1), ("cc", 1)] and rows(index.lengths()) == [(1, "1", 2), (2, "2", 0), (3, "3", 0)]
 
 
+def test_commits_and_reads_shuffle_no_words(spark, tmp_path):
+    """A chunk's words are one row, which tombstones meet where it lies; a first segment has none."""
+    index = text_index.TextIndex(spark, str(tmp_path / "few"), chunker=text_index.whole_texts, vectors=False)
+    index.commit("all", spark.createDataFrame([(i, f"aa -b-b- word{i} aa the") for i in range(20)], "doc_id long, text string"))
+    plan = lambda: index.postings()._jdf.queryExecution().executedPlan().toString()
+    assert index._read("gone", index.segments()).isEmpty() and "Exchange" not in plan()
+    index.commit("some", spark.createDataFrame([(1, "new"), (1, "aa"), (None, "x"), (30, "aa")], "doc_id long, text string"), spark.createDataFrame([(2,)], "doc_id long"))
+    assert "BroadcastHashJoin" in plan() and "hashpartitioning" not in plan() and "Sort" not in plan()
+    assert sorted(map(tuple, index._read("words", index.segments()[:1]).where("doc_id = 2").select("length", "terms").collect())) == [(4, [("aa", 2), ("b-b", 1), ("word2", 1)])]
+    got = dict(map(tuple, index.frequencies().collect()))
+    assert got["aa"] == 19 and got["new"] == 1 and "word2" not in got and "word1" not in got and got["b-b"] == 18
+    assert "given" not in folders.listed(spark, f"{tmp_path}/few/{2:012d}-{2:012d}")
+
+
 def test_indexed_documents_by_section(spark):
     """Both index queries hold each document once: the chunks and token counts of the documents at hand."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
