@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.lineage import cut as _cut
+from ..functions.lineage import cut as _cut, even, few
 from ..functions.substrings import containing
 
 
@@ -220,28 +220,32 @@ def distributions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """``(id, rank)``: weighted links, parallel ones added up, the mass of nodes without links spread over all; ends when the change is under ``tolerance`` a node."""
-    ids = _cut(nodes.select("id").distinct())
+    """``(id, rank)``: weighted links, parallel ones added up, the mass of nodes without links spread over all; ends when the change is under ``tolerance`` a node.
+
+    Nodes go by numbers, and no links are sorted: a task of a round holds its nodes and the sums of the targets it meets.
+    """
+    ids = few(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()))
     n = ids.count()
     if not n:
-        return ids.withColumn("rank", F.lit(None).cast("double"))
-    links = edges_within(edges, ids).groupBy("source_id", "target_id").agg(F.sum("weight").alias("w")).where("w > 0")
-    out = links.groupBy("source_id").agg(F.sum("w").alias("all"))
+        return ids.select("id", F.lit(None).cast("double").alias("rank"))
+    end = lambda c, to: ids.select(F.col("id").alias(c), F.col("n").alias(to))
+    links = _cut(edges.select("source_id", "target_id", "weight").join(end("source_id", "from"), "source_id").join(end("target_id", "to"), "target_id").select("from", "to", "weight"))
+    links = _cut(even(links, links.count(), "from", "to").groupBy("from", "to").agg(F.sum("weight").alias("w")).where("w > 0"))
     # links lie by their source once and for all; a round moves only what each task sums up for a target
     parts = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = _cut(links.join(out, "source_id").select(F.col("source_id").alias("id"), F.col("target_id").alias("to"), (F.col("w") / F.col("all")).alias("share"))).repartition(parts, "id").persist()
-    sinks = ids.join(links.select("id").distinct(), "id", "left_anti").withColumn("sink", F.lit(True))
-    ranks = _cut(ids.join(sinks, "id", "left").select("id", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("moved")))
-    loose = ranks.where("sink").count() / n
+    out = links.groupBy(F.col("from").alias("n")).agg(F.sum("w").alias("all"))
+    ranks = _cut(ids.select("n").join(out, "n", "left").select("n", "all", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("moved")))
+    links = links.repartition(parts, "from").persist()
+    loose = ranks.where("all is null").count() / n
     for k in range(rounds):
-        given = links.join(ranks.repartition(parts, "id"), "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        given = links.join(ranks.select(F.col("n").alias("from"), "rank", "all").repartition(parts, "from").hint("shuffle_hash"), "from").groupBy(F.col("to").alias("n")).agg(F.sum(F.col("rank") * (F.col("w") / F.col("all"))).alias("got"))
         new = damping * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n)) + (1 - damping) / n
-        ranks = _cut(ranks.join(given, "id", "left").select("id", "sink", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
-        moved, loose = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()
+        ranks = _cut(ranks.join(given, "n", "left").select("n", "all", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        moved, loose = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("all").isNull(), F.col("rank"))), F.lit(0.0))).first()
         if moved < n * tolerance:
             break
     links.unpersist()
-    return ranks.select("id", "rank")
+    return ranks.join(ids, "n").select("id", "rank")
 
 
 #: The sentence of each relation.

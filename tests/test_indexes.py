@@ -348,3 +348,34 @@ def test_few_rows_leave_a_large_side_unshuffled(spark):
     """Candidates go to the documents, so that no texts are shuffled for them."""
     plan = QUERIES["rerank_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "text" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning(chunk_id" in x)
+
+
+def test_ranks_by_force_in_many_parts(spark, monkeypatch):
+    """Parallel links, links of weight 0, to nodes that aren't there, and nodes without links; parts hold a few rows."""
+    from tarnwick.functions import lineage
+    from tarnwick.plans import base, graphs
+
+    monkeypatch.setattr(lineage, "PART", 7)
+    assert lineage.even(spark.range(100), 100, "id").rdd.getNumPartitions() == 15
+    rng = random.Random(8)
+    edges = [(f"n{rng.randrange(25)}", f"n{rng.randrange(32)}", float(rng.randrange(4))) for _ in range(150)]
+    names = [f"n{i}" for i in range(30)]
+    got = dict(map(tuple, graph.pagerank(spark.createDataFrame([(x,) for x in names + names[:5]], "id string"), spark.createDataFrame(edges, "source_id string, target_id string, weight double"), tolerance=1e-12).collect()))
+    links = Counter()
+    for a, b, w in edges:
+        if b in names and w:
+            links[a, b] += w
+    out = Counter()
+    for (a, _), w in links.items():
+        out[a] += w
+    want = dict.fromkeys(names, 1 / 30)
+    for _ in range(200):
+        spread = sum(x for a, x in want.items() if not out[a]) / 30
+        want = {b: 0.85 * (spread + sum(want[a] * w / out[a] for (a, t), w in links.items() if t == b)) + 0.15 / 30 for b in names}
+    assert got == pytest.approx(want, abs=1e-9)
+    # trade is added up by numbers, in as many parts as its lines need, and never sorted
+    found = graphs.trade(spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "hashpartitioning(o_custkey" in plan and ", 4)" not in plan
+    monkeypatch.undo()
+    assert rows(graphs.trade(spark, SF)) == rows(base.derived(spark, SF, graphs._TRADE))
