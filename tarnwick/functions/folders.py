@@ -26,6 +26,23 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.mkdirs(at)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    files, at = _at(spark, path)
+    if not files.rename(at, _at(spark, to)[1]):
+        raise OSError(f"{path} was not moved to {to}")
+
+
+def parts(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files of one write, in the order of their partitions."""
+    files, at = _at(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at) if x.getPath().getName().startswith("part-"))
+
+
 def in_order(spark: SparkSession, path: str) -> None:
     """Gives the files of one write times of change a second apart, in the order of their partitions, up to that of the last."""
     files, at = _at(spark, path)

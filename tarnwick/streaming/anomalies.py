@@ -56,8 +56,11 @@ def scan_values(values: list[float], buffer: list[float], window: int, threshold
         size = min(at, window)
         end = min(at + SCORED, len(series)) if size == window else at + 1
         held = sliding_window_view(series[at - size : end - 1], size)
-        v, s = series[at:end], held.std(1)
-        z = (v - held.mean(1)) / np.where(s > 1e-8, s, 1.0)
+        # from the first value of a window on, so that large values that are equal have no deviation
+        v, first_held = series[at:end], held[:, :1]
+        far = held - first_held
+        s = far.std(1)
+        z = (v - first_held[:, 0] - far.mean(1)) / np.where(s > 1e-8, s, 1.0)
         a, b = np.percentile(held, [25, 75], axis=1)
         wide = factor * np.where(b - a > 1e-8, b - a, 1.0)
         by_z, by_q = np.abs(np.round(z, 9)) >= threshold, (v < a - wide) | (v > b + wide)
@@ -68,7 +71,7 @@ def scan_values(values: list[float], buffer: list[float], window: int, threshold
 
 
 class _Scanner(StatefulProcessor):
-    """Keeps the last values of a series and column in list state; a micro-batch is scored in the order (ts, event_id)."""
+    """Keeps the last values of a series and column in list state; a micro-batch is scored in the order (ts, event_id), ts in microseconds."""
 
     def __init__(self, window: int, threshold: float, factor: float):
         self.window, self.threshold, self.factor = window, threshold, factor
@@ -97,7 +100,9 @@ class _Scanner(StatefulProcessor):
 def stream_anomalies(stream: DataFrame, window: int = 50, threshold: float = 2.8, factor: float = 2.5, late: str | None = "10 minutes") -> DataFrame:
     """The same rule over a stream of :func:`records`: repeated events within the watermark ``late`` are dropped, state is ``window`` numbers a series and column. With ``late`` None every row counts, as in :func:`batch_anomalies`, for sources that bring none twice. Needs the RocksDB state store."""
     once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["series", "column", "event_id"]) if late else stream
-    return once.groupBy("series", "column").transformWithStateInPandas(_Scanner(window, threshold, factor), OUTPUT, "Append", "None")
+    # ts as a number: pandas has local times, where an hour comes twice as summer time ends
+    scored = once.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))).groupBy("series", "column").transformWithStateInPandas(_Scanner(window, threshold, factor), OUTPUT.replace("ts timestamp", "ts long"), "Append", "None")
+    return scored.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def stats(rows: DataFrame, anomalies: DataFrame, window: int = 50) -> DataFrame:

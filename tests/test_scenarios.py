@@ -645,3 +645,50 @@ def test_detectors_score_rows_once(spark):
     error = ((u - u @ basis @ basis.T) ** 2).mean(1)
     got = np.array([r[0] for r in out.orderBy("id").select("reconstruction_score").collect()])
     assert np.allclose(got, error / error.max(), atol=1e-4)
+
+
+@pytest.mark.parametrize("name", ["alert_sink", "stream_anomaly", "stream_severity", "stream_stats"])
+def test_stream_queries_need_no_times_of_change(spark, monkeypatch, name):
+    """Files that carry times in the wrong order, as where a file system lets none be set, are still taken in the order of the events."""
+    import __spark_entry__ as entry
+
+    from conftest import SF, compare
+    from tarnwick.functions import folders
+
+    def reversed_order(spark, path):
+        files, at = folders._at(spark, path)
+        found = sorted((x.getPath() for x in files.listStatus(at) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+        for i, x in enumerate(found):
+            files.setTimes(x, 1_700_000_000_000 - 1000 * i, -1)
+
+    monkeypatch.setattr(folders, "in_order", reversed_order)
+    compare(entry.queries()[name](spark, SF), entry.oracle_sql()[name], SF)
+
+
+def test_stream_goes_by_time_where_an_hour_comes_twice(spark, tmp_path):
+    """The hour before and after summer time ends has the same local times; both forms go by the instants."""
+    from tarnwick.sources import sinks
+
+    zone, provider = spark.conf.get("spark.sql.session.timeZone"), "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        value = F.when(F.col("id").isin(30, 90, 110), 40.0).otherwise(F.when(F.col("id") < 60, 10.0).otherwise(30.0)) + F.col("id") * 37 % 5 / 10
+        df = spark.range(120).select(F.col("id").alias("event_id"), F.lit("s").alias("series"), F.timestamp_seconds(F.lit(1729987200) + F.col("id") * 60).alias("ts"), value.cast("double").alias("v"))
+        df.coalesce(1).write.parquet(str(tmp_path / "in"))
+        want = rows(streaming.batch_anomalies(streaming.records(df, "series", "ts", "event_id", ["v"])).select("event_id", "anomaly_type", F.unix_micros("ts").alias("us")), "event_id")
+        stream = streaming.parquet_stream(spark, df.schema, str(tmp_path / "in"))
+        sinks.write_alerts(streaming.stream_anomalies(streaming.records(stream, "series", "ts", "event_id", ["v"]), late=None), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        got = spark.read.schema(streaming.OUTPUT).parquet(str(tmp_path / "out"))
+        assert rows(got.select("event_id", "anomaly_type", F.unix_micros("ts").alias("us")), "event_id") == want and want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        spark.conf.unset(provider)
+
+
+def test_stream_rule_on_large_values():
+    """Equal values have no deviation, however large they are: the distance is then measured by 1."""
+    found, _ = streaming.scan_values([1e9 + 0.01] * 60 + [1e9 + 1.01], [], 50, 2.8, 2.5)
+    assert found == []
+    found, _ = streaming.scan_values([1e9 + 0.01] * 60 + [1e9 + 4.01], [], 50, 2.8, 2.5)
+    assert found == [(60, 4.0, "combined")]
