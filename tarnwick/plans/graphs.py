@@ -124,7 +124,7 @@ def _(spark, d):
 
 @query("graph_query")
 def _(spark, d):
-    return graph.question(nodes(spark, d), edges(spark, d), derived(spark, d, _ASK), 1, 2)
+    return graph.question(nodes(spark, d), edges(spark, d), derived(spark, d, _ASK))
 
 
 @query("graph_delete", f"WITH {_G} SELECT (SELECT count(*) FROM nodes WHERE project_id <> 'trade') AS nodes, (SELECT count(*) FROM ({_GEO})) AS edges")

@@ -344,6 +344,40 @@ def test_a_question_searches_once(spark):
     assert seen.value <= 3
 
 
+def test_questions_reach_two_hops_from_four_entities(spark):
+    """``graph_query`` by force, with the reference's numbers of entities, hops, steps and paths."""
+    from tarnwick.plans import base, graphs
+
+    nodes = {r["id"]: r for r in graphs.nodes(spark, SF).collect()}
+    edges = graphs.edges(spark, SF).collect()
+    near, out = {}, {}
+    for e in edges:
+        near.setdefault(e["source_id"], set()).add(e["target_id"])
+        near.setdefault(e["target_id"], set()).add(e["source_id"])
+        out.setdefault(e["source_id"], set()).add(e["target_id"])
+    want = []
+    for q in base.derived(spark, SF, graphs._ASK).collect():
+        score = Counter()
+        for i, n in nodes.items():
+            for w in q["query"].split():
+                name, props = n["name"].lower(), '{"kind":"%s"}' % n["properties"]["kind"]
+                score[i] += 5 if w == name else 2.5 if w in name else 1.5 if w in i else 1 if w in props else 0
+        seeds = sorted((i for i in score if score[i]), key=lambda i: (-score[i], i))[:4]
+        area = set(seeds)
+        for _ in range(2):
+            area |= {b for a in area for b in near.get(a, ())}
+        want += [(q["query_id"], "entity", i) for i in seeds]
+        want += [(q["query_id"], "fact", f"'{nodes[e['source_id']]['name']}' {e['relation']} '{nodes[e['target_id']]['name']}'.") for e in edges if {e["source_id"], e["target_id"]} <= area]
+        for a in seeds:
+            walks, found = [[a]], []
+            for _ in range(3):
+                walks = [w + [b] for w in walks for b in out.get(w[-1], ()) if b not in w]
+                found += walks
+            for b in seeds:
+                want += [(q["query_id"], "path", " -> ".join(w)) for w in sorted((w for w in found if w[-1] == b), key=lambda w: (len(w), w))[:5]]
+    assert Counter(map(tuple, QUERIES["graph_query"](spark, SF).collect())) == Counter(want) and {k for _, k, _ in want} == {"entity", "fact", "path"}
+
+
 def test_few_rows_leave_a_large_side_unshuffled(spark):
     """Candidates go to the documents, so that no texts are shuffled for them."""
     plan = QUERIES["rerank_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
